@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from hopwise.llm.language_id import op6_language_id
+from hopwise.llm.secret_scan import op1_secret_scan
 from hopwise.llm.simhash_dedup import op10_simhash_dedup
 
 
 def queries() -> dict:
-    return {"op10_simhash_dedup": op10_simhash_dedup}
+    found = [op1_secret_scan, op6_language_id, op10_simhash_dedup]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
