@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from hopwise.llm.language_id import op6_language_id
+from hopwise.llm.line_quality import OP8_SQL, op8_line_quality
 from hopwise.llm.secret_scan import op1_secret_scan
 from hopwise.llm.simhash_dedup import op10_simhash_dedup
 
 
 def queries() -> dict:
-    found = [op1_secret_scan, op6_language_id, op10_simhash_dedup]
+    found = [op1_secret_scan, op6_language_id, op8_line_quality, op10_simhash_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_quality": OP8_SQL}
