@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hopwise.llm.hilbert_shards import op7_hilbert_shards
 from hopwise.llm.language_id import op6_language_id
 from hopwise.llm.line_quality import OP8_SQL, op8_line_quality
 from hopwise.llm.secret_scan import op1_secret_scan
@@ -9,7 +10,7 @@ from hopwise.llm.simhash_dedup import op10_simhash_dedup
 
 
 def queries() -> dict:
-    found = [op1_secret_scan, op6_language_id, op8_line_quality, op10_simhash_dedup]
+    found = [op1_secret_scan, op6_language_id, op7_hilbert_shards, op8_line_quality, op10_simhash_dedup]
     return {f.__name__: f for f in found}
 
 
