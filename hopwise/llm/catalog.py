@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hopwise.llm.decontaminate import OP3_SQL, op3_decontaminate
 from hopwise.llm.hilbert_shards import op7_hilbert_shards
 from hopwise.llm.language_id import op6_language_id
 from hopwise.llm.line_quality import OP8_SQL, op8_line_quality
@@ -11,9 +12,9 @@ from hopwise.llm.source_mixing import OP5_SQL, op5_source_mixing
 
 
 def queries() -> dict:
-    found = [op1_secret_scan, op5_source_mixing, op6_language_id, op7_hilbert_shards, op8_line_quality, op10_simhash_dedup]
+    found = [op1_secret_scan, op3_decontaminate, op5_source_mixing, op6_language_id, op7_hilbert_shards, op8_line_quality, op10_simhash_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": OP5_SQL, "op8_line_quality": OP8_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op5_source_mixing": OP5_SQL, "op8_line_quality": OP8_SQL}
