@@ -9,10 +9,11 @@ from hopwise.llm.line_quality import OP8_SQL, op8_line_quality
 from hopwise.llm.secret_scan import op1_secret_scan
 from hopwise.llm.simhash_dedup import op10_simhash_dedup
 from hopwise.llm.source_mixing import OP5_SQL, op5_source_mixing
+from hopwise.llm.suffix_dedup import op4_suffix_dedup
 
 
 def queries() -> dict:
-    found = [op1_secret_scan, op3_decontaminate, op5_source_mixing, op6_language_id, op7_hilbert_shards, op8_line_quality, op10_simhash_dedup]
+    found = [op1_secret_scan, op3_decontaminate, op4_suffix_dedup, op5_source_mixing, op6_language_id, op7_hilbert_shards, op8_line_quality, op10_simhash_dedup]
     return {f.__name__: f for f in found}
 
 
