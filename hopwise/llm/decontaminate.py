@@ -134,17 +134,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
             options = F.when(F.col("width") == w, simhash(shingle_hashes(words, w))).otherwise(options)
         return options
 
-    left = cut.withColumn("fp", fingerprint(F.col("window")))
-    right = items.select("item_id", "item_words", fingerprint(F.col("item_words")).alias("item_fp"))
+    # written out, so that what follows refers to columns, not to their formulas many times over
+    width = F.least("width", F.size("window"))
+    left = cut.select("doc_id", "item_id", "s", F.size("window").alias("n_words"), fingerprint(F.col("window")).alias("fp"), _shingles(F.col("window"), width).alias("shingles"))
+    right = items.select("item_id", fingerprint(F.col("item_words")).alias("item_fp"), _shingles(F.col("item_words"), F.col("width")).alias("item_shingles"))
+    left, right = checkpointed(left), checkpointed(right)
     left = left.select("*", F.inline(blocks(F.col("fp"), radius)))
     right = right.select("*", F.inline(blocks(F.col("item_fp"), radius)))
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = left.join(right, ["item_id", "block", "value"]).where(distance <= radius)
+    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    distance = F.bit_count(differ)
     # a pair meets in every block that agrees: the first one stands for it
-    agree = F.filter(F.arrays_zip(blocks(F.col("fp"), radius).alias("p"), blocks(F.col("item_fp"), radius).alias("q")), lambda z: z["p"] == z["q"])
-    near = near.where(F.col("block") == F.get(agree, F.lit(0))["p"]["block"])
-    score = weighted_jaccard(_shingles(F.col("window"), F.least("width", F.size("window"))), _shingles(F.col("item_words"), F.col("width")))
-    good = near.select("doc_id", "item_id", F.col("s").alias("start_word"), F.size("window").alias("n_words"), distance.alias("hamming"), score.alias("similarity"))
+    agree = F.array_position(F.transform(blocks(differ, radius), lambda b: b["value"]), 0) - 1
+    near = left.join(right, ["item_id", "block", "value"]).where((distance <= radius) & (F.col("block") == agree))
+    score = weighted_jaccard(F.col("shingles"), F.col("item_shingles"))
+    good = near.select("doc_id", "item_id", F.col("s").alias("start_word"), "n_words", distance.alias("hamming"), score.alias("similarity"))
     good = good.where(F.col("similarity") >= similarity)
     best = F.min(F.struct((-F.col("similarity")).alias("x"), "start_word", "n_words", "hamming", "similarity")).alias("best")
     return good.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[f"best.{c}" for c in ("start_word", "n_words", "hamming", "similarity")])
