@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import arrow_map, utf8
+from hopwise.llm.common import arrow_map, checkpointed, utf8
 
 SYMBOLS = 48
 #: Bounds of the fitted model: documents a language, and bytes of the unrolled table (the
 #: order drops from 3 where more languages would exceed it).
-DOCS_PER_LANGUAGE = 2_000
+DOCS_PER_LANGUAGE = 1_000
 TABLE_BYTES = 256 << 20
+#: Sampled ids are broadcast up to this many (500 languages); beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def _folding() -> np.ndarray:
@@ -90,13 +92,14 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, max_ord
     """(languages, table, order) from (doc_id, text, lang), or None if nothing is labelled.
 
     At most ``docs_per_language`` whole texts of each language are counted: those first by
-    the MD5 of their id, picked by a group limit that runs before its shuffle.  Counting is
-    distributed; what reaches the driver is bounded by that sample and by SYMBOLS.
+    the MD5 of their id.  Spark's group limit (for ranks up to 1,000) cuts them before the
+    shuffle, so no task sees all of a language.  Counting is distributed; what reaches the driver is bounded by that sample and by SYMBOLS.
     """
     first = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     keyed = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
     ids = keyed.select("doc_id", "lang").withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= docs_per_language)
-    sample = keyed.join(ids.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi")
+    ids = checkpointed(ids.select("doc_id", "lang").distinct())
+    sample = keyed.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ["doc_id", "lang"], "left_semi")
 
     def count(batch: pa.RecordBatch) -> dict:
         by: dict = {}
