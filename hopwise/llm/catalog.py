@@ -10,12 +10,13 @@ from hopwise.llm.secret_scan import op1_secret_scan
 from hopwise.llm.simhash_dedup import op10_simhash_dedup
 from hopwise.llm.source_mixing import OP5_SQL, op5_source_mixing
 from hopwise.llm.suffix_dedup import op4_suffix_dedup
+from hopwise.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
-    found = [op1_secret_scan, op3_decontaminate, op4_suffix_dedup, op5_source_mixing, op6_language_id, op7_hilbert_shards, op8_line_quality, op10_simhash_dedup]
+    found = [op1_secret_scan, op3_decontaminate, op4_suffix_dedup, op5_source_mixing, op6_language_id, op7_hilbert_shards, op8_line_quality, op9_warc, op10_simhash_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op5_source_mixing": OP5_SQL, "op8_line_quality": OP8_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op5_source_mixing": OP5_SQL, "op8_line_quality": OP8_SQL, "op9_warc": OP9_SQL}
