@@ -5,6 +5,7 @@ from __future__ import annotations
 from hopwise.llm.decontaminate import OP3_SQL, op3_decontaminate
 from hopwise.llm.hilbert_shards import op7_hilbert_shards
 from hopwise.llm.language_id import op6_language_id
+from hopwise.llm.license_scan import op2_license_scan
 from hopwise.llm.line_quality import OP8_SQL, op8_line_quality
 from hopwise.llm.secret_scan import op1_secret_scan
 from hopwise.llm.simhash_dedup import op10_simhash_dedup
@@ -13,9 +14,15 @@ from hopwise.llm.suffix_dedup import op4_suffix_dedup
 from hopwise.llm.warc import OP9_SQL, op9_warc
 
 
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    found = [op1_secret_scan, op3_decontaminate, op4_suffix_dedup, op5_source_mixing, op6_language_id, op7_hilbert_shards, op8_line_quality, op9_warc, op10_simhash_dedup]
-    return {f.__name__: f for f in found}
+    found = [op1_secret_scan, op2_license_scan, op3_decontaminate, op4_suffix_dedup, op5_source_mixing, op6_language_id, op7_hilbert_shards, op8_line_quality, op9_warc, op10_simhash_dedup]
+    return {f.__name__: f for f in found} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
