@@ -12,7 +12,7 @@ byte of text; here only suffixes at content-defined anchors are, which is enough
     sample range-partition the units by their leading KEY bytes.  Splitters never cut between
     equal leading bytes, so nothing has to be compared across a boundary; leading bytes so
     frequent that they fill a range of their own are dealt out by whole windows instead.
-*   A bucket sorts its units by key words.  Units whose whole run of windows is equal are
+*   A bucket sorts its units by words of key and run hashes.  Units whose whole run of windows is equal are
     settled there: all but those of the least document are removed.  Of the others with
     company under their key (the ends of copied passages), one for each distinct run fetches
     its bytes and is compared window by window.
@@ -35,11 +35,11 @@ from hopwise.llm.common import arrow_map, utf8, written
 
 LENGTH, KEY = 50, 16
 #: Bytes of text cut into units at once, and bytes of text for each bucket.
-PIECE, BUCKET_BYTES = 1 << 20, 24 << 20
+PIECE, BUCKET_BYTES = 1 << 17, 24 << 20
 #: Bounds of the sample behind the splitters: documents, and keys of each.
 SAMPLE_DOCS, SAMPLE_KEYS = 2_000, 16
 #: Requests for bytes that share a bucket.
-BUCKET_REQUESTS = 200_000
+BUCKET_REQUESTS = 50_000
 _U = np.uint64
 
 
@@ -140,8 +140,9 @@ def _units(texts: list[bytes], length: int) -> dict[str, np.ndarray] | None:
 
 def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Maximal runs of the spans of each row: (row, start, end)."""
-    order = np.lexsort((start, row))
-    row, start, end = row[order].astype(np.int64), start[order].astype(np.int64), end[order].astype(np.int64)
+    row, start, end = row.astype(np.int64), start.astype(np.int64), end.astype(np.int64)
+    order = np.argsort(row << 40 | start, kind="stable")
+    row, start, end = row[order], start[order], end[order]
     shift = row << 40
     reach = np.maximum.accumulate(end + shift)
     new = np.concatenate(([True], (start + shift)[1:] > reach[:-1]))
@@ -186,13 +187,17 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _least(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For each element of sorted runs the least value of its run."""
+    return np.minimum.reduceat(x, np.flatnonzero(new))[np.cumsum(new) - 1] if len(x) else x
+
+
 def _settle_windows(u: dict[str, np.ndarray], length: int):
     """Of equal windows all but those of the least document go: (doc, tag, start, end)."""
-    order = np.lexsort((u["doc"], u["window"], u["kh"]))
+    order = np.argsort(u["window"] + u["kh"].astype(_U) * _U(0x9E3779B97F4A7C15), kind="stable")
     u = {c: x[order] for c, x in u.items()}
     new = _first_of(u["kh"], u["window"])
-    least = u["doc"][new][np.cumsum(new) - 1]
-    gone = u["doc"] > least
+    gone = u["doc"] > _least(u["doc"], new)
     return u["doc"][gone], u["tag"][gone], u["start"][gone], u["start"][gone] + length
 
 
@@ -206,12 +211,10 @@ def _windows(data: bytes, base, size, lead, length, **more):
     return {"window": h, "start": np.repeat(base.astype(np.int64), count) + inside} | {c: np.repeat(x, count) for c, x in more.items()}
 
 
-def _splitters(docs: DataFrame, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _splitters(docs: DataFrame, n: int, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Leading keys that cut a bounded sample into equal ranges; those that fill a range."""
     if buckets < 2:
         return np.zeros(0, "S16"), np.zeros(0, "S16")
-    n = max(1, docs.count())
-
     def keys(batch: pa.RecordBatch) -> dict:
         out = []
         for t in batch.column(0).to_pylist():
@@ -220,7 +223,7 @@ def _splitters(docs: DataFrame, buckets: int, length: int) -> tuple[np.ndarray,
                 out += u["key"][np.argsort(u["kh"], kind="stable")[:SAMPLE_KEYS]].tolist()
         return {"key": out}
 
-    sample = docs.sample(min(1.0, SAMPLE_DOCS / n), seed=7).limit(2 * SAMPLE_DOCS)
+    sample = docs.sample(min(1.0, SAMPLE_DOCS / max(1, n)), seed=7).limit(2 * SAMPLE_DOCS)
     got = np.array(sorted(r["key"].ljust(16, b"\0") for r in arrow_map(sample.select("data"), keys, "key binary").collect()), "S16")
     if not len(got):
         return got, got
@@ -235,10 +238,9 @@ def _map_units(doc, tag, texts, length, buckets, splitters, heavy):
     if u is None:
         return
     u["doc"], u["tag"] = doc[u["text"]], tag[u["text"]]
-    order = np.lexsort((u["doc"], u["run"], u["kh"]))
-    new = _first_of(u["kh"][order], u["run"][order])
+    order = np.argsort(u["run"], kind="stable")
     least = np.empty(len(order), np.int64)
-    least[order] = u["doc"][order][new][np.cumsum(new) - 1]
+    least[order] = _least(u["doc"][order], _first_of(u["run"][order], u["kh"][order]))
     gone = u["doc"] > least
     if gone.any():
         i, s, e = _merged(u["text"][gone], u["start"][gone], u["start"][gone] + u["size"][gone])
@@ -292,11 +294,12 @@ def _settle_bucket(bucket: int, kinds: list[str], payloads: list[bytes], length:
     if (w := by["w"]) is not None:
         gone.append(_settle_windows(w, length))
     if (u := by["u"]) is not None:
-        order = np.lexsort((u["doc"], u["run"], u["kh"]))
+        # one 64-bit key: the key's hash, then the upper half of the run's
+        order = np.argsort(u["kh"].astype(_U) << _U(32) | u["run"] >> _U(32), kind="stable")
         u = {c: x[order] for c, x in u.items()}
         new_key, new_run = _first_of(u["kh"]), _first_of(u["kh"], u["run"])
-        key, run = np.cumsum(new_key) - 1, np.cumsum(new_run) - 1
-        copy = u["doc"] > u["doc"][new_run][run]
+        key = np.cumsum(new_key) - 1
+        copy = u["doc"] > _least(u["doc"], new_run)
         heads = np.flatnonzero(new_key)
         company = (np.bincount(key[new_run])[key] > 1) & (np.minimum.reduceat(u["doc"], heads) != np.maximum.reduceat(u["doc"], heads))[key]
         end = u["start"].astype(np.int64) + u["size"]
@@ -313,9 +316,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``docs`` has doc_id (not null), tag (tells rows with equal ids apart) and data (bytes).
     Spans may overlap; only strings of documents with smaller ids count.
     """
-    n_bytes = docs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = max(1, -(-n_bytes // BUCKET_BYTES))
-    splitters, heavy = _splitters(docs, buckets, length)
+    n_docs, n_bytes = docs.agg(F.count("*"), F.sum(F.octet_length("data"))).first()
+    buckets = max(1, -(-(n_bytes or 0) // BUCKET_BYTES))
+    splitters, heavy = _splitters(docs, n_docs, buckets, length)
 
     def cut(batch: pa.RecordBatch) -> dict:
         doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
