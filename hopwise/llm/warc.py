@@ -30,7 +30,7 @@ from hopwise.llm.common import checkpointed, shared_dir, utf8
 
 REVISIT_BYTES = 100
 #: Compressed size at which a file is rolled, payload bytes of a shard, and number of id bins.
-FILE_BYTES, SHARD_BYTES, BINS = 64 << 20, 32 << 20, 16_384
+FILE_BYTES, SHARD_BYTES, BINS = 64 << 20, 16 << 20, 16_384
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6f1c1b1e-5a44-5b1c-9d1a-0d0a4c5e7a11")
 _MANIFEST = "shard int, seq int, temporary string, final string, records long, bytes long, sha256 string"
@@ -72,17 +72,20 @@ def record_bytes(page_id, url: str | None, payload: bytes, refers_to: int | None
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to).
+    """(page_id, url, payload, digest, refers_to): every page with a null refers_to and, for each
+    revisit, a mark without payload that names its response.
 
     Only ids and digests are shuffled to find the first page of each payload; the minimum is
     pre-aggregated, and the join back to a payload that a third of all pages share can be split.
+    Marks travel with the pages to the writer, so the payloads themselves are shuffled once.
     """
     base = pages.select("page_id", "url", utf8(F.col("html")).alias("payload")).where("page_id is not null")
     light = base.where(F.octet_length("payload") >= least_bytes).select("page_id", F.sha2("payload", 256).alias("digest"))
     firsts = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    again = light.join(firsts, "digest").where("page_id > first").select("page_id", F.col("digest").alias("_digest"), F.col("first").alias("refers_to")).distinct()
-    own = base.withColumn("digest", F.sha2("payload", 256))
-    return own.join(again, (own["page_id"] == again["page_id"]) & (own["digest"] == again["_digest"]), "left").select(own["page_id"], "url", "payload", "digest", "refers_to")
+    again = light.join(firsts, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    marks = again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
+    own = base.select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    return own.unionByName(marks)
 
 
 def shard_cuts(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[int, int, list[int]]:
@@ -143,13 +146,17 @@ def write_warc(pages: DataFrame, root: str, file_bytes: int = FILE_BYTES, shard_
     place = F.expr(f"(page_id - {low}) div {width}")
     shard = F.size(F.filter(edges, lambda c: c < place)).cast("int")
     rows = with_revisits(pages).withColumn("shard", shard)
-    dealt = rows.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    dealt = rows.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.desc_nulls_last("refers_to"), "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, writer = uuid.uuid4().hex[:12] if TaskContext.get() is None else f"{TaskContext.get().taskAttemptId()}", None
-        done = []
+        done, mark = [], (None, None, None)
         for batch in batches:
-            for page_id, url, payload, refers_to, shard in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for page_id, url, payload, digest, refers_to, shard in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if refers_to is not None:
+                    mark = (page_id, digest, refers_to)
+                    continue
+                refers_to = mark[2] if mark[:2] == (page_id, digest) else None
                 if writer is None or writer.shard != shard:
                     if writer is not None:
                         writer.close()
@@ -164,7 +171,7 @@ def write_warc(pages: DataFrame, root: str, file_bytes: int = FILE_BYTES, shard_
             kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
             yield pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(zip(*done), _MANIFEST.split(", "))], names=names)
 
-    written = checkpointed(dealt.select("page_id", "url", "payload", "refers_to", "shard").mapInArrow(write, _MANIFEST))
+    written = checkpointed(dealt.select("page_id", "url", "payload", "digest", "refers_to", "shard").mapInArrow(write, _MANIFEST))
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _file_system(root)
