@@ -92,12 +92,16 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, max_ord
     """(languages, table, order) from (doc_id, text, lang), or None if nothing is labelled.
 
     At most ``docs_per_language`` whole texts of each language are counted: those first by
-    the MD5 of their id.  Spark's group limit (for ranks up to 1,000) cuts them before the
-    shuffle, so no task sees all of a language.  Counting is distributed; what reaches the driver is bounded by that sample and by SYMBOLS.
+    the MD5 of their id.  A language's count gives the fraction of ids (by hash) that holds
+    about three times as many; only those are ranked, so no task sees all of a language.
+    Counting is distributed; what reaches the driver is bounded by that sample and by SYMBOLS.
     """
-    first = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     keyed = labelled.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
-    ids = keyed.select("doc_id", "lang").withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= docs_per_language)
+    sizes = keyed.groupBy("lang").agg(F.count("*").alias("_n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    some = keyed.select("doc_id", "lang").join(sizes, "lang").where(place * F.col("_n") < 3 * docs_per_language)
+    first = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
+    ids = some.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= docs_per_language)
     ids = checkpointed(ids.select("doc_id", "lang").distinct())
     sample = keyed.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ["doc_id", "lang"], "left_semi")
 
