@@ -18,6 +18,7 @@ bit, so memory follows fingerprints, not variants.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +33,7 @@ from hopwise.llm.components import connected_components
 
 BITS = 64
 #: Variants that one shuffle key may own on average, and that a task holds at once.
-VARIANTS_PER_KEY = 8_000_000
+VARIANTS_PER_KEY, VARIANTS_AT_ONCE = 8_000_000, 1_000_000
 
 
 def _fingerprint(data: bytes, width: int) -> int:
@@ -97,7 +98,7 @@ def _meetings(low: np.ndarray, who: np.ndarray, left: np.ndarray, bits: int):
     sizes = np.array([ball_size(bits, r) for r in range(int(left.max()) + 1)], np.int64)
     if len(low) < 2:
         return
-    if sizes[left].sum() > 2 * VARIANTS_PER_KEY and bits > 8:
+    if sizes[left].sum() > VARIANTS_AT_ONCE and bits > 8:
         top = np.uint64(bits - 1)
         rest = low & ((np.uint64(1) << top) - np.uint64(1))
         bit = (low >> top).astype(np.int64)
@@ -121,23 +122,31 @@ def _meetings(low: np.ndarray, who: np.ndarray, left: np.ndarray, bits: int):
         yield np.unique(np.maximum(a, b) << 32 | np.minimum(a, b))
 
 
-def _least_reachable(n: int, pairs: list[np.ndarray]) -> np.ndarray:
+def _least_reachable(n: int, codes: Iterator[np.ndarray]) -> np.ndarray:
+    """The least member connected to each of ``n``; pairs that say nothing new are dropped
+    as they come, so no list of pairs builds up."""
     label = np.arange(n)
-    if pairs:
-        code = np.unique(np.concatenate(pairs))
-        a, b = code >> 32, code & 0xFFFFFFFF
-        while True:
-            was = label.copy()
-            low = np.minimum(label[a], label[b])
-            for end in (a, b):
-                np.minimum.at(label, label[end], low)
-                np.minimum.at(label, end, low)
-            label = label[label]
-            if np.array_equal(was, label):
-                break
+    for code in codes:
+        a, b = label[code >> 32], label[code & 0xFFFFFFFF]
+        new = a != b
+        if new.any():
+            label = _least_root(n, a[new], b[new])[label]
     return label
 
 
+def _least_root(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    label = np.arange(n)
+    while True:
+        was = label.copy()
+        low = np.minimum(label[a], label[b])
+        for end in (a, b):
+            np.minimum.at(label, label[end], low)
+            np.minimum.at(label, end, low)
+        label = label[label]
+        if np.array_equal(was, label):
+            return label
+
+
 def near_links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     """From distinct (fp, node) to links (a, b) that join exactly the nodes connected by
     steps of at most ``distance`` (even) differing bits."""
@@ -152,7 +161,7 @@ def near_links(nodes: DataFrame, distance: int = 4) -> DataFrame:
         node = pdf["node"].to_numpy()
         low = pdf["fp"].to_numpy().astype(np.int64).view(np.uint64) & np.uint64(mask)
         left = pdf["left"].to_numpy().astype(np.int64)
-        label = _least_reachable(len(node), list(_meetings(low, np.arange(len(node), dtype=np.uint32), left, BITS - k)))
+        label = _least_reachable(len(node), _meetings(low, np.arange(len(node), dtype=np.uint32), left, BITS - k))
         linked = label != np.arange(len(node))
         return pd.DataFrame({"a": node[linked], "b": node[label[linked]]})
 
