@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,9 @@ from hopwise.llm.common import arrow_map, utf8, written
 
 LENGTH, KEY = 50, 16
 #: Bytes of text cut into units at once, and bytes of text for each bucket.
-PIECE, BUCKET_BYTES = 1 << 17, 24 << 20
+PIECE, BUCKET_BYTES = 1 << 17, 16 << 20
+#: Bytes of text whose units are held at once (one longer text is held alone).
+HELD = 8 << 20
 #: Bounds of the sample behind the splitters: documents, and keys of each.
 SAMPLE_DOCS, SAMPLE_KEYS = 2_000, 16
 #: Requests for bytes that share a bucket.
@@ -232,6 +235,17 @@ def _splitters(docs: DataFrame, n: int, buckets: int, length: int) -> tuple[np.n
     return names, names[times > 1]
 
 
+def _slices(batch: pa.RecordBatch, column: int):
+    """The batch in parts of HELD bytes of a column, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + HELD, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _map_units(doc, tag, texts, length, buckets, splitters, heavy):
     """Messages (bucket, kind, payload) of one batch: r removed spans, u units, w windows."""
     u = _units(texts, length)
@@ -321,8 +335,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     splitters, heavy = _splitters(docs, n_docs, buckets, length)
 
     def cut(batch: pa.RecordBatch) -> dict:
-        doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        got = list(_map_units(doc, tag, batch.column(2).to_pylist(), length, buckets, splitters, heavy))
+        got = []
+        for part in _slices(batch, 2):
+            doc, tag = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            got += _map_units(doc, tag, part.column(2).to_pylist(), length, buckets, splitters, heavy)
         return {"bucket": [g[0] for g in got], "kind": [g[1] for g in got], "payload": [g[2] for g in got]}
 
     def settle(messages: pa.Table) -> pa.Table:
