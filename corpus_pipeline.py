@@ -14,7 +14,7 @@ from hopwise.llm.common import shared_dir
 from hopwise.llm.decontaminate import keep_clean
 from hopwise.llm.hilbert_shards import shard_documents
 from hopwise.llm.language_id import keep_identified
-from hopwise.llm.simhash_dedup import keep_one_per_group
+from hopwise.llm.near_copies import keep_one_copy
 from hopwise.llm.source_mixing import keep_mixed
 
 
@@ -24,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash group."""
-    return keep_one_per_group(docs)
+    """Keeps the document with the smallest id of each group of near copies."""
+    return keep_one_copy(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: SimHash fingerprints (XXH64) cannot be computed in DuckDB.
+#: XXH64 fingerprints cannot be computed in DuckDB.
 ORACLE_SQL = None
 
 
