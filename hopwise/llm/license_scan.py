@@ -1,7 +1,9 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from directories.
 
-Every line of every text is a candidate header; it and each template are sparse TF-IDF
-vectors over the templates' vocabulary plus one term for all other words.  Document
+Candidates are every line of every text, every run of as many words as a template has (so
+that notices wrapped over lines or set in a paragraph are met), and a licence file as a whole;
+they and each template are sparse TF-IDF vectors over the templates' vocabulary plus one term
+for all other words.  Document
 frequencies are counted over all texts.  A file without a notice of its own takes the licence
 of the nearest directory above it that holds a licence file, found by joining the ancestors of
 each directory with the licensed ones.
@@ -13,6 +15,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +37,18 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
+    # titles of the licence files, and the notices that they ask for
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
 )
 LEAST_COSINE = 0.85
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -61,29 +76,65 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[str]) -> tuple[i
 
 
 class Matcher:
-    """Cosines of one line to all templates."""
+    """Cosines of lines and runs of words to all templates."""
 
     def __init__(self, n_docs: int, frequencies: dict[str, int], templates=TEMPLATES, least: float = LEAST_COSINE):
         self.least, self.names = least, [name for name, _ in templates]
         counts = [Counter(_terms(t)) for _, t in templates]
         self.idf = {w: 1 + math.log((1 + n_docs) / (1 + frequencies.get(w, 0))) for c in counts for w in c}
-        self.vectors = []
-        telling = set()
+        self.vectors, self.sizes, self.own_telling = [], [sum(c.values()) for c in counts], []
         for c in counts:
             v = {w: n * self.idf[w] for w, n in c.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.vectors.append({w: x / norm for w, x in v.items()})
             # a line without any of a template's heaviest terms cannot reach the least cosine
-            left = 1.0
+            left, telling = 1.0, set()
             for w, x in sorted(self.vectors[-1].items(), key=lambda i: (-i[1], i[0])):
                 if left < least * least:
                     break
                 telling.add(w)
                 left -= x * x
-        self.telling = frozenset(telling)
+            self.own_telling.append(frozenset(telling))
+        self.telling = frozenset().union(*self.own_telling)
+        self.places = {w: i for i, w in enumerate(self.idf, 1)}  # 0: all other words
+        self.squares = np.array([1.0, *(x * x for x in self.idf.values())])
+        self.gains = [np.array([0.0, *(v.get(w, 0.0) * x for w, x in self.idf.items())]) for v in self.vectors]
+
+    def best_of_text(self, text: str, whole: bool = False) -> tuple[float, str] | None:
+        """The best of a text's lines and runs of words, and of itself if it is to count ``whole``."""
+        terms = _terms(text)
+        if self.telling.isdisjoint(terms):
+            return None
+        found = [b for line in text.split("\n") if (b := self.best(line))]
+        if whole and (b := self._score(terms)):
+            found.append(b)
+        return max(found + self._runs(terms), default=None)
+
+    def _runs(self, terms: list[str]) -> list[tuple[float, str]]:
+        """For each template the best run of as many words as it has, if it reaches the least cosine."""
+        at = np.array([self.places.get(w, 0) for w in terms])
+        present, found = set(terms), []
+        squares = np.concatenate(([0.0], np.cumsum(self.squares[at])))
+        for k, size in enumerate(self.sizes):
+            if self.own_telling[k].isdisjoint(present):
+                continue
+            m = min(size, len(terms))
+            gains = np.concatenate(([0.0], np.cumsum(self.gains[k][at])))
+            dots = gains[m:] - gains[:-m]
+            # repeats only make a run's norm longer than the root of its words' squares
+            may = np.flatnonzero(dots >= self.least * np.sqrt(squares[m:] - squares[:-m]) - 1e-9)
+            best = 0.0
+            for s in may.tolist():
+                n = np.bincount(at[s : s + m], minlength=len(self.squares))
+                best = max(best, float(dots[s] / math.sqrt((n * n * self.squares).sum())))
+            if best >= self.least:
+                found.append((min(1.0, best), self.names[k]))
+        return found
 
     def best(self, line: str) -> tuple[float, str] | None:
-        terms = _terms(line)
+        return self._score(_terms(line))
+
+    def _score(self, terms: list[str]) -> tuple[float, str] | None:
         if self.telling.isdisjoint(terms):
             return None
         counts = Counter(w if w in self.idf else _OTHER for w in terms)
@@ -94,19 +145,19 @@ class Matcher:
 
 
 def own_licences(files: DataFrame, matcher: Matcher, *carried: str) -> DataFrame:
-    """(*carried, licence, cosine): the best line of each text, null if none will do."""
+    """(*carried, licence, cosine): the best notice of each text, null if none will do.  Texts
+    with ``whole`` set are candidates as a whole, too."""
 
     def fn(batch: pa.RecordBatch) -> dict:
         licence, cosine = [], []
-        for text in batch.column(0).to_pylist():
-            found = [b for line in (text or "").split("\n") if (b := matcher.best(line))]
-            score, name = max(found, default=(None, None))
+        for text, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            score, name = matcher.best_of_text(text or "", bool(whole)) or (None, None)
             licence.append(name)
             cosine.append(score)
-        return {c: batch.column(i + 1) for i, c in enumerate(carried)} | {"licence": licence, "cosine": cosine}
+        return {c: batch.column(i + 2) for i, c in enumerate(carried)} | {"licence": licence, "cosine": cosine}
 
     kinds = ", ".join(f"{c} {t}" for c, t in files.select(*carried).dtypes)
-    return arrow_map(files.select("text", *carried), fn, f"{kinds}, licence string, cosine double")
+    return arrow_map(files.select("text", "whole", *carried), fn, f"{kinds}, licence string, cosine double")
 
 
 def _directory(path: Column) -> Column:
@@ -124,9 +175,9 @@ def scan_licences(files: DataFrame, id_col: str = "doc_id", templates=TEMPLATES,
     """
     vocabulary = frozenset(w for _, t in templates for w in _terms(t))
     matcher = Matcher(*document_frequencies(files, vocabulary), templates, least)
-    base = files.select(F.col(id_col).alias("id"), "path", "text")
-    own = own_licences(base, matcher, "id", "path").withColumn("dir", _directory(F.col("path")))
     name = F.element_at(F.split("path", "/"), -1)
+    base = files.select(F.col(id_col).alias("id"), "path", "text", name.rlike(_LICENCE_FILE).alias("whole"))
+    own = own_licences(base, matcher, "id", "path").withColumn("dir", _directory(F.col("path")))
     licensed = own.where(F.col("licence").isNotNull() & name.rlike(_LICENCE_FILE))
     licensed = licensed.groupBy(F.col("dir").alias("from_dir")).agg(F.max(F.struct("cosine", "licence")).alias("found"))
     # every directory once, with itself and all above it, the root as ''
