@@ -14,10 +14,9 @@ from hopwise.functions import text as T
 from hopwise.functions import vocabulary as V
 
 
-def with_items(hops: DataFrame, full: bool = False) -> DataFrame:
-    """Add the canonical text and its items; ``full`` also normalises Unicode and account groups."""
-    spelled = T.canonical(F.col("hop_text")) if full else T.deobfuscated(F.col("hop_text"))
-    return hops.withColumn("canonical", spelled).withColumn("items", T.indicators(F.col("canonical")))
+def with_items(hops: DataFrame) -> DataFrame:
+    """Add the canonical text (with Unicode forms and account groups undone) and its items."""
+    return hops.withColumn("canonical", T.canonical(F.col("hop_text"))).withColumn("items", T.indicators(F.col("canonical")))
 
 
 def registered(hops: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ TTL_MS = 3_600_000
 def stateless(hops: DataFrame) -> DataFrame:
     """Everything about a hop that needs no other hop."""
     role, tool, action = F.col("role"), F.col("tool_name"), F.col("action_text")
-    rows = hops.withColumn("canonical", T.deobfuscated(F.col("hop_text"))).withColumn("items", T.indicators(F.col("canonical")))
+    rows = hops.withColumn("canonical", T.canonical(F.col("hop_text"))).withColumn("items", T.indicators(F.col("canonical")))
     words = F.create_map(*[x for v in dict.fromkeys(V.MUTATING_VERBS) for x in (F.lit(v), F.array(*map(F.lit, V.words_for(v))))])
     none = F.array().cast("array<string>")
     stems = F.filter(F.array(*map(F.lit, V.CLAIM_STEMS)), lambda s: F.contains(F.lower(action), s))
