@@ -226,7 +226,7 @@ def deobfuscate(spark, d):
 @query()
 def canonical_full(spark, d):
     """With Unicode compatibility forms and account numbers in groups; no SQL has NFKC."""
-    rows = read(spark, d, "documents").select("doc_id", F.concat(F.lit("ＧＢ29 BARC 1234 5678 9012 34, "), F.substring("text", 1, 200)).alias("t"))
+    rows = read(spark, d, "documents").select("doc_id", F.concat(F.lit("ＧＢ29 BARC 1234 5678 9012 34, "), F.coalesce("text", F.lit(""))).alias("t"))
     return rows.select("doc_id", T.canonical(F.col("t")).alias("spelled"), F.array_join(T.indicators(T.canonical(F.col("t"))), " ").alias("items"))
 
 
