@@ -115,7 +115,10 @@ def family_recall(spark, d):
 
 @query("SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean, list_sort(list(value))[CAST(floor(0.95 * count(*)) AS BIGINT) + 1] AS p95 FROM events GROUP BY 1")
 def latency_mean_p95(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), E.p95(F.col("value")).alias("p95"))
+    rows = read(spark, d, "events")
+    means = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    high = E.p95(rows, "value", "event_type").withColumnRenamed("event_type", "of")
+    return means.join(high, F.col("event_type").eqNullSafe(F.col("of")), "left").drop("of")
 
 
 @query("WITH p AS (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY 1, 2) SELECT event_type, count(*) AS runs, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std FROM p GROUP BY 1")
