@@ -27,7 +27,7 @@ from hopwise.llm.components import connected_components
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Texts in the sample, how often a token comes in it to be ordered last, and how many are.
-SAMPLE_TEXTS, FREQUENT, MOST_FREQUENT = 100_000, 4, 1_000_000
+SAMPLE_TEXTS, FREQUENT, MOST_FREQUENT = 10_000, 4, 1_000_000
 
 
 def text_tokens(data: bytes, width: int = WIDTH) -> np.ndarray:
@@ -44,6 +44,10 @@ def text_tokens(data: bytes, width: int = WIDTH) -> np.ndarray:
     return np.sort(hashes)
 
 
+def _node(tokens: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(tokens.tobytes(), 42) - (1 << 63)
+
+
 def _least_shared(n, similarity: float):
     return math.ceil(similarity * n - 1e-9)
 
@@ -55,7 +59,7 @@ def _nodes(docs: DataFrame, width: int) -> DataFrame:
         node, n = [], []
         for t in batch.column(2).to_pylist():
             tokens = text_tokens(t, width)
-            node.append(xxhash.xxh64_intdigest(tokens.tobytes(), 42) - (1 << 63))
+            node.append(_node(tokens))
             n.append(len(tokens))
         return {"doc_id": batch.column(0), "h": batch.column(1), "node": node, "n": n}
 
@@ -69,10 +73,11 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes.select("node", "doc_id", "h"), ["doc_id", "h"]).select("node", "t").dropDuplicates(["node"])
 
 
-def _frequent(texts: DataFrame, n_texts: int, width: int) -> np.ndarray:
+def _frequent(docs: DataFrame, nodes: DataFrame, width: int) -> np.ndarray:
     """Sorted tokens that come in several texts of a sample chosen by hash."""
-    if n_texts > SAMPLE_TEXTS:
-        texts = texts.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1e6 * SAMPLE_TEXTS / n_texts))
+    n_texts = max(1, nodes.count())
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)
+    texts = _texts_of(docs, F.broadcast(nodes.where(place * n_texts < SAMPLE_TEXTS)))
 
     def fn(batch: pa.RecordBatch) -> dict:
         parts = [text_tokens(t, width) for t in batch.column(0).to_pylist()]
@@ -83,15 +88,16 @@ def _frequent(texts: DataFrame, n_texts: int, width: int) -> np.ndarray:
     return np.sort(top.column("token").to_numpy().view(np.uint64))
 
 
-def _prefixes(texts: DataFrame, frequent: np.ndarray, width: int, similarity: float) -> DataFrame:
+def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, similarity: float) -> DataFrame:
     """(token, node, n, at): the leading tokens of every node, with their place in the order."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def fn(batch: pa.RecordBatch) -> dict:
         last = shared.value
         token, node, size, at = [], [], [], []
-        for who, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for t in batch.column(0).to_pylist():
             own = text_tokens(t, width)
+            who = _node(own)
             n = len(own)
             if len(last) and n:
                 found = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
@@ -103,7 +109,8 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, width: int, similarity: fl
             size.append(np.full(len(own), n, np.int64))
         return {"token": np.concatenate(token), "node": np.concatenate(node), "n": np.concatenate(size), "at": np.concatenate(at)}
 
-    return arrow_map(texts.select("node", "t"), fn, "token long, node long, n long, at long")
+    texts = docs.where("doc_id is not null").select(utf8(F.col("text")).alias("t"))
+    return arrow_map(texts, fn, "token long, node long, n long, at long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -145,9 +152,8 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     rows = checkpointed(_nodes(docs, width))
     least = F.min(F.struct("doc_id", "h")).alias("row")
     nodes = checkpointed(rows.groupBy("node").agg(least, F.first("n").alias("n")).select("node", "row.doc_id", "row.h", "n"))
-    texts = _texts_of(docs, nodes.where("n > 0"))
-    frequent = _frequent(texts, nodes.count(), width)
-    entries = checkpointed(_prefixes(texts, frequent, width, similarity))
+    frequent = _frequent(docs, nodes.where("n > 0"), width)
+    entries = checkpointed(_prefixes(docs, frequent, width, similarity))
     star = entries.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("x"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = checkpointed(entries.select("token", F.struct("node", "n", "at").alias("y")).join(star, "token"))
     pairs = met.where("y.node <> x.node").where(_candidates("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
