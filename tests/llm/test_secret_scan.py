@@ -40,6 +40,28 @@ def test_lexer():
     assert literals("the key of this: nothing") == []
 
 
+def test_types_and_joined_names():
+    assert literals('password: str = "Zx81kfPq22mmA"') == ["Zx81kfPq22mmA"]
+    assert literals('apiKey: string = "Zx81kfPq22mmA"') == ["Zx81kfPq22mmA"]
+    assert literals('secretkey = "Zx81kfPq22mmA"\nprivatekey=Qm92kfPq22mmB\ndbpassword: "h7Kq02mmA9"') == ["Zx81kfPq22mmA", "Qm92kfPq22mmB", "h7Kq02mmA9"]
+    assert literals("token: Zx81kfPq22mm=\n") == ["Zx81kfPq22mm="]
+    assert literals('monkey = "Zx81kfPq22mmA"') == []
+
+
+def test_constants_and_literals_of_any_length():
+    names = [f"p{i}" for i in range(70)]
+    text = "".join(f'{n} = "a1B2c3D4-{n}"\n' for n in names)
+    direct = "password = " + " + ".join(f'"a1B2c3D4-{n}"' for n in names)
+    assert len(literals(direct)) == 70
+    assert literals(text + "c = " + " + ".join(names) + "\npassword = c\n") == literals(direct)
+    # the line ends long after the literal's first 4,096 characters, and before its quote
+    assert literals('password = "' + "aB1-" * 1250 + "\n" + "q" * 5000 + '"') == []
+    assert literals('password = "' + "aB1-" * 2500 + '"') == ["aB1-" * 2500]
+    # escapes and chains of constants take time in proportion to the text
+    assert literals('password = "' + '\\"' * 200_000) == []
+    assert len(literals("secret = 'xY1-k'\n" + "secret = secret + 'xY1-k'\n" * 10_000)) > 9_990
+
+
 def test_odd_rows(spark):
     long = "a" * 300_000 + " password=" + "b" * 100_000 + "'" * 1000
     turkish = "İ paſſword=abcdefgh TOKEN:'AbC123_x' password:token:abcdefg"
