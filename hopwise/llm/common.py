@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary folder is made.
+    Where the session names none, a temporary folder is made if driver and executors are one
+    process (tests); on a cluster there is no folder that could stand in.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="hopwise-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -57,6 +60,14 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
     return df.mapInArrow(each, schema)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until none of the frames has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(text: Column) -> Column:
     """The text's UTF-8 bytes, empty for null."""
     return F.coalesce(text.cast("binary"), F.lit(b""))
