@@ -11,8 +11,8 @@ Each leaf then takes a prefix of its seeded epochs: epoch e orders the leaf's do
 hash of (seed, e, id), epochs follow each other, and documents are taken while the budget is
 not yet reached, the last one whole.
 
-Running token sums are taken over hash buckets first and inside a bucket after, so a leaf that
-holds a third of all rows is ordered by thousands of tasks.
+Running token sums are taken over hash buckets first and inside a bucket after; rows are dealt
+by bucket, so a leaf that holds a third of all rows spreads over up to 4,096 tasks an epoch.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopwise.llm.common import checkpointed, unused
+
 TREE = ("domain", "lang", "source")
 #: Production weights: by level and label; what is not named weighs 1.
 WEIGHTS = {
@@ -30,6 +32,8 @@ WEIGHTS = {
 SHARE, MAX_EPOCHS, SEED = 0.6, 2, 17
 _WORDS = "[^\\x20\\x09-\\x0D]+"
 _BUCKET_DIGITS = 3
+#: Leaf budgets are broadcast up to this many leaves; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def token_rows(docs: DataFrame, tree: tuple[str, ...] = TREE) -> DataFrame:
@@ -86,11 +90,15 @@ def mix(rows: DataFrame, tree: tuple[str, ...] = TREE, weights: dict = WEIGHTS,
     without words hold no tokens and are not selected.  Rows that repeat an id are separate
     documents next to each other.  No rows in, no rows out.
     """
-    budgets = leaf_budgets(rows, tree, weights, share, max_epochs).where("budget > 0")
+    rows = checkpointed(rows)  # ids, labels and counts: the texts are read once
+    budgets = checkpointed(leaf_budgets(rows, tree, weights, share, max_epochs).where("budget > 0"))
+    budgets = F.broadcast(budgets) if budgets.count() <= BROADCAST_ROWS else budgets
     passes = F.ceil(F.col("budget") / F.col("supply")).cast("int")
     drawn = rows.join(budgets, list(tree)).select("doc_id", *tree, "tokens", "budget", F.explode(F.sequence(F.lit(0), passes - 1)).alias("epoch"))
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), "epoch", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     drawn = drawn.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, _BUCKET_DIGITS))
+    # by bucket, not by leaf: a join that deals rows by leaf would satisfy the window below
+    drawn = drawn.repartition(*tree, "epoch", "_bucket")
     groups = drawn.groupBy(*tree, "epoch", "_bucket").agg(F.sum("tokens").alias("_sum"))
     along = Window.partitionBy(*tree).orderBy("epoch", "_bucket")
     groups = groups.select(*tree, "epoch", "_bucket", (F.sum("_sum").over(along) - F.col("_sum")).alias("_before"))
@@ -109,9 +117,10 @@ def with_domain(docs: DataFrame) -> DataFrame:
 def keep_mixed(docs: DataFrame, share: float = 0.8, **options) -> DataFrame:
     """The documents, columns as they were, that one seeded epoch of the mix selects."""
     rows = token_rows(with_domain(docs))
-    chosen = mix(rows, share=share, max_epochs=1, **options).select(F.col("doc_id").alias("_id"), F.col("tokens").alias("_tokens")).distinct()
+    id, tokens = unused("id", docs), unused("tokens", docs)
+    chosen = mix(rows, share=share, max_epochs=1, **options).select(F.col("doc_id").alias(id), F.col("tokens").alias(tokens)).distinct()
     words = F.regexp_count("text", F.lit(_WORDS))
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (words == F.col("_tokens")), "left_semi")
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(id)) & (words == F.col(tokens)), "left_semi")
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -26,3 +26,10 @@ def test_epochs_and_odd_rows(spark):
     assert sorted((str(r.doc_id), r.epoch) for r in got) == sorted([("1", 0), ("1", 0), ("1", 1), ("1", 1), ("None", 0), ("None", 1), ("5", 0), ("5", 1)])
     assert mix(token_rows(with_domain(docs.limit(0)))).count() == 0
     assert keep_mixed(docs, share=1.0).count() == 4 and keep_mixed(docs).columns == docs.columns
+
+
+def test_columns_that_clash(spark):
+    rows = [(i, f"word {i}", "en", "src1", i, i) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _id int, id int")
+    kept = keep_mixed(docs, share=0.5)
+    assert kept.columns == docs.columns and kept.count() == 10
