@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,25 +42,39 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function from one batch to a dict of columns (lists or arrays)."""
+def free_memory() -> None:
+    """Hand what a batch has left free back to the system: workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def arrow_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
+    """``mapInArrow`` with a function from one batch to dicts of columns (lists or arrays)."""
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
+    def column(values, kind):
+        return values.cast(kind) if isinstance(values, pa.ListArray) else pa.array(values, type=kind)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                out = fn(batch)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow
-                )
+                for out in fn(batch):
+                    yield pa.RecordBatch.from_arrays([column(out[f.name], f.type) for f in arrow], schema=arrow)
+                free_memory()
 
     return df.mapInArrow(each, schema)
 
 
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+    """``arrow_batches`` with one batch out for each batch in."""
+    return arrow_batches(df, lambda batch: (fn(batch),), schema)
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """``name``, lengthened until none of the frames has such a column."""
     taken = {c.lower() for f in frames for c in f.columns}

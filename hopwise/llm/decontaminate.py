@@ -2,17 +2,20 @@
 
 For an item of m words every document window of m words is a possible leak; it is one if the
 weighted Jaccard similarity of their five-word shingles (weight: how often a shingle occurs)
-reaches 0.8.  Three steps, all of them DataFrame expressions:
+reaches 0.8.  All steps are DataFrame expressions:
 
 1.  Windows.  Sliding a window to the right until it starts with a shingle of the item (or
-    ends with the document) loses no shared shingle, so only such windows are fingerprinted,
-    and only if they hold at least 0.8 times the item's shingles.  Neither loses a leak.
+    ends with the document) loses no shared shingle.  So windows are cut where any shingle of
+    the benchmark stands, in the lengths of the items that hold it; which item it may be is
+    left to the fingerprints.
 2.  SimHash.  Window and item fingerprints (64 bits) are cut into RADIUS + 1 blocks; two
-    fingerprints within RADIUS bits agree in at least one block, so the join on (item, block,
+    fingerprints within RADIUS bits agree in at least one block, so the join on (length, block,
     value) yields every pair within the radius, and the Hamming distance drops the others.
-    At similarity 0.8 two fingerprints differ in about 10 bits; the odds of more than 24 are
-    under 1 in 100,000, and equal shingles always give distance 0.
-3.  Exact verification of the pairs that are left, on the words themselves.
+    Equal windows of a document are looked up once.
+3.  Exact verification of the pairs that are left, on their shingles.
+4.  The rest.  A radius guarantees a distance, not a similarity: at 0.8 two fingerprints differ
+    in about 10 bits, but some in more.  Windows that hold 0.8 of an item's shingles and lie
+    beyond the radius are verified, too, so no leak is lost.
 """
 
 from __future__ import annotations
@@ -20,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import checkpointed
+from hopwise.llm.common import checkpointed, unused
 
-WIDTH, SIMILARITY, RADIUS = 5, 0.8, 24
+WIDTH, SIMILARITY, RADIUS = 5, 0.8, 12
 #: Up to this many rows of a two-column table are broadcast; beyond, Spark shuffles the join.
 BROADCAST_ROWS = 500_000
 
@@ -38,17 +41,29 @@ def shingle_hashes(words: Column, width: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(width)]))
 
 
-def simhash(hashes: Column) -> Column:
-    """Bit b is 1 if it is set in over half of the hashes."""
+def simhash(hashes: Column, most: int = 32_767) -> Column:
+    """Bit b is 1 if it is set in over half of the hashes, of which there are ``most`` at most.
 
-    def bit(b):
-        return F.size(F.filter(hashes, lambda h: F.expr("1L").bitwiseAND(F.call_function("shiftright", h, b)) == 1))
+    Counters are lanes of longs: lane k of long j counts bit ``j + k x width``, so a hash takes
+    as many additions as a lane has bits.
+    """
+    width = next(w for w in (8, 16, 32) if most < 1 << (w - 1))  # the top lane has the sign
+    ones = F.lit(sum(1 << k for k in range(0, 64, width))).cast("long")
+    none = F.struct(*[F.lit(0).cast("long").alias(f"c{j}") for j in range(width)])
 
-    return F.aggregate(
-        F.sequence(F.lit(63), F.lit(0)),
-        F.lit(0).cast("long"),
-        lambda fp, b: F.shiftleft(fp, 1).bitwiseOR(F.when(2 * bit(b) > F.size(hashes), 1).otherwise(0).cast("long")),
-    )
+    def add(sums, h):
+        return F.struct(*[(sums[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(ones)).alias(f"c{j}") for j in range(width)])
+
+    def bits(sums):
+        out = F.lit(0).cast("long")
+        for j in range(width):
+            for k in range(0, 64, width):
+                count = F.shiftrightunsigned(sums[f"c{j}"], k).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+                bit = (1 << (j + k)) - (1 << 64 if j + k == 63 else 0)
+                out = out.bitwiseOR(F.when(2 * count > F.size(hashes), F.lit(bit).cast("long")).otherwise(F.lit(0).cast("long")))
+        return out
+
+    return F.aggregate(hashes, none, add, bits)
 
 
 def blocks(fp: Column, radius: int) -> Column:
@@ -63,17 +78,22 @@ def blocks(fp: Column, radius: int) -> Column:
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays as multisets: sum of the lesser counts over sum of the greater."""
-
-    def times(x, s):
-        return F.size(F.filter(x, lambda y: y == s))
+    """Of two arrays as multisets: sum of the lesser counts over sum of the greater.  One pass over
+    both in order."""
+    zero = F.lit(0)
+    tagged = F.array_sort(F.concat(F.transform(a, lambda x: F.struct(x.alias("x"), F.lit(0).alias("side"))), F.transform(b, lambda x: F.struct(x.alias("x"), F.lit(1).alias("side")))))
 
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, s: n + F.least(times(a, s), times(b, s)))
-    return both / (F.size(a) + F.size(b) - both)
+    def state(last, left, right, both):
+        return F.struct(last.alias("last"), left.alias("left"), right.alias("right"), both.alias("both"))
 
+    def add(s, e):
+        same, mine = e["x"].eqNullSafe(s["last"]), 1 - e["side"]
+        run = state(s["last"], s["left"] + mine, s["right"] + e["side"], s["both"])
+        return F.when(same, run).otherwise(state(e["x"], mine, e["side"], s["both"] + F.least(s["left"], s["right"])))
 
-def _shingles(words: Column, width: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
+    first = F.element_at(tagged, 1)["x"]
+    both = F.aggregate(tagged, state(F.when(F.lit(False), first), zero, zero, zero), add, lambda s: s["both"] + F.least(s["left"], s["right"]))
+    return both / (F.size(a) + F.size(b) - both)
 
 
 def _sized(small: DataFrame, rows: int) -> DataFrame:
@@ -105,49 +125,66 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     def hashes(words):
         return F.array(*[F.struct(F.lit(w).alias("width"), shingle_hashes(words, w).alias("h")) for w in widths])
 
+    def own_hashes(words, width):
+        chosen = F.array().cast("array<long>")
+        for w in widths:
+            chosen = F.when(width == w, shingle_hashes(words, w)).otherwise(chosen)
+        return chosen
+
+    most = items.agg(F.max("m")).first()[0]
     item_shingles = checkpointed(
         items.select("item_id", "m", "width", F.inline(hashes(F.col("item_words"))).alias("w", "h"))
         .where("w = width")
         .select("item_id", "m", "width", F.posexplode("h").alias("j", "h"))
     )
+    right = items.select("item_id", "m", own_hashes(F.col("item_words"), F.col("width")).alias("item_hashes"))
+    right = checkpointed(right.select("*", simhash(F.col("item_hashes"), most).alias("item_fp")))
+    n_items = right.count()
+
+    # 1. places of benchmark shingles, and windows of the items' lengths there
     seeds = _sized(item_shingles, item_shingles.count())
     worded = docs.select("key", words_of(F.col("text")).alias("words"))
     found = worded.select("key", F.size("words").alias("n"), F.inline(hashes(F.col("words"))).alias("width", "hs"))
     found = found.select("key", "n", "width", F.posexplode("hs").alias("i", "h")).join(seeds, ["width", "h"])
-    # at: sorted places of the item's shingles; k of them lie in the window that starts at the
-    # t-th exactly if the (t + k - 1)-th is not beyond its last shingle
-    at = found.groupBy("key", "item_id", "n", "m", "width").agg(F.array_sort(F.collect_set("i")).alias("at"))
-    at = at.withColumn("least", F.ceil(similarity * (F.col("m") - F.col("width") + 1) - 1e-9).cast("int")).withColumn("last", F.greatest(F.lit(0), F.col("n") - F.col("m")))
-    reach = F.col("m") - F.col("width")
-    starts = F.filter(F.col("at"), lambda p, t: (p <= F.col("last")) & (F.get(F.col("at"), t + F.col("least") - 1) <= p + reach))
-    at_end = F.size(F.filter("at", lambda p: p >= F.col("last"))) >= F.col("least")
-    starts = F.when(at_end, F.array_union(starts, F.array("last"))).otherwise(starts)
-    windows = checkpointed(at.select("key", "item_id", "m", "width", F.explode(starts).alias("s")))
-
-    keys = checkpointed(windows.select("key").distinct())
+    found = checkpointed(found.select("key", "item_id", "n", "m", "width", "i").distinct())
+    last = F.greatest(F.lit(0), F.col("n") - F.col("m"))
+    windows = found.select("key", "m", "width", F.least("i", last).alias("s"), last.alias("last")).distinct()
+    keys = checkpointed(found.select("key").distinct())
     there = docs.join(_sized(keys, keys.count()), "key").select("key", "doc_id", words_of(F.col("text")).alias("words"))
-    cut = windows.join(there, "key").select("key", "doc_id", "item_id", "s", "m", "width", F.slice("words", F.col("s") + 1, F.col("m")).alias("window"))
-
-    def fingerprint(words):
-        options = F.lit(None).cast("long")
-        for w in widths:
-            options = F.when(F.col("width") == w, simhash(shingle_hashes(words, w))).otherwise(options)
-        return options
-
-    # written out, so that what follows refers to columns, not to their formulas many times over
+    cut = windows.join(there, "key").select("key", "doc_id", "m", "width", "s", (F.col("s") == F.col("last")).alias("at_end"), F.slice("words", F.col("s") + 1, F.col("m")).alias("window"))
     width = F.least("width", F.size("window"))
-    left = cut.select("doc_id", "item_id", "s", F.size("window").alias("n_words"), fingerprint(F.col("window")).alias("fp"), _shingles(F.col("window"), width).alias("shingles"))
-    right = items.select("item_id", fingerprint(F.col("item_words")).alias("item_fp"), _shingles(F.col("item_words"), F.col("width")).alias("item_shingles"))
-    left, right = checkpointed(left), checkpointed(right)
-    left = left.select("*", F.inline(blocks(F.col("fp"), radius)))
-    right = right.select("*", F.inline(blocks(F.col("item_fp"), radius)))
+    cut = cut.select("key", "doc_id", "m", "s", "at_end", F.size("window").alias("n_words"), own_hashes(F.col("window"), width).alias("hashes"))
+    # written out, so that what follows refers to columns, not to their formulas many times over
+    left = checkpointed(cut.select("*", simhash(F.col("hashes"), most).alias("fp")))
+
+    # 2. fingerprints that agree in a block; a pair that meets in several counts in its first
+    alike = F.xxhash64("hashes").alias("alike")
+    one = left.groupBy("key", "doc_id", "m", "at_end", "fp", alike).agg(F.min("s").alias("s")).select("key", "doc_id", "m", "s", "fp", F.inline(blocks(F.col("fp"), radius)))
+    listed = right.select("item_id", "m", "item_fp", F.inline(blocks(F.col("item_fp"), radius)))
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     distance = F.bit_count(differ)
-    # a pair meets in every block that agrees: the first one stands for it
     agree = F.array_position(F.transform(blocks(differ, radius), lambda b: b["value"]), 0) - 1
-    near = left.join(right, ["item_id", "block", "value"]).where((distance <= radius) & (F.col("block") == agree))
-    score = weighted_jaccard(F.col("shingles"), F.col("item_shingles"))
-    good = near.select("doc_id", "item_id", F.col("s").alias("start_word"), "n_words", distance.alias("hamming"), score.alias("similarity"))
+    near = one.join(_sized(listed, n_items * (radius + 1)), ["m", "block", "value"]).where((distance <= radius) & (F.col("block") == agree))
+    near = near.select("key", "doc_id", "m", "s", "item_id", distance.alias("hamming"))
+
+    # 4. at: sorted places of the item's shingles; k of them lie in the window that starts at the
+    # t-th exactly if the (t + k - 1)-th is not beyond its last shingle
+    at = found.groupBy("key", "item_id", "n", "m", "width").agg(F.array_sort(F.collect_list("i")).alias("at"))
+    at = at.withColumn("least", F.ceil(similarity * (F.col("m") - F.col("width") + 1) - 1e-9).cast("int")).withColumn("last", last)
+    reach = F.col("m") - F.col("width")
+    starts = F.filter(F.col("at"), lambda p, t: (p <= F.col("last")) & (F.get(F.col("at"), t + F.col("least") - 1) <= p + reach))
+    tail = F.size(F.filter("at", lambda p: p >= F.col("last"))) >= F.col("least")
+    starts = F.when(tail, F.array_union(starts, F.array("last"))).otherwise(starts)
+    full = at.select("key", "item_id", "m", F.explode(starts).alias("s"))
+    full = full.join(left.select("key", "doc_id", "m", "s", "fp"), ["key", "m", "s"]).join(_sized(right.select("item_id", "item_fp"), n_items), "item_id")
+    rest = full.where(distance > radius).select("key", "doc_id", "m", "s", "item_id", distance.alias("hamming"))
+
+    # 3. exact verification; a window counts for an item if it starts with one of its shingles
+    pairs = checkpointed(near.unionByName(rest))
+    score = weighted_jaccard(F.col("hashes"), F.col("item_hashes"))
+    both = pairs.join(left.select("key", "m", "s", "at_end", "n_words", "hashes").dropDuplicates(["key", "m", "s"]), ["key", "m", "s"]).join(_sized(right.select("item_id", "item_hashes"), n_items), "item_id")
+    both = both.where(F.col("at_end") | F.array_contains("item_hashes", F.get("hashes", F.lit(0))))
+    good = both.select("doc_id", "item_id", F.col("s").alias("start_word"), "n_words", "hamming", score.alias("similarity"))
     good = good.where(F.col("similarity") >= similarity)
     best = F.min(F.struct((-F.col("similarity")).alias("x"), "start_word", "n_words", "hamming", "similarity")).alias("best")
     return good.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", *[f"best.{c}" for c in ("start_word", "n_words", "hamming", "similarity")])
@@ -156,8 +193,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, columns as they were, without any leak.  Rows that share the id of a
     leaking row go with it."""
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    id = unused("id", docs)
+    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias(id)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id)), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from hopwise.llm.decontaminate import OP3_SQL, blocks, keep_clean, leaks, op3_decontaminate, simhash
+from hopwise.llm.decontaminate import OP3_SQL, RADIUS, blocks, keep_clean, leaks, op3_decontaminate, simhash
 from tests.oracle import differences
 
 
@@ -53,6 +53,35 @@ def test_every_window_by_brute_force(spark):
     assert all(round(jaccard(text[r.doc_id][r.start_word :][: r.n_words], items[r.item_id][1]), 9) == want[r.doc_id, r.item_id] for r in got)
 
 
+def test_similarity_of_multisets(spark):
+    import random
+
+    from hopwise.llm.decontaminate import weighted_jaccard
+
+    rng = random.Random(3)
+    rows = [([rng.randrange(5) for _ in range(rng.randint(1, 30))], [rng.randrange(6) for _ in range(rng.randint(1, 30))]) for _ in range(50)]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a array<long>, b array<long>").select("i", weighted_jaccard(F.col("a"), F.col("b")).alias("x"), simhash(F.col("a"), 200).alias("f8"), simhash(F.col("a")).alias("f16"), simhash(F.col("a"), 10**6).alias("f32"))
+    for r in got.collect():
+        x, y = map(Counter, rows[r.i])
+        assert abs(r.x - sum((x & y).values()) / sum((x | y).values())) < 1e-12
+        assert r.f8 == r.f16 == r.f32
+
+
+def test_fingerprints_find_nearly_all(spark):
+    """Recall of the blocks alone, without the windows beyond the radius."""
+    d = "/root/testdata/sf0.01"
+    found = leaks(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")).select("hamming").collect()
+    assert found and sum(r.hamming <= RADIUS for r in found) >= 0.9 * len(found)
+
+
+def test_repetitive_texts(spark):
+    """Windows without number that are all alike are looked up once."""
+    bench = spark.createDataFrame([(1, "word " * 200)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "word " * 5_000), (2, "word " * 150), (3, "other " + "word " * 199)], "doc_id long, text string")
+    got = {r.doc_id: (r.start_word, r.n_words, r.similarity) for r in leaks(docs, bench).collect()}
+    assert got[1] == (0, 200, 1.0) and got[3][2] > 0.97 and 2 not in got
+
+
 def test_odd_rows(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta", 0), (2, "Short one", 0), (3, None, 0), (4, " ! ", 0)], "item_id long, text string, key int")
     rows = [(1, None), (2, ""), (3, "x short ONE."), (None, "Alpha beta, gamma delta epsilon zeta"), (5, "a " * 100_000 + "alpha beta gamma delta epsilon zeta"), (6, "clean text here"), (6, "clean text here")]
@@ -60,5 +89,7 @@ def test_odd_rows(spark):
     assert {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()} == {(3, 2), (None, 1), (5, 1)}
     kept = keep_clean(docs, bench)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 6, 6] and kept.columns == docs.columns
+    clash = docs.withColumnRenamed("item_id", "id").withColumn("_bad", F.lit(1))
+    assert keep_clean(clash, bench).columns == clash.columns and keep_clean(clash, bench).count() == 4
     assert leaks(docs.limit(0), bench).count() == 0
     assert leaks(docs, bench.limit(0)).count() == 0
