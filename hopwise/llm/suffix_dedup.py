@@ -8,14 +8,16 @@ byte of text; here only suffixes at content-defined anchors are, which is enough
     leftmost of equals) is the window's anchor.  Equal windows have equal anchors at equal
     places, so windows need comparing only with those whose anchor suffix starts alike.
     About one byte in eighteen is an anchor.
-*   A *unit* is an anchor with the run of windows that it serves.  Splitters from a bounded
-    sample range-partition the units by their leading KEY bytes.  Splitters never cut between
-    equal leading bytes, so nothing has to be compared across a boundary; leading bytes so
-    frequent that they fill a range of their own are dealt out by whole windows instead.
-*   A bucket sorts its units by words of key and run hashes.  Units whose whole run of windows is equal are
-    settled there: all but those of the least document are removed.  Of the others with
-    company under their key (the ends of copied passages), one for each distinct run fetches
-    its bytes and is compared window by window.
+*   A *unit* is an anchor with the run of windows that it serves.  Splitters sampled from the
+    units range-partition them by their leading KEY bytes, then by the hash of the run, so that
+    leading bytes that very many units share are cut into several buckets.
+*   A bucket sorts its units by multikey quicksort: by one word of leading bytes at a time, each
+    word only where the ones before tie, then by the run's hash (96 bits).  Units whose whole run
+    of windows is equal are settled there: all but those of the least document are removed.
+*   Of the others with company under their leading bytes (the ends of copied passages), one for
+    each distinct run fetches its bytes and is compared window by window.  Leading bytes that lie
+    on a boundary are compared across it: a bucket reports its first and last ones, and what is
+    alone in its bucket but not beyond it is fetched as well.
 
 Before anything is sent, equal units of one batch are settled among themselves, so a passage
 that a third of all documents share reaches its bucket once a batch, not once a document.
@@ -32,28 +34,28 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import arrow_map, utf8, written
+from hopwise.llm.common import arrow_batches, arrow_map, free_memory, utf8, written
 
 LENGTH, KEY = 50, 16
 #: Bytes of text cut into units at once, and bytes of text for each bucket.
-PIECE, BUCKET_BYTES = 1 << 17, 16 << 20
-#: Bytes of text whose units are held at once (one longer text is held alone).
-HELD = 8 << 20
-#: Bounds of the sample behind the splitters: documents, and keys of each.
-SAMPLE_DOCS, SAMPLE_KEYS = 2_000, 16
-#: Requests for bytes that share a bucket.
+PIECE, BUCKET_BYTES = 1 << 17, 4 << 20
+#: Bytes of text, or spans, that a task holds at once (one longer text is held alone).
+HELD, HELD_SPANS = 4 << 20, 200_000
+#: Least number of documents in the sample behind the splitters, units of each, and units a bucket.
+SAMPLE_DOCS, SAMPLE_UNITS, UNITS_A_BUCKET = 2_000, 16, 8
+#: Requests for bytes that share a bucket; leading bytes with more are compared by window.
 BUCKET_REQUESTS = 50_000
 _U = np.uint64
 
 
-@lru_cache(maxsize=1)
-def _bytes_table() -> np.ndarray:
-    return np.random.default_rng(20).integers(1, 1 << 63, 256).astype(_U) * _U(2) + _U(1)
+@lru_cache(maxsize=2)
+def _bytes_table(which: int) -> np.ndarray:
+    return np.random.default_rng(20 + which).integers(1, 1 << 63, 256).astype(_U) * _U(2) + _U(1)
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15
+@lru_cache(maxsize=2)
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    base = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)[which]
     out = []
     for b in (base, pow(base, -1, 1 << 64)):
         p = np.full(n, b, _U)
@@ -63,17 +65,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Spans:
-    """Hashes of any spans of one byte array."""
+    """Two 64-bit hashes of any spans of one byte array."""
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(21, int(len(data)).bit_length())
-        power, self.inverse = _powers(size)
-        self.sums = np.concatenate((np.zeros(1, _U), np.cumsum(_bytes_table()[data] * power[: len(data)], dtype=_U)))
+        size = 1 << max(18, int(len(data)).bit_length())
+        self.sums = []
+        for which in (0, 1):
+            power, inverse = _powers(size, which)
+            self.sums.append((np.concatenate((np.zeros(1, _U), np.cumsum(_bytes_table(which)[data] * power[: len(data)], dtype=_U))), inverse))
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        h ^= h >> _U(31)
-        return h * _U(0xD6E8FEB86659FD93) ^ (h >> _U(29))
+    def hash(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for sums, inverse in self.sums:
+            h = (sums[end] - sums[start]) * inverse[start] + salt
+            h ^= h >> _U(31)
+            out.append(h * _U(0xD6E8FEB86659FD93) ^ (h >> _U(29)))
+        return out
 
 
 def _pieces(texts: list[bytes], length: int):
@@ -121,18 +128,18 @@ def _units_of(group, length: int) -> dict[str, np.ndarray]:
     cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(start) != 1)) + 1
     head, tail = np.concatenate(([0], cut)), np.concatenate((cut, [len(start)])) - 1
     s, e, a = start[head], start[tail] + length, anchor[head]
-    run = _Spans(data[:n]).hash(s, e) + ((a - s) * 4096 + (e - s)).astype(_U)
+    run, check = _Spans(data[:n]).hash(s, e, ((a - s) * 4096 + (e - s)).astype(_U))
     of = piece[s]
     base = np.array([at for _, at, _ in group]) - (ends - lens)
-    key = np.stack([first[a], second[a]], 1).astype(">u8").view("S16").ravel()
     return {
         "text": np.array([i for i, _, _ in group])[of],
         "start": s + base[of],
         "size": (e - s).astype(np.uint16),
         "lead": (a - s).astype(np.uint16),
+        "first": first[a],
+        "second": second[a],
         "run": run,
-        "key": key,
-        "kh": (h[a] >> _U(8)).astype(np.uint32),
+        "check": (check >> _U(32)).astype(np.uint32),
     }
 
 
@@ -195,13 +202,33 @@ def _least(x: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(x, np.flatnonzero(new))[np.cumsum(new) - 1] if len(x) else x
 
 
-def _settle_windows(u: dict[str, np.ndarray], length: int):
-    """Of equal windows all but those of the least document go: (doc, tag, start, end)."""
-    order = np.argsort(u["window"] + u["kh"].astype(_U) * _U(0x9E3779B97F4A7C15), kind="stable")
-    u = {c: x[order] for c, x in u.items()}
-    new = _first_of(u["kh"], u["window"])
-    gone = u["doc"] > _least(u["doc"], new)
-    return u["doc"][gone], u["tag"][gone], u["start"][gone], u["start"][gone] + length
+def multikey_order(*words: np.ndarray) -> np.ndarray:
+    """The order of rows by their words, the first word first: quicksort by one word at a time,
+    the next one only among rows that tie in all before."""
+    order = np.argsort(words[0])
+    new = _first_of(words[0][order])
+    for word in words[1:]:
+        heads = np.flatnonzero(new)
+        sizes = np.diff(np.append(heads, len(order)))
+        tied = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        if not len(tied):
+            break
+        rows = order[tied]
+        order[tied] = rows[np.lexsort((word[rows], np.cumsum(new)[tied]))]
+        new |= _first_of(word[order])
+    return order
+
+
+#: What tells runs apart: leading bytes, then the 96-bit hash of the run.
+WORDS = ("first", "second", "run", "check")
+
+
+def _settle_windows(w: dict[str, np.ndarray], length: int):
+    """Of equal windows all but those of the least document go: (row, start, end)."""
+    order = multikey_order(w["window"], w["check"], w["first"])
+    w = {c: x[order] for c, x in w.items()}
+    gone = w["doc"] > _least(w["doc"], _first_of(w["window"], w["check"], w["first"]))
+    return w["row"][gone], w["start"][gone], w["start"][gone] + length
 
 
 def _windows(data: bytes, base, size, lead, length, **more):
@@ -210,186 +237,233 @@ def _windows(data: bytes, base, size, lead, length, **more):
     count = size - length + 1
     at = np.repeat(np.cumsum(size) - size, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     inside = at - np.repeat(np.cumsum(size) - size, count)
-    h = _Spans(np.frombuffer(data, np.uint8)).hash(at, at + length) + np.repeat(lead.astype(np.int64), count).astype(_U) - inside.astype(_U)
-    return {"window": h, "start": np.repeat(base.astype(np.int64), count) + inside} | {c: np.repeat(x, count) for c, x in more.items()}
+    salt = (np.repeat(lead.astype(np.int64), count) - inside).astype(_U)
+    window, check = _Spans(np.frombuffer(data, np.uint8)).hash(at, at + length, salt)
+    return {"window": window, "check": check, "start": np.repeat(base.astype(np.int64), count) + inside} | {c: np.repeat(x, count) for c, x in more.items()}
+
+
+def _cuts(sample: dict[str, np.ndarray], buckets: int) -> dict[str, np.ndarray]:
+    """Splitters (first, second, run) that cut the sample into equal ranges."""
+    order = multikey_order(*(sample[c] for c in WORDS[:3]))
+    at = order[np.linspace(0, len(order) - 1, buckets + 1).astype(int)[1:-1]] if buckets > 1 and len(order) else order[:0]
+    cuts = {c: sample[c][at] for c in WORDS[:3]}
+    new = _first_of(*cuts.values())
+    return {c: x[new] for c, x in cuts.items()}
+
+
+def _bucket_of(u: dict[str, np.ndarray], cuts: dict[str, np.ndarray]) -> np.ndarray:
+    """How many splitters are not above each unit."""
+    out = np.searchsorted(cuts["first"], u["first"], side="right")
+    tie = np.flatnonzero(out != np.searchsorted(cuts["first"], u["first"], side="left"))
+    if len(tie):  # among splitters with these leading bytes: place units and splitters together
+        both = [np.concatenate((cuts[c], u[c][tie])) for c in WORDS[:3]]
+        n = len(cuts["first"])
+        order = np.lexsort((np.arange(len(both[0])), *both[::-1]))  # a splitter before its equals
+        out[tie] = np.cumsum(order < n)[np.argsort(order)][n:]
+    return out
 
 
-def _splitters(docs: DataFrame, n: int, buckets: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leading keys that cut a bounded sample into equal ranges; those that fill a range."""
-    if buckets < 2:
-        return np.zeros(0, "S16"), np.zeros(0, "S16")
-    def keys(batch: pa.RecordBatch) -> dict:
-        out = []
-        for t in batch.column(0).to_pylist():
-            u = _units([t], length)
+def _splitters(texts: DataFrame, n: int, buckets: int, length: int) -> dict[str, np.ndarray]:
+    """Cuts from a sample that grows with the buckets: some units (those of least run hash) of
+    documents drawn by chance."""
+
+    def units(batch: pa.RecordBatch) -> dict:
+        out: dict = {c: [np.zeros(0, np.int64)] for c in WORDS[:3]}
+        for part, data in _texts(batch, 2):
+            u = _units(data, length)
             if u is not None:
-                out += u["key"][np.argsort(u["kh"], kind="stable")[:SAMPLE_KEYS]].tolist()
-        return {"key": out}
-
-    sample = docs.sample(min(1.0, SAMPLE_DOCS / max(1, n)), seed=7).limit(2 * SAMPLE_DOCS)
-    got = np.array(sorted(r["key"].ljust(16, b"\0") for r in arrow_map(sample.select("data"), keys, "key binary").collect()), "S16")
-    if not len(got):
-        return got, got
-    cuts = got[np.linspace(0, len(got) - 1, buckets + 1).astype(int)[1:-1]]
-    names, times = np.unique(cuts, return_counts=True)
-    return names, names[times > 1]
-
-
-def _slices(batch: pa.RecordBatch, column: int):
-    """The batch in parts of HELD bytes of a column, one row at least."""
-    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + HELD, side="right")))
-        yield batch.slice(at, to - at)
+                order = np.lexsort((u["run"], u["text"]))
+                place = np.arange(len(order)) - np.flatnonzero(_first_of(u["text"][order]))[np.cumsum(_first_of(u["text"][order])) - 1]
+                for c in out:
+                    out[c].append(u[c][order[place < SAMPLE_UNITS]].view(np.int64))
+        return {c: np.concatenate(x) for c, x in out.items()}
+
+    docs = max(SAMPLE_DOCS, -(-buckets * UNITS_A_BUCKET // SAMPLE_UNITS))
+    sample = texts.sample(min(1.0, docs / max(1, n)), seed=7) if buckets > 1 else texts.limit(0)
+    got = arrow_map(sample.select("row", "doc_id", "packed"), units, "first long, second long, run long").toArrow()
+    return _cuts({c: got.column(c).to_numpy().view(_U) for c in WORDS[:3]}, buckets)
+
+
+def _slices(weights: np.ndarray, most: int):
+    """(from, to) of runs of rows of ``most`` weight, one row at least."""
+    ends, at = np.cumsum(weights), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
         at = to
 
 
-def _map_units(doc, tag, texts, length, buckets, splitters, heavy):
-    """Messages (bucket, kind, payload) of one batch: r removed spans, u units, w windows."""
+def _texts(batch: pa.RecordBatch, column: int):
+    """(part of the batch, its texts) of HELD bytes of packed text each."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    for at, to in _slices(sizes * 3, HELD):
+        part = batch.slice(at, to - at)
+        yield part, [unpack(t) for t in part.column(column).to_pylist()]
+
+
+def _map_units(doc, row, texts, length, cuts):
+    """Messages (bucket, kind, payload) of some texts: r removed spans, u units."""
     u = _units(texts, length)
     if u is None:
         return
-    u["doc"], u["tag"] = doc[u["text"]], tag[u["text"]]
-    order = np.argsort(u["run"], kind="stable")
+    u["doc"], u["row"] = doc[u["text"]], row[u["text"]]
+    order = multikey_order(*(u[c] for c in WORDS))
     least = np.empty(len(order), np.int64)
-    least[order] = _least(u["doc"][order], _first_of(u["run"][order], u["kh"][order]))
+    least[order] = _least(u["doc"][order], _first_of(*(u[c][order] for c in WORDS)))
     gone = u["doc"] > least
+    to = _bucket_of(u, cuts)
     if gone.any():
         i, s, e = _merged(u["text"][gone], u["start"][gone], u["start"][gone] + u["size"][gone])
-        yield int(u["kh"][0]) % buckets, "r", _pack(doc=doc[i], tag=tag[i], start=s, end=e)
-    u = {c: x[~gone] for c, x in u.items()}
-    often = np.isin(u["key"], heavy) if len(heavy) else np.zeros(len(u["kh"]), bool)
-    if often.any():
-        t, s, z = u["text"][often], u["start"][often], u["size"][often]
-        data = b"".join(texts[i][a : a + b] for i, a, b in zip(t.tolist(), s.tolist(), z.tolist()))
-        w = _windows(data, s, z, u["lead"][often], length, doc=u["doc"][often], tag=u["tag"][often], kh=u["kh"][often])
-        to = (w["window"] % _U(buckets)).astype(np.int64)
-        for b in np.unique(to):
-            yield int(b), "w", _pack(**{c: x[to == b] for c, x in w.items()})
-    u = {c: u[c][~often] for c in ("kh", "run", "doc", "tag", "start", "size", "lead", "key")}
-    to = np.searchsorted(splitters, u.pop("key"), side="right")
-    order = np.argsort(to, kind="stable")
-    bounds = np.searchsorted(to[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        at = order[bounds[b] : bounds[b + 1]]
-        if len(at):
-            yield b, "u", _pack(**{c: x[at] for c, x in u.items()})
-
-
-_STEP = "doc_id long, tag int, kind string, start long, end long, lead int, key long"
-
-
-def _table(doc, tag, kind, start, end, lead=None, key=None) -> pa.Table:
-    n = len(doc)
+        yield int(to[0]), "r", _pack(row=row[i], start=s, end=e)
+    kept = np.flatnonzero(~gone)
+    kept = kept[np.argsort(to[kept], kind="stable")]
+    u = {c: u[c][kept] for c in (*WORDS, "doc", "row", "start", "size", "lead")}
+    heads = np.flatnonzero(_first_of(to[kept]))
+    for a, b in zip(heads, np.append(heads[1:], len(kept))):
+        yield int(to[kept[a]]), "u", _pack(**{c: x[a:b] for c, x in u.items()})
+
+
+_STEP = "kind string, row long, start long, end long, doc_id long, lead int, first long, second long, bucket int"
+
+
+def _table(kind: str, row, start, end, **more) -> pa.Table:
+    n = len(row)
     zero = np.zeros(n, np.int64)
-    return pa.table(
-        {
-            "doc_id": pa.array(doc, pa.int64()), "tag": pa.array(tag, pa.int32()), "kind": pa.array([kind] * n, pa.string()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64()),
-            "lead": pa.array(zero if lead is None else lead, pa.int32()), "key": pa.array(zero if key is None else key, pa.int64()),
-        }
-    )
+    columns = {"row": row, "start": start, "end": end} | {c: more.get(c, zero) for c in ("doc_id", "lead", "first", "second", "bucket")}
+    types = {"lead": pa.int32(), "bucket": pa.int32()}
+    return pa.table({"kind": pa.array([kind] * n, pa.string())} | {c: pa.array(np.asarray(x).astype(np.int64), types.get(c, pa.int64())) for c, x in columns.items()})
 
 
-def _rows_merged(doc, tag, start, end) -> pa.Table:
-    if not len(doc):
-        return _table(doc, tag, "r", start, end)
-    pairs, row = np.unique(np.stack([doc.astype(np.int64), tag.astype(np.int64)], 1), axis=0, return_inverse=True)
-    i, s, e = _merged(row.ravel(), start, end)
-    return _table(pairs[i, 0], pairs[i, 1], "r", s, e)
+def _rows_merged(row, start, end) -> pa.Table:
+    if not len(row):
+        return _table("r", row, start, end)
+    names, at = np.unique(row, return_inverse=True)
+    i, s, e = _merged(at, start, end)
+    return _table("r", names[i], s, e)
 
 
-def _settle_bucket(bucket: int, kinds: list[str], payloads: list[bytes], length: int) -> pa.Table:
-    by = {k: _gathered([p for kind, p in zip(kinds, payloads) if kind == k]) for k in "ruw"}
-    gone, asked = [], None
+def _settle_bucket(bucket: int, kinds: list[str], payloads: list[bytes]) -> pa.Table:
+    """Removed spans (r), units whose bytes are asked for (a), units that are asked for if their
+    leading bytes go on in another bucket (b), and the bucket's first and last leading bytes (m)."""
+    by = {k: _gathered([p for kind, p in zip(kinds, payloads) if kind == k]) for k in "ru"}
+    gone, more = [], []
     if (r := by["r"]) is not None:
-        gone.append((r["doc"], r["tag"], r["start"], r["end"]))
-    if (w := by["w"]) is not None:
-        gone.append(_settle_windows(w, length))
+        gone.append((r["row"], r["start"], r["end"]))
     if (u := by["u"]) is not None:
-        # one 64-bit key: the key's hash, then the upper half of the run's
-        order = np.argsort(u["kh"].astype(_U) << _U(32) | u["run"] >> _U(32), kind="stable")
+        order = multikey_order(*(u[c] for c in WORDS))
         u = {c: x[order] for c, x in u.items()}
-        new_key, new_run = _first_of(u["kh"]), _first_of(u["kh"], u["run"])
+        new_key, new_run = _first_of(u["first"], u["second"]), _first_of(*(u[c] for c in WORDS))
         key = np.cumsum(new_key) - 1
         copy = u["doc"] > _least(u["doc"], new_run)
-        heads = np.flatnonzero(new_key)
-        company = (np.bincount(key[new_run])[key] > 1) & (np.minimum.reduceat(u["doc"], heads) != np.maximum.reduceat(u["doc"], heads))[key]
+        runs = np.bincount(key[new_run])[key]
         end = u["start"].astype(np.int64) + u["size"]
-        gone.append((u["doc"][copy], u["tag"][copy], u["start"][copy], end[copy]))
-        ask = company & ~copy
-        asked = _table(u["doc"][ask], u["tag"][ask], "a", u["start"][ask], end[ask], u["lead"][ask], u["kh"][ask].astype(np.int64) | bucket << 32)
-    tables = [_rows_merged(*[np.concatenate(x) for x in zip(*gone)])] if gone else []
-    return pa.concat_tables(tables + ([asked] if asked is not None else []))
+        gone.append((u["row"][copy], u["start"][copy], end[copy]))
+        edge = (key == 0) | (key == key[-1])
+
+        def rows(kind, at):
+            return _table(kind, u["row"][at], u["start"][at], end[at], doc_id=u["doc"][at], lead=u["lead"][at], first=u["first"][at].view(np.int64), second=u["second"][at].view(np.int64), bucket=np.full(at.sum(), bucket))
 
+        more = [rows("a", ~copy & (runs > 1)), rows("b", ~copy & (runs == 1) & edge), rows("m", new_key & edge)]
+    return pa.concat_tables([_rows_merged(*map(np.concatenate, zip(*gone)))] + more)
 
-def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, tag, start, end): byte spans, ends exclusive, that cover what is to be removed.
 
-    ``docs`` has doc_id (not null), tag (tells rows with equal ids apart) and data (bytes).
-    Spans may overlap; only strings of documents with smaller ids count.
+def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(row, start, end): byte spans, ends exclusive, that cover what is to be removed.
+
+    ``texts`` has row (a number of its own for each row), doc_id (not null) and packed (the
+    compressed bytes).  Spans may overlap; only strings of documents with smaller ids count.
     """
-    n_docs, n_bytes = docs.agg(F.count("*"), F.sum(F.octet_length("data"))).first()
+    n_docs, n_bytes = texts.agg(F.count("*"), F.sum("n_bytes")).first()
     buckets = max(1, -(-(n_bytes or 0) // BUCKET_BYTES))
-    splitters, heavy = _splitters(docs, n_docs, buckets, length)
+    cuts = _splitters(texts, n_docs, buckets, length)
 
-    def cut(batch: pa.RecordBatch) -> dict:
-        got = []
-        for part in _slices(batch, 2):
-            doc, tag = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            got += _map_units(doc, tag, part.column(2).to_pylist(), length, buckets, splitters, heavy)
-        return {"bucket": [g[0] for g in got], "kind": [g[1] for g in got], "payload": [g[2] for g in got]}
+    def cut(batch: pa.RecordBatch):
+        for part, data in _texts(batch, 2):
+            row, doc = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            got = list(_map_units(doc, row, data, length, cuts))
+            yield {c: [g[i] for g in got] for i, c in enumerate(("bucket", "kind", "payload"))}
 
     def settle(messages: pa.Table) -> pa.Table:
-        return _settle_bucket(messages["bucket"][0].as_py(), messages["kind"].to_pylist(), messages["payload"].to_pylist(), length)
+        done = _settle_bucket(messages["bucket"][0].as_py(), messages["kind"].to_pylist(), messages["payload"].to_pylist())
+        free_memory()
+        return done
 
-    messages = arrow_map(docs.select("doc_id", "tag", "data"), cut, "bucket int, kind string, payload binary")
+    messages = arrow_batches(texts.select("row", "doc_id", "packed"), cut, "bucket int, kind string, payload binary")
     step = written(messages.groupBy("bucket").applyInArrow(settle, _STEP))
 
-    # the ends of copied passages: fetch their bytes, compare window by window
-    asked = step.where("kind = 'a'")
+    # across boundaries: leading bytes that stand at the edge of several buckets
+    over = step.where("kind = 'm'").groupBy("first", "second").agg(F.countDistinct("bucket").alias("n")).where("n > 1").select("first", "second")
+    asked = step.where("kind = 'a'").unionByName(step.where("kind = 'b'").join(over, ["first", "second"], "left_semi").select(*step.columns))
+
+    # fetch their bytes, compare window by window
     parts = max(1, -(-asked.count() // BUCKET_REQUESTS))
-    per = asked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end", "lead", "key")).alias("asked"))
-
-    def fetch(batch: pa.RecordBatch) -> dict:
-        cols = {c: [] for c in ("doc", "tag", "start", "size", "lead", "kh")}
-        data: list[bytes] = []
-        for doc, tag, packed, asked in zip(*(c.to_pylist() for c in batch.columns)):
-            text = zstandard.ZstdDecompressor().decompress(packed)
-            for a in asked:
-                data.append(text[a["start"] : a["end"]])
-                for c, x in zip(cols, (doc, tag, a["start"], a["end"] - a["start"], a["lead"], a["key"])):
-                    cols[c].append(x)
-        cols = {c: np.array(x, np.int64) for c, x in cols.items()}
-        to = (cols["kh"] * 0x9E3779B1 >> 20) % parts
-        out = {"part": [], "payload": [], "data": []}
-        for b in np.unique(to):
-            at = np.flatnonzero(to == b)
-            out["part"].append(int(b))
-            out["payload"].append(_pack(**{c: x[at] for c, x in cols.items()}))
-            out["data"].append(zstandard.ZstdCompressor(level=3).compress(b"".join(data[i] for i in at.tolist())))
-        return out
+    often = asked.groupBy("first", "second").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_REQUESTS).select("first").toArrow()
+    often = np.unique(often.column("first").to_numpy())  # at most one in BUCKET_REQUESTS requests
+    per = asked.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.struct("start", "end", "lead", "first", "second")).alias("asked"))
+
+    def fetch(batch: pa.RecordBatch):
+        unpack = zstandard.ZstdDecompressor().decompress
+        row, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        offsets, flat = batch.column(3).offsets.to_numpy(), batch.column(3).values
+        asked = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "lead", "first", "second")}
+        sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) * 3 + np.diff(offsets) * 128
+        for at, to in _slices(sizes, HELD):
+            own = slice(offsets[at], offsets[to])
+            count = np.diff(offsets[at : to + 1])
+            data = []
+            for i in range(at, to):
+                text = unpack(batch.column(2)[i].as_py())
+                data += [text[a:b] for a, b in zip(asked["start"][offsets[i] : offsets[i + 1]].tolist(), asked["end"][offsets[i] : offsets[i + 1]].tolist())]
+            u = {
+                "row": np.repeat(row[at:to], count), "doc": np.repeat(doc[at:to], count), "start": asked["start"][own], "size": asked["end"][own] - asked["start"][own],
+                "lead": asked["lead"][own].astype(np.int64), "first": asked["first"][own].view(_U), "second": asked["second"][own].view(_U),
+            }
+            hot = np.isin(u["first"].view(np.int64), often)
+            where = np.where(hot, -1, ((u["first"] ^ u["second"] * _U(0x9E3779B97F4A7C15)) * _U(0xD6E8FEB86659FD93) >> _U(33)).astype(np.int64) % parts)
+            out: dict = {"part": [], "kind": [], "payload": [], "data": []}
+            for b in np.unique(where):
+                i = np.flatnonzero(where == b)
+                raw = b"".join(data[j] for j in i.tolist())
+                v = {c: x[i] for c, x in u.items()}
+                if b >= 0:
+                    out["part"].append(int(b)), out["kind"].append("u"), out["payload"].append(_pack(**v)), out["data"].append(zstandard.ZstdCompressor(level=3).compress(raw))
+                    continue
+                w = _windows(raw, v["start"], v["size"], v["lead"], length, doc=v["doc"], row=v["row"], first=v["first"])
+                far = (w["window"] >> _U(33)).astype(np.int64) % parts
+                for f in np.unique(far):
+                    out["part"].append(int(f)), out["kind"].append("w"), out["payload"].append(_pack(**{c: x[far == f] for c, x in w.items()})), out["data"].append(b"")
+            yield out
 
     def compare(messages: pa.Table) -> pa.Table:
-        u = _gathered(messages["payload"].to_pylist())
-        data = b"".join(zstandard.ZstdDecompressor().decompress(d) for d in messages["data"].to_pylist())
-        w = _windows(data, u["start"], u["size"], u["lead"], length, doc=u["doc"], tag=u["tag"], kh=u["kh"])
-        return _rows_merged(*_settle_windows(w, length)).select(["doc_id", "tag", "start", "end"])
+        kinds, payloads, packed = (messages[c].to_pylist() for c in ("kind", "payload", "data"))
+        w = [_unpack(p) for k, p in zip(kinds, payloads) if k == "w"]
+        if (u := _gathered([p for k, p in zip(kinds, payloads) if k == "u"])) is not None:
+            data = b"".join(zstandard.ZstdDecompressor().decompress(d) for k, d in zip(kinds, packed) if k == "u")
+            w.append(_windows(data, u["start"], u["size"], u["lead"], length, doc=u["doc"], row=u["row"], first=u["first"]))
+        w = {c: np.concatenate([x[c] for x in w]) for c in w[0]}
+        done = _rows_merged(*_settle_windows(w, length)).select(["row", "start", "end"])
+        free_memory()
+        return done
 
-    fetched = arrow_map(packed(docs).join(per, ["doc_id", "tag"]).select("doc_id", "tag", "packed", "asked"), fetch, "part int, payload binary, data binary")
-    more = fetched.groupBy("part").applyInArrow(compare, "doc_id long, tag int, start long, end long")
-    return step.where("kind = 'r'").select("doc_id", "tag", "start", "end").unionByName(more)
+    fetched = arrow_batches(texts.select("row", "packed").join(per, "row").select("row", "doc_id", "packed", "asked"), fetch, "part int, kind string, payload binary, data binary")
+    more = fetched.groupBy("part").applyInArrow(compare, "row long, start long, end long")
+    return step.where("kind = 'r'").select("row", "start", "end").unionByName(more)
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, packed): the bytes compressed, for a cheaper shuffle."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, n_bytes, packed), written out: every row under a number of its own, with its
+    bytes compressed for cheaper shuffles."""
 
-    def fn(batch: pa.RecordBatch) -> dict:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        return {"doc_id": batch.column(0), "tag": batch.column(1), "packed": [squeeze.compress(t) for t in batch.column(2).to_pylist()]}
+    def fn(batch: pa.RecordBatch):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
+        for at, to in _slices(sizes, HELD):
+            part = batch.slice(at, to - at)
+            yield {"row": part.column(0), "doc_id": part.column(1), "n_bytes": sizes[at:to], "packed": [squeeze(t) for t in part.column(2).to_pylist()]}
 
-    return arrow_map(docs.select("doc_id", "tag", "data"), fn, "doc_id long, tag int, packed binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", utf8(F.col("text")).alias("data"))
+    return written(arrow_batches(rows, fn, "row long, doc_id long, n_bytes long, packed binary"))
 
 
 def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -401,29 +475,34 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     are nobody's source; rows that repeat an id are the same document and do not remove each
     other; an empty table gives no rows; other columns are ignored.
     """
-    base = docs.select("doc_id", (F.xxhash64(utf8(F.col("text"))) % 30_000).cast("int").alias("tag"), utf8(F.col("text")).alias("data"))
-    named = base.where("doc_id is not null")
-    spans = removed_spans(named, length).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    whole = packed(base).join(spans, ["doc_id", "tag"], "left")
-
-    def cut(batch: pa.RecordBatch) -> dict:
-        out = {"doc_id": batch.column(0), "n_bytes": [], "kept": [], "spans": []}
-        for squeezed, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            text, kept, at, gone = zstandard.ZstdDecompressor().decompress(squeezed), [], 0, []
-            if spans:
-                s = np.array([x["start"] for x in spans])
-                _, s, e = _merged(np.zeros(len(s), np.int64), s, np.array([x["end"] for x in spans]))
-                for a, b in zip(s.tolist(), e.tolist()):
-                    kept.append(text[at:a])
-                    gone.append({"start": a, "end": b})
-                    at = b
-            kept.append(text[at:])
-            out["n_bytes"].append(len(text))
-            out["kept"].append(b"".join(kept))
-            out["spans"].append(gone)
-        return out
-
-    return arrow_map(whole.select("doc_id", "packed", "spans"), cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    texts = numbered(docs)
+    spans = removed_spans(texts.where("doc_id is not null"), length).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    whole = texts.join(spans, "row", "left").select("doc_id", "packed", "spans")
+
+    def cut(batch: pa.RecordBatch):
+        unpack = zstandard.ZstdDecompressor().decompress
+        lists = batch.column(2)
+        count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        flat = pc.list_flatten(lists)
+        first, last = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
+        at_span = np.concatenate(([0], np.cumsum(count)))
+        sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) * 3
+        for at, to in _slices(sizes + count * (HELD // HELD_SPANS), HELD):
+            own = slice(at_span[at], at_span[to])
+            row, s, e = _merged(np.repeat(np.arange(to - at), count[at:to]), first[own], last[own]) if own.stop > own.start else (np.zeros(0, np.int64),) * 3
+            bounds = np.searchsorted(row, np.arange(to - at + 1))
+            n_bytes, kept = [], []
+            for i in range(to - at):
+                text, parts, done = unpack(batch.column(1)[at + i].as_py()), [], 0
+                for a, b in zip(s[bounds[i] : bounds[i + 1]].tolist(), e[bounds[i] : bounds[i + 1]].tolist()):
+                    parts.append(text[done:a])
+                    done = b
+                kept.append(b"".join(parts) + text[done:])
+                n_bytes.append(len(text))
+            gone = pa.StructArray.from_arrays([pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["start", "end"])
+            yield {"doc_id": batch.column(0).slice(at, to - at), "n_bytes": n_bytes, "kept": kept, "spans": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), gone)}
+
+    return arrow_batches(whole, cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

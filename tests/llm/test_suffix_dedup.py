@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 import hopwise.llm.suffix_dedup as m
 from hopwise.llm.suffix_dedup import dedup_strings, op4_suffix_dedup
 
@@ -60,6 +62,42 @@ def test_many_buckets_pieces_and_heavy_keys(spark, monkeypatch):
     check(spark, copies(2, 120) + [(200 + i, "the same opening words of very many documents, all of them alike " * (1 + i % 3)) for i in range(150)])
 
 
+def test_leading_bytes_across_buckets(spark, monkeypatch):
+    """Units with the same leading bytes fall into several buckets and are compared all the same."""
+    monkeypatch.setattr(m, "BUCKET_BYTES", 300)
+    rng = random.Random(5)
+    key = "same leading bytes "
+    rows = [(d, "".join(key + "".join(rng.choice("ab") for _ in range(rng.randint(20, 34))) for _ in range(6))) for d in range(60)]
+    check(spark, rows)
+    check(spark, copies(6, 40))
+
+
+def test_order_splitters_and_buckets():
+    rng = np.random.default_rng(1)
+    words = [rng.integers(0, 4, 500).astype(np.uint64) for _ in range(4)]
+    order = m.multikey_order(*words)
+    assert [tuple(w[i] for w in words) for i in order] == sorted(zip(*words))
+    # as many ranges as buckets, however many there are
+    sample = {c: rng.integers(0, 1 << 63, 256_000).astype(np.uint64) for c in m.WORDS[:3]}
+    assert len(m._cuts(sample, 64_000)["first"]) == 63_999
+    # a leading word that all units share is cut by what follows
+    same = sample | {c: np.zeros(256_000, np.uint64) for c in m.WORDS[:2]}
+    assert len(m._cuts(same, 64_000)["run"]) == 63_999
+    few = {c: w for c, w in zip(m.WORDS, words)}
+    cuts = m._cuts(few, 20)
+    sorted_cuts = list(zip(*(cuts[c] for c in m.WORDS[:3])))
+    want = [sum(c <= u for c in sorted_cuts) for u in zip(*words[:3])]
+    assert m._bucket_of(few, cuts).tolist() == want
+
+
+def test_rows_that_share_an_id(spark):
+    """Different texts under one id keep their own spans, however many they are."""
+    rng = random.Random(8)
+    passage = "a passage of well over fifty bytes that is repeated in later rows."
+    rows = [(0, passage)] + [(1, "".join(rng.choice("xyz") for _ in range(rng.randint(5, 60))) + (passage if i % 3 else "")) for i in range(300)]
+    check(spark, rows)
+
+
 def test_odd_rows(spark):
     long = "".join(random.Random(3).choice("ab ") for _ in range(5_000))
     rows = [(1, None), (2, ""), (3, "short"), (4, "x" * 3_000), (5, "x" * 2_000), (4, "x" * 60), (None, "x" * 100), (7, long), (7, long), (8, long[:49]), (9, long[100:150]), (0, "\0" * 70), (10, "\0" * 80)]
