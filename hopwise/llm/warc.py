@@ -1,9 +1,10 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are cut into shards by ranges of their id: counts and bytes of a fixed number of id
-bins are added up and cut where a shard is full, so that the shards depend on the rows alone.
-A task writes each of its shards in id order, one gzip member a record, and rolls to a new
-file when the compressed size is reached.  Files are written under temporary names; the
+Records are put in order of their id and cut into shards where the running sum of payload bytes
+passes a multiple of the shard's size.  The sum is exact (ids and sizes are sorted in ranges, the
+ranges' sums are added up first), so the shards depend on the rows alone, however ids lie.
+A task writes each of its shards in id order, one gzip member a record after the file's
+``warcinfo``, and rolls to a new file when the compressed size is reached.  Files are written under temporary names; the
 manifest then names them, they are moved to their final names, and ``_MANIFEST`` (a Parquet
 table) is what readers go by: a file that no manifest names was never committed, so lost or
 repeated tasks leave nothing that is read.
@@ -16,21 +17,26 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopwise.llm.common import checkpointed, shared_dir, utf8
 
 REVISIT_BYTES = 100
-#: Compressed size at which a file is rolled, payload bytes of a shard, and number of id bins.
-FILE_BYTES, SHARD_BYTES, BINS = 64 << 20, 16 << 20, 16_384
+#: Compressed size at which a file is rolled, and payload bytes of a shard (one task): several files.
+FILE_BYTES, SHARD_BYTES = 4 << 20, 32 << 20
+#: Bytes that a record counts besides its payload.
+HEADER_BYTES = 512
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6f1c1b1e-5a44-5b1c-9d1a-0d0a4c5e7a11")
 _MANIFEST = "shard int, seq int, temporary string, final string, records long, bytes long, sha256 string"
@@ -41,28 +47,40 @@ def _file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def record_id(page_id: int, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{page_id}/{digest}')}>"
+def record_id(*named) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, '/'.join(map(str, named)))}>"
 
 
-def record_bytes(page_id, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def target_uri(url: str | None) -> str:
+    """The URL as an ASCII URI: what no URI may hold is percent-encoded."""
+    return urllib.parse.quote(url or "", safe="%:/?#[]@!$&'()*+,;=-._~", errors="replace")
+
+
+def info_bytes(name: str) -> bytes:
+    """The ``warcinfo`` record that opens a file."""
+    block = b"software: hopwise\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id('warcinfo', name)}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC/1.1 record with headers made anew from the payload."""
     digest = hashlib.sha256(payload).hexdigest()
     kind = "response" if refers_to is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    target = "".join(c for c in url or "" if c > " ").encode("ascii", "backslashreplace").decode()
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(page_id, digest)}",
+        f"WARC-Record-ID: {record_id(page_id, digest) if page_id is not None else record_id('', digest, target_uri(url))}",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {target}",
+        f"WARC-Target-URI: {target_uri(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
-        f"X-Page-Id: {page_id}",
         f"X-Payload-Length: {len(payload)}",
     ]
+    if page_id is not None:
+        head.append(f"X-Page-Id: {page_id}")
     if kind == "revisit":
         head.append(f"WARC-Refers-To: {record_id(refers_to, digest)}")
         head.append(f"X-Refers-To-Page-Id: {refers_to}")
@@ -78,9 +96,10 @@ def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFra
     Only ids and digests are shuffled to find the first page of each payload; the minimum is
     pre-aggregated, and the join back to a payload that a third of all pages share can be split.
     Marks travel with the pages to the writer, so the payloads themselves are shuffled once.
+    Pages without an id cannot be ranked and are responses.
     """
-    base = pages.select("page_id", "url", utf8(F.col("html")).alias("payload")).where("page_id is not null")
-    light = base.where(F.octet_length("payload") >= least_bytes).select("page_id", F.sha2("payload", 256).alias("digest"))
+    base = pages.select("page_id", "url", utf8(F.col("html")).alias("payload"))
+    light = base.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha2("payload", 256).alias("digest"))
     firsts = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
     again = light.join(firsts, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
     marks = again.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "refers_to")
@@ -88,20 +107,18 @@ def with_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFra
     return own.unionByName(marks)
 
 
-def shard_cuts(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[int, int, list[int]]:
-    """(least id, ids a bin, last bin of each shard) from at most BINS sums."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return 0, 1, []
-    width = (high - low) // BINS + 1
-    sums = pages.where("page_id is not null").groupBy(F.expr(f"(page_id - {low}) div {width}").alias("bin")).agg(F.sum(F.octet_length(utf8(F.col("html"))) + 512).alias("b"))
-    cuts, size = [], 0
-    for r in sorted(sums.collect(), key=lambda r: r["bin"]):
-        size += r["b"]
-        if size >= shard_bytes:
-            cuts.append(r["bin"])
-            size = 0
-    return low, width, cuts
+def shard_cuts(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
+    """The first id of each shard but the first: one number for ``shard_bytes`` of payload."""
+    size = (F.octet_length(utf8(F.col("html"))) + HEADER_BYTES).cast("long")
+    ids = pages.where("page_id is not null").groupBy("page_id").agg(F.sum(size).alias("b"))
+    # written out, as the ranges are drawn from a sample; the sums below do not depend on them
+    ids = checkpointed(ids.repartitionByRange("page_id").withColumn("part", F.spark_partition_id()))
+    parts = ids.groupBy("part").agg(F.sum("b").alias("own"))
+    parts = parts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))  # one row a partition
+    upto = F.sum("b").over(Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1))
+    placed = ids.withColumn("upto", F.coalesce(upto, F.lit(0).cast("long"))).join(F.broadcast(parts), "part")
+    firsts = placed.groupBy(F.expr(f"(before + upto) div {shard_bytes}").alias("shard")).agg(F.min("page_id").alias("first"))
+    return np.sort(firsts.select("first").toArrow().column("first").to_numpy())[1:]
 
 
 class _Writer:
@@ -114,20 +131,26 @@ class _Writer:
     def add(self, record: bytes) -> None:
         if self.out is None:
             self.name = f"_temporary/part-{self.shard:06}-{self.seq:04}-{self.attempt}.warc.gz"
-            self.out, self.hash, self.size, self.records = self.fs.open_output_stream(f"{self.path}/{self.name}"), hashlib.sha256(), 0, 0
+            self.out, self.hash, self.size, self.records = self.fs.open_output_stream(f"{self.path}/{self.name}", compression=None), hashlib.sha256(), 0, 0
+            self._write(info_bytes(self.final()))
+        self._write(record)
+        self.records += 1
+        if self.size >= self.file_bytes:
+            self.close()
+
+    def final(self) -> str:
+        return f"part-{self.shard:06}-{self.seq:04}.warc.gz"
+
+    def _write(self, record: bytes) -> None:
         member = gzip.compress(record, 6, mtime=0)
         self.out.write(member)
         self.hash.update(member)
         self.size += len(member)
-        self.records += 1
-        if self.size >= self.file_bytes:
-            self.close()
 
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            final = f"part-{self.shard:06}-{self.seq:04}.warc.gz"
-            self.done.append((self.shard, self.seq, self.name, final, self.records, self.size, self.hash.hexdigest()))
+            self.done.append((self.shard, self.seq, self.name, self.final(), self.records, self.size, self.hash.hexdigest()))
             self.out, self.seq = None, self.seq + 1
 
 
@@ -135,18 +158,23 @@ def write_warc(pages: DataFrame, root: str, file_bytes: int = FILE_BYTES, shard_
     """Write (page_id, url, html) under ``root``, a folder that all executors share (any path
     that pyarrow's file systems open), and return the committed manifest.
 
-    A null html is an empty payload, a null url an empty target.  Rows without a page_id cannot
-    be named and are not written; rows that repeat one are written each.  Other columns are
-    ignored; an empty table commits an empty manifest.
+    A null html is an empty payload, a null url an empty target.  Rows without a page_id go to a
+    shard by the hash of their payload; rows that repeat one are written each.  Other columns
+    are ignored; an empty table commits an empty manifest.
     """
-    low, width, cuts = shard_cuts(pages, shard_bytes)
+    cuts = shard_cuts(pages, shard_bytes)
+    shards = len(cuts) + 1
     files, path = _file_system(root)
     files.create_dir(f"{path}/_temporary", recursive=True)
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    place = F.expr(f"(page_id - {low}) div {width}")
-    shard = F.size(F.filter(edges, lambda c: c < place)).cast("int")
-    rows = with_revisits(pages).withColumn("shard", shard)
-    dealt = rows.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.desc_nulls_last("refers_to"), "url")
+
+    @F.pandas_udf("int")
+    def shard_of(page_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, page_id.to_numpy(), side="right"))
+
+    unnamed = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(shards))
+    rows = with_revisits(pages)
+    rows = rows.withColumn("shard", F.when(F.col("page_id").isNull(), unnamed).otherwise(shard_of(F.coalesce("page_id", F.lit(0).cast("long")))).cast("int"))
+    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.desc_nulls_last("refers_to"), "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt, writer = uuid.uuid4().hex[:12] if TaskContext.get() is None else f"{TaskContext.get().taskAttemptId()}", None
@@ -196,13 +224,16 @@ def _parse(raw) -> Iterator[tuple]:
             chunk = b""
             if inflate.eof:
                 chunk = inflate.unused_data
-                yield _record(b"".join(parts))
+                if (record := _record(b"".join(parts))) is not None:
+                    yield record
                 inflate, parts = zlib.decompressobj(31), []
 
 
-def _record(data: bytes) -> tuple:
+def _record(data: bytes) -> tuple | None:
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    if fields["WARC-Type"] == "warcinfo":
+        return None
     block = rest[: int(fields["Content-Length"])]
     if "sha256:" + hashlib.sha256(block).hexdigest() != fields["WARC-Block-Digest"]:
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
@@ -214,7 +245,8 @@ def _record(data: bytes) -> tuple:
         refers = None
     else:
         refers, payload = int(fields["X-Refers-To-Page-Id"]), None
-    return int(fields["X-Page-Id"]), fields["WARC-Target-URI"], fields["WARC-Type"], refers, size, digest, payload
+    page_id = int(fields["X-Page-Id"]) if "X-Page-Id" in fields else None
+    return page_id, fields["WARC-Target-URI"], fields["WARC-Type"], refers, size, digest, payload
 
 
 def read_warc(spark: SparkSession, root: str) -> DataFrame:
@@ -227,7 +259,7 @@ def read_warc(spark: SparkSession, root: str) -> DataFrame:
         files, path = _file_system(root)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                with files.open_input_stream(f"{path}/{name}") as raw:
+                with files.open_input_stream(f"{path}/{name}", compression=None) as raw:
                     rows, size = [], 0
                     for r in _parse(raw):
                         rows.append(r)

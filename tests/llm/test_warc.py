@@ -1,7 +1,8 @@
 import glob
+import gzip
 import hashlib
 
-from hopwise.llm.warc import OP9_SQL, op9_warc, read_warc, write_warc
+from hopwise.llm.warc import OP9_SQL, op9_warc, read_warc, shard_cuts, write_warc
 from tests.oracle import differences
 
 
@@ -44,4 +45,25 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     assert read_warc(spark, f"{tmp_path}/e").count() == 0
     twice = docs.where("page_id = 3").unionByName(docs.where("page_id = 3")).unionByName(docs.selectExpr("cast(null as long) page_id", "url", "html", "digest").limit(1))
     write_warc(twice, f"{tmp_path}/t")
-    assert [(r.page_id, r.record_type) for r in read_warc(spark, f"{tmp_path}/t").collect()] == [(3, "response")] * 2
+    got = [(r.page_id, r.record_type, r.payload_bytes) for r in read_warc(spark, f"{tmp_path}/t").collect()]
+    assert sorted(got, key=str) == [(3, "response", 120)] * 2 + [(None, "response", 120)]
+
+
+def test_shards_do_not_depend_on_where_ids_lie(spark):
+    def cuts(ids):
+        return shard_cuts(spark.createDataFrame([(i, "x" * 488) for i in ids], "page_id long, html string"), 100_000).tolist()
+
+    plain = cuts(range(5_000))
+    assert plain == list(range(100, 5_000, 100))
+    assert cuts([*range(4_999), 10**17]) == plain
+    least, most = -(1 << 63), (1 << 63) - 1
+    assert cuts([least, *range(1, 4_999), most]) == plain
+
+
+def test_files_open_with_their_description(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "http://h/é b?q=1&r=[2]", "x"), (2, None, "y")], "page_id long, url string, html string")
+    write_warc(docs, f"{tmp_path}/w")
+    for f in glob.glob(f"{tmp_path}/w/part-*"):
+        text = gzip.open(f).read()
+        assert text.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and f"WARC-Filename: {f.rsplit('/', 1)[1]}".encode() in text
+    assert {r.page_id: r.url for r in read_warc(spark, f"{tmp_path}/w").collect()} == {1: "http://h/%C3%A9%20b?q=1&r=[2]", 2: ""}
