@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,11 @@ def instruction_risk(role: Column, text: Column) -> Column:
     return F.when(untrusted(role), hidden).otherwise(0.0)
 
 
+def cue_count(role: Column, text: Column) -> Column:
+    """Instruction cues and hidden characters in data."""
+    return F.when(untrusted(role), _count(text, V.INSTRUCTION_CUES, "is") + text.rlike(V.HIDDEN_CHARACTERS).cast("int")).otherwise(0)
+
+
 def authority_claims(role: Column, text: Column) -> Column:
     return F.when(untrusted(role), F.least(F.lit(3), _count(text, V.AUTHORITY_CLAIMS, "i"))).otherwise(0)
 
@@ -67,9 +74,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot / norm).otherwise(0.0)
 
 
+def bag_cosine(a: list[str], b: list[str]) -> float:
+    """The same for one pair of token lists."""
+    a, b = list(a), list(b)
+    x, y = np.array([(a.count(t), b.count(t)) for t in set(a) | set(b)], float).reshape(-1, 2).T
+    norm = math.sqrt(x @ x) * math.sqrt(y @ y)
+    return float(x @ y) / norm if norm else 0.0
+
+
+#: From this similarity on nothing drifts.
+_NO_DRIFT = 0.35
+
+
+def drift_of(similarity: float) -> float:
+    return min(1.0, max(0.0, 1.0 - similarity / _NO_DRIFT))
+
+
 def drift_risk(goal: Column, action: Column, mutating: Column) -> Column:
     sim = cosine(tokens(goal), tokens(action))
-    risk = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (0.35 - sim) / 0.35))
+    risk = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (_NO_DRIFT - sim) / _NO_DRIFT))
     return F.when(mutating & (F.coalesce(goal, F.lit("")) != "") & (action != ""), risk).otherwise(0.0)
 
 

@@ -58,19 +58,33 @@ VERB_GROUPS = (
     "reset restart",
     "revoke cancel",
 )
-# fixed values: stems of waiver wording, and parts of outbound tools' names
+# fixed values: stems of waiver wording
 CLAIM_STEMS = ("waiv", "skip", "bypass", "disabl", "overrid", "exempt", "preapprov", "pre-approv", "not required", "no need")
-OUTBOUND_PARTS = (
-    "send mail post upload http request transfer pay forward share delete write exec run clone install download fetch pull curl git shell payee schedule"
-).split()
-
 # fixed values: traceable items and their fragments
 INDICATOR = r"""[\w.+-]+@[\w-]+(?:\.[\w-]+)+|https?://[^\s"'<>)\]]+|\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b|\b\d{6,}\b"""
 BARE_DOMAIN = r"\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|io|co|uk|de|in|info|biz|dev|app|example|cloud|xyz|ru|cn|me)\b"
 IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{10,30}"
 
+# fixed values: other spellings of addresses, and what each becomes, in order
+ZERO_WIDTH = "[​‌‍⁠﻿­]"
+DASHES = "‐‑‒–"
+REWRITES = (
+    (r"(?i)hxxp\[s\]", r"https"),
+    (r"(?i)\bhxxp(s?)", r"http\1"),
+    (r"(?i)\s*[\[\(\{]\s*(?:dot|\.)\s*[\]\)\}]\s*", r"."),
+    (r"(?i)\s*[\[\(\{]\s*(?:at|@)\s*[\]\)\}]\s*", r"@"),
+)
+SPELLED_DOT = r"\s+(?:dot|DOT)\s+"
+SPELLED_EMAIL = r"\b([\w.+-]+)\s+(?:at|AT)\s+([\w-]+(?:\s+(?:dot|DOT)\s+[\w-]+)+)\b"
+SPELLED_URL = r"\b([\w-]+(?:\s+(?:dot|DOT)\s+[\w-]+)+)\s+(?:slash|SLASH)\s+([\w/-]+)"
+SPACED_EMAIL = r"([\w.+-]+)\s+@\s+([\w-]+(?:\s*\.\s*[\w-]+)+)"
+ACCOUNT_START = r"[A-Za-z]{2}[ .-]?\d"
+ACCOUNT_CHARS = 34
+
+# fixed values: parts of outbound tools' names
+OUTBOUND = r"(?i)send|mail|post|upload|http|request|transfer|pay|forward|share|delete|write|exec|run|clone|install|download|fetch|pull|curl|git|shell|payee|schedule"
+
 MUTATING = "(?i)^(" + "|".join(MUTATING_VERBS) + ")"
-OUTBOUND = "(?i)" + "|".join(OUTBOUND_PARTS)
 
 # fixed values: weights, limits and thresholds of the score
 WEIGHTS = {"instruction": 0.5, "drift": 0.15, "provenance": 0.8, "behaviour": 0.15}

@@ -1,50 +1,45 @@
 """The keyed verdict fold: a session's hops in order, each judged by the state before it.
 
-Everything that does not depend on earlier verdicts is computed in columns and joins
-beforehand; the fold itself carries only sensitivity, suspended channels and one risk a hop.
-It runs over partitions sorted by (session, hop) as a stream of batches, so a session of any
-length costs its task no more than eight bytes a hop.
+Everything that does not depend on earlier verdicts is computed in columns beforehand; the fold
+itself carries what feeds back through the score: sensitivity, suspended channels, the risk of
+the hops that items come from, and which keys a user-designated source has made known.  It runs
+over partitions sorted by (session, hop) as a stream of batches, so a session of any length needs
+no group in memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.functions import risk as R
+from hopwise.functions import text as T
 from hopwise.functions import vocabulary as V
 from hopwise.operators import prefix, provenance
 
-_VERDICT = (
-    "session_id long, hop int, role string, channel string, model_trust double, instruction double, drift double, provenance double, "
-    "behaviour double, sensitivity double, trust double, suspended boolean, matches array<string>"
-)
 SIGNALS = ("instruction", "drift", "provenance", "behaviour")
+_ORIGIN = "array<struct<key:string,hop:int,source:string>>"
+#: What the fold adds to the columns that it carries.
+_JUDGED = f"model_trust double, provenance double, sensitivity double, trust double, suspended boolean, matches {_ORIGIN}, reused {_ORIGIN}, given array<string>"
+CARRIED = ("session_id", "hop", "role", "channel", "instruction", "drift", "behaviour")
 
 
-def prepared(hops: DataFrame) -> DataFrame:
-    """One row a hop with all that the fold needs and is fixed before it."""
+def prepared(hops: DataFrame, *more: str) -> DataFrame:
+    """One row a hop with all that the fold needs and is fixed before it, and the columns ``more``."""
     rows = provenance.with_items(prefix.with_echo(prefix.with_drift(prefix.with_behaviour(prefix.with_designation(prefix.with_prefix(hops))))))
-    keys = provenance.candidates(rows).join(provenance.origins(provenance.registered(rows)), ["session_id", "key"])
-    named = F.transform(F.filter("designated", lambda d: d["hop"] < F.col("hop")), lambda d: d["hop"])
-    keys = keys.select(
-        "session_id", "hop",
-        F.struct(
-            "item", "key", "exact", F.coalesce(F.col("trusted_hop") < F.col("hop"), F.lit(False)).alias("supplied"),
-            F.when(F.col("plain.hop") < F.col("hop"), F.col("plain.hop")).alias("plain"), named.alias("designated"),
-        ).alias("key"),
-    )
-    useful = keys.where("key.supplied or key.plain is not null or size(key.designated) > 0")
-    grouped = useful.groupBy("session_id", "hop").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    key = F.struct("item", "key", "exact", "supplied", "plain")
+    keys = provenance.known(rows).groupBy("session_id", "hop").agg(F.array_sort(F.collect_list(key)).alias("keys"))
     acts = ((F.col("role") == "assistant") & (F.col("action_text") != "")) | (F.col("role") == "memory_write")
+    own = [c for c in more if c not in (*CARRIED, "source", "echo", "outbound")]
     out = rows.select(
-        "session_id", "hop", "role", F.concat("source", F.lit("->"), "target").alias("channel"), "instruction", "drift", "behaviour", "echo", "outbound",
+        "session_id", "hop", "role", "source", F.concat("source", F.lit("->"), "target").alias("channel"), "instruction", "drift", "behaviour", "echo", "outbound", *own,
         F.coalesce((F.col("claims") > 0) & F.col("verb_unasked"), F.lit(False)).alias("unasked"), acts.alias("acts"),
+        F.when(F.col("designated"), provenance.known_keys()).alias("designates"),
     )
-    return out.join(grouped, ["session_id", "hop"], "left")
+    return out.join(keys, ["session_id", "hop"], "left")
 
 
 class Session:
@@ -52,67 +47,88 @@ class Session:
 
     def __init__(self, signals=SIGNALS):
         self.signals = signals
-        self.sensitivity, self.suspended, self.risks = 0.0, set(), {}
+        self.sensitivity, self.suspended = 0.0, set()
+        #: risk of every hop that brought data; keys that a designated hop without risk had; and
+        #: the first (hop, source) of those that one with risk had
+        self.risks, self.safe, self.doubtful = {}, set(), {}
 
     def _trusted(self, key) -> bool:
-        return key["supplied"] or any(self.risks[h] < 0.25 for h in key["designated"])
+        return key["supplied"] or key["key"] in self.safe
 
-    def _origin(self, key) -> int | None:
-        seen = [h for h in key["designated"] if self.risks[h] >= 0.25]
-        if key["plain"] is not None:
-            seen.append(key["plain"])
-        return min(seen, default=None)
+    def _origin(self, key) -> tuple | None:
+        plain, doubtful = key["plain"], self.doubtful.get(key["key"])
+        return min((o for o in ((plain["hop"], plain["source"]) if plain else None, doubtful) if o), default=None)
 
-    def _matches(self, keys) -> dict[str, int]:
-        tainted = {}
+    def _tainted(self, keys) -> dict[str, tuple]:
+        """Keys of tainted items with their origins; if there are none, of fragments."""
         for exact in (True, False):
-            if not exact:
-                own = {k["item"] for k in keys if k["exact"] and self._trusted(k)}
-            for k in keys:
-                if bool(k["exact"]) == exact and (exact or k["item"] not in own) and not self._trusted(k) and (o := self._origin(k)) is not None:
-                    tainted[k["key"]] = o
-            if tainted:
-                break
-        return tainted
+            own = set() if exact else {k["item"] for k in keys if k["exact"] and self._trusted(k)}
+            found = {k["key"]: self._origin(k) for k in keys if bool(k["exact"]) == exact and k["item"] not in own and not self._trusted(k)}
+            if found := {k: o for k, o in sorted(found.items()) if o is not None}:
+                return found
+        return {}
 
     def judge(self, row) -> tuple:
-        """(model trust, provenance, trust, suspended, matches) of the next hop; then fold it in."""
+        """(model trust, provenance, sensitivity before, trust, suspended, matches, reused, given) of
+        the next hop; then fold it in."""
         before, on = self.sensitivity, self.signals
+        keys = [] if row.keys is None else list(row.keys)
+        tainted = self._tainted(keys)
+        given = sorted({k["item"] for k in keys if k["exact"] and self._trusted(k)})
         model, reuse, matches, shut = None, 0.0, {}, False
         if row.role in V.TRUSTED_ROLES:
             trust = 1.0
         elif row.channel in self.suspended:
             trust, shut = 0.0, True
         else:
-            keys = [] if row.keys is None else list(row.keys)
             model = 1.0 - 0.9 * row.instruction
             if "provenance" in on:
-                if row.acts and (matches := self._matches(keys)):
-                    risky = any(round(self.risks[o], 3) >= 0.25 for o in matches.values())
+                if row.acts and tainted:
+                    matches = tainted
+                    risky = any(round(self.risks[hop], 3) >= 0.25 for hop, _ in matches.values())
                     reuse = (1.0 if risky else 0.9 if row.outbound else 0.5) * (0.6 if row.role == "memory_write" else 1.0)
                 if row.echo > 0:
                     reuse = max(reuse, 0.9)
-                elif row.unasked and not any(k["exact"] and self._trusted(k) for k in keys):
+                elif row.unasked and not given:
                     reuse = max(reuse, 0.75)
             survive = model
             for name, risk in (("instruction", row.instruction), ("drift", row.drift), ("provenance", reuse), ("behaviour", row.behaviour)):
                 if name in on:
                     survive *= 1.0 - V.WEIGHTS[name] * risk
             trust = 1.0 - min(1.0, (1.0 - survive) * (1.0 + before))
+        self._commit(row, trust)
+        return model, reuse, before, trust, shut, _listed(matches), _listed(tainted), given
+
+    def _commit(self, row, trust: float) -> None:
         if trust < V.QUARANTINE_AT:
             self.suspended.add(row.channel)
         if trust < V.PASS_AT:
-            self.sensitivity = min(V.SENSITIVITY_CAP, before + V.SENSITIVITY_STEP)
-        self.risks[row.hop] = 1.0 - trust
-        return model, reuse, trust, shut, sorted(matches), before
+            self.sensitivity = min(V.SENSITIVITY_CAP, self.sensitivity + V.SENSITIVITY_STEP)
+        if row.role in V.UNTRUSTED_ROLES:
+            self.risks[row.hop] = 1.0 - trust
+            for key in () if row.designates is None else row.designates:
+                if 1.0 - trust < 0.25:
+                    self.safe.add(key)
+                else:
+                    self.doubtful.setdefault(key, (row.hop, row.source))
+
 
+def _listed(origins: dict[str, tuple]) -> list[dict]:
+    return [{"key": k, "hop": hop, "source": source} for k, (hop, source) in origins.items()]
 
-def verdicts(hops: DataFrame, signals: tuple[str, ...] = SIGNALS) -> DataFrame:
-    """A verdict for every hop: signals, trust, tier, severity, delivered.
 
-    Sessions are dealt out by key and sorted inside the partition; ``signals`` switches the
-    fused signals off one by one (model only: none).
+def verdicts(hops: DataFrame, signals: tuple[str, ...] = SIGNALS, more: tuple[str, ...] = ()) -> DataFrame:
+    """A verdict for every hop: signals, trust, tier, severity, delivered, and the columns ``more``.
+
+    ``matches`` are the keys that decided provenance risk; ``reused`` all tainted keys and
+    ``given`` all user-supplied items of a hop, whatever its role.  Sessions are dealt out by key
+    and sorted inside the partition; ``signals`` switches the fused signals off one by one (model
+    only: none).
     """
+    rows = prepared(hops, *more)
+    carried = [*CARRIED, *[c for c in more if c not in CARRIED]]
+    names = [c.split()[0] for c in _JUDGED.split(", ")]
+    kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, None
@@ -121,12 +137,44 @@ def verdicts(hops: DataFrame, signals: tuple[str, ...] = SIGNALS) -> DataFrame:
             for row in batch.itertuples(index=False):
                 if state is None or row.session_id != at:
                     at, state = row.session_id, Session(signals)
-                model, reuse, trust, shut, matches, before = state.judge(row)
-                out.append((row.session_id, row.hop, row.role, row.channel, model, row.instruction, row.drift, reuse, row.behaviour, before, trust, shut, matches))
+                out.append(state.judge(row))
             if out:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in _VERDICT.split(", ")])
+                yield pd.concat([batch[carried], pd.DataFrame(out, columns=names, index=batch.index)], axis=1)
 
-    dealt = prepared(hops).repartition("session_id").sortWithinPartitions("session_id", "hop")
-    judged = dealt.mapInPandas(run, _VERDICT)
+    dealt = rows.repartition("session_id").sortWithinPartitions("session_id", "hop")
+    judged = dealt.mapInPandas(run, ", ".join([*[f"{c} {kinds[c]}" for c in carried], _JUDGED]))
     tier = R.tier(F.col("trust"))
     return judged.withColumns({"tier": tier, "severity": R.severity(tier), "delivered": tier.isin("PASS", "FLAG")})
+
+
+def reasons() -> Column:
+    """Why a verdict is what it is, in words, from the columns of ``verdicts`` and its input."""
+    fused = ~R.trusted(F.col("role")) & ~F.col("suspended")
+    agent = F.col("source")
+    tool = F.concat(F.lit("'"), "tool_name", F.lit("'"))
+    after = " after untrusted content claimed an exemption"
+    found = F.transform("matches", lambda m: F.concat(F.lit("'"), m["key"], F.lit("' first appeared in untrusted hop "), m["hop"], F.lit(" ("), m["source"], F.lit(") and now reaches an action")))
+    claimed = fused & (F.col("claims") > 0) & F.col("mutating")
+    waiver = F.concat(F.lit("action uses waiver wording ('"), "echo", F.lit("' term(s))" + after))
+    unasked = F.col("verb_unasked") & (F.size("given") == 0)
+    outside = F.when(F.col("outbound"), F.concat(agent, F.lit(" used outbound tool "), tool, F.lit(" outside its baseline"))).otherwise(F.concat(agent, F.lit(" used new tool "), tool))
+    first = F.array(
+        F.when(F.col("suspended"), F.concat(F.lit("channel "), "channel", F.lit(" is suspended after an earlier BLOCK"))),
+        F.when(F.col("model_trust") < V.PASS_AT, F.format_string("classifier trust %.2f", "model_trust")),
+        F.when(fused & (F.col("cue_count") > 0), F.concat(F.lit("instruction-like text in a data channel ("), "cue_count", F.lit(" cue(s))"))),
+    )
+    last = F.array(
+        F.when(claimed & (F.col("echo") > 0), waiver).when(claimed & unasked, F.concat(tool, F.lit(" was never requested by the user," + after))),
+        F.when(fused & F.col("new_tool"), outside).when(fused & F.col("long_message"), F.concat(agent, F.lit(" message 4x longer than its usual"))),
+        F.when(fused & (F.col("sensitivity") > 0), F.format_string("session sensitivity +%.2f after earlier flags", "sensitivity")),
+    )
+    return F.array_compact(F.concat(first, found, last))
+
+
+def chunk_scored(hops: DataFrame, scorer: Callable[[Column, Column], Column]) -> DataFrame:
+    """(session_id, hop, n_chunks, model_trust, worst): the least trust that ``scorer`` gives to the
+    role and text of any chunk of a hop, and the first chunk that has it; null for trusted roles."""
+    rows = hops.select("session_id", "hop", "role", "event_text", F.posexplode(T.chunk_spans(F.length("event_text"))).alias("chunk", "s"))
+    piece = F.substring("event_text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    rows = rows.select("session_id", "hop", "chunk", F.when(~R.trusted(F.col("role")), scorer(F.col("role"), piece)).alias("t"))
+    return rows.groupBy("session_id", "hop").agg(F.count("*").cast("int").alias("n_chunks"), F.min("t").alias("model_trust"), F.min_by("chunk", F.struct("t", "chunk")).alias("worst"))

@@ -21,6 +21,7 @@ def with_prefix(hops: DataFrame) -> DataFrame:
     own = hops.withColumns(
         {
             "instruction": R.instruction_risk(F.col("role"), F.col("data_text")),
+            "cue_count": R.cue_count(F.col("role"), F.col("data_text")),
             "own_claims": R.authority_claims(F.col("role"), F.col("data_text")),
             "mutating": R.is_mutating(F.col("role"), F.col("tool_name")),
             "outbound": R.is_outbound(F.col("tool_name")),
@@ -34,6 +35,7 @@ def with_prefix(hops: DataFrame) -> DataFrame:
             "claims": F.coalesce(F.sum("own_claims").over(before()), F.lit(0)).cast("int"),
             "previous_role": F.lag("role").over(order),
             "previous_call": F.lag("tool_call").over(order),
+            "previous_calls": F.lag("tool_calls").over(order),
         }
     ).drop("_named")
 
@@ -41,7 +43,8 @@ def with_prefix(hops: DataFrame) -> DataFrame:
 def with_designation(hops: DataFrame) -> DataFrame:
     """``designated``: untrusted data that a call fetched whose target the user had named."""
     goal = F.lower("goal")
-    named = F.exists(call_strings(F.col("previous_call")), lambda a: (F.length(a) >= 4) & F.contains(goal, F.lower(a)))
+    strings = F.concat(call_strings(F.col("previous_call")), call_strings(F.col("previous_calls")))
+    named = F.exists(strings, lambda a: (F.length(a) >= 4) & F.contains(goal, F.lower(a)))
     return hops.withColumn("designated", F.coalesce(R.untrusted(F.col("role")) & (F.col("previous_role") == "assistant") & named, F.lit(False)))
 
 
@@ -59,7 +62,8 @@ def with_behaviour(hops: DataFrame) -> DataFrame:
     new_tool = (F.coalesce("tool_name", F.lit("")) != "") & (F.col("agent_count") >= 3) & ~F.col("tool_seen")
     first = F.when(new_tool, F.when(F.col("outbound"), 0.8).otherwise(0.3)).otherwise(0.0)
     long = (F.col("agent_count") >= 3) & (F.col("agent_chars") > 0) & (size * F.col("agent_count") > 4 * F.col("agent_chars"))
-    return rows.withColumn("behaviour", F.when(long, F.greatest(first, F.lit(0.3))).otherwise(first))
+    score = F.when(long, F.greatest(first, F.lit(0.3))).otherwise(first)
+    return rows.withColumns({"behaviour": score, "new_tool": F.coalesce(new_tool, F.lit(False)), "long_message": F.coalesce(long, F.lit(False))})
 
 
 def with_drift(hops: DataFrame) -> DataFrame:

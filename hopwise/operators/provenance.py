@@ -1,12 +1,14 @@
-"""Items and where they come from: exploded items joined with earlier hops of the session.
+"""Items and where they come from.
 
-All joins are equalities on (session_id, key); "earlier" is decided from the first hop of each
-kind, so no pair of hops is ever formed.
+A hop makes keys known (its items, their parts, loose fragments) and asks for keys (its items, and
+fragments they could be put together from).  Both are rows of one long table; what was known of a
+key before a hop are running minima over the rows of (session_id, key), so items are extracted
+once, nothing is joined and no pair of hops is formed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopwise.functions import risk as R
@@ -19,73 +21,87 @@ def with_items(hops: DataFrame) -> DataFrame:
     return hops.withColumn("canonical", T.canonical(F.col("hop_text"))).withColumn("items", T.indicators(F.col("canonical")))
 
 
+def known_keys() -> Column:
+    """Everything that a hop with ``canonical`` and ``items`` makes known."""
+    return F.array_distinct(F.concat("items", T.text_parts(F.col("canonical")), F.flatten(F.transform("items", T.item_parts))))
+
+
+def _kind() -> Column:
+    return F.when(R.trusted(F.col("role")), "trusted").when(R.untrusted(F.col("role")), F.when(F.col("designated"), "designated").otherwise("plain"))
+
+
 def registered(hops: DataFrame) -> DataFrame:
-    """(session_id, key, hop, source, kind) of everything a hop makes known: its items, their
-    parts and loose fragments.  ``kind``: trusted, designated or plain (untrusted)."""
-    kind = F.when(R.trusted(F.col("role")), "trusted").when(R.untrusted(F.col("role")), F.when(F.col("designated"), "designated").otherwise("plain"))
-    parts = F.flatten(F.transform("items", T.item_parts))
-    keys = F.array_distinct(F.concat("items", T.text_parts(F.col("canonical")), parts))
-    return hops.select("session_id", F.explode(keys).alias("key"), "hop", "source", kind.alias("kind")).where("kind is not null")
+    """(session_id, key, hop, source, kind) of everything a hop makes known.  ``kind``: trusted,
+    designated or plain (untrusted)."""
+    return hops.select("session_id", F.explode(known_keys()).alias("key"), "hop", "source", _kind().alias("kind")).where("kind is not null")
 
 
 def origins(reg: DataFrame) -> DataFrame:
     """One row per (session_id, key): first trusted hop, first plain untrusted hop and its source,
-    and the designated hops in order."""
-    first = F.min(F.when(F.col("kind") == "plain", F.struct("hop", "source")))
-    named = F.collect_list(F.when(F.col("kind") == "designated", F.struct("hop", "source")))
-    return reg.groupBy("session_id", "key").agg(
-        F.min(F.when(F.col("kind") == "trusted", F.col("hop"))).alias("trusted_hop"), first.alias("plain"), F.array_sort(named).alias("designated")
-    )
+    first designated hop and its source."""
+    hop, at = F.col("hop"), F.struct("hop", "source")
+    firsts = {"trusted": ("trusted_hop", hop), "plain": ("plain", at), "designated": ("designated", at)}
+    return reg.groupBy("session_id", "key").agg(*[F.min(F.when(F.col("kind") == kind, x)).alias(name) for kind, (name, x) in firsts.items()])
+
 
+def fragments(item: Column) -> Column:
+    """Keys of six or more characters that an item could be put together from: its parts, and for
+    items of letters and digits every proper prefix and suffix."""
+    plain = item.rlike("^[A-Za-z0-9]+$") & (F.length(item) > 6)
+    sizes = F.sequence(F.lit(6), F.greatest(F.lit(6), F.length(item) - 1))
+    ends = F.flatten(F.transform(sizes, lambda n: F.array(F.substring(item, F.lit(1), n), F.substring(item, F.length(item) - n + 1, n))))
+    return F.array_distinct(F.filter(F.concat(T.item_parts(item), F.when(plain, ends).otherwise(F.array().cast("array<string>"))), lambda k: F.length(k) >= 6))
 
-def candidates(hops: DataFrame) -> DataFrame:
-    """(session_id, hop, item, key, exact): the keys under which a hop's items may be known.
 
-    An item is known as itself or, if no item of the hop is, by a fragment: one of its parts, or
-    for items of letters and digits a proper prefix or suffix of six or more.
+def known(hops: DataFrame) -> DataFrame:
+    """(session_id, hop, item, key, exact, supplied, plain, designated): the keys that a hop's items
+    ask for, with what was known of them before it: whether a user or system hop had them, and the
+    first plain and first designated untrusted (hop, source).  Keys never seen before are left out.
     """
-    rows = hops.select("session_id", "hop", F.explode("items").alias("item"))
-    plain = F.col("item").rlike("^[A-Za-z0-9]+$") & (F.length("item") > 6)
-    ends = F.flatten(
-        F.transform(F.sequence(F.lit(6), F.greatest(F.lit(6), F.length("item") - 1)), lambda n: F.array(F.substring("item", F.lit(1), n), F.substring("item", F.length("item") - n + 1, n)))
-    )
-    fragments = F.filter(F.concat(T.item_parts(F.col("item")), F.when(plain, ends).otherwise(F.array().cast("array<string>"))), lambda k: F.length(k) >= 6)
-    exact = rows.select("*", F.col("item").alias("key"), F.lit(True).alias("exact"))
-    return exact.unionByName(rows.select("*", F.explode(F.array_distinct(fragments)).alias("key"), F.lit(False).alias("exact")))
 
+    def entry(key, item=None, exact=None):
+        return F.struct(key.alias("key"), (F.lit(None).cast("string") if item is None else item).alias("item"), F.lit(exact).cast("boolean").alias("exact"))
 
-def known(hops: DataFrame) -> DataFrame:
-    """Candidates with the part of their origins that lies before the hop; keys first seen in
-    plain or designated untrusted data only."""
-    found = candidates(hops).join(origins(registered(hops)), ["session_id", "key"])
-    before = F.filter("designated", lambda d: d["hop"] < F.col("hop"))
-    found = found.select(
-        "session_id", "hop", "item", "key", "exact", (F.coalesce(F.col("trusted_hop") < F.col("hop"), F.lit(False))).alias("supplied"),
-        F.when(F.col("plain.hop") < F.col("hop"), F.col("plain")).alias("plain"), before.alias("designated"),
-    )
-    return found.where(F.col("plain").isNotNull() | (F.size("designated") > 0))
+    kind = _kind()
+    makes = F.when(kind.isNotNull(), F.transform(known_keys(), lambda k: entry(k))).otherwise(F.array())
+    asks = F.flatten(F.transform("items", lambda i: F.concat(F.array(entry(i, i, True)), F.transform(fragments(i), lambda k: entry(k, i, False)))))
+    rows = hops.select("session_id", "hop", "source", kind.alias("kind"), F.explode(F.concat(makes, asks)).alias("e")).select("session_id", "hop", "source", "kind", "e.*")
+    before = Window.partitionBy("session_id", "key").orderBy("hop").rangeBetween(Window.unboundedPreceding, -1)
+
+    def first(of, what):
+        return F.min(F.when(F.col("item").isNull() & (F.col("kind") == of), what)).over(before)
+
+    at = F.struct("hop", "source")
+    rows = rows.select("*", first("trusted", F.col("hop")).isNotNull().alias("supplied"), first("plain", at).alias("plain"), first("designated", at).alias("designated"))
+    rows = rows.where("item is not null and (supplied or plain is not null or designated is not null)")
+    return rows.select("session_id", "hop", "item", "key", "exact", "supplied", "plain", "designated")
 
 
 def tainted_items(hops: DataFrame) -> DataFrame:
     """(session_id, hop, item, origin_hop, origin_source): items first seen in untrusted data and
     never supplied by a user or system hop (designation aside)."""
     rows = known(hops).where("exact and not supplied")
-    first = F.array_min(F.concat(F.filter(F.array("plain"), lambda p: p.isNotNull()), "designated"))
+    first = F.least("plain", "designated")
     return rows.select("session_id", "hop", "item", first["hop"].alias("origin_hop"), first["source"].alias("origin_source"))
 
 
 def fragment_items(hops: DataFrame) -> DataFrame:
-    """(session_id, hop, item, key): items met only through a fragment."""
-    rows = known(hops).where("not supplied")
-    whole = rows.where("exact").select("session_id", "hop").distinct()
-    loose = rows.where("not exact").join(whole, ["session_id", "hop"], "left_anti")
-    return loose.select("session_id", "hop", "item", "key").distinct()
+    """(session_id, hop, item, key): of hops without a tainted item, the items met only through a
+    fragment; items that a user or system hop had supplied are not."""
+    mine, item = Window.partitionBy("session_id", "hop"), Window.partitionBy("session_id", "hop", "item")
+    rows = known(hops).select("*", F.max(F.col("exact") & ~F.col("supplied")).over(mine).alias("_whole"), F.max(F.col("exact") & F.col("supplied")).over(item).alias("_given"))
+    return rows.where("not (exact or supplied or _whole or _given)").select("session_id", "hop", "item", "key").distinct()
 
 
 def carriers(hops: DataFrame, marked: DataFrame) -> DataFrame:
     """The path of each marked (session_id, hop, item, origin_hop): every hop of the last 64 that
-    carried the item from its origin on, then the action itself."""
-    uses = hops.select("session_id", F.col("hop").alias("at"), F.explode("items").alias("item"), "role", "source", "target")
-    path = marked.join(uses, ["session_id", "item"]).where(f"at >= origin_hop and at < hop and at >= hop - {V.WINDOW_HOPS}")
+    carried the item from its origin on, then the action itself.
+
+    Hops are matched in blocks of 64: a hop's window lies in its own block and the one before.
+    """
+    block = f"hop div {V.WINDOW_HOPS}"
+    uses = hops.select("session_id", F.col("hop").alias("at"), F.expr(block).alias("_block"), F.explode("items").alias("item"))
+    near = marked.withColumn("_block", F.explode(F.array(F.expr(block), F.expr(f"{block} - 1"))))
+    path = near.join(uses, ["session_id", "item", "_block"]).where(f"at >= origin_hop and at < hop and at >= hop - {V.WINDOW_HOPS}")
     path = path.select("session_id", "hop", "item", "at", F.when(F.col("at") == F.col("origin_hop"), "origin").otherwise("relay").alias("kind"))
     return path.unionByName(marked.select("session_id", "hop", "item", F.col("hop").alias("at"), F.lit("action").alias("kind")))

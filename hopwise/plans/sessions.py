@@ -15,7 +15,7 @@ from hopwise.sources.hops import CONV_SQL, EV_SQL, conv_hops, ev_hops
 
 EV, CONV = f"WITH {EV_SQL}", f"WITH {CONV_SQL}"
 PRE, SIG, KNOWN = f"{EV}, {S.PREFIX}", f"{EV}, {S.PREFIX}", f"{EV}, {S.PREFIX}, {S.ORIGINS}"
-VER = f"WITH RECURSIVE {EV_SQL}, {S.PREFIX}, {S.ORIGINS}, {S.VERDICTS}"
+VER = f"WITH RECURSIVE {EV_SQL}, {S.PREFIX}, {S.ORIGINS}, {S.verdicts()}"
 #: Verdicts from static signals: what the log queries run on, without the fold.
 STATIC = f"{SIG}, log AS (SELECT *, session_id * 100000 + hop AS id, (1 - 0.9 * instruction) * (1 - 0.5 * instruction) * (1 - 0.15 * drift) * (1 - 0.15 * behaviour) AS trust FROM sig), vlog AS (SELECT *, {S.tier('trust')} AS tier FROM log)"
 
@@ -77,30 +77,32 @@ def _bucket(drift, mutating):
     return F.when(~mutating, "n/a").when(drift < 0.15, "low").when(drift < 0.5, "medium").otherwise("high")
 
 
-def _session_signals(spark, d) -> DataFrame:
-    rows = signalled(spark, d)
-    tainted = provenance.tainted_items(rows).select("session_id", "hop", F.concat("item", F.lit("<-hop"), "origin_hop", F.lit(" "), "origin_source").alias("reuse"))
-    tainted = tainted.groupBy("session_id", "hop").agg(F.slice(F.array_sort(F.collect_list("reuse")), 1, 3).alias("reuse"))
-    said = provenance.registered(rows).where("kind = 'trusted'").groupBy("session_id", "key").agg(F.min("hop").alias("first"))
-    given = rows.select("session_id", "hop", F.explode("items").alias("key")).join(said, ["session_id", "key"]).where("first < hop")
-    given = given.groupBy("session_id", "hop").agg(F.slice(F.array_sort(F.collect_list("key")), 1, 3).alias("trusted"))
-    rows = rows.join(tainted, ["session_id", "hop"], "left").join(given, ["session_id", "hop"], "left")
-    unrequested = F.when(~F.col("mutating"), "n/a").when(F.col("trusted").isNotNull() | ~F.col("verb_unasked"), "no").otherwise("yes")
+#: Columns of the fold's input that signals and reasons are made of.
+_MORE = ("source", "target", "tool_name", "drift", "cues", "claims", "echo", "mutating", "verb_unasked", "cue_count", "outbound", "new_tool", "long_message")
+
+
+def session_signal_columns(judged: DataFrame) -> DataFrame:
+    """The session signals of every judged hop, as they stood before it, in words and small numbers."""
+    reuse = F.slice(F.transform("reused", lambda r: F.concat(r["key"], F.lit("<-hop"), r["hop"], F.lit(" "), r["source"])), 1, 3)
+    unrequested = F.when(~F.col("mutating"), "n/a").when((F.size("given") > 0) | ~F.col("verb_unasked"), "no").otherwise("yes")
     behaviour = F.when(F.col("behaviour") == 0, "normal").when(F.col("behaviour") >= 0.8, "new_outbound_tool").otherwise("new_tool_or_long_message")
-    none = F.array().cast("array<string>")
-    return rows.select(
+    return judged.select(
         "session_id", "hop", _bucket(F.col("drift"), F.col("mutating")).alias("drift"), F.least(F.lit(3), "cues").alias("cues"), F.least(F.lit(3), "claims").alias("claims"),
-        F.coalesce("reuse", none).alias("reuse"), F.coalesce("trusted", none).alias("trusted"), unrequested.alias("unrequested"), F.least(F.lit(3), "echo").alias("echo"), behaviour.alias("behaviour"),
+        reuse.alias("reuse"), F.slice("given", 1, 3).alias("trusted"), unrequested.alias("unrequested"), F.least(F.lit(3), "echo").alias("echo"), behaviour.alias("behaviour"),
     )
 
 
-_SIGNALS = f"""{KNOWN}, tn AS (SELECT session_id, hop, item, list_min(list_concat(list_filter([plain_hop], lambda p: p IS NOT NULL), named)) AS origin, plain_hop, plain_source, named, named_sources FROM kn WHERE exact AND NOT supplied AND (plain_hop IS NOT NULL OR len(named) > 0)
-), ts AS (SELECT session_id, hop, list(item || '<-hop' || origin || ' ' || CASE WHEN origin = plain_hop THEN plain_source ELSE named_sources[1] END ORDER BY item)[1:3] AS reuse FROM tn GROUP BY 1, 2
-), gv AS (SELECT session_id, hop, list(item ORDER BY item)[1:3] AS trusted FROM kn WHERE exact AND supplied GROUP BY 1, 2
-), ss AS (SELECT sig.session_id, sig.hop, CASE WHEN NOT mutating THEN 'n/a' WHEN drift < 0.15 THEN 'low' WHEN drift < 0.5 THEN 'medium' ELSE 'high' END AS drift, least(3, cues) AS cues, least(3, claims) AS claims,
-  coalesce(reuse, CAST([] AS VARCHAR[])) AS reuse, coalesce(trusted, CAST([] AS VARCHAR[])) AS trusted, CASE WHEN NOT mutating THEN 'n/a' WHEN trusted IS NOT NULL OR NOT verb_unasked THEN 'no' ELSE 'yes' END AS unrequested, least(3, echo) AS echo,
-  CASE WHEN behaviour = 0 THEN 'normal' WHEN behaviour >= 0.8 THEN 'new_outbound_tool' ELSE 'new_tool_or_long_message' END AS behaviour
-  FROM sig LEFT JOIN ts ON ts.session_id = sig.session_id AND ts.hop = sig.hop LEFT JOIN gv ON gv.session_id = sig.session_id AND gv.hop = sig.hop)"""
+def _session_signals(spark, d) -> DataFrame:
+    return session_signal_columns(fold.verdicts(events_hops(spark, d), more=_MORE))
+
+
+_SS = """rr AS (SELECT session_id, hop, unnest(reused) AS u FROM ver
+), rs AS (SELECT rr.session_id, rr.hop, list(u.key || '<-hop' || u.hop || ' ' || o.source ORDER BY u.key)[1:3] AS reuse FROM rr JOIN sig o ON o.session_id = rr.session_id AND o.hop = u.hop GROUP BY 1, 2
+), ss AS (SELECT sig.session_id, sig.hop, CASE WHEN NOT mutating THEN 'n/a' WHEN sig.drift < 0.15 THEN 'low' WHEN sig.drift < 0.5 THEN 'medium' ELSE 'high' END AS drift, least(3, cues) AS cues, least(3, claims) AS claims,
+  coalesce(reuse, CAST([] AS VARCHAR[])) AS reuse, given[1:3] AS trusted, CASE WHEN NOT mutating THEN 'n/a' WHEN len(given) > 0 OR NOT verb_unasked THEN 'no' ELSE 'yes' END AS unrequested, least(3, echo) AS echo,
+  CASE WHEN sig.behaviour = 0 THEN 'normal' WHEN sig.behaviour >= 0.8 THEN 'new_outbound_tool' ELSE 'new_tool_or_long_message' END AS behaviour
+  FROM sig JOIN ver ON ver.session_id = sig.session_id AND ver.hop = sig.hop LEFT JOIN rs ON rs.session_id = sig.session_id AND rs.hop = sig.hop)"""
+_SIGNALS = f"{VER}, {_SS}"
 _RENDERED = """'drift=' || drift || ' | untrusted_cues=' || cues || ' | authority_claims=' || claims || ' | untrusted_item_reuse=' || coalesce(nullif(array_to_string(reuse, '; '), ''), 'none') ||
   ' | user_supplied_items=' || coalesce(nullif(array_to_string(trusted, '; '), ''), 'none') || ' | unrequested_action=' || unrequested || ' | claim_echo=' || echo || ' | behaviour=' || behaviour"""
 
@@ -112,6 +114,12 @@ def session_signals(spark, d):
 
 @query(f"{_SIGNALS} SELECT session_id, hop, {_RENDERED} AS line FROM ss")
 def render_signals(spark, d):
+    return signal_lines(_session_signals(spark, d))
+
+
+def signal_lines(signals: DataFrame) -> DataFrame:
+    """(session_id, hop, line): the signals as one line that a scorer reads."""
+
     def listed(c):
         return F.coalesce(F.nullif(F.array_join(c, "; "), F.lit("")), F.lit("none"))
 
@@ -119,7 +127,7 @@ def render_signals(spark, d):
         F.lit("drift="), "drift", F.lit(" | untrusted_cues="), "cues", F.lit(" | authority_claims="), "claims", F.lit(" | untrusted_item_reuse="), listed("reuse"),
         F.lit(" | user_supplied_items="), listed("trusted"), F.lit(" | unrequested_action="), "unrequested", F.lit(" | claim_echo="), "echo", F.lit(" | behaviour="), "behaviour",
     )
-    return _session_signals(spark, d).select("session_id", "hop", line.alias("line"))
+    return signals.select("session_id", "hop", line.alias("line"))
 
 
 _HISTORY = """past AS (SELECT *, list({'hop': hop, 'role': role}) OVER (PARTITION BY session_id ORDER BY hop ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING) AS p FROM %s
@@ -134,25 +142,72 @@ def history_context(spark, d):
     return prefix.history(events_hops(spark, d)).select("session_id", "hop", F.array_join(F.transform("history", lambda h: h.cast("string")), ",").alias("history"))
 
 
-@query(
-    f"""{CONV}, c2 AS (SELECT *, CAST(NULL AS VARCHAR) AS tool_name, CAST(NULL AS VARCHAR) AS tool_call FROM conv), {_HISTORY % 'c2'}
-, lines AS (SELECT session_id, hop AS h, role AS r, {_render_sql(V.CONTEXT_CHARS, V.CONTEXT_CHARS)} AS short FROM c2
+#: Headings of the scorer's text.
+TITLES = ("CURRENT EVENT", "SESSION SIGNALS", "SESSION HISTORY")
+_GAP = "chr(10) || chr(10)"
+_SCORER = f"""WITH RECURSIVE {CONV_SQL}, {S.PREFIX}, {S.ORIGINS}, {S.verdicts()}, {_SS}, lt AS (SELECT session_id AS ls, hop AS lh, {_RENDERED} AS line FROM ss), {_HISTORY % 'ev'}
+, lines AS (SELECT session_id, hop AS h, role AS r, {_render_sql(V.CONTEXT_CHARS, V.CONTEXT_CHARS)} AS short FROM ev
 ), ah AS (SELECT session_id, hop, unnest(history) AS h FROM his
 ), js AS (SELECT ah.session_id, ah.hop, ah.h, r, short, min(CASE WHEN r = 'user' THEN ah.h END) OVER (PARTITION BY ah.session_id, ah.hop) AS goal FROM ah JOIN lines ON ah.session_id = lines.session_id AND ah.h = lines.h
-), ctx AS (SELECT session_id, hop, string_agg(short, chr(10) || chr(10) ORDER BY CASE WHEN h = goal THEN 0 ELSE 1 END, h DESC) AS context FROM js GROUP BY 1, 2)
-SELECT session_id, hop, 'MAPIS CURRENT EVENT' || chr(10) || chr(10) || {_render_sql(None, V.CALL_CHARS)} || CASE WHEN context IS NULL THEN '' ELSE chr(10) || chr(10) || 'MAPIS SESSION HISTORY' || chr(10) || chr(10) || context END AS text
-FROM his LEFT JOIN (SELECT session_id AS cs, hop AS ch, context FROM ctx) ON session_id = cs AND hop = ch"""
-)
-def build_text(spark, d):
-    """The scorer's text: the event first, then the goal and the rest of the history, newest first."""
-    rows = prefix.history(conv_hops(read(spark, d, "conversations")))
+), ctx AS (SELECT session_id, hop, string_agg(short, {_GAP} ORDER BY CASE WHEN h = goal THEN 0 ELSE 1 END, h DESC) AS context FROM js GROUP BY 1, 2
+), bt AS (SELECT his.*, context, line FROM his JOIN lt ON his.session_id = ls AND his.hop = lh LEFT JOIN (SELECT session_id AS cs, hop AS ch, context FROM ctx) ON his.session_id = cs AND his.hop = ch)"""
+_TEXT = f"""'{TITLES[0]}' || {_GAP} || {_render_sql(None, V.CALL_CHARS)} || {_GAP} || '{TITLES[1]}' || {_GAP} || line || CASE WHEN context IS NULL THEN '' ELSE {_GAP} || '{TITLES[2]}' || {_GAP} || context END"""
+
+
+def scorer_texts(hops: DataFrame, signals: DataFrame | None, titles=TITLES) -> DataFrame:
+    """(session_id, hop, chunk, text): what a scorer reads, one text for each chunk of a hop.
+
+    The chunk comes first, then the session's signals, the goal and the rest of the history,
+    newest first.  A hop of one chunk is rendered whole; of several, each stands for its content.
+    Without ``signals`` the text is the stateless view, the event alone.
+    """
+    rows = prefix.history(hops).withColumn("_spans", T.chunk_spans(F.length("event_text")))
+    pieces = rows.select("*", F.posexplode("_spans").alias("chunk", "_span")).withColumn("_whole", F.size("_spans") == 1)
+    part = F.substring("event_text", F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start"))
+    own = {c: F.when(F.col("_whole"), F.col(c)).otherwise(x) for c, x in (("content", part), ("content_state", F.lit("text")), ("tool_response", F.lit(None).cast("string")))}
+    event = T.render_hop(lambda c: own.get(c, F.col(c)))
+    key = ["session_id", "hop"]
+    if signals is None:
+        return pieces.select(*key, "chunk", F.concat_ws("\n\n", F.lit(titles[0]), event).alias("text"))
     lines = rows.select("session_id", F.col("hop").alias("h"), F.col("role").alias("r"), T.render_hop(F.col, V.CONTEXT_CHARS).alias("short"))
-    at = rows.select("session_id", "hop", F.explode("history").alias("h")).join(lines, ["session_id", "h"])
-    goal = F.min(F.when(F.col("r") == "user", F.col("h"))).over(Window.partitionBy("session_id", "hop"))
+    at = rows.select(*key, F.explode("history").alias("h")).join(lines, ["session_id", "h"])
+    goal = F.min(F.when(F.col("r") == "user", F.col("h"))).over(Window.partitionBy(*key))
     at = at.withColumn("order", F.when(F.col("h") == goal, F.lit(-1 << 30)).otherwise(-F.col("h")))
-    context = at.groupBy("session_id", "hop").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "short"))), lambda x: x["short"]), "\n\n").alias("context"))
-    text = F.concat_ws("\n\n", F.lit("MAPIS CURRENT EVENT"), T.render_hop(F.col), F.when(F.col("context").isNotNull(), F.concat(F.lit("MAPIS SESSION HISTORY\n\n"), "context")))
-    return rows.join(context, ["session_id", "hop"], "left").select("session_id", "hop", text.alias("text"))
+    context = at.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "short"))), lambda x: x["short"]), "\n\n").alias("context"))
+    told = signal_lines(signals).join(context, key, "left").withColumn("_after", F.concat_ws("\n\n", F.lit(titles[1]), "line", F.when(F.col("context").isNotNull(), F.lit(titles[2])), "context"))
+    return pieces.join(told.select(*key, "_after"), key).select(*key, "chunk", F.concat_ws("\n\n", F.lit(titles[0]), event, "_after").alias("text"))
+
+
+def _scorer_texts(spark, d) -> DataFrame:
+    hops = conv_hops(read(spark, d, "conversations"))
+    return scorer_texts(hops, session_signal_columns(fold.verdicts(hops, more=_MORE)))
+
+
+@query(f"{_SCORER} SELECT session_id, hop, {_TEXT} AS text FROM bt WHERE length(event_text) <= {V.CHUNK_CHARS}")
+def build_text(spark, d):
+    """The scorer's text of events that need no chunks."""
+    hops = conv_hops(read(spark, d, "conversations")).where(F.length("event_text") <= V.CHUNK_CHARS).select("session_id", "hop")
+    return _scorer_texts(spark, d).join(hops, ["session_id", "hop"], "left_semi").select("session_id", "hop", "text")
+
+
+_CHUNK = f"CASE WHEN length(event_text) <= {V.CHUNK_CHARS} THEN [0] ELSE list_append(range(0, length(event_text) - {V.CHUNK_CHARS}, {V.CHUNK_STRIDE}), length(event_text) - {V.CHUNK_CHARS}) END"
+
+
+@query(f"""{_SCORER}, ct AS (SELECT *, CAST(unnest(range(len(st))) AS INTEGER) AS chunk, unnest(st) AS s FROM (SELECT *, {_CHUNK} AS st FROM bt))
+, cp AS (SELECT * REPLACE (CASE WHEN len(st) = 1 THEN content ELSE substr(event_text, CAST(s + 1 AS BIGINT), {V.CHUNK_CHARS}) END AS content, CASE WHEN len(st) = 1 THEN content_state ELSE 'text' END AS content_state) FROM ct)
+SELECT session_id, hop, chunk, sha256({_TEXT}) AS text_sha256 FROM cp""")
+def build_texts(spark, d):
+    return _scorer_texts(spark, d).select("session_id", "hop", "chunk", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"""WITH {CONV_SQL}, c AS (SELECT session_id, hop, role, event_text, unnest(st) AS s, CAST(unnest(range(len(st))) AS INTEGER) AS chunk, len(st) AS n FROM (SELECT *, {_CHUNK} AS st FROM ev)
+), r AS (SELECT *, CASE WHEN role IN ('user', 'system') THEN NULL ELSE 1.0 - 0.9 * {S.instruction(f"substr(event_text, CAST(s + 1 AS BIGINT), {V.CHUNK_CHARS})")} END AS t FROM c)
+SELECT session_id, hop, CAST(n AS INTEGER) AS n_chunks, round(min(t), 6) AS model_trust, arg_min(chunk, (t, chunk)) AS worst FROM r GROUP BY session_id, hop, n""")
+def chunk_scored(spark, d):
+    """The scorer slot: any column of trust over chunk texts, here the rule detector; an event is
+    as trustworthy as its worst chunk."""
+    hops = conv_hops(read(spark, d, "conversations"))
+    return fold.chunk_scored(hops, lambda role, text: 1.0 - 0.9 * R.instruction_risk(role, text)).select("session_id", "hop", "n_chunks", F.round("model_trust", 6).alias("model_trust"), "worst")
 
 
 _SPANS = "CASE WHEN length(text) <= 900 THEN [0] ELSE list_append(range(0, length(text) - 900, 450), length(text) - 900) END"
@@ -240,7 +295,7 @@ def goal_drift(spark, d):
     return signalled(spark, d).select("session_id", "hop", "goal", F.round("drift", 6).alias("drift"), _bucket(F.col("drift"), F.col("mutating")).alias("bucket"))
 
 
-@query(f"{KNOWN}, ok AS (SELECT session_id, hop, bool_or(supplied) AS given FROM kn WHERE exact GROUP BY 1, 2) SELECT sig.session_id, sig.hop, CASE WHEN mutating THEN NOT coalesce(given, false) AND verb_unasked END AS unrequested FROM sig LEFT JOIN ok ON ok.session_id = sig.session_id AND ok.hop = sig.hop")
+@query(f"{_SIGNALS} SELECT session_id, hop, CASE unrequested WHEN 'yes' THEN true WHEN 'no' THEN false END AS unrequested FROM ss")
 def unrequested_action(spark, d):
     s = _session_signals(spark, d)
     return s.select("session_id", "hop", F.when(F.col("unrequested") != "n/a", F.col("unrequested") == "yes").alias("unrequested"))
@@ -282,7 +337,7 @@ def tainted_items(spark, d):
     return provenance.tainted_items(signalled(spark, d))
 
 
-@query(f"{KNOWN} SELECT DISTINCT session_id, hop, item, key FROM kn WHERE NOT exact AND NOT supplied AND (plain_hop IS NOT NULL OR len(named) > 0) AND (session_id, hop) NOT IN (SELECT (session_id, hop) FROM kn WHERE exact AND NOT supplied AND (plain_hop IS NOT NULL OR len(named) > 0))")
+@query(f"{KNOWN} SELECT DISTINCT session_id, hop, item, key FROM kn WHERE NOT exact AND NOT supplied AND (plain_hop IS NOT NULL OR len(named) > 0) AND (session_id, hop) NOT IN (SELECT (session_id, hop) FROM kn WHERE exact AND NOT supplied AND (plain_hop IS NOT NULL OR len(named) > 0)) AND (session_id, hop, item) NOT IN (SELECT (session_id, hop, item) FROM kn WHERE exact AND supplied)")
 def fragment_taint(spark, d):
     return provenance.fragment_items(signalled(spark, d))
 
@@ -329,16 +384,51 @@ _FOLD = "session_id, hop, role, channel, tier, round(trust, 6) AS trust, round(p
 def verdict_fold(spark, d):
     """Flagship: the stateful verdict of every event."""
     rounded = {"trust": 6, "provenance": 4, "drift": 6, "sensitivity": 4}
-    cols = ["session_id", "hop", "role", "channel", "tier", *[F.round(c, n).alias(c) for c, n in rounded.items()], "behaviour", "instruction", "suspended", F.array_join("matches", ",").alias("matches")]
+    cols = ["session_id", "hop", "role", "channel", "tier", *[F.round(c, n).alias(c) for c, n in rounded.items()], "behaviour", "instruction", "suspended", F.array_join("matches.key", ",").alias("matches")]
     return fold.verdicts(events_hops(spark, d)).select(*cols)
 
 
-@query()
+_NONE = dict.fromkeys(V.WEIGHTS, 0.0)
+
+
+@query(f"WITH RECURSIVE {EV_SQL}, {S.PREFIX}, {S.ORIGINS}, {S.verdicts(_NONE)} SELECT session_id, hop, tier, round(trust, 6) AS trust FROM ver")
 def model_only_verdicts(spark, d):
     """The ablation without fused signals: the scorer, sensitivity and suspension alone."""
     return fold.verdicts(events_hops(spark, d), ()).select("session_id", "hop", "tier", F.round("trust", 6).alias("trust"))
 
 
+_FUSED = "sig.role NOT IN ('user', 'system') AND NOT shut"
+
+
+@query(f"""{VER}, mm AS (SELECT session_id, hop, unnest(reused) AS u FROM ver WHERE len(matches) > 0), ml AS (SELECT mm.session_id, mm.hop, list('''' || u.key || ''' first appeared in untrusted hop ' || u.hop || ' (' || o.source || ') and now reaches an action' ORDER BY u.key) AS why
+  FROM mm JOIN sig o ON o.session_id = mm.session_id AND o.hop = u.hop GROUP BY 1, 2
+), rz AS (SELECT sig.session_id, sig.hop, ver.tier, list_concat(list_concat([CASE WHEN shut THEN 'channel ' || channel || ' is suspended after an earlier BLOCK' END, CASE WHEN model_trust < {V.PASS_AT} THEN printf('classifier trust %.2f', model_trust) END,
+    CASE WHEN {_FUSED} AND cue_count > 0 THEN 'instruction-like text in a data channel (' || cue_count || ' cue(s))' END], coalesce(why, CAST([] AS VARCHAR[]))),
+  CASE WHEN {_FUSED} THEN [CASE WHEN claims > 0 AND mutating THEN CASE WHEN echo > 0 THEN 'action uses waiver wording (''' || CAST(echo AS INTEGER) || ''' term(s)) after untrusted content claimed an exemption'
+      WHEN verb_unasked AND len(given) = 0 THEN '''' || tool_name || ''' was never requested by the user, after untrusted content claimed an exemption' END END,
+    CASE WHEN coalesce(tool_name, '') <> '' AND agent_count >= 3 AND NOT tool_seen THEN source || CASE WHEN outbound THEN ' used outbound tool ''' || tool_name || ''' outside its baseline' ELSE ' used new tool ''' || tool_name || '''' END
+      WHEN agent_count >= 3 AND agent_chars > 0 AND length(coalesce(content, '')) * agent_count > 4 * agent_chars THEN source || ' message 4x longer than its usual' END,
+    CASE WHEN before > 0 THEN printf('session sensitivity +%.2f after earlier flags', before) END] ELSE CAST([] AS VARCHAR[]) END) AS reasons
+  FROM sig JOIN ver ON ver.session_id = sig.session_id AND ver.hop = sig.hop LEFT JOIN ml ON ml.session_id = sig.session_id AND ml.hop = sig.hop)
+SELECT session_id, hop, tier, array_to_string(list_filter(reasons, lambda r: r IS NOT NULL), ' | ') AS reasons FROM rz""")
+def verdict_reasons(spark, d):
+    judged = fold.verdicts(events_hops(spark, d), more=_MORE)
+    return judged.select("session_id", "hop", "tier", F.array_join(fold.reasons(), " | ").alias("reasons"))
+
+
+@query(f"""{VER}, lm AS (SELECT session_id, hop, list_last(matches) AS item, list_last(reused).hop AS origin_hop FROM ver WHERE tier <> 'PASS' AND len(matches) > 0), uses AS (SELECT session_id, hop AS at, unnest(items) AS item FROM sig)
+SELECT lm.session_id, lm.hop, u.at, CASE WHEN u.at = origin_hop THEN 'origin' ELSE 'relay' END AS kind, lm.item FROM lm JOIN uses u ON u.session_id = lm.session_id AND u.item = lm.item WHERE u.at >= origin_hop AND u.at < lm.hop AND u.at >= lm.hop - 64
+UNION ALL SELECT session_id, hop, hop, 'action', item FROM lm
+UNION ALL SELECT session_id, hop, hop, 'origin', NULL FROM ver WHERE tier <> 'PASS' AND len(matches) = 0""")
+def verdict_trace(spark, d):
+    """The forensic trace of every verdict but PASS: the path of its last match, else the hop alone."""
+    hops = events_hops(spark, d)
+    held = fold.verdicts(hops).where("tier <> 'PASS'").select("session_id", "hop", F.element_at("matches", -1).alias("m"), F.size("matches").alias("n"))
+    marked = held.where("n > 0").select("session_id", "hop", F.col("m.key").alias("item"), F.col("m.hop").alias("origin_hop"))
+    alone = held.where("n = 0").select("session_id", "hop", F.lit(None).cast("string").alias("item"), F.col("hop").alias("at"), F.lit("origin").alias("kind"))
+    return provenance.carriers(provenance.with_items(hops), marked).unionByName(alone)
+
+
 @query(f"{VER}, g AS (SELECT session_id, min(hop) FILTER (tier IN ('QUARANTINE', 'BLOCK')) AS stop FROM ver GROUP BY 1) SELECT ver.session_id, hop, tier FROM ver JOIN g ON g.session_id = ver.session_id WHERE stop IS NULL OR hop <= stop")
 def pipeline_gate(spark, d):
     """Events up to the first that is held; later ones are never produced."""
@@ -381,9 +471,9 @@ def session_trace(spark, d):
     return verdict_log.trace(log.join(first, "session_id", "left_semi")).select("id", "session_id", "hop", "tier")
 
 
-@query(f"{STATIC} SELECT id, CASE id % 3 WHEN 0 THEN 'released' WHEN 1 THEN 'rejected' ELSE 'open' END AS status FROM vlog WHERE tier = 'QUARANTINE'")
+@query(f"{VER} SELECT id, CASE id % 3 WHEN 0 THEN 'released' WHEN 1 THEN 'rejected' ELSE 'open' END AS status FROM (SELECT session_id * 100000 + hop AS id FROM ver WHERE tier = 'QUARANTINE')")
 def quarantine_review(spark, d):
-    log = static_log(spark, d)
+    log = fold.verdicts(events_hops(spark, d)).select((F.col("session_id") * 100000 + F.col("hop")).alias("id"), "tier")
     reviews = log.where("id % 3 < 2").select("id", F.when(F.col("id") % 3 == 0, "release").otherwise("reject").alias("action"), F.lit(1).alias("seq"))
     return verdict_log.reviewed(log, reviews).where("tier = 'QUARANTINE'").select("id", "status")
 

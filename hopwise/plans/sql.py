@@ -70,7 +70,8 @@ def item_parts(i: str) -> str:
 
 
 def call_strings(c: str) -> str:
-    return f"""regexp_extract_all(coalesce({c}, ''), {q(chr(34) + '((?:[^"' + chr(92) * 2 + ']|' + chr(92) * 2 + '.)*)"[,}' + chr(92) + ']]')}, 1)"""
+    pattern = r'"((?:[^"\\]|\\.)*)"\s*(?:[,}\]]|$)'
+    return f"regexp_extract_all(coalesce({c}, ''), {q(pattern)}, 1)"
 
 
 def cosine(a: str, b: str) -> str:
@@ -103,16 +104,16 @@ def echo() -> str:
 BEFORE = "(PARTITION BY session_id ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 PREFIX = f"""
-pre0 AS (SELECT *, {instruction()} AS instruction, {claims()} AS own_claims, {MUTATING} AS mutating, {OUTBOUND} AS outbound,
+pre0 AS (SELECT *, {instruction()} AS instruction, {claims()} AS own_claims, CASE WHEN {UNTRUSTED} THEN {hits('data_text', V.INSTRUCTION_CUES, 'is')} + CAST(regexp_matches(data_text, {q(V.HIDDEN_CHARACTERS)}) AS INTEGER) ELSE 0 END AS cue_count, {MUTATING} AS mutating, {OUTBOUND} AS outbound,
   CASE WHEN {TRUSTED} AND coalesce(content, '') <> '' THEN left(content, {V.GOAL_CHARS}) END AS named FROM ev
 ), pre AS (SELECT *, first(named IGNORE NULLS) OVER {BEFORE} AS goal,
   CAST(coalesce(sum(CAST(instruction > 0 AS INTEGER)) OVER {BEFORE}, 0) AS INTEGER) AS cues, CAST(coalesce(sum(own_claims) OVER {BEFORE}, 0) AS INTEGER) AS claims,
-  lag(role) OVER (PARTITION BY session_id ORDER BY hop) AS previous_role, lag(tool_call) OVER (PARTITION BY session_id ORDER BY hop) AS previous_call,
+  lag(role) OVER (PARTITION BY session_id ORDER BY hop) AS previous_role, lag(tool_call) OVER (PARTITION BY session_id ORDER BY hop) AS previous_call, lag(tool_calls) OVER (PARTITION BY session_id ORDER BY hop) AS previous_calls,
   CAST(count(*) OVER (PARTITION BY session_id, source ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS INTEGER) AS agent_count,
   CAST(coalesce(sum(length(coalesce(content, ''))) OVER (PARTITION BY session_id, source ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS agent_chars,
   count(*) OVER (PARTITION BY session_id, source, tool_name ORDER BY hop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 AS tool_seen FROM pre0
 ), sig0 AS (SELECT *,
-  coalesce({UNTRUSTED} AND previous_role = 'assistant' AND len(list_filter({call_strings('previous_call')}, lambda a: length(a) >= 4 AND contains(lower(goal), lower(a)))) > 0, false) AS designated,
+  coalesce({UNTRUSTED} AND previous_role = 'assistant' AND len(list_filter(list_concat({call_strings('previous_call')}, {call_strings('previous_calls')}), lambda a: length(a) >= 4 AND contains(lower(goal), lower(a)))) > 0, false) AS designated,
   CAST(greatest(CASE WHEN coalesce(tool_name, '') <> '' AND agent_count >= 3 AND NOT tool_seen THEN CASE WHEN outbound THEN 0.8 ELSE 0.3 END ELSE 0.0 END,
     CASE WHEN agent_count >= 3 AND agent_chars > 0 AND length(coalesce(content, '')) * agent_count > 4 * agent_chars THEN 0.3 ELSE 0.0 END) AS DOUBLE) AS behaviour,
   CAST(CASE WHEN mutating AND coalesce(goal, '') <> '' AND action_text <> '' THEN greatest(0.0, least(1.0, (0.35 - {cosine(tokens("coalesce(goal, '')"), tokens('action_text'))}) / 0.35)) ELSE 0.0 END AS DOUBLE) AS drift,
@@ -131,33 +132,34 @@ reg AS (SELECT session_id, hop, source, CASE WHEN {TRUSTED} THEN 'trusted' WHEN
 ), kn AS (SELECT c.session_id, c.hop, c.item, c.key, c.exact, coalesce(trusted_hop < c.hop, false) AS supplied, CASE WHEN plain_hop < c.hop THEN plain_hop END AS plain_hop,
   CASE WHEN plain_hop < c.hop THEN plain_source END AS plain_source, list_filter(named, lambda h: h < c.hop) AS named, named_sources FROM cand c JOIN org o ON c.session_id = o.session_id AND c.key = o.key)"""
 
-VERDICTS = f"""
+def verdicts(weights: dict = V.WEIGHTS) -> str:
+    return f"""
 ks AS (SELECT session_id, hop, list({{'item': item, 'key': key, 'exact': exact, 'supplied': supplied, 'plain': plain_hop, 'named': named}}) AS keys FROM kn WHERE supplied OR plain_hop IS NOT NULL OR len(named) > 0 GROUP BY 1, 2
 ), st AS (SELECT sig.session_id, sig.hop, role, source || '->' || target AS channel, instruction, drift, behaviour, echo, outbound, coalesce(claims > 0 AND verb_unasked, false) AS unasked,
   (role = 'assistant' AND action_text <> '') OR role = 'memory_write' AS acts, keys FROM sig LEFT JOIN ks ON sig.session_id = ks.session_id AND sig.hop = ks.hop
 ), run AS (
   SELECT session_id, 0 AS hop, CAST(NULL AS VARCHAR) AS role, CAST('' AS VARCHAR) AS channel, CAST(NULL AS DOUBLE) AS model_trust, CAST(0 AS DOUBLE) AS instruction, CAST(0 AS DOUBLE) AS drift,
-    CAST(0 AS DOUBLE) AS provenance, CAST(0 AS DOUBLE) AS behaviour, CAST(0 AS DOUBLE) AS before, CAST(1 AS DOUBLE) AS trust, false AS shut, CAST([] AS VARCHAR[]) AS matches,
+    CAST(0 AS DOUBLE) AS provenance, CAST(0 AS DOUBLE) AS behaviour, CAST(0 AS DOUBLE) AS before, CAST(1 AS DOUBLE) AS trust, false AS shut, CAST([] AS VARCHAR[]) AS matches, CAST([] AS STRUCT("key" VARCHAR, hop INTEGER)[]) AS reused, CAST([] AS VARCHAR[]) AS given,
     CAST(0 AS DOUBLE) AS sens, CAST([] AS VARCHAR[]) AS suspended, CAST([] AS DOUBLE[]) AS risks
   FROM (SELECT DISTINCT session_id FROM ev)
   UNION ALL
-  SELECT session_id, hop, role, channel, model_trust, instruction, drift, provenance, behaviour, before, trust, shut, matches,
+  SELECT session_id, hop, role, channel, model_trust, instruction, drift, provenance, behaviour, before, trust, shut, matches, CAST(list_sort(list_distinct(list_transform(hit, lambda k: {{'key': k.key, 'hop': k.origin}}))) AS STRUCT("key" VARCHAR, hop INTEGER)[]), given,
     CASE WHEN trust < {V.PASS_AT} THEN least({V.SENSITIVITY_CAP}, before + {V.SENSITIVITY_STEP}) ELSE before END,
     CASE WHEN trust < {V.QUARANTINE_AT} AND NOT list_contains(suspended, channel) THEN list_append(suspended, channel) ELSE suspended END, list_append(risks, 1.0 - trust)
   FROM (SELECT *, CAST(CASE WHEN anchor THEN 1.0 WHEN shut THEN 0.0 ELSE
-      1.0 - least(1.0, (1.0 - model_trust * (1.0 - {V.WEIGHTS['instruction']} * instruction) * (1.0 - {V.WEIGHTS['drift']} * drift) * (1.0 - {V.WEIGHTS['provenance']} * provenance) * (1.0 - {V.WEIGHTS['behaviour']} * behaviour)) * (1.0 + before)) END AS DOUBLE) AS trust
+      1.0 - least(1.0, (1.0 - model_trust * (1.0 - {weights['instruction']} * instruction) * (1.0 - {weights['drift']} * drift) * (1.0 - {weights['provenance']} * provenance) * (1.0 - {weights['behaviour']} * behaviour)) * (1.0 + before)) END AS DOUBLE) AS trust
     FROM (SELECT *, CAST(CASE WHEN anchor OR shut THEN 0.0 ELSE greatest(
         CASE WHEN len(matches) = 0 THEN 0.0 ELSE (CASE WHEN risky THEN 1.0 WHEN outbound THEN 0.9 ELSE 0.5 END) * (CASE WHEN role = 'memory_write' THEN 0.6 ELSE 1.0 END) END,
         CASE WHEN echo > 0 THEN 0.9 WHEN unasked AND len(list_filter(ts, lambda k: k.exact AND k.ok)) = 0 THEN 0.75 ELSE 0.0 END) END AS DOUBLE) AS provenance
       FROM (SELECT *, list_sort(list_distinct(list_transform(used, lambda k: k.key))) AS matches,
           len(list_filter(used, lambda k: round(risks[k.origin], 3) >= 0.25)) > 0 AS risky
-        FROM (SELECT *, CASE WHEN anchor OR shut OR NOT acts THEN list_filter(ts, lambda k: false) WHEN len(list_filter(ts, lambda k: k.exact AND NOT k.ok AND k.origin IS NOT NULL)) > 0
+        FROM (SELECT *, list_filter(hit, lambda k: acts AND NOT anchor AND NOT shut) AS used FROM (SELECT *, list_sort(list_distinct(list_transform(list_filter(ts, lambda k: k.exact AND k.ok), lambda k: k.item))) AS given, CASE WHEN len(list_filter(ts, lambda k: k.exact AND NOT k.ok AND k.origin IS NOT NULL)) > 0
               THEN list_filter(ts, lambda k: k.exact AND NOT k.ok AND k.origin IS NOT NULL)
-              ELSE list_filter(ts, lambda k: NOT k.exact AND NOT k.ok AND k.origin IS NOT NULL AND NOT list_contains(list_transform(list_filter(ts, lambda x: x.exact AND x.ok), lambda x: x.item), k.item)) END AS used
+              ELSE list_filter(ts, lambda k: NOT k.exact AND NOT k.ok AND k.origin IS NOT NULL AND NOT list_contains(list_transform(list_filter(ts, lambda x: x.exact AND x.ok), lambda x: x.item), k.item)) END AS hit
           FROM (SELECT st.session_id, st.hop, st.role, st.channel, CAST(CASE WHEN st.role IN ('user', 'system') OR list_contains(run.suspended, st.channel) THEN NULL ELSE 1.0 - 0.9 * st.instruction END AS DOUBLE) AS model_trust,
               st.instruction, st.drift, st.behaviour, st.echo, st.outbound, st.unasked, st.acts, run.sens AS before, run.suspended, run.risks,
               st.role IN ('user', 'system') AS anchor, st.role NOT IN ('user', 'system') AND list_contains(run.suspended, st.channel) AS shut,
               list_transform(coalesce(st.keys, []), lambda k: {{'item': k.item, 'key': k.key, 'exact': k.exact, 'ok': k.supplied OR len(list_filter(k.named, lambda h: run.risks[h] < 0.25)) > 0,
                 'origin': list_min(list_concat(list_filter([k.plain], lambda p: p IS NOT NULL), list_filter(k.named, lambda h: run.risks[h] >= 0.25)))}}) AS ts
-            FROM run JOIN st ON st.session_id = run.session_id AND st.hop = run.hop + 1)))))
+            FROM run JOIN st ON st.session_id = run.session_id AND st.hop = run.hop + 1))))))
 ), ver AS (SELECT *, {tier('trust')} AS tier FROM run WHERE hop > 0)"""

@@ -15,7 +15,7 @@ MESSAGE = (
 #: A benchmark session; what has mixed types in files stays JSON text.
 SESSION = (
     "sample_id string, source_dataset string, source_file string, source_record_id string, provenance string, split string, "
-    "is_attack boolean, source_label string, mapis_attack_class string, representation_type string, session_id string, "
+    "is_attack boolean, source_label string, attack_class string, representation_type string, session_id string, "
     f"benign_kind string, event_labels map<string,string>, completion_hop int, conversion_notes string, messages array<{MESSAGE}>, _bad string"
 )
 RUNTIME_ROLES = ("user", "assistant", "tool", "tool_response", "memory_read", "memory_write", "system")
@@ -86,14 +86,23 @@ def conv_hops(conversations: DataFrame) -> DataFrame:
     return normalised(rows)
 
 
-def read_sessions(spark: SparkSession, paths: list[str], split: str | None = None) -> DataFrame:
+def _session_schema(names: dict[str, str]) -> str:
+    return ", ".join(f"`{names.get(f.split()[0], f.split()[0])}` {f.split(maxsplit=1)[1]}" for f in SESSION.replace(MESSAGE, "MESSAGE").split(", ")).replace("MESSAGE", MESSAGE)
+
+
+def _renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.withColumnsRenamed({there: here for here, there in names.items()})
+
+
+def read_sessions(spark: SparkSession, paths: list[str], split: str | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """Session files in JSON lines, existing paths in order, blank lines skipped; damaged lines
-    keep their text in ``_bad``."""
+    keep their text in ``_bad``.  ``names`` gives the files' names of fields that are called
+    otherwise there.  A session outside ``split`` is left out; without one all are read."""
     hadoop = spark._jsc.hadoopConfiguration()
     there = [p for p in paths if spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(hadoop).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
     if not there:
         return spark.createDataFrame([], SESSION)
-    rows = spark.read.schema(SESSION).option("columnNameOfCorruptRecord", "_bad").json(there)
+    rows = _renamed(spark.read.schema(_session_schema(names or {})).option("columnNameOfCorruptRecord", "_bad").json(there), names or {})
     return rows.where(F.col("split") == split) if split else rows
 
 
@@ -141,6 +150,9 @@ ev0 AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FRO
   concat_ws(' ', nullif(tool_name, ''), nullif(tool_call, ''), nullif(tool_calls, '')) AS action_text,
   coalesce(content, '') || ' ' || coalesce(tool_response, '') || ' ' || concat_ws(' ', nullif(tool_name, ''), nullif(tool_call, ''), nullif(tool_calls, '')) AS hop_text FROM ev2)"""
 
-CONV_SQL = """
+_EV = EV_SQL[EV_SQL.index("), ev AS (") :].removesuffix(" FROM ev2)")
+
+CONV_SQL = f"""
 conv AS (SELECT conv_id AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS hop, role, role AS source, 'agent' AS target, text AS content,
-  CASE WHEN role = 'assistant' AND text IS NULL THEN 'null_assistant_tool_call' WHEN text = '' THEN 'empty' WHEN text IS NOT NULL THEN 'text' ELSE 'null' END AS content_state FROM conversations)"""
+  CAST(NULL AS VARCHAR) AS tool_name, CAST(NULL AS VARCHAR) AS tool_call, CAST(NULL AS VARCHAR) AS tool_calls, CAST(NULL AS VARCHAR) AS tool_response FROM conversations
+{_EV} FROM conv)"""

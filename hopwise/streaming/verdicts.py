@@ -1,17 +1,17 @@
 """The verdict fold on a stream: keyed state in Structured Streaming.
 
 Text work is done in columns before the shuffle; the keyed operator carries a session's state
-(goal, counts, tools, known keys, and the fold's own Session) and judges events in hop order
-inside each micro-batch.  State expires after an hour without events.  An event that comes with
-a hop number already judged is late and is dropped, as verdicts are never revised.
+and judges events in hop order inside each micro-batch.  What is known of a key lies in a map of
+the state store, of which a micro-batch reads and writes only the keys it meets; goal, counts and
+the fold's own Session are one small value.  State expires after an hour without events.  An
+event that comes with a hop number already judged is late and is dropped, as verdicts are never
+revised.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from types import SimpleNamespace
 
@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from hopwise.functions import risk as R
 from hopwise.functions import text as T
 from hopwise.functions import vocabulary as V
+from hopwise.operators import provenance
 from hopwise.operators.fold import SIGNALS, Session
 
 VERDICT = "session_id long, hop int, role string, channel string, tier string, trust double, provenance double, drift double, behaviour double, instruction double, suspended boolean, matches string"
@@ -32,7 +33,7 @@ TTL_MS = 3_600_000
 def stateless(hops: DataFrame) -> DataFrame:
     """Everything about a hop that needs no other hop."""
     role, tool, action = F.col("role"), F.col("tool_name"), F.col("action_text")
-    rows = hops.withColumn("canonical", T.canonical(F.col("hop_text"))).withColumn("items", T.indicators(F.col("canonical")))
+    rows = provenance.with_items(hops)
     words = F.create_map(*[x for v in dict.fromkeys(V.MUTATING_VERBS) for x in (F.lit(v), F.array(*map(F.lit, V.words_for(v))))])
     none = F.array().cast("array<string>")
     stems = F.filter(F.array(*map(F.lit, V.CLAIM_STEMS)), lambda s: F.contains(F.lower(action), s))
@@ -40,106 +41,124 @@ def stateless(hops: DataFrame) -> DataFrame:
         "session_id", "hop", "role", "source", F.concat("source", F.lit("->"), "target").alias("channel"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce(tool, F.lit("")).alias("tool_name"), action.alias("action"),
         R.instruction_risk(role, F.col("data_text")).alias("instruction"), R.authority_claims(role, F.col("data_text")).alias("own_claims"), R.is_mutating(role, tool).alias("mutating"), R.is_outbound(tool).alias("outbound"),
         F.coalesce(words[R.mutating_verb(tool)], none).alias("words"), stems.alias("stems"), R.tokens(action).alias("tokens"), "items",
-        F.array_distinct(F.concat("items", T.text_parts(F.col("canonical")), F.flatten(F.transform("items", T.item_parts)))).alias("known"),
-        F.transform("items", T.item_parts).alias("parts"), T.call_strings(F.col("tool_call")).alias("strings"),
+        provenance.known_keys().alias("known"), F.transform("items", provenance.fragments).alias("fragments"),
+        F.concat(T.call_strings(F.col("tool_call")), T.call_strings(F.col("tool_calls"))).alias("strings"),
     )
 
 
-def _cosine(a: Counter, b: Counter) -> float:
-    norm = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
-    return sum(a[t] * b[t] for t in a.keys() & b.keys()) / norm if norm else 0.0
+#: What is known of a key: see ``_Keys``.
+_ENTRY = "supplied boolean, hop int, source string, risk double, safe boolean, doubt_hop int, doubt_source string, doubt_risk double"
+
+
+class _Keys:
+    """What a session knows of its keys, read from the store when first met and written back once.
+
+    An entry tells whether a user or system hop had the key, its first plain untrusted hop with
+    its source and risk, whether a designated hop without risk had it, and the first designated
+    one with risk.  Reading an entry restores what the fold knows of it.
+    """
+
+    def __init__(self, fold: Session, stored=None):
+        self.fold, self.stored, self.met, self.changed = fold, stored, {}, set()
+
+    def entry(self, key: str) -> list | None:
+        if key not in self.met:
+            found = self.stored is not None and self.stored.containsKey((key,))
+            self.met[key] = list(self.stored.getValue((key,))) if found else None
+            if found:
+                _, hop, _, risk, safe, doubt_hop, doubt_source, doubt_risk = self.met[key]
+                self.fold.risks.update({h: r for h, r in ((hop, risk), (doubt_hop, doubt_risk)) if h is not None})
+                if safe:
+                    self.fold.safe.add(key)
+                if doubt_hop is not None:
+                    self.fold.doubtful[key] = (doubt_hop, doubt_source)
+        return self.met[key]
+
+    def learn(self, row, named: bool) -> None:
+        """Take in a judged hop's keys."""
+        trusted = row.role in V.TRUSTED_ROLES
+        for key in row.known if trusted or row.role in V.UNTRUSTED_ROLES else ():
+            e = self.entry(key) or [False, None, None, None, False, None, None, None]
+            if trusted:
+                e[0] = True
+            elif named:
+                e[4] = key in self.fold.safe
+                if key in self.fold.doubtful:
+                    e[5:] = [*self.fold.doubtful[key], self.fold.risks[self.fold.doubtful[key][0]]]
+            elif e[1] is None:
+                e[1:4] = [row.hop, row.source, self.fold.risks[row.hop]]
+            self.met[key] = e
+            self.changed.add(key)
+
+    def write(self) -> None:
+        for key in self.changed:
+            self.stored.updateValue((key,), tuple(self.met[key]))
 
 
 class SessionState:
-    """One session between two events, as plain data that goes into the state store."""
+    """One session between two events."""
 
-    def __init__(self, saved: str | None = None):
+    def __init__(self, saved: str | None = None, stored=None):
         s = json.loads(saved) if saved else {}
         self.goal, self.claims, self.last, self.previous = s.get("goal"), s.get("claims", 0), s.get("last", 0), s.get("previous")
-        self.tools, self.lens, self.known = s.get("tools", {}), s.get("lens", {}), s.get("known", {})
+        self.agents = s.get("agents", {})  # by source: [messages, characters, tools]
         self.fold = Session(SIGNALS)
         self.fold.sensitivity, self.fold.suspended = s.get("sensitivity", 0.0), set(s.get("suspended", []))
-        self.fold.risks = {int(k): v for k, v in s.get("risks", {}).items()}
+        self.keys = _Keys(self.fold, stored)
 
     def saved(self) -> str:
-        kept = {h for k in self.known.values() for h in ([k["plain"]] if k["plain"] is not None else []) + k["designated"]}
-        return json.dumps(
-            {
-                "goal": self.goal, "claims": self.claims, "last": self.last, "previous": self.previous, "tools": self.tools, "lens": self.lens, "known": self.known,
-                "sensitivity": self.fold.sensitivity, "suspended": sorted(self.fold.suspended), "risks": {h: r for h, r in self.fold.risks.items() if h in kept},
-            }
-        )
+        own = {c: getattr(self, c) for c in ("goal", "claims", "last", "previous", "agents")}
+        return json.dumps(own | {"sensitivity": self.fold.sensitivity, "suspended": sorted(self.fold.suspended)})
 
-    def _keys(self, row) -> list[dict]:
+    def _asked(self, row) -> list[dict]:
         out = []
-        for item, parts in zip(row.items_, row.parts):
-            names = [(item, True)]
-            loose = {p for p in parts if len(p) >= 6}
-            if item.isascii() and item.isalnum():
-                loose |= {x for n in range(6, len(item)) for x in (item[:n], item[-n:])}
-            for key, exact in names + [(k, False) for k in sorted(loose)]:
-                if k := self.known.get(key):
-                    out.append({"item": item, "key": key, "exact": exact, "supplied": k["supplied"], "plain": k["plain"], "designated": k["designated"]})
+        for item, fragments in zip(row.items_, row.fragments):
+            for key, exact in [(item, True)] + [(f, False) for f in fragments]:
+                if e := self.keys.entry(key):
+                    plain = None if e[1] is None else {"hop": e[1], "source": e[2]}
+                    out.append({"item": item, "key": key, "exact": exact, "supplied": e[0], "plain": plain})
         return out
 
-    def _behaviour(self, row) -> float:
-        count, chars = self.lens.get(row.source, (0, 0))
-        score = 0.0
-        if row.tool_name and count >= 3 and row.tool_name not in self.tools.get(row.source, []):
-            score = 0.8 if row.outbound else 0.3
-        return max(score, 0.3) if count >= 3 and chars > 0 and len(row.content) * count > 4 * chars else score
-
-    def _drift(self, row) -> float:
-        if not (row.mutating and self.goal and row.action):
-            return 0.0
-        sim = _cosine(Counter(re.findall("[a-z0-9]{3,}", self.goal.lower())), Counter(row.tokens))
-        return max(0.0, min(1.0, (0.35 - sim) / 0.35))
-
     def judge(self, row) -> tuple:
         goal = (self.goal or "").lower()
-        drift, behaviour = self._drift(row), self._behaviour(row)
-        echo = sum(s not in goal for s in row.stems) if row.mutating and self.claims else 0
-        unasked = bool(row.mutating and self.claims and not any(w in goal for w in row.words))
-        acts = (row.role == "assistant" and row.action != "") or row.role == "memory_write"
-        seen = SimpleNamespace(
-            hop=row.hop, role=row.role, channel=row.channel, instruction=row.instruction, drift=drift, behaviour=behaviour, echo=echo, unasked=unasked, outbound=row.outbound, acts=acts, keys=self._keys(row)
+        messages, characters, tools = self.agents.setdefault(row.source, [0, 0, []])
+        known_agent = messages >= 3
+        behaviour = max(
+            (0.8 if row.outbound else 0.3) if known_agent and row.tool_name and row.tool_name not in tools else 0.0,
+            0.3 if known_agent and 0 < 4 * characters < len(row.content) * messages else 0.0,
         )
-        _, reuse, trust, shut, matches, _ = self.fold.judge(seen)
-        self._commit(row)
-        tier = "PASS" if trust >= V.PASS_AT else "FLAG" if trust >= V.FLAG_AT else "QUARANTINE" if trust >= V.QUARANTINE_AT else "BLOCK"
-        return row.session_id, row.hop, row.role, row.channel, tier, trust, reuse, drift, behaviour, row.instruction, shut, ",".join(matches)
-
-    def _commit(self, row) -> None:
+        drifts = row.mutating and goal and row.action
+        drift = R.drift_of(R.bag_cosine(re.findall("[a-z0-9]{3,}", goal), row.tokens)) if drifts else 0.0
+        waived = row.mutating and self.claims
+        named = row.role in V.UNTRUSTED_ROLES and goal and any(len(a) >= 4 and a.lower() in goal for a in self.previous or ())
+        seen = SimpleNamespace(
+            hop=row.hop, role=row.role, source=row.source, channel=row.channel, instruction=row.instruction, drift=drift, behaviour=behaviour, outbound=row.outbound, keys=self._asked(row),
+            echo=sum(s not in goal for s in row.stems) if waived else 0, unasked=bool(waived and not any(w in goal for w in row.words)),
+            acts=(row.role == "assistant" and row.action != "") or row.role == "memory_write", designates=row.known if named else None,
+        )
+        _, reuse, _, trust, shut, matches, _, _ = self.fold.judge(seen)
+        self.keys.learn(row, bool(named))
         if row.role in V.TRUSTED_ROLES:
             self.goal = self.goal or row.content[: V.GOAL_CHARS] or None
-        untrusted = row.role in V.UNTRUSTED_ROLES
-        named = untrusted and self.goal and self.previous and any(len(a) >= 4 and a.lower() in self.goal.lower() for a in self.previous)
-        self.claims += row.own_claims if untrusted else 0
-        for key in row.known:
-            if row.role in V.TRUSTED_ROLES or untrusted:
-                k = self.known.setdefault(key, {"supplied": False, "plain": None, "designated": []})
-                if not untrusted:
-                    k["supplied"] = True
-                elif named:
-                    k["designated"].append(row.hop)
-                elif k["plain"] is None:
-                    k["plain"] = row.hop
-        if row.tool_name and row.tool_name not in self.tools.setdefault(row.source, []):
-            self.tools[row.source].append(row.tool_name)
-        count, chars = self.lens.get(row.source, (0, 0))
-        self.lens[row.source] = (count + 1, chars + len(row.content))
+        elif row.role in V.UNTRUSTED_ROLES:
+            self.claims += row.own_claims
+        self.agents[row.source] = [messages + 1, characters + len(row.content), tools + [row.tool_name] * bool(row.tool_name and row.tool_name not in tools)]
         self.previous = list(row.strings) if row.role == "assistant" else None
         self.last = row.hop
+        tier = V.TIERS[sum(trust < t for t in (V.PASS_AT, V.FLAG_AT, V.QUARANTINE_AT))]
+        return row.session_id, row.hop, row.role, row.channel, tier, trust, reuse, drift, behaviour, row.instruction, shut, ",".join(m["key"] for m in matches)
 
 
 class _Judge(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("session", "saved string", TTL_MS)
+        self.known = handle.getMapState("known", "key string", _ENTRY, TTL_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        session = SessionState(self.state.get()[0] if self.state.exists() else None)
+        session = SessionState(self.state.get()[0] if self.state.exists() else None, self.known)
         batch = pd.concat(list(rows)).sort_values("hop", kind="stable").rename(columns={"items": "items_"})
         out = [session.judge(r) for r in batch.itertuples(index=False) if r.hop > session.last]
+        session.keys.write()
         self.state.update((session.saved(),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in VERDICT.split(", ")])
 

@@ -16,5 +16,5 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream_verdicts(source).writeStream.format("memory").queryName("judged").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     got = {(r.session_id, r.hop): (r.tier, round(r.trust, 9), r.matches) for r in spark.table("judged").collect()}
-    want = {(r.session_id, r.hop): (r.tier, round(r.trust, 9), ",".join(r.matches)) for r in verdicts(hops).collect()}
+    want = {(r.session_id, r.hop): (r.tier, round(r.trust, 9), ",".join(m.key for m in r.matches)) for r in verdicts(hops).collect()}
     assert got == want and len({t for t, _, _ in got.values()}) >= 3
