@@ -2,8 +2,8 @@
 
 Candidates are every line of every text, every run of as many words as a template has (so
 that notices wrapped over lines or set in a paragraph are met), and a licence file as a whole;
-they and each template are sparse TF-IDF vectors over the templates' vocabulary plus one term
-for all other words.  Document
+they and each template (whole licence texts, titles, headers, identifier lines) are sparse
+TF-IDF vectors over the templates' vocabulary plus one term for all other words.  Document
 frequencies are counted over all texts.  A file without a notice of its own takes the licence
 of the nearest directory above it that holds a licence file, found by joining the ancestors of
 each directory with the licensed ones.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import arrow_map
+from hopwise.llm.common import arrow_map, checkpointed
 
 #: (licence, notice): fixed values, in the licences' own public words.
 TEMPLATES = (
@@ -49,7 +49,26 @@ TEMPLATES = (
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
-)
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    )
+#: Identifier lines as headers; such a template also needs all terms of its identifier, as the
+#: other words are the same for every licence.
+IDENTIFIERS = tuple((name, f"SPDX-License-Identifier: {name}") for name in sorted({n for n, _ in TEMPLATES}))
 LEAST_COSINE = 0.85
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _LICENCE_FILE = "(?i)^(licen[sc]e|copying|notice)([-._].*)?$"
@@ -78,7 +97,9 @@ def document_frequencies(docs: DataFrame, vocabulary: frozenset[str]) -> tuple[i
 class Matcher:
     """Cosines of lines and runs of words to all templates."""
 
-    def __init__(self, n_docs: int, frequencies: dict[str, int], templates=TEMPLATES, least: float = LEAST_COSINE):
+    def __init__(self, n_docs: int, frequencies: dict[str, int], templates=TEMPLATES, identifiers=IDENTIFIERS, least: float = LEAST_COSINE):
+        self.needed = [frozenset()] * len(templates) + [frozenset(_terms(name)) for name, _ in identifiers]
+        templates = (*templates, *identifiers)
         self.least, self.names = least, [name for name, _ in templates]
         counts = [Counter(_terms(t)) for _, t in templates]
         self.idf = {w: 1 + math.log((1 + n_docs) / (1 + frequencies.get(w, 0))) for c in counts for w in c}
@@ -116,7 +137,7 @@ class Matcher:
         present, found = set(terms), []
         squares = np.concatenate(([0.0], np.cumsum(self.squares[at])))
         for k, size in enumerate(self.sizes):
-            if self.own_telling[k].isdisjoint(present):
+            if self.own_telling[k].isdisjoint(present) or not self.needed[k] <= present:
                 continue
             m = min(size, len(terms))
             gains = np.concatenate(([0.0], np.cumsum(self.gains[k][at])))
@@ -125,6 +146,8 @@ class Matcher:
             may = np.flatnonzero(dots >= self.least * np.sqrt(squares[m:] - squares[:-m]) - 1e-9)
             best = 0.0
             for s in may.tolist():
+                if self.needed[k] and not self.needed[k] <= set(terms[s : s + m]):
+                    continue
                 n = np.bincount(at[s : s + m], minlength=len(self.squares))
                 best = max(best, float(dots[s] / math.sqrt((n * n * self.squares).sum())))
             if best >= self.least:
@@ -140,7 +163,8 @@ class Matcher:
         counts = Counter(w if w in self.idf else _OTHER for w in terms)
         v = {w: n * self.idf.get(w, 1.0) for w, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
-        score, name = max(((sum(x * v.get(w, 0.0) for w, x in t.items()) / norm, name) for t, name in zip(self.vectors, self.names)), key=lambda s: (s[0], s[1]))
+        fit = [(t, name) for t, name, needed in zip(self.vectors, self.names, self.needed) if needed <= counts.keys()]
+        score, name = max(((sum(x * v.get(w, 0.0) for w, x in t.items()) / norm, name) for t, name in fit), default=(0.0, ""))
         return (score, name) if score >= self.least else None
 
 
@@ -164,7 +188,7 @@ def _directory(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
-def scan_licences(files: DataFrame, id_col: str = "doc_id", templates=TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
+def scan_licences(files: DataFrame, id_col: str = "doc_id", templates=TEMPLATES, identifiers=IDENTIFIERS, least: float = LEAST_COSINE) -> DataFrame:
     """One row per input row: id, path, licence, cosine, via, from_dir.
 
     ``files`` has an id, path and text.  ``via`` is ``own`` (a notice in the text itself),
@@ -173,11 +197,12 @@ def scan_licences(files: DataFrame, id_col: str = "doc_id", templates=TEMPLATES,
     have no notice, null paths no directory; whole texts are read; other columns are ignored;
     an empty table gives no rows.
     """
-    vocabulary = frozenset(w for _, t in templates for w in _terms(t))
-    matcher = Matcher(*document_frequencies(files, vocabulary), templates, least)
+    vocabulary = frozenset(w for _, t in (*templates, *identifiers) for w in _terms(t))
+    matcher = Matcher(*document_frequencies(files, vocabulary), templates, identifiers, least)
     name = F.element_at(F.split("path", "/"), -1)
     base = files.select(F.col(id_col).alias("id"), "path", "text", name.rlike(_LICENCE_FILE).alias("whole"))
-    own = own_licences(base, matcher, "id", "path").withColumn("dir", _directory(F.col("path")))
+    # ids, paths and verdicts: texts are read once for the frequencies and once here
+    own = checkpointed(own_licences(base, matcher, "id", "path")).withColumn("dir", _directory(F.col("path")))
     licensed = own.where(F.col("licence").isNotNull() & name.rlike(_LICENCE_FILE))
     licensed = licensed.groupBy(F.col("dir").alias("from_dir")).agg(F.max(F.struct("cosine", "licence")).alias("found"))
     # every directory once, with itself and all above it, the root as ''

@@ -1,13 +1,13 @@
 import math
 from collections import Counter
 
-from hopwise.llm.license_scan import LEAST_COSINE, TEMPLATES, _terms, op2_license_scan, scan_licences, with_paths
+from hopwise.llm.license_scan import IDENTIFIERS, LEAST_COSINE, TEMPLATES, _terms, op2_license_scan, scan_licences, with_paths
 
 
 def slow(rows):
     """rows: (id, path, text); every line against every template, every directory in turn."""
     texts = [set(_terms(t or "")) for _, _, t in rows]
-    vocabulary = {w for _, t in TEMPLATES for w in _terms(t)}
+    vocabulary = {w for _, t in (*TEMPLATES, *IDENTIFIERS) for w in _terms(t)}
     idf = {w: 1 + math.log((1 + len(rows)) / (1 + sum(w in t for t in texts))) for w in vocabulary}
 
     def vector(line):

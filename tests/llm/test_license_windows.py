@@ -1,6 +1,6 @@
 import pytest
 
-from hopwise.llm.license_scan import TEMPLATES, Matcher, _terms, scan_licences
+from hopwise.llm.license_scan import IDENTIFIERS, TEMPLATES, Matcher, _terms, scan_licences
 
 MIT = """The MIT License (MIT)
 
@@ -27,14 +27,39 @@ APACHE = """                                 Apache License
 
    TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"""
 INSIDE = "This is a small tool of ours. Released under the MIT License. It reads many files and writes only a few of them."
+APACHE_HEADER = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */"""
+BSD_FILE = """Copyright (c) 2019, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+
+* Neither the name of the copyright holder nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission."""
 PROSE = "The permission of the owner is asked for in general, and the work is public under no version of a rule."
 
 
-@pytest.mark.parametrize("text, name", [(MIT, "MIT"), (BSD, "BSD-3-Clause"), (GPL_FILE, "GPL-3.0"), (GPL_HEADER, "GPL-3.0"), (APACHE, "Apache-2.0"), (INSIDE, "MIT"), (PROSE, None)])
+@pytest.mark.parametrize("text, name", [(MIT, "MIT"), (BSD, "BSD-3-Clause"), (GPL_FILE, "GPL-3.0"), (GPL_HEADER, "GPL-3.0"), (APACHE, "Apache-2.0"), (INSIDE, "MIT"), (PROSE, None),
+    (APACHE_HEADER, "Apache-2.0"), (BSD_FILE, "BSD-3-Clause"), ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("# SPDX-License-Identifier: Zlib", None)])
 def test_wrapped_and_embedded_notices(text, name):
-    df = {w: 100 for _, t in TEMPLATES for w in _terms(t)}
-    found = Matcher(1000, df).best_of_text(text)
-    assert (found and found[1]) == name
+    for n in (0, 100, 900):  # no use of the terms elsewhere, some, nearly all texts
+        df = {w: n for _, t in (*TEMPLATES, *IDENTIFIERS) for w in _terms(t)}
+        found = Matcher(1000, df).best_of_text(text)
+        assert (found and found[1]) == name
 
 
 def test_wrapped_licence_files_license_what_is_below(spark):
