@@ -1,10 +1,12 @@
 """Groups of near copies by similarity: five-word shingles, weighted Jaccard of at least 0.8.
 
-Two fingerprints of 64 bits differ in about 10 bits at similarity 0.8, and often in more, so
-no radius that ball hashing can afford reaches all pairs.  The stage therefore filters exactly:
-the tokens of a text are its shingles, the k-th repeat of one being a token of its own, so that
-the similarity of multisets is that of sets.  If all texts order their tokens in the same way,
-two sets of similarity t share one of the first ``n - ceil(t n) + 1`` tokens of each.
+The balls of SimHash (``simhash_dedup.near_links``) meet first: texts whose five-word fingerprints
+differ in at most 4 bits are compared exactly.  At similarity 0.8 two fingerprints differ in about
+10 bits, and often in more, so no radius that ball hashing can afford reaches all pairs; the rest
+is found by an exact filter.  The tokens of a text are its shingles, the k-th repeat of one being
+a token of its own, so that the similarity of multisets is that of sets.  If all texts order their
+tokens in the same way, two sets of similarity t share one of the first ``n - ceil(t n) + 1``
+tokens of each.
 
 Which order that is does not touch the result; tokens that are frequent in a sample come last,
 so that boilerplate does not bring unrelated texts together.  Texts with the same tokens are one
@@ -22,28 +24,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import arrow_map, checkpointed, utf8
+from hopwise.llm.common import arrow_map, checkpointed, unused, utf8, written
 from hopwise.llm.components import connected_components
+from hopwise.llm.simhash_dedup import near_links
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Texts in the sample, how often a token comes in it to be ordered last, and how many are.
 SAMPLE_TEXTS, FREQUENT, MOST_FREQUENT = 10_000, 4, 1_000_000
 
 
-def text_tokens(data: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted 64-bit tokens of a text: shingles of ``width`` words (fewer words: all of them),
-    A-Z lower-cased, words being runs of non-blank bytes."""
+def _hashes(data: bytes, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles of ``width`` words (fewer words: all of them), repeats
+    included; A-Z lower-cased, words being runs of non-blank bytes."""
     words = data.lower().split()
     n = max(1, len(words) - width + 1) if words else 0
-    digest = xxhash.xxh64_intdigest
-    hashes = np.sort(np.fromiter((digest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
-    first = np.searchsorted(hashes, hashes, "left")
-    repeat = (np.arange(n) - first).astype(np.uint64)
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
+
+
+def _tokens(hashes: np.ndarray) -> np.ndarray:
+    hashes, first = hashes.copy(), np.searchsorted(hashes, hashes, "left")
+    repeat = (np.arange(len(hashes)) - first).astype(np.uint64)
     for i in np.nonzero(repeat)[0].tolist():
-        hashes[i] = digest(hashes[first[i]].tobytes() + repeat[i].tobytes(), 43)
+        hashes[i] = xxhash.xxh64_intdigest(hashes[first[i]].tobytes() + repeat[i].tobytes(), 43)
     return np.sort(hashes)
 
 
+def text_tokens(data: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted 64-bit tokens of a text: its shingles, every repeat a token of its own."""
+    return _tokens(_hashes(data, width))
+
+
+def _fingerprint(hashes: np.ndarray) -> int:
+    bits = sum((np.unpackbits(hashes[at : at + 65_536, None].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) for at in range(0, len(hashes), 65_536)), np.zeros(64, np.int64))
+    return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big", signed=True)
+
+
 def _node(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes(), 42) - (1 << 63)
 
@@ -53,18 +68,19 @@ def _least_shared(n, similarity: float):
 
 
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h, node, n): the text's hash, its tokens' hash and their number."""
+    """(doc_id, h, node, n, fp): the text's hash, its tokens' hash and number, its fingerprint."""
 
     def fn(batch: pa.RecordBatch) -> dict:
-        node, n = [], []
+        node, n, fp = [], [], []
         for t in batch.column(2).to_pylist():
-            tokens = text_tokens(t, width)
-            node.append(_node(tokens))
-            n.append(len(tokens))
-        return {"doc_id": batch.column(0), "h": batch.column(1), "node": node, "n": n}
+            hashes = _hashes(t, width)
+            node.append(_node(_tokens(hashes)))
+            n.append(len(hashes))
+            fp.append(_fingerprint(hashes))
+        return {"doc_id": batch.column(0), "h": batch.column(1), "node": node, "n": n, "fp": fp}
 
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), utf8(F.col("text")).alias("t"))
-    return arrow_map(rows, fn, "doc_id long, h long, node long, n long")
+    return arrow_map(rows, fn, "doc_id long, h long, node long, n long, fp long")
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -104,13 +120,15 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, similarity: flo
                 own = np.concatenate((own[~found], own[found]))
             own = own[: n - _least_shared(n, similarity) + 1 if n else 0]
             token.append(own.view(np.int64))
-            at.append(np.arange(len(own)))
+            at.append(np.arange(len(own), dtype=np.int32))
             node.append(np.full(len(own), who, np.int64))
-            size.append(np.full(len(own), n, np.int64))
+            size.append(np.full(len(own), n, np.int32))
         return {"token": np.concatenate(token), "node": np.concatenate(node), "n": np.concatenate(size), "at": np.concatenate(at)}
 
     texts = docs.where("doc_id is not null").select(utf8(F.col("text")).alias("t"))
-    return arrow_map(texts, fn, "token long, node long, n long, at long").distinct()
+    # dealt by token once: equal rows of exact copies, the least node of a token and its join all
+    # go by this partitioning
+    return arrow_map(texts, fn, "token long, node long, n int, at int").repartition("token").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -131,7 +149,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, s
 
     pairs = checkpointed(pairs.distinct())
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    own = checkpointed(arrow_map(_texts_of(docs, nodes.join(ends, "node", "left_semi")), tokens, "node long, own binary"))
+    own = written(arrow_map(_texts_of(docs, nodes.join(ends, "node", "left_semi")), tokens, "node long, own binary"))
     left, right = own.toDF("a", "s"), own.toDF("b", "t")
     return checkpointed(arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t"), fn, "a long, b long"))
 
@@ -151,19 +169,25 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     """
     rows = checkpointed(_nodes(docs, width))
     least = F.min(F.struct("doc_id", "h")).alias("row")
-    nodes = checkpointed(rows.groupBy("node").agg(least, F.first("n").alias("n")).select("node", "row.doc_id", "row.h", "n"))
+    nodes = checkpointed(rows.groupBy("node").agg(least, F.first("n").alias("n"), F.first("fp").alias("fp")).select("node", "row.doc_id", "row.h", "n", "fp"))
+    # fingerprints that meet, and nodes of one fingerprint with the least of them
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    same = nodes.select("fp", F.col("node").alias("b")).join(heads, "fp").where("b <> node").select(F.col("node").alias("a"), "b")
+    met = same.unionByName(near_links(heads)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = _verified(met, docs, nodes, width, similarity)
+    # the rest by their leading tokens
     frequent = _frequent(docs, nodes.where("n > 0"), width)
-    entries = checkpointed(_prefixes(docs, frequent, width, similarity))
+    entries = _prefixes(docs, frequent, width, similarity)
     star = entries.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("x"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = checkpointed(entries.select("token", F.struct("node", "n", "at").alias("y")).join(star, "token"))
+    met = written(entries.select("token", F.struct("node", "n", "at").alias("y")).join(star, "token"))
     pairs = met.where("y.node <> x.node").where(_candidates("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    links = _verified(pairs, docs, nodes, width, similarity)
+    links = links.union(_verified(pairs.distinct().join(links, ["a", "b"], "left_anti"), docs, nodes, width, similarity))
     found = connected_components(links)
     # pairs of one token that the first comparison has not connected
     of = met.select("token", "y", F.col("y.node").alias("node")).join(found, "node", "left").select("token", "y", F.coalesce("component", "node").alias("c"))
     # only tokens whose members are still apart
     apart = of.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    of = checkpointed(of.join(apart, "token", "left_semi"))
+    of = written(of.join(apart, "token", "left_semi"))
     two = of.toDF("token", "x", "cx").join(of.toDF("token", "y", "cy"), "token").where("cx <> cy and x.node < y.node")
     rest = two.where(_candidates("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     links = links.union(_verified(rest, docs, nodes, width, similarity))
@@ -177,7 +201,8 @@ def keep_one_copy(docs: DataFrame, width: int = WIDTH, similarity: float = SIMIL
     Rows are told apart by id and text, so texts that share an id but are no copies all stay.
     Rows without a doc_id stay: nothing can name them as the copy that was kept.
     """
-    kept = near_copy_groups(docs, width, similarity).groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("row")).select("row.doc_id", F.col("row.h").alias("_h"))
-    named = docs.where("doc_id is not null").withColumn("_h", F.xxhash64("text"))
-    one = named.join(kept, ["doc_id", "_h"], "left_semi").dropDuplicates(["doc_id", "_h"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    hash = unused("h", docs)
+    kept = near_copy_groups(docs, width, similarity).groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("row")).select("row.doc_id", F.col("row.h").alias(hash))
+    named = docs.where("doc_id is not null").withColumn(hash, F.xxhash64("text"))
+    one = named.join(kept, ["doc_id", hash], "left_semi").dropDuplicates(["doc_id", hash])
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
