@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running_totals(rows: DataFrame, key: str, amount: str) -> DataFrame:
+    """(key, amount, upto) of rows with distinct keys; ``upto`` is the sum of the amounts of all
+    smaller keys.
+
+    Rows are sorted in ranges and the ranges' sums added up first, so no task sees them all.  The
+    ranges are drawn from a sample and written out; the sums do not depend on them.
+    """
+    ranged = checkpointed(rows.select(key, amount).repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part").agg(F.sum(amount).alias("_own"))
+    parts = parts.select("_part", (F.sum("_own").over(Window.orderBy("_part")) - F.col("_own")).alias("_before"))  # one row a partition
+    inside = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("_before") + F.coalesce(F.sum(amount).over(inside), F.lit(0))
+    return ranged.join(F.broadcast(parts), "_part").select(key, amount, upto.alias("upto"))
+
+
 def free_memory() -> None:
     """Hand what a batch has left free back to the system: workers are kept between tasks."""
     pa.default_memory_pool().release_unused()

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hopwise.llm.common import running_totals, unused
+
 BITS = 5
 SALTS = 4_096
 
@@ -53,9 +55,20 @@ def hilbert_index(axes: Column, dims: int, bits: int = BITS) -> Column:
     return F.aggregate(order, F.lit(0).cast("long"), lambda h, s: h * 2 + F.when(F.get(final, s["i"]).bitwiseAND(s["q"]) != 0, 1).otherwise(0).cast("long"))
 
 
-def quantised_text(value: Column, bits: int = BITS) -> Column:
-    """A hash class of a label; 0 is left for null."""
-    return F.coalesce(F.pmod(F.xxhash64(value), F.lit((1 << bits) - 1)) + 1, F.lit(0)).cast("int")
+def label_cuts(rows: DataFrame, label: str, bits: int = BITS) -> list[str]:
+    """The first labels of up to 2**bits - 1 classes that hold nearly equal numbers of rows."""
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    placed = running_totals(counts, label, "n")
+    total = placed.agg(F.sum("n")).first()[0] or 1
+    firsts = placed.groupBy(F.expr(f"upto * {(1 << bits) - 1} div {total}").alias("class")).agg(F.min(label).alias("first"))
+    return sorted((r["first"] for r in firsts.collect()), key=lambda s: s.encode())  # at most one a class
+
+
+def quantised_text(value: Column, cuts: list[str]) -> Column:
+    """The class of a label, in the labels' own order, so that a range of the curve is a range of
+    labels; 0 is left for null."""
+    below = F.filter(F.array(*map(F.lit, cuts)).cast("array<string>"), lambda c: c <= value)
+    return F.when(value.isNull(), 0).otherwise(F.size(below)).cast("int")
 
 
 def quantised_size(size: Column, bits: int = BITS) -> Column:
@@ -95,14 +108,16 @@ def document_rows(docs: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, hilbert, shard, slot.
 
-    Dimensions: language, source, half octaves of the size.  Shard counts differ by at most
+    Dimensions: language and source (in classes of their own order with nearly equal numbers of
+    rows), half octaves of the size.  Shard counts differ by at most
     one; ``slot`` counts from 0 inside a shard, along the curve.  Null languages, sources and
     texts (size 1) have cells of their own; ties are broken by id, size and checksum, so rows
     equal in all these are interchangeable; an empty table gives no rows; other columns are
     ignored.
     """
     rows = document_rows(docs)
-    axes = [quantised_text(F.col("lang")), quantised_text(F.col("source")), quantised_size(F.col("size"))]
+    labels = [quantised_text(F.col(c), label_cuts(rows, c)) for c in ("lang", "source")]
+    axes = [*labels, quantised_size(F.col("size"))]
     ranked = with_curve_order(rows, axes, "doc_id", "size", "text_crc32")
     shard = F.expr(f"(rank * {shards}) div total")
     first = F.expr(f"((rank * {shards}) div total * total + {shards - 1}) div {shards}")
@@ -112,14 +127,17 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
     """Write whole documents, one folder a shard, in curve order inside each file.
 
-    Rows are matched on id, size and checksum; rows equal in all three go together.
+    Rows are matched on id, size and checksum; rows equal in all three go together.  The columns
+    ``shard`` and ``hilbert`` are added, under lengthened names if the documents have such columns.
     """
     placed = shard_documents(docs, shards).groupBy("doc_id", "size", "text_crc32").agg(F.min("shard").alias("shard"), F.min("hilbert").alias("hilbert"))
-    placed = placed.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "size", "text_crc32")], "shard", "hilbert")
+    names = {c: unused(c, docs) for c in ("shard", "hilbert", "size", "text_crc32", "id")}
+    shard, hilbert, size, crc, id = names.values()
+    placed = placed.select(F.col("doc_id").alias(id), F.col("size").alias(size), F.col("text_crc32").alias(crc), F.col("shard").alias(shard), F.col("hilbert").alias(hilbert))
     text = F.coalesce("text", F.lit(""))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & ((F.octet_length(text) + 1) == F.col("_size")) & (F.crc32(text.cast("binary")) == F.col("_text_crc32"))
-    whole = docs.drop("shard", "hilbert").join(placed, same).drop("_doc_id", "_size", "_text_crc32")
-    whole.repartitionByRange("shard", "hilbert").sortWithinPartitions("shard", "hilbert").write.partitionBy("shard").parquet(path)
+    same = F.col("doc_id").eqNullSafe(F.col(id)) & ((F.octet_length(text) + 1) == F.col(size)) & (F.crc32(text.cast("binary")) == F.col(crc))
+    whole = docs.join(placed, same).drop(id, size, crc)
+    whole.repartitionByRange(shard, hilbert).sortWithinPartitions(shard, hilbert).write.partitionBy(shard).parquet(path)
 
 
 def op7_hilbert_shards(spark, sf_dir: str) -> DataFrame:

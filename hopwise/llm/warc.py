@@ -27,10 +27,10 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import checkpointed, shared_dir, utf8
+from hopwise.llm.common import checkpointed, running_totals, shared_dir, utf8
 
 REVISIT_BYTES = 100
 #: Compressed size at which a file is rolled, and payload bytes of a shard (one task): several files.
@@ -111,13 +111,8 @@ def shard_cuts(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
     """The first id of each shard but the first: one number for ``shard_bytes`` of payload."""
     size = (F.octet_length(utf8(F.col("html"))) + HEADER_BYTES).cast("long")
     ids = pages.where("page_id is not null").groupBy("page_id").agg(F.sum(size).alias("b"))
-    # written out, as the ranges are drawn from a sample; the sums below do not depend on them
-    ids = checkpointed(ids.repartitionByRange("page_id").withColumn("part", F.spark_partition_id()))
-    parts = ids.groupBy("part").agg(F.sum("b").alias("own"))
-    parts = parts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))  # one row a partition
-    upto = F.sum("b").over(Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1))
-    placed = ids.withColumn("upto", F.coalesce(upto, F.lit(0).cast("long"))).join(F.broadcast(parts), "part")
-    firsts = placed.groupBy(F.expr(f"(before + upto) div {shard_bytes}").alias("shard")).agg(F.min("page_id").alias("first"))
+    shard = F.expr(f"upto div {shard_bytes}").alias("shard")
+    firsts = running_totals(ids, "page_id", "b").groupBy(shard).agg(F.min("page_id").alias("first"))
     return np.sort(firsts.select("first").toArrow().column("first").to_numpy())[1:]
 
 

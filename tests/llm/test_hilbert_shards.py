@@ -3,7 +3,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from hopwise.llm.hilbert_shards import hilbert_index, op7_hilbert_shards, shard_documents, write_shards
+from hopwise.llm.hilbert_shards import hilbert_index, label_cuts, op7_hilbert_shards, quantised_text, shard_documents, write_shards
 
 
 def test_the_curve_visits_neighbours(spark):
@@ -45,4 +45,27 @@ def test_odd_rows(spark, tmp_path):
     assert shard_documents(docs.limit(0)).count() == 0
     laws(shard_documents(docs.limit(3)).collect(), [(r[0], r[1]) for r in rows[:3]])
     write_shards(docs, f"{tmp_path}/out")
-    assert spark.read.parquet(f"{tmp_path}/out").count() == len(rows)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == len(rows) and {r.hilbert for r in out.collect()} == {1} and {"shard", "hilbert_"} <= set(out.columns)
+
+
+def test_shards_can_be_pruned_by_ranges(spark):
+    """Readers that look for one source, language or size skip many shards by minima and maxima."""
+    rows = [(i, "x" * (1 << i % 9), ("de", "en", "es", "fr")[i // 9 % 4], f"src{i // 36 % 40:02}") for i in range(8_640)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    placed = shard_documents(docs, 64).select("doc_id", "shard").join(docs, "doc_id").withColumn("size", F.length("text"))
+    shares = []
+    for column in ("lang", "source", "size"):
+        spans = placed.groupBy("shard").agg(F.min(column).alias("low"), F.max(column).alias("high"))
+        values = placed.select(column).distinct()
+        read = values.join(spans, (F.col(column) >= F.col("low")) & (F.col(column) <= F.col("high"))).count()
+        shares.append(read / values.count() / 64)
+    assert max(shares) < 0.85 and sum(shares) / 3 < 0.6, shares
+
+
+def test_label_classes_keep_order_and_size(spark):
+    docs = spark.createDataFrame([(f"s{i:03}",) for i in range(300) for _ in range(3)] + [("big",)] * 900, "source string")
+    cuts = label_cuts(docs, "source", 3)
+    assert cuts == sorted(cuts) and len(cuts) <= 7 and cuts[0] == "big"
+    got = docs.select("source", quantised_text(F.col("source"), cuts).alias("c")).distinct().orderBy("source").collect()
+    assert [r.c for r in got] == sorted(r.c for r in got) and got[0].c == 1
