@@ -2,7 +2,9 @@
 
 Lines are normalised and hashed; a line that stands in too many different documents of its
 host is boilerplate; what is left of a document without its boilerplate decides whether it
-is kept.  Documents with equal texts count once: copying is another operator's business.
+is kept.  Documents with equal texts are one document here: if every copy counted, a text copied
+eleven times would make all its own lines boilerplate, and clean documents would be rejected for
+having copies, which is another operator's business.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import arrow_map, utf8
+from hopwise.llm.common import arrow_map, unused, utf8
 
 #: A line is boilerplate in more distinct documents of a host than the larger of these.
 MOST_DOCUMENTS, MOST_SHARE = 10, 0.02
@@ -110,7 +112,8 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", most_documents: int
 def _hits(docs: DataFrame, boilerplate: DataFrame, host: str) -> DataFrame:
     """Every boilerplate line of every row.  A hot line is on the many side of this join,
     where a skewed partition is split; ``row`` tells rows with equal ids and texts apart."""
-    lines = host_lines(docs.withColumn("_row", F.monotonically_increasing_id()), host, "_row")
+    own = docs.select("doc_id", "text", F.col(host).alias("_own_host"), F.monotonically_increasing_id().alias("_row"))
+    lines = host_lines(own, "_own_host", "_row")
     bad = boilerplate.select(F.col("host").alias("_host"), F.col("line_hash").alias("_hash"))
     return lines.join(bad, (F.col("line_hash") == F.col("_hash")) & F.col("host").eqNullSafe(F.col("_host")))
 
@@ -152,11 +155,12 @@ def judge(docs: DataFrame, host: str = "source", most_removed: float = MOST_REMO
 def without_boilerplate(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The documents, columns as they were, with their boilerplate lines cut out of ``text``."""
     names = docs.columns
+    id, hash, of, cut = (unused(c, docs) for c in ("id", "hash", "host", "cut"))
     hits = _hits(docs, boilerplate_lines(docs, host, **limits), host)
-    per = hits.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), F.col("host").alias("_host")).agg(F.collect_set("line_hash").alias("_cut"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (_text_hash() == F.col("_text_hash")) & F.col(host).cast("string").eqNullSafe(F.col("_host"))
-    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_cut"), F.xxhash64(normalised(x))))
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    per = hits.groupBy(F.col("doc_id").alias(id), F.col("text_hash").alias(hash), F.col("host").alias(of)).agg(F.collect_set("line_hash").alias(cut))
+    same = F.col("doc_id").eqNullSafe(F.col(id)) & (_text_hash() == F.col(hash)) & F.col(host).cast("string").eqNullSafe(F.col(of))
+    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col(cut), F.xxhash64(normalised(x))))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return docs.join(per, same, "left").select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
 
 

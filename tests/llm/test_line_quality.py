@@ -32,3 +32,11 @@ def test_text_without_boilerplate_keeps_other_columns(spark):
     out = without_boilerplate(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert not [r for r in out.collect() if r.text and "Footer" in r.text]
+
+
+def test_columns_that_clash(spark):
+    rows = [(i, f"the same line\n{"own " * (i + 1)}", "h", 1, 2, 3) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _cut int, cut int, _row int")
+    out = without_boilerplate(docs)
+    assert out.columns == docs.columns and {r.text for r in out.collect()} == {"own " * (i + 1) for i in range(30)}
+    assert judge(docs).count() == 30
