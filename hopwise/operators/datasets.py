@@ -93,3 +93,86 @@ def violations(rows: DataFrame, *key: str, **rules: Column) -> DataFrame:
     """One row (*key, rule) for every named rule that a row breaks (a null counts as broken)."""
     broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda r: r.isNotNull())
     return rows.select(*key, F.explode(broken).alias("rule"))
+
+
+# fixed values: chunks kept of a safe event, and clean ones of an event with an injection
+SAFE_CHUNKS, NEAR_NEGATIVES, FAR_NEGATIVES = 6, 2, 1
+
+
+def _hash_order(id: Column, index: Column) -> Column:
+    return hash_number(F.concat_ws("|", id.cast("string"), index.cast("string")), 12)
+
+
+def select_safe_chunks(chunks: DataFrame, keep: int = SAFE_CHUNKS) -> DataFrame:
+    """Of each (id)'s chunks 0, 1, ... the first, the last and then those of least hash, ``keep`` in
+    all; adds ``place``, their place in this order from 1."""
+    own = Window.partitionBy("id")
+    rank = F.when(F.col("chunk") == 0, 0).when(F.col("chunk") == F.max("chunk").over(own), 1).otherwise(2)
+    place = F.row_number().over(own.orderBy("_rank", _hash_order(F.col("id"), F.col("chunk")), "chunk"))
+    return chunks.withColumn("_rank", rank).withColumn("place", place).where(F.col("place") <= keep).drop("_rank")
+
+
+def select_negatives(chunks: DataFrame, near: int = NEAR_NEGATIVES, far: int = FAR_NEGATIVES) -> DataFrame:
+    """Clean chunks (span_start, span_end) of texts with a known span (start, stop): the ``near``
+    closest to it, and of the others the ``far`` of least hash; adds ``kind``."""
+    clean = chunks.where("start is not null and (span_end <= start or span_start >= stop)")
+    distance = F.least(F.abs(F.col("span_start") - F.col("stop")), F.abs(F.col("span_end") - F.col("start")))
+    clean = clean.withColumn("_near", F.row_number().over(Window.partitionBy("id").orderBy(distance, "chunk")))
+    beyond = F.col("_near") > near
+    order = Window.partitionBy("id", beyond).orderBy(_hash_order(F.col("id"), F.col("chunk")), "chunk")
+    clean = clean.withColumn("_far", F.row_number().over(order))
+    return clean.where(~beyond | (F.col("_far") <= far)).withColumn("kind", F.when(beyond, "far").otherwise("near")).drop("_near", "_far")
+
+
+def shifted_windows(length: Column, start: Column, stop: Column, size: int = 900, margin: int = 120) -> Column:
+    """(start, end, kind) windows around a known span of a text longer than ``size``: it stands at
+    their start, middle and end (positive), and the clean text just before and after it, if there
+    are ``margin`` characters of it (negative)."""
+    held = F.least(stop - start, F.lit(size))
+
+    def window(a, b, kind):
+        return F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), F.lit(kind).alias("kind"))
+
+    def placed(lead):
+        at = F.greatest(F.lit(0), F.least(start - lead, length - size))
+        return window(at, at + size, "positive")
+
+    before = F.when(start >= margin, window(F.greatest(F.lit(0), start - size), start, "negative"))
+    after = F.when(length - stop >= margin, window(stop, F.least(length, stop + size), "negative"))
+    every = F.array(placed(F.lit(0)), placed(F.floor((size - held) / 2)), placed(size - held), before, after)
+    return F.when((length > size) & start.isNotNull(), F.array_compact(every)).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>"))
+
+
+def unwrapped(text: Column, opening: str, closing: str) -> Column:
+    """(text, start, stop): the first passage between two marks, without the marks; of an unclosed
+    one everything after it.  Null places if there is none."""
+    at = F.locate(opening, text) - 1
+    rest = F.substring(text, at + len(opening) + 1, F.length(text))
+    end = F.locate(closing, rest)
+    inner = F.when(end > 0, F.substring(rest, F.lit(1), end - 1)).otherwise(rest)
+    tail = F.when(end > 0, F.substring(rest, end + len(closing), F.length(rest))).otherwise("")
+    there = at >= 0
+    clean = F.concat(F.substring(text, F.lit(1), at), inner, tail)
+    return F.struct(
+        F.when(there, clean).otherwise(text).alias("text"), F.when(there, at).cast("int").alias("start"), F.when(there, at + F.length(inner)).cast("int").alias("stop")
+    )
+
+
+def sentence_starts(text: Column) -> Column:
+    """0 and every place after blanks that follow the end of a sentence."""
+    lengths = F.transform(F.regexp_extract_all(text, F.lit(r"((?s:.*?)[.!?]\s+)"), 1), lambda s: F.length(s))
+    return F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+
+
+def overridden(label: Column, labels: Column, hop: Column) -> Column:
+    """A session's own label of a hop where it has one (a map of hop numbers as text)."""
+    return F.coalesce(F.element_at(labels, hop.cast("string")), label)
+
+
+def routed_split(split: Column, dataset: Column, unseen: Column, routes: dict[str, str]) -> Column:
+    """The test split of its dataset's own name; unseen templates and external data have theirs."""
+    own = F.lit(None).cast("string")
+    for name, route in routes.items():
+        own = F.when(dataset == name, route).otherwise(own)
+    rest = F.when(unseen, "test_ood").when(split == "external", "test_external").otherwise(split)
+    return F.when(own.isNotNull(), F.when(split == "test", own).otherwise(split)).otherwise(rest)

@@ -69,6 +69,13 @@ def budget_threshold(rows: DataFrame, budget: float, *by: str, score: str = "tru
     return both.where(F.col("fpr") <= budget).groupBy(*by).agg(best.alias("b")).select(*by, "b.t", "b.recall", "b.fpr")
 
 
+def best_run(runs: DataFrame, run: str, max_fpr: float) -> DataFrame:
+    """The first run with the best F1, one less for those with more false alarms than ``max_fpr``."""
+    score = F.col("f1") - F.when(F.col("fpr") > max_fpr, 1.0).otherwise(0.0)
+    best = runs.agg(F.max_by(F.struct(*runs.columns), F.struct(score.alias("score"), (-F.col(run)).alias("order"))).alias("b"))
+    return best.where("b is not null").select("b.*")
+
+
 def slices(rows: DataFrame, flagged: Column, **names: Column) -> DataFrame:
     """Summary of every slice; one row counts in each slice that its names (null: none) give."""
     labels = F.filter(F.array(*names.values()), lambda s: s.isNotNull())

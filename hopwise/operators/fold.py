@@ -68,6 +68,10 @@ class Session:
                 return found
         return {}
 
+    def release(self, channels) -> None:
+        """Channels that somebody has let go on are no longer suspended."""
+        self.suspended.difference_update(channels)
+
     def judge(self, row) -> tuple:
         """(model trust, provenance, sensitivity before, trust, suspended, matches, reused, given) of
         the next hop; then fold it in."""
@@ -117,15 +121,20 @@ def _listed(origins: dict[str, tuple]) -> list[dict]:
     return [{"key": k, "hop": hop, "source": source} for k, (hop, source) in origins.items()]
 
 
-def verdicts(hops: DataFrame, signals: tuple[str, ...] = SIGNALS, more: tuple[str, ...] = ()) -> DataFrame:
+def verdicts(hops: DataFrame, signals: tuple[str, ...] = SIGNALS, more: tuple[str, ...] = (), releases: DataFrame | None = None) -> DataFrame:
     """A verdict for every hop: signals, trust, tier, severity, delivered, and the columns ``more``.
 
+    ``releases`` (session_id, hop, channel) name channels that are released before a hop is judged.
     ``matches`` are the keys that decided provenance risk; ``reused`` all tainted keys and
     ``given`` all user-supplied items of a hop, whatever its role.  Sessions are dealt out by key
     and sorted inside the partition; ``signals`` switches the fused signals off one by one (model
     only: none).
     """
     rows = prepared(hops, *more)
+    if releases is None:
+        rows = rows.withColumn("released", F.lit(None).cast("array<string>"))
+    else:
+        rows = rows.join(releases.groupBy("session_id", "hop").agg(F.collect_set("channel").alias("released")), ["session_id", "hop"], "left")
     carried = [*CARRIED, *[c for c in more if c not in CARRIED]]
     names = [c.split()[0] for c in _JUDGED.split(", ")]
     kinds = dict(rows.dtypes)
@@ -137,6 +146,8 @@ def verdicts(hops: DataFrame, signals: tuple[str, ...] = SIGNALS, more: tuple[st
             for row in batch.itertuples(index=False):
                 if state is None or row.session_id != at:
                     at, state = row.session_id, Session(signals)
+                if row.released is not None:
+                    state.release(row.released)
                 out.append(state.judge(row))
             if out:
                 yield pd.concat([batch[carried], pd.DataFrame(out, columns=names, index=batch.index)], axis=1)

@@ -9,6 +9,7 @@ from hopwise.functions import risk as R
 from hopwise.functions import text as T
 from hopwise.operators import datasets as D
 from hopwise.operators import evaluate as E
+from hopwise.operators import scorers as SC
 from hopwise.plans.registry import query, read
 from hopwise.plans.sessions import EV, SIG, events_hops, signalled
 from hopwise.sources import hops as H
@@ -307,3 +308,117 @@ def judge_verdicts(spark, d):
 def latest_by_key(spark, d):
     rows = read(spark, d, "events").withColumn("o", F.struct("ts", "event_id"))
     return H.latest_by_key(rows, "event_type", "o").select("event_type", "ts", "event_id")
+
+
+_ST = "CASE WHEN length(t) <= 900 THEN [0] ELSE list_append(range(0, length(t) - 900, 450), length(t) - 900) END"
+_PIECES = f"pc AS (SELECT *, CAST(least(s + 900, length(t)) AS INTEGER) AS e FROM (SELECT *, CAST(unnest(st) AS INTEGER) AS s, CAST(unnest(range(len(st))) AS INTEGER) AS chunk FROM (SELECT *, {_ST} AS st FROM p)))"
+_H12 = "CAST('0x' || left(sha256(id || '|' || chunk), 12) AS BIGINT)"
+
+
+def _pieces(spark, d) -> DataFrame:
+    rows = planted(spark, d).withColumn("_s", T.chunk_spans(F.length("t")))
+    return rows.select("id", "start", "stop", F.posexplode("_s").alias("chunk", "s")).select("id", "start", "stop", "chunk", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+
+@query(f"WITH p AS ({_PLANTED}), {_PIECES}, r AS (SELECT id, chunk, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN chunk = 0 THEN 0 WHEN chunk = last THEN 1 ELSE 2 END, {_H12}, chunk) AS place FROM (SELECT *, max(chunk) OVER (PARTITION BY id) AS last FROM pc) WHERE start IS NULL) SELECT id, chunk, CAST(place AS INTEGER) AS place FROM r WHERE place <= 6")
+def chunk_selection(spark, d):
+    return D.select_safe_chunks(_pieces(spark, d).where("start is null")).select("id", "chunk", "place")
+
+
+@query(f"""WITH p AS ({_PLANTED}), {_PIECES}, n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY least(abs(s - stop), abs(e - start)), chunk) AS near FROM pc WHERE start IS NOT NULL AND (e <= start OR s >= stop)
+), f AS (SELECT *, row_number() OVER (PARTITION BY id, near > 2 ORDER BY {_H12}, chunk) AS far FROM n) SELECT id, chunk, CASE WHEN near > 2 THEN 'far' ELSE 'near' END AS kind FROM f WHERE near <= 2 OR far <= 1""")
+def near_far_negatives(spark, d):
+    return D.select_negatives(_pieces(spark, d)).select("id", "chunk", "kind")
+
+
+def _window_sql(a: str, b: str, kind: str) -> str:
+    return f"{{'a': CAST({a} AS INTEGER), 'b': CAST({b} AS INTEGER), 'kind': '{kind}'}}"
+
+
+def _lead_sql(lead: str) -> str:
+    at = f"greatest(0, least(start - ({lead}), length(t) - 900))"
+    return _window_sql(at, f"{at} + 900", "positive")
+
+
+@query(f"""WITH p AS ({_PLANTED}), w AS (SELECT id, unnest(list_filter([{_lead_sql('0')}, {_lead_sql('floor((900 - least(stop - start, 900)) / 2.0)')}, {_lead_sql('900 - least(stop - start, 900)')},
+  CASE WHEN start >= 120 THEN {_window_sql('greatest(0, start - 900)', 'start', 'negative')} END, CASE WHEN length(t) - stop >= 120 THEN {_window_sql('stop', 'least(length(t), stop + 900)', 'negative')} END], lambda x: x IS NOT NULL)) AS w
+  FROM p WHERE start IS NOT NULL AND length(t) > 900) SELECT id, w.a AS window_start, w.b AS window_end, w.kind AS kind FROM w""")
+def shifted_windows(spark, d):
+    rows = planted(spark, d).select("id", F.explode(D.shifted_windows(F.length("t"), F.col("start"), F.col("stop"))).alias("w"))
+    return rows.select("id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), F.col("w.kind").alias("kind"))
+
+
+@query(f"WITH p AS ({_PLANTED}) SELECT id, sha256(t) AS clean_sha256, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM p")
+def unwrap_spans(spark, d):
+    """Texts whose passage comes in marks: the marks go, its place stays."""
+    marked = planted(spark, d).withColumn("t", F.when(F.col("start").isNull(), F.col("t")).otherwise(F.concat(F.expr("left(t, start)"), F.lit("<DATA>"), F.expr("substring(t, start + 1, stop - start)"), F.lit("</DATA>"), F.expr("substring(t, stop + 1)"))))
+    u = D.unwrapped(F.col("t"), "<DATA>", "</DATA>")
+    return marked.select("id", u.alias("u")).select("id", F.sha2("u.text", 256).alias("clean_sha256"), "u.start", "u.stop")
+
+
+@query(r"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '((?s:.*?)[.!?]\s+)', 1) AS p FROM documents), l AS (SELECT doc_id, list_transform(p, lambda x: length(x)) AS l FROM s)
+SELECT doc_id, len(l) + 1 AS n, CAST(coalesce(list_sum(l), 0) AS BIGINT) AS last, CAST(coalesce(l[1], 0) AS BIGINT) AS second FROM l""")
+def sentence_starts(spark, d):
+    at = read(spark, d, "documents").where("text is not null").select("doc_id", D.sentence_starts(F.col("text")).alias("at"))
+    return at.select("doc_id", F.size("at").cast("long").alias("n"), F.element_at("at", -1).cast("long").alias("last"), F.coalesce(F.get("at", F.lit(1)), F.lit(0)).cast("long").alias("second"))
+
+
+@query(f"{EV} SELECT session_id, hop, CASE WHEN session_id % 5 = 0 AND hop = 3 THEN 'malicious' WHEN session_id % 5 = 0 AND hop = 4 THEN 'safe' WHEN role IN ('user', 'system') THEN 'unlabeled' ELSE 'safe' END AS label FROM ev")
+def label_override(spark, d):
+    """Scripted sessions bring labels of their own hops."""
+    own = F.when(F.col("session_id") % 5 == 0, F.create_map(F.lit("3"), F.lit("malicious"), F.lit("4"), F.lit("safe")))
+    label = D.label_event(F.col("role"), F.lit(False), F.lit(False), F.lit(False))["label"]
+    return events_hops(spark, d).select("session_id", "hop", D.overridden(label, own, F.col("hop")).alias("label"))
+
+
+@query("""WITH e AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 19 = 0 THEN 'external' WHEN doc_id % 17 < 12 THEN 'train' WHEN doc_id % 17 < 14 THEN 'validation' ELSE 'test' END AS split FROM documents)
+SELECT doc_id, CASE WHEN lang = 'fr' THEN CASE WHEN split = 'test' THEN 'test_fr' ELSE split END WHEN doc_id % 13 = 0 THEN 'test_ood' WHEN split = 'external' THEN 'test_external' ELSE split END AS split FROM e""")
+def split_routing(spark, d):
+    split = F.when(F.col("doc_id") % 19 == 0, "external").otherwise(D.mod_split(F.col("doc_id")))
+    return read(spark, d, "documents").select("doc_id", D.routed_split(split, F.col("lang"), F.col("doc_id") % 13 == 0, {"fr": "test_fr"}).alias("split"))
+
+
+@query(f"""WITH {SCORED}, ep AS ({_summary("SELECT doc_id % 5 AS epoch, " + _counts("trust < 0.3 + (doc_id % 5) / 10.0") + " FROM sc GROUP BY 1", "epoch")}) SELECT epoch, f1, fpr FROM ep ORDER BY f1 - CASE WHEN fpr > 0.5 THEN 1 ELSE 0 END DESC, epoch LIMIT 1""")
+def best_epoch(spark, d):
+    """Of several runs the first with the best F1, those beyond the false-alarm budget last."""
+    rows = scored(spark, d).withColumn("epoch", F.col("doc_id") % 5)
+    runs = E.summary(rows, F.col("trust") < 0.3 + F.col("epoch") / 10, "epoch")
+    return E.best_run(runs, "epoch", 0.5).select("epoch", F.round("f1", 6).alias("f1"), F.round("fpr", 6).alias("fpr"))
+
+
+@query()
+def lexical_classifier(spark, d):
+    """Trained on the train split of labelled documents, scored on the others."""
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", "text", (1 - F.col("toxic")).alias("label"), D.mod_split(F.col("doc_id")).alias("split"))
+    model = SC.fit_lexical(rows.where("split = 'train'").select("text", "label"))
+    return SC.score_lexical(model, rows.where("split <> 'train'")).select("doc_id", "split", "label", F.round("trust", 4).alias("trust"))
+
+
+@query()
+def temperature_fit(spark, d):
+    """Logits of a model three times too sure of itself (from the labels, by rule)."""
+    rows = read(spark, d, "labels").select("toxic", F.sin("doc_id").alias("x"))
+    z = 3 * (F.when(F.col("toxic") == 1, 1.0).otherwise(-1.0) + 1.5 * F.col("x"))
+    return SC.temperature(rows.select(F.col("toxic").alias("label"), (-z / 2).alias("z0"), (z / 2).alias("z1")))
+
+
+_MSG = "CASE event_type WHEN 'signup' THEN 'user' WHEN 'view' THEN 'tool' WHEN 'error' THEN 'annotation' ELSE 'assistant' END"
+
+
+@query(f"""WITH m AS (SELECT user_id, ts, event_id, event_type, {_MSG} AS role, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events), r AS (SELECT 's' || user_id AS session_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS hop, role,
+  CASE WHEN role = 'user' THEN 'Go on' END AS content, CASE WHEN role = 'assistant' THEN 'read' END AS tool_name, CASE WHEN role = 'assistant' THEN '[{{"k":' || k || '}}]' END AS tool_calls, CASE WHEN role = 'tool' THEN 'value ' || k END AS tool_response FROM m WHERE role <> 'annotation')
+SELECT session_id, hop, role, CASE WHEN role = 'assistant' THEN 'null_assistant_tool_call' WHEN content IS NULL THEN 'null' ELSE 'text' END AS content_state, coalesce(content, tool_response, '') AS event_text, concat_ws(' ', tool_name, tool_calls) AS action_text,
+  coalesce(content, '') || ' ' || coalesce(tool_response, '') || ' ' || concat_ws(' ', tool_name, tool_calls) AS hop_text FROM r""")
+def session_messages(spark, d):
+    """Session records, as session files hold them, back to runtime hops: other annotations are
+    dropped, numbers are made anew, calls and responses stay."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    role = F.when(F.col("event_type") == "signup", "user").when(F.col("event_type") == "view", "tool").when(F.col("event_type") == "error", "annotation").otherwise("assistant")
+    none = F.lit(None).cast("string")
+    message = F.struct(
+        F.lit(0).alias("hop"), role.alias("role"), role.alias("source"), F.lit("agent").alias("target"), F.when(role == "user", "Go on").alias("content"), F.when(role == "assistant", "read").alias("tool_name"),
+        none.alias("tool_call"), F.when(role == "assistant", F.concat(F.lit('[{"k":'), k, F.lit("}]"))).alias("tool_calls"), F.when(role == "tool", F.concat(F.lit("value "), k)).alias("tool_response"),
+    )
+    rows = read(spark, d, "events").select(F.concat(F.lit("s"), "user_id").alias("sample_id"), F.struct("ts", "event_id", message.alias("m")).alias("x"))
+    sessions = rows.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["m"]).alias("messages"))
+    return H.session_hops(sessions).select("session_id", "hop", "role", "content_state", "event_text", "action_text", "hop_text")
