@@ -11,7 +11,9 @@ from hopwise.functions import vocabulary as V
 from hopwise.operators import fold, prefix, provenance, verdict_log
 from hopwise.plans import sql as S
 from hopwise.plans.registry import query, read
+from hopwise.sources.folders import scratch
 from hopwise.sources.hops import CONV_SQL, EV_SQL, conv_hops, ev_hops
+from hopwise.streaming import verdicts
 
 EV, CONV = f"WITH {EV_SQL}", f"WITH {CONV_SQL}"
 PRE, SIG, KNOWN = f"{EV}, {S.PREFIX}", f"{EV}, {S.PREFIX}", f"{EV}, {S.PREFIX}, {S.ORIGINS}"
@@ -388,6 +390,13 @@ def verdict_fold(spark, d):
     return fold.verdicts(events_hops(spark, d)).select(*cols)
 
 
+@query(f"{VER} SELECT session_id, hop, tier, round(trust, 6) AS trust, shut AS suspended, array_to_string(matches, ',') AS matches FROM ver")
+def stream_verdicts(spark, d):
+    """The fold in Structured Streaming: what a stream of the same hops says."""
+    judged = verdicts.run_stream(spark, events_hops(spark, d), scratch(spark, "hopwise-stream"))
+    return judged.select("session_id", "hop", "tier", F.round("trust", 6).alias("trust"), "suspended", "matches")
+
+
 _NONE = dict.fromkeys(V.WEIGHTS, 0.0)
 
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from types import SimpleNamespace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -173,3 +173,20 @@ def stream_verdicts(hops: DataFrame) -> DataFrame:
     ``spark.sql.streaming.noDataMicroBatches.enabled=false``, as expiry runs on processing time.
     """
     return stateless(hops).groupBy("session_id").transformWithStateInPandas(_Judge(), VERDICT, "Append", "ProcessingTime")
+
+
+def run_stream(spark: SparkSession, hops: DataFrame, folder: str) -> DataFrame:
+    """Judge hops as a stream of files below ``folder`` until all are done, and return the verdicts."""
+    hops.write.parquet(f"{folder}/hops")
+    conf = {"stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(f"spark.sql.streaming.{k}") for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.streaming.{k}", v)
+        source = spark.readStream.schema(hops.schema).parquet(f"{folder}/hops")
+        out = stream_verdicts(source).writeStream.format("parquet").option("path", f"{folder}/verdicts").option("checkpointLocation", f"{folder}/state")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.streaming.{k}", v)
+    return spark.read.schema(VERDICT).parquet(f"{folder}/verdicts")
