@@ -76,6 +76,14 @@ def best_run(runs: DataFrame, run: str, max_fpr: float) -> DataFrame:
     return best.where("b is not null").select("b.*")
 
 
+def first_mistakes(rows: DataFrame, flagged: Column, limit: int, order: str = "doc_id") -> DataFrame:
+    """Of each label the first ``limit`` rows that are held but safe, or missed; adds ``held`` and the
+    number ``n`` of all of them."""
+    wrong = rows.withColumn("held", flagged).where(F.col("held") != (F.col("label") == 0))
+    first = wrong.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy(order))).where(F.col("_r") <= limit).drop("_r")
+    return first.join(F.broadcast(wrong.groupBy("label").agg(F.count("*").alias("n"))), "label")
+
+
 def slices(rows: DataFrame, flagged: Column, **names: Column) -> DataFrame:
     """Summary of every slice; one row counts in each slice that its names (null: none) give."""
     labels = F.filter(F.array(*names.values()), lambda s: s.isNotNull())
