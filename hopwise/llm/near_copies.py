@@ -31,6 +31,8 @@ from hopwise.llm.simhash_dedup import near_links
 WIDTH, SIMILARITY = 5, 0.8
 #: Texts in the sample, how often a token comes in it to be ordered last, and how many are.
 SAMPLE_TEXTS, FREQUENT, MOST_FREQUENT = 10_000, 4, 1_000_000
+#: Nodes whose texts are looked up are broadcast up to this many; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def _hashes(data: bytes, width: int) -> np.ndarray:
@@ -86,14 +88,16 @@ def _nodes(docs: DataFrame, width: int) -> DataFrame:
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, t) of nodes (node, doc_id, h)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), utf8(F.col("text")).alias("t"))
-    return rows.join(nodes.select("node", "doc_id", "h"), ["doc_id", "h"]).select("node", "t").dropDuplicates(["node"])
+    named = checkpointed(nodes.select("node", "doc_id", "h"))
+    named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    return rows.join(named, ["doc_id", "h"]).select("node", "t").dropDuplicates(["node"])
 
 
 def _frequent(docs: DataFrame, nodes: DataFrame, width: int) -> np.ndarray:
     """Sorted tokens that come in several texts of a sample chosen by hash."""
     n_texts = max(1, nodes.count())
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)
-    texts = _texts_of(docs, F.broadcast(nodes.where(place * n_texts < SAMPLE_TEXTS)))
+    texts = _texts_of(docs, nodes.where(place * n_texts < SAMPLE_TEXTS))
 
     def fn(batch: pa.RecordBatch) -> dict:
         parts = [text_tokens(t, width) for t in batch.column(0).to_pylist()]
@@ -161,6 +165,14 @@ def _candidates(x, y, similarity: float):
     return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (1 + F.least(n - i - 1, m - j - 1) >= least)
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose nodes are in different components of (node, component)."""
+    for end in ("a", "b"):
+        own = found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        pairs = pairs.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    return pairs.where("of_a <> of_b").select("a", "b")
+
+
 def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, h, component): every row with an id, the hash of its text, and a number that is
     the same exactly for rows joined by steps of at least ``similarity``.
@@ -181,7 +193,7 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     star = entries.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("x"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = written(entries.select("token", F.struct("node", "n", "at").alias("y")).join(star, "token"))
     pairs = met.where("y.node <> x.node").where(_candidates("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    links = links.union(_verified(pairs.distinct().join(links, ["a", "b"], "left_anti"), docs, nodes, width, similarity))
+    links = links.union(_verified(_apart(pairs.distinct(), connected_components(links)), docs, nodes, width, similarity))
     found = connected_components(links)
     # pairs of one token that the first comparison has not connected
     of = met.select("token", "y", F.col("y.node").alias("node")).join(found, "node", "left").select("token", "y", F.coalesce("component", "node").alias("c"))
