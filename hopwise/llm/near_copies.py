@@ -6,17 +6,25 @@ differ in at most 4 bits are compared exactly.  At similarity 0.8 two fingerprin
 is found by an exact filter.  The tokens of a text are its shingles, the k-th repeat of one being
 a token of its own, so that the similarity of multisets is that of sets.  If all texts order their
 tokens in the same way, two sets of similarity t share one of the first ``n - ceil(t n) + 1``
-tokens of each.
+tokens of each, and two of the first ``n - ceil(t n) + 2``.
 
-Which order that is does not touch the result; tokens that are frequent in a sample come last,
-so that boilerplate does not bring unrelated texts together.  Texts with the same tokens are one
+Which order that is does not touch the result.  By hash, a fifth of a text's tokens lead; those
+that lead in many texts are counted and come last instead, so that boilerplate does not bring
+unrelated texts together.  Texts with the same tokens are one
 node from the start.  Nodes that share a token are compared with the least of them first; then
-only those pairs are left that are not connected yet, so a large group is never squared.
+only those pairs are left that are not connected yet.  Where many nodes that are not connected
+share a token, they are brought together by two tokens instead, so unlike texts with one token in
+common are not paired with each other.
+
+Pairs are verified hub by hub: the text of the smaller node passes once for a few hundred others,
+and of each node the pair with the most tokens in common is verified before the rest, most of which
+is connected by then.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import arrow_map, checkpointed, unused, utf8, written
+from hopwise.llm.common import arrow_batches, arrow_map, checkpointed, dropped, unused, utf8, written
 from hopwise.llm.components import connected_components
 from hopwise.llm.simhash_dedup import near_links
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Texts in the sample, how often a token comes in it to be ordered last, and how many are.
-SAMPLE_TEXTS, FREQUENT, MOST_FREQUENT = 10_000, 4, 1_000_000
 #: Nodes whose texts are looked up are broadcast up to this many; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Nodes that are compared with a hub in one go.
+HUB_NODES = 256
+#: Nodes of a token beyond which it comes last in the order, or two tokens are asked for; and the
+#: most tokens that are ordered by this, the most frequent ones.
+LONG_LIST, MOST_FREQUENT = 64, 1_000_000
 
 
 def _hashes(data: bytes, width: int) -> np.ndarray:
@@ -86,76 +97,91 @@ def _nodes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, t) of nodes (node, doc_id, h)."""
+    """The text ``t`` for every row of ``nodes``, which have doc_id and h, beside their columns."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), utf8(F.col("text")).alias("t"))
-    named = checkpointed(nodes.select("node", "doc_id", "h"))
+    named = checkpointed(nodes)
     named = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
-    return rows.join(named, ["doc_id", "h"]).select("node", "t").dropDuplicates(["node"])
-
-
-def _frequent(docs: DataFrame, nodes: DataFrame, width: int) -> np.ndarray:
-    """Sorted tokens that come in several texts of a sample chosen by hash."""
-    n_texts = max(1, nodes.count())
-    place = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)
-    texts = _texts_of(docs, nodes.where(place * n_texts < SAMPLE_TEXTS))
-
-    def fn(batch: pa.RecordBatch) -> dict:
-        parts = [text_tokens(t, width) for t in batch.column(0).to_pylist()]
-        return {"token": np.concatenate(parts).view(np.int64)}
-
-    counts = arrow_map(texts.select("t"), fn, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
-    top = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toArrow()
-    return np.sort(top.column("token").to_numpy().view(np.uint64))
+    return rows.join(named, ["doc_id", "h"])
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray, width: int, similarity: float) -> DataFrame:
-    """(token, node, n, at): the leading tokens of every node, with their place in the order."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _prefixes(texts: DataFrame, frequent: np.ndarray, width: int, similarity: float, shared: int = 1) -> DataFrame:
+    """(token, node, n, at) of texts (t): the leading tokens of every node, of which similar ones
+    have ``shared`` in common, with their place in the order.  A task gives each node once."""
+    order = texts.sparkSession.sparkContext.broadcast(frequent)
+    seen: set = set()
 
-    def fn(batch: pa.RecordBatch) -> dict:
-        last = shared.value
+    def fn(batch: pa.RecordBatch) -> Iterator[dict]:
+        last = order.value
         token, node, size, at = [], [], [], []
         for t in batch.column(0).to_pylist():
             own = text_tokens(t, width)
             who = _node(own)
             n = len(own)
-            if len(last) and n:
+            if who in seen or not n:
+                continue
+            seen.add(who)
+            if len(last):
                 found = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
                 own = np.concatenate((own[~found], own[found]))
-            own = own[: n - _least_shared(n, similarity) + 1 if n else 0]
+            own = own[: n - _least_shared(n, similarity) + shared]
             token.append(own.view(np.int64))
             at.append(np.arange(len(own), dtype=np.int32))
             node.append(np.full(len(own), who, np.int64))
             size.append(np.full(len(own), n, np.int32))
-        return {"token": np.concatenate(token), "node": np.concatenate(node), "n": np.concatenate(size), "at": np.concatenate(at)}
+        if token:
+            yield {"token": np.concatenate(token), "node": np.concatenate(node), "n": np.concatenate(size), "at": np.concatenate(at)}
 
-    texts = docs.where("doc_id is not null").select(utf8(F.col("text")).alias("t"))
-    # dealt by token once: equal rows of exact copies, the least node of a token and its join all
-    # go by this partitioning
-    return arrow_map(texts, fn, "token long, node long, n int, at int").repartition("token").distinct()
+    return arrow_batches(texts.select("t"), fn, "token long, node long, n int, at int")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose texts reach ``similarity``."""
+def _frequent(texts: DataFrame, width: int, similarity: float) -> np.ndarray:
+    """Sorted tokens that lead in many nodes when tokens are ordered by hash."""
+    leading = _prefixes(texts, np.zeros(0, np.uint64), width, similarity)
+    counts = leading.groupBy("token").count().where(F.col("count") > LONG_LIST)
+    top = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toArrow()
+    return np.sort(top.column("token").to_numpy().view(np.uint64))
 
-    def tokens(batch: pa.RecordBatch) -> dict:
-        return {"node": batch.column(0), "own": [text_tokens(t, width).tobytes() for t in batch.column(1).to_pylist()]}
 
-    def fn(batch: pa.RecordBatch) -> dict:
-        a, b = [], []
-        for x, y, s, t in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if both >= similarity * (len(s) + len(t) - both) - 1e-9:
-                a.append(x)
-                b.append(y)
-        return {"a": a, "b": b}
-
-    pairs = checkpointed(pairs.distinct())
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    own = written(arrow_map(_texts_of(docs, nodes.join(ends, "node", "left_semi")), tokens, "node long, own binary"))
-    left, right = own.toDF("a", "s"), own.toDF("b", "t")
-    return checkpointed(arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t"), fn, "a long, b long"))
+def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) of nodes whose texts reach ``similarity``."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
+        for batch in batches:
+            a, b = [], []
+            for x, y, t in zip(*(batch.column(c).to_pylist() for c in ("hub", "member", "t"))):
+                tokens = text_tokens(t, width)
+                if y is None:
+                    hub, own = x, tokens
+                elif x == hub:
+                    both = len(np.intersect1d(own, tokens, assume_unique=True))
+                    if both >= similarity * (len(own) + len(tokens) - both) - 1e-9:
+                        a.append(x)
+                        b.append(y)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    pairs = checkpointed(pairs)
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_NODES).alias("parts"))
+    members = pairs.join(sizes, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "parts").alias("part"), F.col("b").alias("member"))
+    hubs = members.select(F.col("hub").alias("node"), "hub", "part", F.lit(None).cast("long").alias("member")).distinct()
+    asked = members.unionByName(hubs).join(nodes.select("node", "doc_id", "h"), "node").drop("node")
+    texts = _texts_of(docs, asked).select("hub", "part", "member", "t")
+    dealt = texts.repartition("hub", "part").sortWithinPartitions("hub", "part", F.asc_nulls_first("member"))
+    return checkpointed(dealt.mapInArrow(fn, "a long, b long").distinct())
+
+
+def _verified(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``links`` and those of the pairs (a, b, shared) that reach ``similarity``; of the pairs whose
+    ends are connected already none is compared.
+
+    Each node's pair with the most tokens in common comes first, then all that is still apart.
+    """
+    links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if links is None else links
+    pairs = checkpointed(_apart(pairs, connected_components(links)))
+    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    links = checkpointed(links.unionByName(_compared(first, docs, nodes, width, similarity)))
+    left = _apart(pairs.join(first, ["a", "b"], "left_anti"), connected_components(links))
+    return checkpointed(links.unionByName(_compared(left.select("a", "b"), docs, nodes, width, similarity)))
 
 
 def _candidates(x, y, similarity: float):
@@ -166,11 +192,36 @@ def _candidates(x, y, similarity: float):
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose nodes are in different components of (node, component)."""
+    """Those of the pairs (a, b, ...) whose nodes are in different components of (node, component)."""
+    columns = pairs.columns
     for end in ("a", "b"):
         own = found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
         pairs = pairs.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-    return pairs.where("of_a <> of_b").select("a", "b")
+    return pairs.where("of_a <> of_b").select(*columns)
+
+
+def _pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, shared): the pairs x, y of (key, x, y) that may be similar, with the keys they share."""
+    ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    return met.where(_candidates("x", "y", similarity)).groupBy(*ends).agg(F.count("*").alias("shared"))
+
+
+def _remaining(lists: DataFrame, docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """(a, b, shared): pairs of nodes that share a token of ``lists`` (token, y, c), c being the
+    component of the node y, and are in different components."""
+    sizes = lists.groupBy("token").agg(F.count("*").alias("size"))
+    short = lists.join(sizes.where(F.col("size") <= LONG_LIST).select("token"), "token", "left_semi").withColumn("second", F.lit(None).cast("long"))
+    long = written(lists.join(sizes.where(F.col("size") > LONG_LIST).select("token"), "token", "left_semi"))
+    members = checkpointed(long.select(F.col("y.node").alias("node")).distinct().join(nodes, "node").select("node", "doc_id", "h"))
+    texts = _texts_of(docs, members)
+    more = _prefixes(texts, frequent, width, similarity, 2).distinct().select("node", F.col("token").alias("second"), F.col("at").alias("second_at"))
+    twos = long.withColumn("node", F.col("y.node")).join(more, "node").where("second_at > y.at").select("token", "y", "c", "second")
+    keyed = written(short.unionByName(twos))
+    x, y = keyed.toDF("token", "x", "cx", "second").alias("x"), keyed.toDF("token", "y", "cy", "second").alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & F.col("x.second").eqNullSafe(F.col("y.second"))
+    found = checkpointed(_pairs(x.join(y, on).where("cx <> cy and x.x.node < y.y.node").select(F.col("x.x").alias("x"), F.col("y.y").alias("y")), similarity))
+    dropped(long, keyed)
+    return found
 
 
 def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -185,25 +236,24 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     # fingerprints that meet, and nodes of one fingerprint with the least of them
     heads = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     same = nodes.select("fp", F.col("node").alias("b")).join(heads, "fp").where("b <> node").select(F.col("node").alias("a"), "b")
-    met = same.unionByName(near_links(heads)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = _verified(met, docs, nodes, width, similarity)
-    # the rest by their leading tokens
-    frequent = _frequent(docs, nodes.where("n > 0"), width)
-    entries = _prefixes(docs, frequent, width, similarity)
-    star = entries.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("x"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = written(entries.select("token", F.struct("node", "n", "at").alias("y")).join(star, "token"))
-    pairs = met.where("y.node <> x.node").where(_candidates("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    links = links.union(_verified(_apart(pairs.distinct(), connected_components(links)), docs, nodes, width, similarity))
+    met = same.unionByName(near_links(heads)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _verified(met.withColumn("shared", F.lit(1)), None, docs, nodes, width, similarity)
+    # the rest by their leading tokens, dealt by token once
+    texts = docs.where("doc_id is not null").select(utf8(F.col("text")).alias("t"))
+    frequent = _frequent(texts, width, similarity)
+    entries = _prefixes(texts, frequent, width, similarity).repartition("token")
+    star = entries.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("x"), F.max("node").alias("most")).where("x.node < most").drop("most")
+    met = written(entries.select("token", F.struct("node", "n", "at").alias("y")).join(star, "token").distinct())
+    links = _verified(_pairs(met.where("x.node < y.node"), similarity), links, docs, nodes, width, similarity)
     found = connected_components(links)
-    # pairs of one token that the first comparison has not connected
+    # pairs of one token that this has not connected; only tokens whose members are still apart
     of = met.select("token", "y", F.col("y.node").alias("node")).join(found, "node", "left").select("token", "y", F.coalesce("component", "node").alias("c"))
-    # only tokens whose members are still apart
     apart = of.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    of = written(of.join(apart, "token", "left_semi"))
-    two = of.toDF("token", "x", "cx").join(of.toDF("token", "y", "cy"), "token").where("cx <> cy and x.node < y.node")
-    rest = two.where(_candidates("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    links = links.union(_verified(rest, docs, nodes, width, similarity))
-    found = connected_components(links)
+    lists = written(of.join(apart, "token", "left_semi"))
+    dropped(met)
+    rest = _remaining(lists, docs, nodes, frequent, width, similarity)
+    dropped(lists)
+    found = connected_components(_verified(rest, links, docs, nodes, width, similarity))
     return rows.join(found, "node", "left").select("doc_id", "h", F.coalesce("component", "node").alias("component"))
 
 

@@ -1,6 +1,9 @@
 from collections import Counter
 
-from hopwise.llm.near_copies import keep_one_copy
+import numpy as np
+
+from hopwise.llm import near_copies
+from hopwise.llm.near_copies import keep_one_copy, text_tokens
 
 
 def slow_kept(rows):
@@ -61,3 +64,38 @@ def test_same_id_other_text(spark):
 def test_all_of_the_small_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     assert kept(spark, rows) == slow_kept(rows)
+
+
+def test_unlike_texts_with_one_common_token(spark):
+    common = "one line that all have"
+    texts = [f"{common} " + " ".join(f"w{i}x{j}" for j in range(40)) for i in range(2000)]
+    token = int(text_tokens(common.encode())[0])
+    rows, lists = [], []
+    for i, t in enumerate(texts):
+        own = text_tokens(t.encode())
+        rows.append((near_copies._node(own), i, t))
+        lists.append((token - (1 << 64) if token >> 63 else token, (rows[-1][0], len(own), 0), rows[-1][0]))
+    docs = spark.createDataFrame([(i, t) for _, i, t in rows], "doc_id long, text string")
+    nodes = spark.createDataFrame([(n, i) for n, i, _ in rows], "node long, doc_id long").join(docs.selectExpr("doc_id", "xxhash64(text) as h"), "doc_id")
+    members = spark.createDataFrame(lists, "token long, y struct<node:long,n:int,at:int>, c long")
+    left = near_copies._remaining(members, docs, nodes, np.zeros(0, np.uint64), 5, 0.8)
+    assert left.count() <= len(texts)
+
+
+def test_long_lists_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "LONG_LIST", 2)
+    monkeypatch.setattr(near_copies, "MOST_FREQUENT", 3)
+    monkeypatch.setattr(near_copies, "HUB_NODES", 3)
+    lines = [" ".join(f"l{i}w{j}" for j in range(12)) for i in range(12)]
+    rows = [(i, "\n".join(lines[(i * 5 + k * (1 + i % 3)) % 12] for k in range(7)) + f" tail{i // 2} x{i}") for i in range(120)]
+    assert kept(spark, rows) == slow_kept(rows)
+
+
+def test_common_lines_come_last(spark, monkeypatch):
+    asked = []
+    remaining = near_copies._remaining
+    monkeypatch.setattr(near_copies, "_remaining", lambda *a: asked.append(remaining(*a)) or asked[-1])
+    line = "this line of a dozen words is the first of all these texts "
+    rows = [(i, line + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(1500)]
+    assert len(kept(spark, rows)) == 1500
+    assert asked[0].count() == 0

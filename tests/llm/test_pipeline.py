@@ -1,6 +1,6 @@
 import corpus_pipeline
 from hopwise.llm.language_id import fit_on_training_fold, predict
-from tests.llm.test_simhash_dedup import slow_components
+from tests.llm.test_near_copies import slow_kept
 
 D = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
             good = {r.doc_id for r in predict(docs, fit_on_training_fold(docs)).collect() if r.lang_pred != "und" and r.score >= 0.5}
             assert kept == good and len(kept) > 0.95 * len(rows)
         elif name == "near_duplicates":
-            assert kept == {d for d, _, c in slow_components([(r.doc_id, r.text) for r in rows.values()]) if d == c} and len(kept) < len(rows)
+            assert kept == set(slow_kept([(r.doc_id, r.text) for r in rows.values()])) and len(kept) < len(rows)
         elif name == "decontamination":
             items = [r.text for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
             whole = {d for d, r in rows.items() if any(t in r.text for t in items)}
