@@ -1,5 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from directories.
 
+Cosine cannot see the one word or number in which licences of a family differ, so templates also
+need their telling terms and bar those of their neighbours.
+
 Candidates are every line of every text, every run of as many words as a template has (so
 that notices wrapped over lines or set in a paragraph are met), and a licence file as a whole;
 they and each template (whole licence texts, titles, headers, identifier lines) are sparse
@@ -65,7 +68,44 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("MIT", "Distributed under the MIT license"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-ND-4.0", "Attribution-NoDerivatives 4.0 International"),
+    ("CC-BY-NC-SA-4.0", "Attribution-NonCommercial-ShareAlike 4.0 International"),
+    ("CC-BY-NC-ND-4.0", "Attribution-NonCommercial-NoDerivatives 4.0 International"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BSL-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""),
+    ("0BSD", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
     )
+#: Words that tell licences of one family apart, where cosine cannot: a candidate has those of the
+#: template, and none of the others that a neighbouring licence would have there.
+TELLING = (
+    frozenset("affero lesser".split()),
+    frozenset("sa nc nd sharealike noncommercial noderivatives".split()),
+    frozenset("endorse".split()),
+    frozenset("appear".split()),
+)
+_FAMILIES = (("GPL", 0), ("LGPL", 0), ("AGPL", 0), ("CC-", 1), ("BSD-", 2), ("ISC", 3), ("0BSD", 3))
+_VERSIONED = ("GPL", "LGPL", "AGPL", "CC", "MPL", "Apache", "EPL", "BSL")
+_VERSION = re.compile(r"v?[0-9](?:\.[0-9])?")
+#: Words around a run that may bar it, and words from which a template is a licence's own text
+#: and not a title or notice.
+MARGIN, WHOLE_TEXT = 4, 60
 #: Identifier lines as headers; such a template also needs all terms of its identifier, as the
 #: other words are the same for every licence.
 IDENTIFIERS = tuple((name, f"SPDX-License-Identifier: {name}") for name in sorted({n for n, _ in TEMPLATES}))
@@ -73,12 +113,41 @@ LEAST_COSINE = 0.85
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _LICENCE_FILE = "(?i)^(licen[sc]e|copying|notice)([-._].*)?$"
 _OTHER = ""
+# an expression of identifiers, on the line of a tag or a setting
+_EXPRESSION = re.compile(r"""(?i)(?:SPDX-License-Identifier:|\blicen[sc]e["']?\s*[=:])\s*["']?([\w.+() -]+)""")
+_OPERATOR = re.compile(r"\s+(OR|AND)\s+")
 
 
 def _terms(line: str) -> list[str]:
     return _TOKEN.findall(line.lower())
 
 
+def needed_terms(name: str, template: str) -> frozenset[str]:
+    """Terms without which nothing is a candidate for the template."""
+    terms = _terms(template)
+    if len(terms) <= 4:
+        return frozenset(terms)
+    own = {w for words in TELLING for w in words}.intersection(terms)
+    versions = {w for w in terms if _VERSION.fullmatch(w)} if name.startswith(_VERSIONED) else set()
+    return frozenset(own | versions)
+
+
+def barred_terms(name: str, template: str) -> frozenset[str]:
+    """Terms that a candidate for the template must not have: a neighbour's telling words."""
+    words = {w for start, family in _FAMILIES if name.startswith(start) for w in TELLING[family]}
+    short = name.startswith("BSD-3") and len(_terms(template)) < WHOLE_TEXT  # the first lines alone may go on so
+    return frozenset() if short else frozenset(words.difference(_terms(template)))
+
+
+def identifier_operands(line: str) -> tuple[list[str], list[str]]:
+    """The identifiers of an expression such as ``MIT OR (GPL-2.0-only AND Zlib)``, and what stands
+    between them; nothing if the line has no expression of several."""
+    m = _EXPRESSION.search(line)
+    found = _OPERATOR.split(m[1].replace("(", " ").replace(")", " ").strip()) if m else []
+    operands = [re.sub(r"(?i)(-only|-or-later|\+)?(\s+WITH\s.*)?$", "", o.strip()) for o in found[::2]]
+    return (operands, found[1::2]) if len(operands) > 1 else ([], [])
+
+
 def document_frequencies(docs: DataFrame, vocabulary: frozenset[str]) -> tuple[int, dict[str, int]]:
     """Number of texts, and in how many of them each vocabulary term stands."""
 
@@ -98,7 +167,9 @@ class Matcher:
     """Cosines of lines and runs of words to all templates."""
 
     def __init__(self, n_docs: int, frequencies: dict[str, int], templates=TEMPLATES, identifiers=IDENTIFIERS, least: float = LEAST_COSINE):
-        self.needed = [frozenset()] * len(templates) + [frozenset(_terms(name)) for name, _ in identifiers]
+        self.needed = [needed_terms(*t) for t in templates] + [frozenset(_terms(name)) for name, _ in identifiers]
+        self.barred = [barred_terms(*t) for t in templates] + [frozenset()] * len(identifiers)
+        self.tags = {name.lower(): name for name, _ in identifiers}
         templates = (*templates, *identifiers)
         self.least, self.names = least, [name for name, _ in templates]
         counts = [Counter(_terms(t)) for _, t in templates]
@@ -122,16 +193,33 @@ class Matcher:
         self.gains = [np.array([0.0, *(v.get(w, 0.0) * x for w, x in self.idf.items())]) for v in self.vectors]
 
     def best_of_text(self, text: str, whole: bool = False) -> tuple[float, str] | None:
-        """The best of a text's lines and runs of words, and of itself if it is to count ``whole``."""
+        """The best of a text's lines and runs of words, and of itself if it is to count ``whole``.
+        A licence's own text goes before titles and notices, which others may share with it."""
         terms = _terms(text)
         if self.telling.isdisjoint(terms):
             return None
-        found = [b for line in text.split("\n") if (b := self.best(line))]
+        found = self._runs(terms)
         if whole and (b := self._score(terms)):
             found.append(b)
-        return max(found + self._runs(terms), default=None)
+        found += [b for line in text.split("\n") if (b := self._line(line))]
+        return max(found, default=(None, None))[1]
 
-    def _runs(self, terms: list[str]) -> list[tuple[float, str]]:
+    def best(self, line: str) -> tuple[float, str] | None:
+        """The best template for a line, or all licences of an expression of identifiers."""
+        found = self._line(line)
+        return found and found[1]
+
+    def _line(self, line: str) -> tuple[bool, tuple[float, str]] | None:
+        names, operators = identifier_operands(line)
+        known = [(self.tags[n.lower()], op) for n, op in zip(names, ["", *operators]) if n.lower() in self.tags]
+        if len(known) > 1:
+            return True, (1.0, "".join(f" {op} {name}" if i else name for i, (name, op) in enumerate(known)))
+        return self._score(_terms(line))
+
+    def _fits(self, k: int, terms: set[str]) -> bool:
+        return self.needed[k] <= terms and self.barred[k].isdisjoint(terms)
+
+    def _runs(self, terms: list[str]) -> list[tuple[bool, tuple[float, str]]]:
         """For each template the best run of as many words as it has, if it reaches the least cosine."""
         at = np.array([self.places.get(w, 0) for w in terms])
         present, found = set(terms), []
@@ -146,26 +234,24 @@ class Matcher:
             may = np.flatnonzero(dots >= self.least * np.sqrt(squares[m:] - squares[:-m]) - 1e-9)
             best = 0.0
             for s in may.tolist():
-                if self.needed[k] and not self.needed[k] <= set(terms[s : s + m]):
+                if not self.needed[k] <= set(terms[s : s + m]) or not self.barred[k].isdisjoint(terms[max(0, s - MARGIN) : s + m + MARGIN]):
                     continue
                 n = np.bincount(at[s : s + m], minlength=len(self.squares))
                 best = max(best, float(dots[s] / math.sqrt((n * n * self.squares).sum())))
             if best >= self.least:
-                found.append((min(1.0, best), self.names[k]))
+                found.append((size >= WHOLE_TEXT, (min(1.0, best), self.names[k])))
         return found
 
-    def best(self, line: str) -> tuple[float, str] | None:
-        return self._score(_terms(line))
-
-    def _score(self, terms: list[str]) -> tuple[float, str] | None:
+    def _score(self, terms: list[str]) -> tuple[bool, tuple[float, str]] | None:
         if self.telling.isdisjoint(terms):
             return None
         counts = Counter(w if w in self.idf else _OTHER for w in terms)
         v = {w: n * self.idf.get(w, 1.0) for w, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
-        fit = [(t, name) for t, name, needed in zip(self.vectors, self.names, self.needed) if needed <= counts.keys()]
-        score, name = max(((sum(x * v.get(w, 0.0) for w, x in t.items()) / norm, name) for t, name in fit), default=(0.0, ""))
-        return (score, name) if score >= self.least else None
+        fit = [k for k in range(len(self.names)) if self._fits(k, counts.keys())]
+        found = [(sum(x * v.get(w, 0.0) for w, x in self.vectors[k].items()) / norm, self.names[k], k) for k in fit]
+        score, name, k = max(found, default=(0.0, "", 0))
+        return (self.sizes[k] >= WHOLE_TEXT, (min(1.0, score), name)) if score >= self.least else None
 
 
 def own_licences(files: DataFrame, matcher: Matcher, *carried: str) -> DataFrame:

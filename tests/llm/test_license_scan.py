@@ -1,7 +1,7 @@
 import math
 from collections import Counter
 
-from hopwise.llm.license_scan import IDENTIFIERS, LEAST_COSINE, TEMPLATES, _terms, op2_license_scan, scan_licences, with_paths
+from hopwise.llm.license_scan import IDENTIFIERS, LEAST_COSINE, TEMPLATES, _terms, barred_terms, needed_terms, op2_license_scan, scan_licences, with_paths
 
 
 def slow(rows):
@@ -16,10 +16,14 @@ def slow(rows):
         norm = math.sqrt(sum(x * x for x in v.values())) or 1
         return {w: x / norm for w, x in v.items()}
 
-    templates = [(vector(t), name) for name, t in TEMPLATES]
+    templates = [(vector(t), name, needed_terms(name, t), barred_terms(name, t)) for name, t in TEMPLATES]
+
+    def fits(line, needed, barred):
+        return needed <= set(_terms(line)) and barred.isdisjoint(_terms(line))
+
     own = {}
     for i, _, text in rows:
-        best = max((sum(x * t.get(w, 0) for w, x in vector(line).items()), name) for line in (text or "").split("\n") for t, name in templates)
+        best = max((sum(x * t.get(w, 0) for w, x in vector(line).items()), name) for line in (text or "").split("\n") for t, name, *words in templates if not any(words) or fits(line, *words))
         own[i] = best if best[0] >= LEAST_COSINE else None
     of = {}
     for i, p, _ in rows:
