@@ -1,9 +1,9 @@
 """Token counts: texts are encoded in Arrow functions that return lengths only.
 
-The pieces of an Arrow batch are dealt into encoding batches of equal bytes, so that a task never
-holds more encodings than such a batch gives.  Texts longer than a piece are split where a
-byte-level pre-tokeniser ends a token whatever follows, so the counts of the pieces add up to that
-of the whole text.  Tokenizers with other pre-tokenisers get whole texts.
+Long texts are split where a byte-level pre-tokeniser ends a token whatever follows, so the counts
+of the pieces add up to that of the whole text.  Pieces are dealt into batches of equal bytes; of a
+batch, each word with the space before it is encoded once, if the worker has not met it lately.
+Tokenizers with other pre-tokenisers get whole texts, in batches of equal bytes as well.
 """
 
 from __future__ import annotations
@@ -22,14 +22,18 @@ from pyspark.sql import functions as F
 
 from hopwise.llm.common import arrow_map, table, utf8
 
-#: Characters of a piece before the next safe boundary, UTF-8 bytes of an encoding batch, and the
-#: number of tokens beyond which a text is over the limit.
-PIECE_CHARS, BATCH_BYTES, TOKEN_LIMIT = 1 << 14, 1 << 18, 512
+#: Characters of a piece before the next safe boundary, characters of a batch, characters of the
+#: words a worker remembers, and the number of tokens beyond which a text is over the limit.
+PIECE_CHARS, BATCH_CHARS, WORD_CHARS, TOKEN_LIMIT = 1 << 14, 1 << 18, 1 << 22, 512
 
 #: A letter or digit before white space or plain punctuation, and ASCII letters beside digits.  No
 #: token of a byte-level pre-tokeniser spans these places, and no match depends on what is beyond.
 _BOUNDARY = re.compile(r"(?<=[^\W_])(?=[ \n.,;:!?、。，！？；：])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
+#: White space before a space: the two may be one token with the space of the next word.
+_UNEVEN = re.compile(r"\s ")
+_BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
+
 
 def split_text(text: str, chars: int = PIECE_CHARS) -> Iterator[str]:
     """The text in pieces that end at the first safe boundary after ``chars`` characters; a text
@@ -83,30 +87,55 @@ def _encoder(name: str) -> tuple[Callable[[list[str]], list[int]], bool]:
     model = Tokenizer.from_str(spec)
     model.no_truncation()
     model.no_padding()
-    return lambda texts: [len(e) for e in model.encode_batch_fast(texts, add_special_tokens=False)], _splits_safely(json.loads(spec))
+    count, split = lambda texts: [len(e) for e in model.encode_batch_fast(texts, add_special_tokens=False)], _splits_safely(json.loads(spec))
+    return WordCounts(count) if split else count, split
 
 
-def token_counts(texts: Iterator[str], count: Callable[[list[str]], list[int]], split: bool, n: int) -> np.ndarray:
-    """Tokens of each of ``n`` texts, encoded in batches of ``BATCH_BYTES``."""
-    total = np.zeros(n, np.int64)
+def _batches(texts: Iterator[str], split: bool) -> Iterator[tuple[list[int], list[str]]]:
+    """Pieces of about ``BATCH_CHARS`` characters together, with the places of their texts."""
     rows, pieces, held = [], [], 0
-
-    def flush():
-        np.add.at(total, rows, count(pieces))
-        rows.clear()
-        pieces.clear()
-
     for row, text in enumerate(texts):
-        for piece in split_text(text) if split else (text,):
-            size = len(piece) if piece.isascii() else len(piece.encode())
-            if pieces and held + size > BATCH_BYTES:
-                flush()
-                held = 0
+        for piece in split_text(text, PIECE_CHARS) if split else (text,):
+            if pieces and held + len(piece) > BATCH_CHARS:
+                yield rows, pieces
+                rows, pieces, held = [], [], 0
             rows.append(row)
             pieces.append(piece)
-            held += size
+            held += len(piece)
     if pieces:
-        flush()
+        yield rows, pieces
+
+
+def words_of(piece: str) -> list[str]:
+    """A piece in words, each with what stands before it from a space on."""
+    if _UNEVEN.search(piece):
+        return _BEFORE_SPACE.split(piece)
+    first, *rest = piece.split(" ")
+    return [first, *[" " + w for w in rest]]
+
+
+class WordCounts:
+    """Tokens of pieces by their words, which are remembered up to ``WORD_CHARS`` characters."""
+
+    def __init__(self, count: Callable[[list[str]], list[int]]):
+        self.count, self.known, self.held = count, {}, 0
+
+    def __call__(self, pieces: list[str]) -> list[int]:
+        each = [words_of(p) for p in pieces]
+        new = sorted(set().union(*each).difference(self.known))
+        self.known.update(zip(new, self.count(new)))
+        self.held += sum(map(len, new))
+        out = [sum(map(self.known.__getitem__, words)) for words in each]
+        if self.held > WORD_CHARS:
+            self.known, self.held = {}, 0
+        return out
+
+
+def token_counts(texts: Iterator[str], count: Callable[[list[str]], list[int]], split: bool, n: int) -> np.ndarray:
+    """Tokens of each of ``n`` texts."""
+    total = np.zeros(n, np.int64)
+    for rows, pieces in _batches(texts, split):
+        np.add.at(total, rows, count(pieces))
     return total
 
 

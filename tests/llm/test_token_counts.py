@@ -3,7 +3,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from hopwise.llm import token_counts
-from hopwise.llm.token_counts import count_tokens, op11_token_counts, split_text
+from hopwise.llm.token_counts import WordCounts, count_tokens, op11_token_counts, split_text, words_of
 
 NAME = "byte_bpe_50k.json"
 ODD = [
@@ -27,6 +27,8 @@ def test_pieces_add_up(model, text, chars):
     pieces = list(split_text(text, chars))
     assert "".join(pieces) == text
     assert sum(slow(model, p) for p in pieces) == slow(model, text)
+    words = [w for p in pieces for w in words_of(p)]
+    assert "".join(words) == text and sum(slow(model, w) for w in words) == slow(model, text)
 
 
 def test_table(spark, model):
@@ -45,20 +47,24 @@ def test_odd_rows(spark, model):
     assert count_tokens(df.limit(0), NAME).collect() == []
 
 
-def test_batches_are_bounded(monkeypatch):
-    sizes = []
+def test_batches_and_words_are_bounded(monkeypatch):
+    asked = []
 
     def count(texts):
-        sizes.append(sum(len(t) for t in texts))
+        asked.append(sum(map(len, texts)))
         return [len(t) for t in texts]
 
-    monkeypatch.setattr(token_counts, "BATCH_BYTES", 1000)
+    monkeypatch.setattr(token_counts, "BATCH_CHARS", 1000)
     monkeypatch.setattr(token_counts, "PIECE_CHARS", 100)
-    texts = ["word " * n for n in (1, 500, 0, 30, 199)]
-    assert token_counts.token_counts(iter(texts), count, False, 5).tolist() == [len(t) for t in texts]
-    sizes.clear()
-    assert token_counts.token_counts((t for t in texts), lambda x: count(x), True, 5).tolist() == [len(t) for t in texts]
-    assert max(sizes) <= 3000
+    monkeypatch.setattr(token_counts, "WORD_CHARS", 300)
+    texts = ["", *("word " * n + f" own{n}  x" for n in (1, 500, 30, 199)), "a b " * 90]
+    lengths = [len(t) for t in texts]
+    assert token_counts.token_counts(iter(texts), count, True, 6).tolist() == lengths
+    assert max(asked) <= 1000 and sum(asked) == sum(lengths)
+    asked.clear()
+    by_word = WordCounts(count)
+    assert token_counts.token_counts(iter(texts), by_word, True, 6).tolist() == lengths
+    assert sum(asked) < 300 and by_word.held <= 300
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
