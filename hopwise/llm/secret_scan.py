@@ -39,7 +39,7 @@ _NAME_STEMS = tuple(_NAME_WEIGHT) + ("key",)
 # a name and what assigns to it, with a type between the two skipped (``name: str = ``)
 _TARGET = re.compile(
     r"""(?a)(?<![\w$.-])([A-Za-z_$][\w$.-]*+)["']?\]?[ \t]*+"""
-    r"""(?:\??:[ \t]*+[A-Za-z_$][\w$.]*+(?:\[[^\]\n]*+\]|<[^>\n]*+>)?(?:[ \t]*+\|[ \t]*+[\w$.]++)*+(?:[ \t]++=(?![=>])|=(?=["'`]))|:=|=>|\?=|\|\|=|\+=|[:=](?![:=]))[ \t]*+"""
+    r"""(?:\??:[ \t]*+[A-Za-z_$][\w$.]*+(?:\[[^\[\]\n]*+\]|<[^<>\n]*+>)?(?:[ \t]*+\|[ \t]*+[\w$.]++)*+(?:[ \t]++=(?![=>])|=(?=["'`]))|:=|=>|\?=|\|\|=|\+=|[:=](?![:=]))[ \t]*+"""
 )
 _QUOTED = re.compile(r"""(?a)[bBrRuUfF]{0,2}("{3}|'{3}|["'`])""")
 # what follows the opening quote up to the closing one that no backslash escapes; one-character

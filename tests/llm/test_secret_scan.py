@@ -1,7 +1,10 @@
 import hashlib
 import re
+import time
 
-from hopwise.llm.secret_scan import lexed_spans, op1_secret_scan, scan_secrets
+import pytest
+
+from hopwise.llm.secret_scan import all_spans, lexed_spans, op1_secret_scan, scan_secrets
 
 
 def slow_base(text):
@@ -72,3 +75,10 @@ def test_odd_rows(spark):
         assert r.doc_id == d
         assert [f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.kind != "lexed"] == slow_base(t or "")
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["a:b<", "a:b[", "token:b<x,", "secret|b:", "a = b + ", "key?:x|"])
+def test_one_long_line_is_linear(unit):
+    began = time.process_time()
+    all_spans(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 10
