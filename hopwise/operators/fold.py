@@ -4,7 +4,8 @@ Everything that does not depend on earlier verdicts is computed in columns befor
 itself carries what feeds back through the score: sensitivity, suspended channels, the risk of
 the hops that items come from, and which keys a user-designated source has made known.  It runs
 over partitions sorted by (session, hop) as a stream of batches, so a session of any length needs
-no group in memory.
+no group in memory.  A hop and the keys that it asks for are rows of one table from the prefix
+windows to the fold: hops are read and taken apart once, and nothing is joined.
 """
 
 from __future__ import annotations
@@ -27,19 +28,39 @@ _JUDGED = f"model_trust double, provenance double, sensitivity double, trust dou
 CARRIED = ("session_id", "hop", "role", "channel", "instruction", "drift", "behaviour")
 
 
-def prepared(hops: DataFrame, *more: str) -> DataFrame:
-    """One row a hop with all that the fold needs and is fixed before it, and the columns ``more``."""
-    rows = provenance.with_items(prefix.with_echo(prefix.with_drift(prefix.with_behaviour(prefix.with_designation(prefix.with_prefix(hops))))))
-    key = F.struct("item", "key", "exact", "supplied", "plain")
-    keys = provenance.known(rows).groupBy("session_id", "hop").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+def _there(column: str) -> str:
+    """What a hop's column is called beside those of a key."""
+    return f"{column}_" if column in provenance.KEYED else column
+
+
+def rule_trust(instruction: Column) -> Column:
+    """The rule detector: trust in a hop by its instruction risk alone."""
+    return 1.0 - 0.9 * instruction
+
+
+def prepared(hops: DataFrame, *more: str, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Rows of hops (``own``) and of the keys that each asks for, with all that the fold needs and is
+    fixed before it, and the columns ``more``.  Trust of a hop by itself is that of the rule
+    detector, or the least that ``scorer`` gives to a chunk of it."""
+    rows = prefix.with_echo(prefix.with_drift(prefix.with_behaviour(prefix.with_designation(prefix.with_prefix(hops)))))
+    rows = provenance.with_items(rows).withColumn("model", rule_trust(F.col("instruction")))
+    if scorer is not None:
+        rows = rows.drop("model").join(chunk_scored(hops, scorer).select("session_id", "hop", F.coalesce("model_trust", F.lit(1.0)).alias("model")), ["session_id", "hop"])
     acts = ((F.col("role") == "assistant") & (F.col("action_text") != "")) | (F.col("role") == "memory_write")
-    own = [c for c in more if c not in (*CARRIED, "source", "echo", "outbound")]
-    out = rows.select(
-        "session_id", "hop", "role", "source", F.concat("source", F.lit("->"), "target").alias("channel"), "instruction", "drift", "behaviour", "echo", "outbound", *own,
-        F.coalesce((F.col("claims") > 0) & F.col("verb_unasked"), F.lit(False)).alias("unasked"), acts.alias("acts"),
-        F.when(F.col("designated"), provenance.known_keys()).alias("designates"),
-    )
-    return out.join(keys, ["session_id", "hop"], "left")
+    rows = rows.withColumns(
+        {
+            "channel": F.concat("source", F.lit("->"), "target"),
+            "unasked": F.coalesce((F.col("claims") > 0) & F.col("verb_unasked"), F.lit(False)),
+            "acts": acts,
+            "designates": F.when(F.col("designated"), provenance.known_keys()),
+        }
+    )
+    entries = provenance.with_entries(rows, itself=True)
+    own = F.col("key").isNull()
+    carried = [c for c in dict.fromkeys([*CARRIED, "model", "echo", "outbound", "unasked", "acts", "designates", *more]) if c not in ("session_id", "hop", "source")]
+    entries = entries.select("session_id", "hop", "source", "key", "item", "exact", "_kind", own.alias("own"), *[F.when(own, F.col(c)).alias(c) for c in map(_there, carried)])
+    met = provenance.with_known(entries).where(f"own or ({provenance._MET})")
+    return met.drop("designated")
 
 
 class Session:
@@ -72,11 +93,10 @@ class Session:
         """Channels that somebody has let go on are no longer suspended."""
         self.suspended.difference_update(channels)
 
-    def judge(self, row) -> tuple:
+    def judge(self, row, keys: list[dict]) -> tuple:
         """(model trust, provenance, sensitivity before, trust, suspended, matches, reused, given) of
-        the next hop; then fold it in."""
+        the next hop, which asks for ``keys``; then fold it in."""
         before, on = self.sensitivity, self.signals
-        keys = [] if row.keys is None else list(row.keys)
         tainted = self._tainted(keys)
         given = sorted({k["item"] for k in keys if k["exact"] and self._trusted(k)})
         model, reuse, matches, shut = None, 0.0, {}, False
@@ -85,7 +105,7 @@ class Session:
         elif row.channel in self.suspended:
             trust, shut = 0.0, True
         else:
-            model = 1.0 - 0.9 * row.instruction
+            model = row.model
             if "provenance" in on:
                 if row.acts and tainted:
                     matches = tainted
@@ -121,39 +141,48 @@ def _listed(origins: dict[str, tuple]) -> list[dict]:
     return [{"key": k, "hop": hop, "source": source} for k, (hop, source) in origins.items()]
 
 
-def verdicts(hops: DataFrame, signals: tuple[str, ...] = SIGNALS, more: tuple[str, ...] = (), releases: DataFrame | None = None) -> DataFrame:
+def verdicts(
+    hops: DataFrame, signals: tuple[str, ...] = SIGNALS, more: tuple[str, ...] = (), releases: DataFrame | None = None, scorer: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
     """A verdict for every hop: signals, trust, tier, severity, delivered, and the columns ``more``.
 
     ``releases`` (session_id, hop, channel) name channels that are released before a hop is judged.
     ``matches`` are the keys that decided provenance risk; ``reused`` all tainted keys and
     ``given`` all user-supplied items of a hop, whatever its role.  Sessions are dealt out by key
     and sorted inside the partition; ``signals`` switches the fused signals off one by one (model
-    only: none).
+    only: none); ``scorer`` takes the place of the rule detector.
     """
-    rows = prepared(hops, *more)
-    if releases is None:
-        rows = rows.withColumn("released", F.lit(None).cast("array<string>"))
-    else:
-        rows = rows.join(releases.groupBy("session_id", "hop").agg(F.collect_set("channel").alias("released")), ["session_id", "hop"], "left")
-    carried = [*CARRIED, *[c for c in more if c not in CARRIED]]
+    rows = prepared(hops, *more, scorer=scorer).withColumn("released", F.lit(None).cast("string"))
+    if releases is not None:
+        gone = releases.select("session_id", "hop", F.lit(False).alias("own"), F.col("channel").alias("released"))
+        rows = rows.unionByName(gone, allowMissingColumns=True)
+    carried = list(dict.fromkeys([*CARRIED, *more]))
+    there = {c: _there(c) for c in carried}
     names = [c.split()[0] for c in _JUDGED.split(", ")]
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, None
+        at, state, keys = None, None, []
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                if state is None or row.session_id != at:
-                    at, state = row.session_id, Session(signals)
-                if row.released is not None:
-                    state.release(row.released)
-                out.append(state.judge(row))
+            asked = zip(*(batch[c] for c in ("session_id", "own", "released", *provenance.KEYED)))
+            hops = batch[batch["own"]].itertuples(index=False)
+            for session, own, released, key, item, exact, supplied, plain in asked:
+                if state is None or session != at:
+                    at, state, keys = session, Session(signals), []
+                if own:
+                    out.append(state.judge(next(hops), keys))
+                    keys = []
+                elif released is not None:
+                    state.release([released])
+                else:
+                    keys.append({"key": key, "item": item, "exact": exact, "supplied": supplied, "plain": plain})
             if out:
-                yield pd.concat([batch[carried], pd.DataFrame(out, columns=names, index=batch.index)], axis=1)
+                judged = batch.loc[batch["own"], list(there.values())].set_axis(carried, axis=1)
+                yield pd.concat([judged, pd.DataFrame(out, columns=names, index=judged.index)], axis=1)
 
-    dealt = rows.repartition("session_id").sortWithinPartitions("session_id", "hop")
-    judged = dealt.mapInPandas(run, ", ".join([*[f"{c} {kinds[c]}" for c in carried], _JUDGED]))
+    dealt = rows.repartition("session_id").sortWithinPartitions("session_id", "hop", "own", "item", "key", "exact")
+    judged = dealt.mapInPandas(run, ", ".join([*[f"{c} {kinds[there[c]]}" for c in carried], _JUDGED]))
     tier = R.tier(F.col("trust"))
     return judged.withColumns({"tier": tier, "severity": R.severity(tier), "delivered": tier.isin("PASS", "FLAG")})
 

@@ -44,37 +44,60 @@ def origins(reg: DataFrame) -> DataFrame:
     return reg.groupBy("session_id", "key").agg(*[F.min(F.when(F.col("kind") == kind, x)).alias(name) for kind, (name, x) in firsts.items()])
 
 
-def fragments(item: Column) -> Column:
+def fragments(item: Column, sizes: Column) -> Column:
     """Keys of six or more characters that an item could be put together from: its parts, and for
-    items of letters and digits every proper prefix and suffix."""
-    plain = item.rlike("^[A-Za-z0-9]+$") & (F.length(item) > 6)
-    sizes = F.sequence(F.lit(6), F.greatest(F.lit(6), F.length(item) - 1))
-    ends = F.flatten(F.transform(sizes, lambda n: F.array(F.substring(item, F.lit(1), n), F.substring(item, F.length(item) - n + 1, n))))
+    items of letters and digits every proper prefix and suffix of one of the ``sizes``."""
+    plain = item.rlike("^[A-Za-z0-9]+$")
+    own = F.filter(sizes, lambda n: (n >= 6) & (n < F.length(item)))
+    ends = F.flatten(F.transform(own, lambda n: F.array(F.substring(item, F.lit(1), n), F.substring(item, F.length(item) - n + 1, n))))
     return F.array_distinct(F.filter(F.concat(T.item_parts(item), F.when(plain, ends).otherwise(F.array().cast("array<string>"))), lambda k: F.length(k) >= 6))
 
 
-def known(hops: DataFrame) -> DataFrame:
-    """(session_id, hop, item, key, exact, supplied, plain, designated): the keys that a hop's items
-    ask for, with what was known of them before it: whether a user or system hop had them, and the
-    first plain and first designated untrusted (hop, source).  Keys never seen before are left out.
+#: Columns of a key's row.
+KEYED = ("key", "item", "exact", "supplied", "plain")
+
+
+def with_entries(hops: DataFrame, itself: bool = False) -> DataFrame:
+    """Rows of ``hops`` for every key that one makes known (item null) or asks for, with key, item and
+    exact beside its columns; with ``itself`` also one without a key for the hop.
+
+    An item's prefixes and suffixes are asked for only in the lengths that some key of the session
+    has, which are few however long the item is.  Columns of ``hops`` that are called like those of
+    a key get an underscore behind their names.
     """
 
     def entry(key, item=None, exact=None):
         return F.struct(key.alias("key"), (F.lit(None).cast("string") if item is None else item).alias("item"), F.lit(exact).cast("boolean").alias("exact"))
 
-    kind = _kind()
-    makes = F.when(kind.isNotNull(), F.transform(known_keys(), lambda k: entry(k))).otherwise(F.array())
-    asks = F.flatten(F.transform("items", lambda i: F.concat(F.array(entry(i, i, True)), F.transform(fragments(i), lambda k: entry(k, i, False)))))
-    rows = hops.select("session_id", "hop", "source", kind.alias("kind"), F.explode(F.concat(makes, asks)).alias("e")).select("session_id", "hop", "source", "kind", "e.*")
+    rows = hops.withColumnsRenamed({c: f"{c}_" for c in KEYED}).withColumn("_kind", _kind()).withColumn("_known", F.when(F.col("_kind").isNotNull(), known_keys()).otherwise(F.array()))
+    lengths = F.array_distinct(F.transform(F.filter("_known", lambda k: k.rlike("^[A-Za-z0-9]+$")), lambda k: F.length(k)))
+    session = Window.partitionBy("session_id").orderBy("hop").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sizes", F.array_distinct(F.flatten(F.collect_set(lengths).over(session))))
+    asks = F.flatten(F.transform("items", lambda i: F.concat(F.array(entry(i, i, True)), F.transform(fragments(i, F.col("_sizes")), lambda k: entry(k, i, False)))))
+    own = [F.array(entry(F.lit(None).cast("string")))] if itself else []
+    return rows.withColumn("_e", F.explode(F.concat(*own, F.transform("_known", lambda k: entry(k)), asks))).select("*", "_e.*").drop("_e", "_known", "_sizes")
+
+
+def with_known(entries: DataFrame) -> DataFrame:
+    """Add what was known of each entry's key before its hop: ``supplied``, whether a user or system
+    hop had it, and ``plain`` and ``designated``, the first such (hop, source)."""
     before = Window.partitionBy("session_id", "key").orderBy("hop").rangeBetween(Window.unboundedPreceding, -1)
 
     def first(of, what):
-        return F.min(F.when(F.col("item").isNull() & (F.col("kind") == of), what)).over(before)
+        return F.min(F.when(F.col("item").isNull() & (F.col("_kind") == of), what)).over(before)
 
     at = F.struct("hop", "source")
-    rows = rows.select("*", first("trusted", F.col("hop")).isNotNull().alias("supplied"), first("plain", at).alias("plain"), first("designated", at).alias("designated"))
-    rows = rows.where("item is not null and (supplied or plain is not null or designated is not null)")
-    return rows.select("session_id", "hop", "item", "key", "exact", "supplied", "plain", "designated")
+    return entries.withColumns({"supplied": first("trusted", F.col("hop")).isNotNull(), "plain": first("plain", at), "designated": first("designated", at)}).drop("_kind")
+
+
+_MET = "item is not null and (supplied or plain is not null or designated is not null)"
+
+
+def known(hops: DataFrame) -> DataFrame:
+    """(session_id, hop, item, key, exact, supplied, plain, designated): the keys that a hop's items
+    ask for, with what was known of them before it.  Keys never seen before are left out."""
+    narrow = hops.select("session_id", "hop", "source", "role", "designated", "canonical", "items")
+    return with_known(with_entries(narrow)).where(_MET).select("session_id", "hop", "item", "key", "exact", "supplied", "plain", "designated")
 
 
 def tainted_items(hops: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from hopwise.operators.fold import SIGNALS, Session
 
 VERDICT = "session_id long, hop int, role string, channel string, tier string, trust double, provenance double, drift double, behaviour double, instruction double, suspended boolean, matches string"
 TTL_MS = 3_600_000
+_PLAIN_KEY = re.compile("[A-Za-z0-9]+")
 
 
 def stateless(hops: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def stateless(hops: DataFrame) -> DataFrame:
         "session_id", "hop", "role", "source", F.concat("source", F.lit("->"), "target").alias("channel"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce(tool, F.lit("")).alias("tool_name"), action.alias("action"),
         R.instruction_risk(role, F.col("data_text")).alias("instruction"), R.authority_claims(role, F.col("data_text")).alias("own_claims"), R.is_mutating(role, tool).alias("mutating"), R.is_outbound(tool).alias("outbound"),
         F.coalesce(words[R.mutating_verb(tool)], none).alias("words"), stems.alias("stems"), R.tokens(action).alias("tokens"), "items",
-        provenance.known_keys().alias("known"), F.transform("items", provenance.fragments).alias("fragments"),
+        provenance.known_keys().alias("known"), F.transform("items", lambda i: F.filter(T.item_parts(i), lambda k: F.length(k) >= 6)).alias("parts"),
         F.concat(T.call_strings(F.col("tool_call")), T.call_strings(F.col("tool_calls"))).alias("strings"),
     )
 
@@ -102,17 +103,20 @@ class SessionState:
         s = json.loads(saved) if saved else {}
         self.goal, self.claims, self.last, self.previous = s.get("goal"), s.get("claims", 0), s.get("last", 0), s.get("previous")
         self.agents = s.get("agents", {})  # by source: [messages, characters, tools]
+        self.sizes = set(s.get("sizes", []))  # lengths of known keys of letters and digits
         self.fold = Session(SIGNALS)
         self.fold.sensitivity, self.fold.suspended = s.get("sensitivity", 0.0), set(s.get("suspended", []))
         self.keys = _Keys(self.fold, stored)
 
     def saved(self) -> str:
         own = {c: getattr(self, c) for c in ("goal", "claims", "last", "previous", "agents")}
-        return json.dumps(own | {"sensitivity": self.fold.sensitivity, "suspended": sorted(self.fold.suspended)})
+        return json.dumps(own | {"sizes": sorted(self.sizes), "sensitivity": self.fold.sensitivity, "suspended": sorted(self.fold.suspended)})
 
     def _asked(self, row) -> list[dict]:
         out = []
-        for item, fragments in zip(row.items_, row.fragments):
+        for item, parts in zip(row.items_, row.parts):
+            sizes = [n for n in self.sizes if 6 <= n < len(item)] if _PLAIN_KEY.fullmatch(item) else []
+            fragments = dict.fromkeys([*parts, *[x for n in sizes for x in (item[:n], item[-n:])]])
             for key, exact in [(item, True)] + [(f, False) for f in fragments]:
                 if e := self.keys.entry(key):
                     plain = None if e[1] is None else {"hop": e[1], "source": e[2]}
@@ -132,12 +136,13 @@ class SessionState:
         waived = row.mutating and self.claims
         named = row.role in V.UNTRUSTED_ROLES and goal and any(len(a) >= 4 and a.lower() in goal for a in self.previous or ())
         seen = SimpleNamespace(
-            hop=row.hop, role=row.role, source=row.source, channel=row.channel, instruction=row.instruction, drift=drift, behaviour=behaviour, outbound=row.outbound, keys=self._asked(row),
+            hop=row.hop, role=row.role, source=row.source, channel=row.channel, instruction=row.instruction, model=1.0 - 0.9 * row.instruction, drift=drift, behaviour=behaviour, outbound=row.outbound,
             echo=sum(s not in goal for s in row.stems) if waived else 0, unasked=bool(waived and not any(w in goal for w in row.words)),
             acts=(row.role == "assistant" and row.action != "") or row.role == "memory_write", designates=row.known if named else None,
         )
-        _, reuse, _, trust, shut, matches, _, _ = self.fold.judge(seen)
+        _, reuse, _, trust, shut, matches, _, _ = self.fold.judge(seen, self._asked(row))
         self.keys.learn(row, bool(named))
+        self.sizes.update(len(k) for k in row.known if _PLAIN_KEY.fullmatch(k))
         if row.role in V.TRUSTED_ROLES:
             self.goal = self.goal or row.content[: V.GOAL_CHARS] or None
         elif row.role in V.UNTRUSTED_ROLES:
