@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hopwise.functions import risk as R
 from hopwise.functions import text as T
 from hopwise.functions import vocabulary as V
-from hopwise.operators import fold, prefix, provenance, verdict_log
+from hopwise.operators import fold, prefix, provenance, scorers, verdict_log
 from hopwise.plans import sql as S
 from hopwise.plans.registry import query, read
 from hopwise.sources.folders import scratch
@@ -406,6 +406,27 @@ def model_only_verdicts(spark, d):
     return fold.verdicts(events_hops(spark, d), ()).select("session_id", "hop", "tier", F.round("trust", 6).alias("trust"))
 
 
+_WORDS = S.tokens("piece")
+_ODDS = f"""lab AS (SELECT event_text AS piece, k % 10 IN (1, 2) AS risky FROM ev WHERE {S.UNTRUSTED}
+), tot AS (SELECT count(*) FILTER (risky) AS n1, count(*) FILTER (NOT risky) AS n0 FROM lab
+), odds AS (SELECT word, ln((count(*) FILTER (risky) + 1.0) / (any_value(n1) + 2.0)) - ln((count(*) FILTER (NOT risky) + 1.0) / (any_value(n0) + 2.0)) AS w
+  FROM (SELECT risky, unnest(list_distinct({_WORDS})) AS word FROM lab), tot GROUP BY word
+), pcs AS (SELECT session_id, hop, chunk, substr(event_text, CAST(s + 1 AS BIGINT), {V.CHUNK_CHARS}) AS piece FROM (SELECT session_id, hop, event_text, unnest(st) AS s, CAST(unnest(range(len(st))) AS INTEGER) AS chunk FROM (SELECT *, {_CHUNK} AS st FROM ev))
+), pw AS (SELECT session_id, hop, chunk, unnest(list_distinct({_WORDS})) AS word FROM pcs
+), ps AS (SELECT session_id, hop, chunk, sum(w) AS w FROM pw JOIN odds USING (word) GROUP BY 1, 2, 3
+), scored AS (SELECT pcs.session_id, pcs.hop, min(1 / (1 + exp(ln((n1 + 1.0) / (n0 + 1.0)) + coalesce(w, 0)))) AS model FROM pcs CROSS JOIN tot LEFT JOIN ps ON ps.session_id = pcs.session_id AND ps.hop = pcs.hop AND ps.chunk = pcs.chunk GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {EV_SQL}, {S.PREFIX}, {S.ORIGINS}, {_ODDS}, {S.verdicts(scores='scored')} SELECT session_id, hop, tier, round(model_trust, 6) AS model_trust, round(trust, 6) AS trust FROM ver")
+def scored_verdicts(spark, d):
+    """The fold with a trained scorer: word odds of data that carries a note or a claim, over the
+    chunks of every hop, in place of the rule detector."""
+    hops = events_hops(spark, d)
+    model = spark.sparkContext.broadcast(scorers.fit_word_odds(hops.where(R.untrusted(F.col("role"))).select(F.col("event_text").alias("text"), (F.col("k") % 10).isin(1, 2).alias("label"))))
+    judged = fold.verdicts(hops, scorer=scorers.batched_trust(lambda: model.value))
+    return judged.select("session_id", "hop", "tier", F.round("model_trust", 6).alias("model_trust"), F.round("trust", 6).alias("trust"))
+
+
 _FUSED = "sig.role NOT IN ('user', 'system') AND NOT shut"
 
 

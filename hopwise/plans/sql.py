@@ -132,11 +132,13 @@ reg AS (SELECT session_id, hop, source, CASE WHEN {TRUSTED} THEN 'trusted' WHEN
 ), kn AS (SELECT c.session_id, c.hop, c.item, c.key, c.exact, coalesce(trusted_hop < c.hop, false) AS supplied, CASE WHEN plain_hop < c.hop THEN plain_hop END AS plain_hop,
   CASE WHEN plain_hop < c.hop THEN plain_source END AS plain_source, list_filter(named, lambda h: h < c.hop) AS named, named_sources FROM cand c JOIN org o ON c.session_id = o.session_id AND c.key = o.key)"""
 
-def verdicts(weights: dict = V.WEIGHTS) -> str:
+def verdicts(weights: dict = V.WEIGHTS, scores: str | None = None) -> str:
+    """``scores`` names a table (session_id, hop, model) in place of the rule detector."""
+    model = "1.0 - 0.9 * instruction" if scores is None else f"(SELECT model FROM {scores} s WHERE s.session_id = sig.session_id AND s.hop = sig.hop)"
     return f"""
 ks AS (SELECT session_id, hop, list({{'item': item, 'key': key, 'exact': exact, 'supplied': supplied, 'plain': plain_hop, 'named': named}}) AS keys FROM kn WHERE supplied OR plain_hop IS NOT NULL OR len(named) > 0 GROUP BY 1, 2
 ), st AS (SELECT sig.session_id, sig.hop, role, source || '->' || target AS channel, instruction, drift, behaviour, echo, outbound, coalesce(claims > 0 AND verb_unasked, false) AS unasked,
-  (role = 'assistant' AND action_text <> '') OR role = 'memory_write' AS acts, keys FROM sig LEFT JOIN ks ON sig.session_id = ks.session_id AND sig.hop = ks.hop
+  (role = 'assistant' AND action_text <> '') OR role = 'memory_write' AS acts, {model} AS model, keys FROM sig LEFT JOIN ks ON sig.session_id = ks.session_id AND sig.hop = ks.hop
 ), run AS (
   SELECT session_id, 0 AS hop, CAST(NULL AS VARCHAR) AS role, CAST('' AS VARCHAR) AS channel, CAST(NULL AS DOUBLE) AS model_trust, CAST(0 AS DOUBLE) AS instruction, CAST(0 AS DOUBLE) AS drift,
     CAST(0 AS DOUBLE) AS provenance, CAST(0 AS DOUBLE) AS behaviour, CAST(0 AS DOUBLE) AS before, CAST(1 AS DOUBLE) AS trust, false AS shut, CAST([] AS VARCHAR[]) AS matches, CAST([] AS STRUCT("key" VARCHAR, hop INTEGER)[]) AS reused, CAST([] AS VARCHAR[]) AS given,
@@ -156,7 +158,7 @@ ks AS (SELECT session_id, hop, list({{'item': item, 'key': key, 'exact': exact,
         FROM (SELECT *, list_filter(hit, lambda k: acts AND NOT anchor AND NOT shut) AS used FROM (SELECT *, list_sort(list_distinct(list_transform(list_filter(ts, lambda k: k.exact AND k.ok), lambda k: k.item))) AS given, CASE WHEN len(list_filter(ts, lambda k: k.exact AND NOT k.ok AND k.origin IS NOT NULL)) > 0
               THEN list_filter(ts, lambda k: k.exact AND NOT k.ok AND k.origin IS NOT NULL)
               ELSE list_filter(ts, lambda k: NOT k.exact AND NOT k.ok AND k.origin IS NOT NULL AND NOT list_contains(list_transform(list_filter(ts, lambda x: x.exact AND x.ok), lambda x: x.item), k.item)) END AS hit
-          FROM (SELECT st.session_id, st.hop, st.role, st.channel, CAST(CASE WHEN st.role IN ('user', 'system') OR list_contains(run.suspended, st.channel) THEN NULL ELSE 1.0 - 0.9 * st.instruction END AS DOUBLE) AS model_trust,
+          FROM (SELECT st.session_id, st.hop, st.role, st.channel, CAST(CASE WHEN st.role IN ('user', 'system') OR list_contains(run.suspended, st.channel) THEN NULL ELSE st.model END AS DOUBLE) AS model_trust,
               st.instruction, st.drift, st.behaviour, st.echo, st.outbound, st.unasked, st.acts, run.sens AS before, run.suspended, run.risks,
               st.role IN ('user', 'system') AS anchor, st.role NOT IN ('user', 'system') AND list_contains(run.suspended, st.channel) AS shut,
               list_transform(coalesce(st.keys, []), lambda k: {{'item': k.item, 'key': k.key, 'exact': k.exact, 'ok': k.supplied OR len(list_filter(k.named, lambda h: run.risks[h] < 0.25)) > 0,
