@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopwise.functions import risk as R
@@ -141,8 +141,21 @@ def _listed(origins: dict[str, tuple]) -> list[dict]:
     return [{"key": k, "hop": hop, "source": source} for k, (hop, source) in origins.items()]
 
 
+def _segmented(hops: DataFrame, releases: DataFrame | None, resets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Hops and releases with (session_id, resets so far) as their session_id."""
+    marks = resets.select("session_id", "hop", F.lit(0).alias("_place"))
+    if releases is not None:
+        marks = marks.unionByName(releases.select("session_id", "hop", F.lit(1).alias("_place"), F.col("channel").alias("_channel")), allowMissingColumns=True)
+    rows = hops.withColumn("_place", F.lit(2)).unionByName(marks, allowMissingColumns=True)
+    so_far = F.sum((F.col("_place") == 0).cast("int")).over(Window.partitionBy("session_id").orderBy("hop", "_place"))
+    rows = rows.withColumn("_segment", so_far).withColumn("session_id", F.struct("session_id", "_segment"))
+    gone = None if releases is None else rows.where("_place = 1").select("session_id", "hop", F.col("_channel").alias("channel"))
+    return rows.where("_place = 2").select(hops.columns), gone
+
+
 def verdicts(
-    hops: DataFrame, signals: tuple[str, ...] = SIGNALS, more: tuple[str, ...] = (), releases: DataFrame | None = None, scorer: Callable[[Column, Column], Column] | None = None
+    hops: DataFrame, signals: tuple[str, ...] = SIGNALS, more: tuple[str, ...] = (), releases: DataFrame | None = None, scorer: Callable[[Column, Column], Column] | None = None,
+    resets: DataFrame | None = None,
 ) -> DataFrame:
     """A verdict for every hop: signals, trust, tier, severity, delivered, and the columns ``more``.
 
@@ -150,8 +163,12 @@ def verdicts(
     ``matches`` are the keys that decided provenance risk; ``reused`` all tainted keys and
     ``given`` all user-supplied items of a hop, whatever its role.  Sessions are dealt out by key
     and sorted inside the partition; ``signals`` switches the fused signals off one by one (model
-    only: none); ``scorer`` takes the place of the rule detector.
+    only: none); ``scorer`` takes the place of the rule detector.  ``resets`` (session_id, hop) name
+    hops before which a session forgets all it knows.
     """
+    if resets is not None:
+        hops, releases = _segmented(hops, releases, resets)
+        return verdicts(hops, signals, more, releases, scorer).withColumn("session_id", F.col("session_id.session_id"))
     rows = prepared(hops, *more, scorer=scorer).withColumn("released", F.lit(None).cast("string"))
     if releases is not None:
         gone = releases.select("session_id", "hop", F.lit(False).alias("own"), F.col("channel").alias("released"))

@@ -3,14 +3,20 @@
 Text work is done in columns before the shuffle; the keyed operator carries a session's state
 and judges events in hop order inside each micro-batch.  What is known of a key lies in a map of
 the state store, of which a micro-batch reads and writes only the keys it meets; goal, counts and
-the fold's own Session are one small value.  State expires after an hour without events.  An
-event that comes with a hop number already judged is late and is dropped, as verdicts are never
-revised.
+the fold's own Session are one small value, and the last 64 hops a list.  State expires after an
+hour without events.  An event that comes with a hop number already judged is late and is dropped,
+as verdicts are never revised.
+
+Controls are rows of the same stream: ``release`` lets a channel go on, ``reset`` clears all that a
+session's state holds, both before the hop that they name, or at once if that has been judged.
+With event time, hops wait in the state until the watermark has passed them, so files may come in
+any order; what comes later still is dropped and can be told by ``late_hops``.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 import re
 from collections.abc import Iterator
 from types import SimpleNamespace
@@ -26,13 +32,15 @@ from hopwise.functions import vocabulary as V
 from hopwise.operators import provenance
 from hopwise.operators.fold import SIGNALS, Session
 
-VERDICT = "session_id long, hop int, role string, channel string, tier string, trust double, provenance double, drift double, behaviour double, instruction double, suspended boolean, matches string"
+VERDICT = "session_id long, hop int, role string, channel string, tier string, trust double, provenance double, drift double, behaviour double, instruction double, suspended boolean, matches string, history string"
+#: A control: before which hop it acts, what it does (release or reset), and for a release the channel.
+CONTROL = "session_id long, hop int, control string, channel string"
 TTL_MS = 3_600_000
 _PLAIN_KEY = re.compile("[A-Za-z0-9]+")
 
 
-def stateless(hops: DataFrame) -> DataFrame:
-    """Everything about a hop that needs no other hop."""
+def stateless(hops: DataFrame, *more: str) -> DataFrame:
+    """Everything about a hop that needs no other hop, and the columns ``more``."""
     role, tool, action = F.col("role"), F.col("tool_name"), F.col("action_text")
     rows = provenance.with_items(hops)
     words = F.create_map(*[x for v in dict.fromkeys(V.MUTATING_VERBS) for x in (F.lit(v), F.array(*map(F.lit, V.words_for(v))))])
@@ -43,7 +51,7 @@ def stateless(hops: DataFrame) -> DataFrame:
         R.instruction_risk(role, F.col("data_text")).alias("instruction"), R.authority_claims(role, F.col("data_text")).alias("own_claims"), R.is_mutating(role, tool).alias("mutating"), R.is_outbound(tool).alias("outbound"),
         F.coalesce(words[R.mutating_verb(tool)], none).alias("words"), stems.alias("stems"), R.tokens(action).alias("tokens"), "items",
         provenance.known_keys().alias("known"), F.transform("items", lambda i: F.filter(T.item_parts(i), lambda k: F.length(k) >= 6)).alias("parts"),
-        F.concat(T.call_strings(F.col("tool_call")), T.call_strings(F.col("tool_calls"))).alias("strings"),
+        F.concat(T.call_strings(F.col("tool_call")), T.call_strings(F.col("tool_calls"))).alias("strings"), *more,
     )
 
 
@@ -154,44 +162,126 @@ class SessionState:
         return row.session_id, row.hop, row.role, row.channel, tier, trust, reuse, drift, behaviour, row.instruction, shut, ",".join(m["key"] for m in matches)
 
 
+def history(past: list[tuple], recent: int = V.CONTEXT_HOPS, older: int = 3) -> list[int]:
+    """Of the last hops (hop, role) those that stay in memory, as ``prefix.history`` has them."""
+    head, tail = past[: max(0, len(past) - recent)], past[max(0, len(past) - recent) :]
+    first = [h for h, role in past if role == "user"][:1]
+    return sorted({*first, *[h for h, role in head if role in V.UNTRUSTED_ROLES][-older:], *[h for h, role in tail if role != "system"]})
+
+
 class _Judge(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("session", "saved string", TTL_MS)
         self.known = handle.getMapState("known", "key string", _ENTRY, TTL_MS)
+        self.hops = handle.getListState("hops", "hop int, role string", TTL_MS)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def judged(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Verdicts of a session's rows in hop order, a hop's controls first."""
         session = SessionState(self.state.get()[0] if self.state.exists() else None, self.known)
-        batch = pd.concat(list(rows)).sort_values("hop", kind="stable").rename(columns={"items": "items_"})
-        out = [session.judge(r) for r in batch.itertuples(index=False) if r.hop > session.last]
+        past = list(self.hops.get()) if self.hops.exists() else []
+        rows = rows.assign(_own=rows["control"].isna()).sort_values(["hop", "_own"], kind="stable").drop(columns="_own").rename(columns={"items": "items_"})
+        out = []
+        for row in rows.itertuples(index=False):
+            if row.control == "release":
+                session.fold.release([row.channel])
+            elif row.control == "reset":
+                for state in (self.state, self.known, self.hops):
+                    state.clear()
+                last, session, past = session.last, SessionState(None, self.known), []
+                session.last = last
+            elif row.hop > session.last:
+                out.append((*session.judge(row), ",".join(map(str, history(past)))))
+                past = [*past, (row.hop, row.role)][-V.WINDOW_HOPS :]
         session.keys.write()
         self.state.update((session.saved(),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in VERDICT.split(", ")])
+        if past:
+            self.hops.put(past)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in VERDICT.split(", ")])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield self.judged(pd.concat(list(rows)))
 
     def close(self) -> None:
         pass
 
 
-def stream_verdicts(hops: DataFrame) -> DataFrame:
-    """Verdicts of a streaming frame of hops.
+class _TimedJudge(_Judge):
+    """Holds rows back until the watermark has passed their time."""
 
-    Needs the RocksDB state store provider; with the availableNow trigger also
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getMapState("waiting", "at long", "rows binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            for at, some in part.groupby(part["ts"].astype("datetime64[ms]").astype("int64")):
+                held = [pickle.loads(self.waiting.getValue((at,))[0])] if self.waiting.containsKey((at,)) else []
+                self.waiting.updateValue((at,), (pickle.dumps(pd.concat([*held, some])),))
+                self.handle.registerTimer(at)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = (expiredTimerInfo.getExpiryTimeInMs(),)
+        if self.waiting.containsKey(at):
+            rows = pickle.loads(self.waiting.getValue(at)[0])
+            self.waiting.removeKey(at)
+            yield self.judged(rows)
+
+
+def stream_verdicts(hops: DataFrame, controls: DataFrame | None = None, delay: str | None = None) -> DataFrame:
+    """Verdicts of a streaming frame of hops, with ``controls`` (see ``CONTROL``) merged in.
+
+    With a ``delay``, hops (and controls) have an event time ``ts`` and are judged in its order once
+    the watermark, that far behind the latest, has passed them; hop numbers must rise with it.
+    Needs the RocksDB state store provider; with the availableNow trigger and no delay also
     ``spark.sql.streaming.noDataMicroBatches.enabled=false``, as expiry runs on processing time.
     """
-    return stateless(hops).groupBy("session_id").transformWithStateInPandas(_Judge(), VERDICT, "Append", "ProcessingTime")
-
-
-def run_stream(spark: SparkSession, hops: DataFrame, folder: str) -> DataFrame:
-    """Judge hops as a stream of files below ``folder`` until all are done, and return the verdicts."""
-    hops.write.parquet(f"{folder}/hops")
-    conf = {"stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "noDataMicroBatches.enabled": "false"}
-    before = {k: spark.conf.get(f"spark.sql.streaming.{k}") for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(f"spark.sql.streaming.{k}", v)
-        source = spark.readStream.schema(hops.schema).parquet(f"{folder}/hops")
-        out = stream_verdicts(source).writeStream.format("parquet").option("path", f"{folder}/verdicts").option("checkpointLocation", f"{folder}/state")
-        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(f"spark.sql.streaming.{k}", v)
+    time = ["ts"] if delay else []
+    rows = stateless(hops, *time).withColumn("control", F.lit(None).cast("string"))
+    if controls is not None:
+        rows = rows.unionByName(controls.select("session_id", "hop", "control", "channel", *time), allowMissingColumns=True)
+    if delay:
+        return rows.withWatermark("ts", delay).groupBy("session_id").transformWithStateInPandas(_TimedJudge(), VERDICT, "Append", "EventTime")
+    return rows.groupBy("session_id").transformWithStateInPandas(_Judge(), VERDICT, "Append", "ProcessingTime")
+
+
+def late_hops(hops: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Of all hops that came those that no verdict was given for: they were late."""
+    return hops.join(verdicts.select("session_id", "hop"), ["session_id", "hop"], "left_anti")
+
+
+def log_batches(log: str, counts: str):
+    """A ``foreachBatch`` function that writes verdicts to the ``log`` and their number by tier to
+    ``counts``, each in a folder of the batch that a repeated batch overwrites: what is run again
+    after a failure between the two writes, or after them, leaves both as they should be."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        batch.groupBy("tier").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+        batch.unpersist()
+
+    return write
+
+
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_stream(spark: SparkSession, hops: DataFrame, folder: str, controls: DataFrame | None = None) -> DataFrame:
+    """Judge hops, with controls among them, as a stream of files below ``folder`` until all are done,
+    and return the logged verdicts.  The stream runs in a session of its own, so the caller's
+    settings stay as they are."""
+    own = spark.newSession()
+    for k, v in {"stateStore.providerClass": _ROCKS, "noDataMicroBatches.enabled": "false"}.items():
+        own.conf.set(f"spark.sql.streaming.{k}", v)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def source(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return own.readStream.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    judged = stream_verdicts(source(hops, "hops"), None if controls is None else source(controls, "controls"))
+    out = judged.writeStream.foreachBatch(log_batches(f"{folder}/verdicts", f"{folder}/counts")).option("checkpointLocation", f"{folder}/state")
+    out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(VERDICT).parquet(f"{folder}/verdicts")
