@@ -10,7 +10,8 @@ as verdicts are never revised.
 Controls are rows of the same stream: ``release`` lets a channel go on, ``reset`` clears all that a
 session's state holds, both before the hop that they name, or at once if that has been judged.
 With event time, hops wait in the state until the watermark has passed them, so files may come in
-any order; what comes later still is dropped and can be told by ``late_hops``.
+any order; what comes later still is dropped and can be told by ``late_hops``.  There a session
+expires an hour of event time after its last hop.
 """
 
 from __future__ import annotations
@@ -170,11 +171,17 @@ def history(past: list[tuple], recent: int = V.CONTEXT_HOPS, older: int = 3) ->
 
 
 class _Judge(StatefulProcessor):
+    ttl: int | None = TTL_MS
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", "saved string", TTL_MS)
-        self.known = handle.getMapState("known", "key string", _ENTRY, TTL_MS)
-        self.hops = handle.getListState("hops", "hop int, role string", TTL_MS)
+        self.state = handle.getValueState("session", "saved string", self.ttl)
+        self.known = handle.getMapState("known", "key string", _ENTRY, self.ttl)
+        self.hops = handle.getListState("hops", "hop int, role string", self.ttl)
+
+    def forget(self) -> None:
+        for state in (self.state, self.known, self.hops):
+            state.clear()
 
     def judged(self, rows: pd.DataFrame) -> pd.DataFrame:
         """Verdicts of a session's rows in hop order, a hop's controls first."""
@@ -186,8 +193,7 @@ class _Judge(StatefulProcessor):
             if row.control == "release":
                 session.fold.release([row.channel])
             elif row.control == "reset":
-                for state in (self.state, self.known, self.hops):
-                    state.clear()
+                self.forget()
                 last, session, past = session.last, SessionState(None, self.known), []
                 session.last = last
             elif row.hop > session.last:
@@ -207,11 +213,15 @@ class _Judge(StatefulProcessor):
 
 
 class _TimedJudge(_Judge):
-    """Holds rows back until the watermark has passed their time."""
+    """Holds rows back until the watermark has passed their time; a timer an hour after the last
+    hop clears the session."""
+
+    ttl = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.waiting = handle.getMapState("waiting", "at long", "rows binary")
+        self.judged_at = handle.getValueState("judged_at", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
@@ -222,11 +232,16 @@ class _TimedJudge(_Judge):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = (expiredTimerInfo.getExpiryTimeInMs(),)
-        if self.waiting.containsKey(at):
-            rows = pickle.loads(self.waiting.getValue(at)[0])
-            self.waiting.removeKey(at)
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        if self.waiting.containsKey((at,)):
+            rows = pickle.loads(self.waiting.getValue((at,))[0])
+            self.waiting.removeKey((at,))
+            self.judged_at.update((at,))
+            self.handle.registerTimer(at + TTL_MS)
             yield self.judged(rows)
+        elif self.judged_at.exists() and self.judged_at.get()[0] + TTL_MS <= at:
+            self.forget()
+            self.judged_at.clear()
 
 
 def stream_verdicts(hops: DataFrame, controls: DataFrame | None = None, delay: str | None = None) -> DataFrame:

@@ -78,7 +78,7 @@ def test_history_of_a_long_session(spark, rocks, tmp_path):
 
 def test_event_time_puts_shuffled_files_in_order(spark, rocks, tmp_path):
     hops = ev_hops(spark.read.parquet("/root/testdata/sf0.001/events.parquet")).where("session_id < 10")
-    hops = hops.withColumn("ts", F.timestamp_seconds(F.col("hop") * 60 + 1_700_000_000))
+    hops = hops.withColumn("ts", F.timestamp_seconds(F.col("hop") * 10 + 1_700_000_000))
     for i in range(4):  # every file holds hops of all times within two hours
         hops.where(f"hop % 4 = {(i * 3) % 4}").orderBy(F.rand(i)).coalesce(1).write.parquet(f"{tmp_path}/hops/{i}")
     end = hops.limit(1).withColumns({"session_id": F.lit(-1).cast("long"), "hop": F.lit(1), "ts": F.timestamp_seconds(F.lit(1_800_000_000))})
