@@ -110,3 +110,19 @@ def p95(rows: DataFrame, value: str, by: str, ranges: int = 256) -> DataFrame:
     near = counts.join(hit, F.col("k").eqNullSafe(F.col("hk")) & (F.col("range") == F.col("hr")))
     upto = F.col("before") + F.sum("c").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     return near.withColumn("upto", upto).where("upto > place").groupBy("k").agg(F.min("v").alias("p95")).withColumnRenamed("k", by)
+
+
+def report(rows: DataFrame, validation: Column, *by: str, max_fpr: float = 0.05, score: str = "trust", default: float = 0.5) -> DataFrame:
+    """Counts, rates and intervals of every ``split`` and of each value of ``by`` in it, at the threshold
+    that is best on the ``validation`` rows: (split, what, value, threshold, ...).
+
+    All groupings are one aggregation; validation rows are not reported.
+    """
+    best = best_threshold(rows.where(validation), max_fpr, score, default).select("threshold")
+    tested = rows.where(~validation).crossJoin(F.broadcast(best))  # one row
+    flagged = F.col(score) < F.col("threshold")
+    sets = [[F.col("split"), F.col("threshold")], *[[F.col("split"), F.col("threshold"), F.col(c)] for c in by]]
+    which = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(c)) for c in by], F.lit("all"))
+    value = F.coalesce(*[F.when(F.grouping(c) == 0, F.col(c).cast("string")) for c in by], F.lit("all"))
+    counts = tested.groupingSets(sets, "split", "threshold", *by).agg(*[c.alias(n) for n, c in confusion(F.col("label"), flagged).items()], which.alias("what"), value.alias("value"))
+    return summarised(counts.drop(*by))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ast
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +102,61 @@ def session_audit(sessions: DataFrame) -> DataFrame:
     per = per.join(marked.groupBy("group").agg(F.count_if("_twice").alias("twice")), "group")
     none = {name: (F.coalesce(F.sum(c), F.lit(0)) == 0).alias(name) for name, c in (("numbered", "gaps"), ("known_splits", "strange"), ("unique_ids", "twice"))}
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *none.values(), F.count_if(F.col("s") > 1).alias("leaking_groups"))
+
+
+def _walked(value, clean):
+    if isinstance(value, str):
+        return clean(value)
+    if isinstance(value, list):
+        return [_walked(v, clean) for v in value]
+    return {k: _walked(v, clean) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def without_nested_marks(value: Column, mark: str) -> Column:
+    """A JSON text without the marks of a name in any of its strings, at any depth; keys stay.
+
+    Literals of the other spelling (single quotes, True, None) are read as well and come out as
+    JSON; what is neither is cleaned as plain text.  Keys are sorted; null stays null.
+    """
+    pattern = re.compile(f"</?{re.escape(mark)}>", re.IGNORECASE)
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        for parse in (json.loads, ast.literal_eval):
+            try:
+                return json.dumps(_walked(parse(text), lambda s: pattern.sub("", s)), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+            except (ValueError, SyntaxError, TypeError, RecursionError, MemoryError):
+                continue
+        return pattern.sub("", text)
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    # only values that have such a mark go to Python
+    return F.when(F.contains(F.lower(value), F.lit(f"{mark.lower()}>")), cleaned(value)).otherwise(value)
+
+
+def built(cases: DataFrame, parts: list[tuple[str, str, str]], id: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Session records from wide cases, and the cases that cannot be one.
+
+    ``parts`` are (column, role, source) in order: each becomes a message, numbered from 1, with its
+    text as content and, of tool roles, as tool_response.  Records are (id, messages, n_messages);
+    rejects (id, reason): the first part that is missing or blank, or an id that is null or stands
+    in several cases, of which none is taken.  Both come from one pass.
+    """
+
+    def message(i: int, column: str, role: str, source: str) -> Column:
+        text = F.col(column)
+        return F.struct(
+            F.lit(i).alias("hop"), F.lit(role).alias("role"), F.lit(source).alias("source"), F.lit("agent").alias("target"), text.alias("content"),
+            (text if role.startswith("tool") else F.lit(None).cast("string")).alias("tool_response"),
+        )
+
+    messages = F.array(*[message(i, *p) for i, p in enumerate(parts, 1)])
+    lacking = [F.when(F.col(c).isNull(), f"{c} is missing").when(F.trim(c) == "", f"{c} is blank") for c, _, _ in parts]
+    n = F.count("*").over(Window.partitionBy(id))
+    reason = F.coalesce(F.when(F.col(id).isNull(), "no id"), F.when(n > 1, "id stands twice"), *lacking)
+    rows = cases.withColumns({"reason": reason, "messages": messages})
+    return rows.where("reason is null").select(id, "messages", F.lit(len(parts)).alias("n_messages")), rows.where("reason is not null").select(id, "reason")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopwise.plans import datasets, records, registry, sessions  # noqa: F401
+from hopwise.plans import composed, datasets, records, registry, sessions  # noqa: F401
 
 
 def queries() -> dict:
