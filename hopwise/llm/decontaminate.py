@@ -8,10 +8,11 @@ reaches 0.8.  All steps are DataFrame expressions:
     ends with the document) loses no shared shingle.  So windows are cut where any shingle of
     the benchmark stands, in the lengths of the items that hold it; which item it may be is
     left to the fingerprints.
-2.  SimHash.  Window and item fingerprints (64 bits) are cut into RADIUS + 1 blocks; two
-    fingerprints within RADIUS bits agree in at least one block, so the join on (length, block,
-    value) yields every pair within the radius, and the Hamming distance drops the others.
-    Equal windows of a document are looked up once.
+2.  SimHash.  Window and item fingerprints (64 bits) are cut into BLOCKS blocks; two fingerprints
+    within RADIUS bits differ in at most three bits in the first or two in another, so items stand
+    for all values that near their own, and the join on (length, block, value) yields every pair
+    within the radius; the Hamming distance drops the others.  A window and an item that have
+    nothing in common meet with odds of one in 59.  Equal windows of a document are looked up once.
 3.  Exact verification of the pairs that are left, on their shingles.
 4.  The rest.  A radius guarantees a distance, not a similarity: at 0.8 two fingerprints differ
     in about 10 bits, but some in more.  Windows that hold 0.8 of an item's shingles and lie
@@ -20,12 +21,14 @@ reaches 0.8.  All steps are DataFrame expressions:
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hopwise.llm.common import checkpointed, unused
 
-WIDTH, SIMILARITY, RADIUS = 5, 0.8, 12
+WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 12, 4
 #: Up to this many rows of a two-column table are broadcast; beyond, Spark shuffles the join.
 BROADCAST_ROWS = 500_000
 
@@ -66,17 +69,31 @@ def simhash(hashes: Column, most: int = 32_767) -> Column:
     return F.aggregate(hashes, none, add, bits)
 
 
-def blocks(fp: Column, radius: int) -> Column:
-    """(block, value) of the radius + 1 blocks of nearly equal width."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+def blocks(fp: Column, cuts: int) -> Column:
+    """(block, value) of the cuts + 1 blocks of nearly equal width."""
+    at = [64 * i // (cuts + 1) for i in range(cuts + 2)]
     return F.array(
         *[
             F.struct(F.lit(i).alias("block"), F.shiftright(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value"))
-            for i, (a, b) in enumerate(zip(cuts, cuts[1:]))
+            for i, (a, b) in enumerate(zip(at, at[1:]))
         ]
     )
 
 
+def block_radii(radius: int) -> list[int]:
+    """How many bits each block may differ in: fingerprints that exceed this in every block differ in
+    more than ``radius``."""
+    every, more = divmod(radius + 1, BLOCKS)
+    return [every - 1 + (i < more) for i in range(BLOCKS)]
+
+
+def block_balls(radius: int) -> Column:
+    """(ball, mask) of all differences within the blocks' radii."""
+    width = 64 // BLOCKS
+    masks = [(i, sum(1 << b for b in at)) for i, most in enumerate(block_radii(radius)) for r in range(most + 1) for at in combinations(range(width), r)]
+    return F.array(*[F.struct(F.lit(i).alias("ball"), F.lit(m).cast("long").alias("mask")) for i, m in masks])
+
+
 def weighted_jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as multisets: sum of the lesser counts over sum of the greater.  One pass over
     both in order."""
@@ -159,12 +176,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
     # 2. fingerprints that agree in a block; a pair that meets in several counts in its first
     alike = F.xxhash64("hashes").alias("alike")
-    one = left.groupBy("key", "doc_id", "m", "at_end", "fp", alike).agg(F.min("s").alias("s")).select("key", "doc_id", "m", "s", "fp", F.inline(blocks(F.col("fp"), radius)))
-    listed = right.select("item_id", "m", "item_fp", F.inline(blocks(F.col("item_fp"), radius)))
+    one = left.groupBy("key", "doc_id", "m", "at_end", "fp", alike).agg(F.min("s").alias("s")).select("key", "doc_id", "m", "s", "fp", F.inline(blocks(F.col("fp"), BLOCKS - 1)))
+    own = right.select("item_id", "m", "item_fp", blocks(F.col("item_fp"), BLOCKS - 1).alias("own"), F.inline(block_balls(radius)))
+    listed = own.withColumns({"block": F.col("ball"), "value": F.get("own", F.col("ball"))["value"]})
+    listed = checkpointed(listed.select("item_id", "m", "item_fp", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value")))
     differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
     distance = F.bit_count(differ)
-    agree = F.array_position(F.transform(blocks(differ, radius), lambda b: b["value"]), 0) - 1
-    near = one.join(_sized(listed, n_items * (radius + 1)), ["m", "block", "value"]).where((distance <= radius) & (F.col("block") == agree))
+    within = F.array(*[F.bit_count(F.get(blocks(differ, BLOCKS - 1), F.lit(i))["value"]) <= most for i, most in enumerate(block_radii(radius))])
+    agree = F.array_position(within, True) - 1
+    near = one.join(_sized(listed, listed.count()), ["m", "block", "value"]).where((distance <= radius) & (F.col("block") == agree))
     near = near.select("key", "doc_id", "m", "s", "item_id", distance.alias("hamming"))
 
     # 4. at: sorted places of the item's shingles; k of them lie in the window that starts at the

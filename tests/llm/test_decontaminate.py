@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from hopwise.llm.decontaminate import OP3_SQL, RADIUS, blocks, keep_clean, leaks, op3_decontaminate, simhash
+from hopwise.llm.decontaminate import BLOCKS, OP3_SQL, RADIUS, block_balls, block_radii, blocks, keep_clean, leaks, op3_decontaminate, simhash
 from tests.oracle import differences
 
 
@@ -74,6 +74,19 @@ def test_fingerprints_find_nearly_all(spark):
     assert found and sum(r.hamming <= RADIUS for r in found) >= 0.9 * len(found)
 
 
+def test_blocks_meet_within_the_radius_and_seldom_beyond(spark):
+    """Every difference of up to RADIUS bits is within some block's radius; few random ones are."""
+    import random
+
+    rng, radii = random.Random(9), block_radii(RADIUS)
+    balls = spark.range(1).select(F.inline(block_balls(RADIUS))).collect()
+    ball = {i: {r.mask for r in balls if r.ball == i} for i in range(BLOCKS)}
+    meets = lambda x: any(x >> 16 * i & 0xFFFF in ball[i] for i in range(BLOCKS))
+    assert sum(r + 1 for r in radii) == RADIUS + 1
+    assert all(meets(sum(1 << b for b in rng.sample(range(64), n))) for n in range(RADIUS + 1) for _ in range(2000))
+    assert sum(len(ball[i]) for i in range(BLOCKS)) / 2**16 < 0.05 and sum(meets(rng.getrandbits(64)) for _ in range(20_000)) < 0.05 * 20_000
+
+
 def test_repetitive_texts(spark):
     """Windows without number that are all alike are looked up once."""
     bench = spark.createDataFrame([(1, "word " * 200)], "item_id long, text string")
