@@ -16,7 +16,7 @@ from hopwise.plans.registry import query, read
 from hopwise.plans.sessions import STATIC, events_hops, static_log
 from hopwise.sources import datasets as DS
 from hopwise.sources.folders import scratch
-from hopwise.sources.hops import EV_SQL
+from hopwise.sources.hops import CLASSES, EV_SQL, KINDS, VECTORS, read_session_documents, read_sessions, session_errors, session_hops
 
 _MOD = "CASE WHEN doc_id % 17 < 12 THEN 'train' WHEN doc_id % 17 < 14 THEN 'validation' ELSE 'test' END"
 
@@ -141,3 +141,48 @@ def controlled_verdicts(spark, d):
     releases, resets = _controls(hops)
     judged = fold.verdicts(hops, releases=releases, resets=resets)
     return judged.select("session_id", "hop", "tier", F.round("trust", 6).alias("trust"), "suspended", "sensitivity")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS hop, role, sha256(text) AS text_sha256
+FROM conversations WHERE conv_id % 4 = 0 OR conv_id % 4 = 3""")
+def session_files(spark, d):
+    """Runtime hops of the test split from several session files; in one of them another split stands
+    for it, and one is missing."""
+    m = F.struct(F.col("turn").cast("int").alias("hop"), "role", F.col("role").alias("source"), F.lit("agent").alias("target"), F.col("text").alias("content"))
+    rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("messages"))
+    kind = F.col("conv_id") % 4
+    split = F.when(kind == 0, "test").when(kind == 1, "train").when(kind == 2, "test").otherwise("external")
+    rows = rows.select(F.col("conv_id").cast("string").alias("sample_id"), split.alias("split"), "messages", (kind < 2).alias("own"))
+    folder = scratch(spark, "hopwise-session-files")
+    rows.where("own").drop("own").write.json(f"{folder}/own")
+    rows.where("not own").drop("own").write.json(f"{folder}/other")
+    sessions = read_sessions(spark, [f"{folder}/own", f"{folder}/other", f"{folder}/missing"], "test", elsewhere={f"{folder}/other": "external"})
+    return session_hops(sessions).select("session_id", "hop", "role", F.sha2("content", 256).alias("text_sha256"))
+
+
+_WRITTEN = """SELECT conv_id, list({'role': CASE WHEN conv_id % 9 = 2 AND turn = 1 THEN 'robot' ELSE role END, 'turn': turn} ORDER BY turn) AS ms FROM conversations GROUP BY conv_id"""
+
+
+@query(f"""WITH w AS ({_WRITTEN}), e AS (
+  SELECT conv_id, 'needs at least 3 messages' AS error FROM w WHERE len(ms) < 3
+  UNION ALL SELECT conv_id, 'attack_class must be one of {", ".join(CLASSES)}' FROM w WHERE conv_id % 3 = 0 AND conv_id % 5 = 4
+  UNION ALL SELECT conv_id, 'benign_kind must be one of {", ".join(KINDS)}' FROM w WHERE conv_id % 3 = 1 AND conv_id % 5 = 4
+  UNION ALL SELECT conv_id, 'is_attack must be true or false' FROM w WHERE conv_id % 3 = 2
+  UNION ALL SELECT conv_id, 'first message must be the user''s request' FROM w WHERE ms[1].role <> 'user'
+  UNION ALL SELECT conv_id, 'message ' || i || ': unknown role' FROM (SELECT conv_id, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i FROM w) WHERE m.role = 'robot'
+  UNION ALL SELECT conv_id, 'message ' || i || ': source and target are required' FROM (SELECT conv_id, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i FROM w) WHERE m.role = 'system')
+SELECT CAST(conv_id AS VARCHAR) AS id, error FROM e""")
+def session_documents(spark, d):
+    """Sessions as people write them, lists of JSON documents in files, and what they have to mend."""
+    some = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("conv_id") % 5).cast("int"))
+    role = F.when((F.col("conv_id") % 9 == 2) & (F.col("turn") == 1), "robot").otherwise(F.col("role"))
+    m = F.struct("turn", role.alias("role"), F.when(role != "system", role).alias("source"), F.lit("agent").alias("target"), F.col("text").alias("content"))
+    rows = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("messages"))
+    attack = F.when(F.col("conv_id") % 3 == 0, True).when(F.col("conv_id") % 3 == 1, False)
+    doc = F.struct(
+        F.col("conv_id").cast("string").alias("id"), attack.alias("is_attack"), some([*CLASSES[:4], "other"]).alias("attack_class"), some(VECTORS).alias("attack_vector"), some([*KINDS, "other"]).alias("benign_kind"), "messages"
+    )
+    folder = scratch(spark, "hopwise-written")
+    files = rows.groupBy((F.col("conv_id") % 64).alias("file")).agg(F.to_json(F.collect_list(doc)).alias("value"))
+    files.write.partitionBy("file").text(folder)
+    return session_errors(read_session_documents(spark, folder, "*.txt")).select("id", "error")

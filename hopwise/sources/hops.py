@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,22 +97,87 @@ def _renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     return rows.withColumnsRenamed({there: here for here, there in names.items()})
 
 
-def read_sessions(spark: SparkSession, paths: list[str], split: str | None = None, names: dict[str, str] | None = None) -> DataFrame:
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that exist, in order; a warning names the others."""
+    hadoop, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    there = [p for p in paths if path(p).getFileSystem(hadoop).exists(path(p))]
+    for p in paths:
+        if p not in there:
+            warnings.warn(f"{p} does not exist and is skipped", stacklevel=3)
+    return there
+
+
+def read_sessions(spark: SparkSession, paths: list[str], split: str | None = None, names: dict[str, str] | None = None, elsewhere: dict[str, str] | None = None) -> DataFrame:
     """Session files in JSON lines, existing paths in order, blank lines skipped; damaged lines
     keep their text in ``_bad``.  ``names`` gives the files' names of fields that are called
-    otherwise there.  A session outside ``split`` is left out; without one all are read."""
-    hadoop = spark._jsc.hadoopConfiguration()
-    there = [p for p in paths if spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(hadoop).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    otherwise there.  A session outside ``split`` is left out; without one all are read.
+    ``elsewhere`` names, for some paths, the split that stands for ``split`` there."""
+    there = existing(spark, paths)
     if not there:
         return spark.createDataFrame([], SESSION)
-    rows = _renamed(spark.read.schema(_session_schema(names or {})).option("columnNameOfCorruptRecord", "_bad").json(there), names or {})
-    return rows.where(F.col("split") == split) if split else rows
+    reader = spark.read.schema(_session_schema(names or {})).option("columnNameOfCorruptRecord", "_bad")
+
+    def read(some: list[str], wanted: str | None) -> DataFrame:
+        rows = _renamed(reader.json(some), names or {})
+        return rows.where(F.col("split") == wanted) if wanted else rows
 
+    own = {p: elsewhere[p] for p in there if split and elsewhere and p in elsewhere}
+    plain = [p for p in there if p not in own]
+    parts = ([read(plain, split)] if plain else []) + [read([p], s) for p, s in own.items()]
+    return reduce(DataFrame.unionByName, parts)
 
-def read_session_documents(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
-    """One JSON document (or list of them) a file, at any depth below ``folder``."""
-    reader = spark.read.schema(SESSION).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder).withColumn("file", F.col("_metadata.file_path"))
+
+#: A session as people write it: one JSON document, or a list of them, a file.
+WRITTEN = (
+    "id string, is_attack boolean, attack_class string, attack_vector string, benign_kind string, author string, notes string, "
+    "messages array<struct<role:string,source:string,target:string,content:string,tool_name:string,tool_call:string,label:string>>, _bad string"
+)
+# fixed values: what the fields of a written session may say
+CLASSES = ("code_tool_manipulation", "data_exfiltration", "financial_manipulation", "instruction_override", "physical_safety_harm")
+VECTORS = ("cross_agent_injection", "document_poisoning", "goal_hijacking", "memory_injection", "tool_output_manipulation")
+KINDS = ("authorized", "designated", "normal", "resisted")
+
+
+def read_session_documents(spark: SparkSession, folder: str, pattern: str = "*.json", schema: str = WRITTEN) -> DataFrame:
+    """One JSON document (or list of them) a file, at any depth below ``folder``, with the ``file``'s
+    name; those called EXAMPLE... are skipped, damaged ones keep their text in ``_bad``."""
+    reader = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    rows = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder)
+    return rows.withColumn("file", F.col("_metadata.file_name")).where(~F.startswith("file", F.lit("EXAMPLE")))
+
+
+def session_errors(written: DataFrame) -> DataFrame:
+    """(file, id, error) of everything that a written session has to mend: a row a mistake."""
+
+    def known(field: str, values: tuple) -> Column:
+        return F.when(~F.coalesce(F.col(field).isin(*values), F.lit(False)), F.lit(f"{field} must be one of {', '.join(values)}"))
+
+    def blank(c: Column) -> Column:
+        return F.coalesce(c, F.lit("")) == ""
+
+    def of_message(m: Column, i: Column) -> Column:
+        at = F.concat(F.lit("message "), (i + 1).cast("string"), F.lit(": "))
+        role = F.coalesce(m["role"], F.lit(""))
+        return F.array(
+            F.when(~role.isin(*RUNTIME_ROLES), F.concat(at, F.lit("unknown role"))),
+            F.when(blank(m["source"]) | blank(m["target"]), F.concat(at, F.lit("source and target are required"))),
+            F.when((role == "assistant") & ~blank(m["tool_name"]) & ~F.startswith(F.coalesce(F.trim(m["tool_call"]), F.lit("")), F.lit("{")), F.concat(at, F.lit("tool_call must be an object"))),
+        )
+
+    messages = F.coalesce("messages", F.array().cast(written.schema["messages"].dataType))
+    first = F.get(messages, F.lit(0))["role"]
+    own = F.array(
+        F.when(F.size(messages) < 3, "needs at least 3 messages"),
+        F.when(F.col("is_attack"), known("attack_class", CLASSES)),
+        F.when(F.col("is_attack"), known("attack_vector", VECTORS)),
+        F.when(~F.col("is_attack"), known("benign_kind", KINDS)),
+        F.when(F.col("is_attack").isNull(), "is_attack must be true or false"),
+        F.when(~first.eqNullSafe(F.lit("user")), "first message must be the user's request"),
+    )
+    errors = F.when(F.col("_bad").isNotNull(), F.array(F.lit("invalid JSON"))).otherwise(F.concat(own, F.flatten(F.transform(messages, of_message))))
+    rows = written.select("file", "id", F.explode(F.array_compact(errors)).alias("error"))
+    twice = written.where("_bad is null and id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min("file").alias("file")).where("n > 1")
+    return rows.unionByName(twice.select("file", "id", F.lit("id stands twice").alias("error")))
 
 
 def session_hops(sessions: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from hopwise.operators import fold, provenance, records, replay
 from hopwise.operators.fold import Session
 from hopwise.plans.composed import dataset_write, label_replay
 from hopwise.sources import datasets as DS
-from hopwise.sources.hops import ev_hops
+from hopwise.sources.hops import ev_hops, read_session_documents, read_sessions, session_errors
 
 
 def test_replay_is_the_fold_with_given_risks(spark):
@@ -80,3 +81,27 @@ def test_records_and_rejects(spark):
     good, bad = records.built(spark.createDataFrame(cases, "id int, ask string, found string"), [("ask", "user", "user"), ("found", "tool_response", "tool")])
     assert [(r.id, [(m.hop, m.role, m.content, m.tool_response) for m in r.messages]) for r in good.collect()] == [(1, [(1, "user", "do", None), (2, "tool_response", "data", "data")])]
     assert sorted((r.id or 0, r.reason) for r in bad.collect()) == [(0, "no id"), (2, "ask is missing"), (3, "found is blank"), (4, "id stands twice"), (4, "id stands twice")]
+
+
+def test_written_sessions_and_their_mistakes(spark, tmp_path):
+    talk = [{"role": "user", "source": "u", "target": "a", "content": "x"}, {"role": "assistant", "source": "a", "target": "t", "tool_name": "send", "tool_call": {"to": "x"}}, {"role": "tool", "source": "t", "target": "a"}]
+    good = {"id": "g", "is_attack": False, "benign_kind": "normal", "messages": talk}
+    bad = {"id": "b", "is_attack": True, "attack_class": "data_exfiltration", "messages": [{"role": "assistant", "source": "a", "target": "", "tool_name": "send", "tool_call": "now"}]}
+    (tmp_path / "d/e").mkdir(parents=True)
+    (tmp_path / "one.json").write_text(json.dumps(good, indent=2))
+    (tmp_path / "d/two.json").write_text(json.dumps([bad, {"id": "g2", "messages": None}]))
+    (tmp_path / "d/e/three.json").write_text("{ no json")
+    (tmp_path / "d/four.json").write_text(json.dumps([{**good, "id": "t"}, {**good, "id": "t"}]))
+    (tmp_path / "EXAMPLE_five.json").write_text(json.dumps({"id": "never"}))
+    rows = read_session_documents(spark, str(tmp_path))
+    got = {(r.file, r.id, r.error.partition(" one of")[0]) for r in session_errors(rows).collect()}
+    assert got == {
+        ("two.json", "b", "needs at least 3 messages"), ("two.json", "b", "attack_vector must be"), ("two.json", "b", "first message must be the user's request"), ("two.json", "b", "message 1: source and target are required"),
+        ("two.json", "b", "message 1: tool_call must be an object"), ("two.json", "g2", "needs at least 3 messages"), ("two.json", "g2", "is_attack must be true or false"), ("two.json", "g2", "first message must be the user's request"),
+        ("three.json", None, "invalid JSON"), ("four.json", "t", "id stands twice"),
+    }
+
+
+def test_missing_session_files_are_named(spark, tmp_path):
+    with pytest.warns(UserWarning, match="none.jsonl does not exist"):
+        assert read_sessions(spark, [f"{tmp_path}/none.jsonl"]).count() == 0
