@@ -12,6 +12,8 @@ what identifies a row, keeps a cell that holds a third of all rows in thousands
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from hopwise.llm.common import running_totals, unused
 
 BITS = 5
 SALTS = 4_096
+#: Combinations of labels that are counted on the driver.
+MOST_LABELS = 100_000
 
 
 def hilbert_index(axes: Column, dims: int, bits: int = BITS) -> Column:
@@ -55,6 +59,27 @@ def hilbert_index(axes: Column, dims: int, bits: int = BITS) -> Column:
     return F.aggregate(order, F.lit(0).cast("long"), lambda h, s: h * 2 + F.when(F.get(final, s["i"]).bitwiseAND(s["q"]) != 0, 1).otherwise(0).cast("long"))
 
 
+def cuts_of_labels(rows: DataFrame, *labels: str, bits: int = BITS) -> list[list[str]]:
+    """For each label column the first labels of up to 2**bits - 1 classes that hold nearly equal
+    numbers of rows.  Up to ``MOST_LABELS`` combinations are counted in one job and cut here; beyond,
+    each column is cut by running counts in Spark, with the same result."""
+    counts = rows.groupBy(*labels).agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        return [label_cuts(rows, c, bits) for c in labels]
+    out = []
+    for label in labels:
+        sizes: Counter = Counter()
+        for r in counts:
+            if r[label] is not None:
+                sizes[r[label].encode()] += r["n"]
+        total, upto, firsts = sizes.total(), 0, {}
+        for value in sorted(sizes):
+            firsts.setdefault(upto * ((1 << bits) - 1) // total, value.decode())
+            upto += sizes[value]
+        out.append(list(firsts.values()))
+    return out
+
+
 def label_cuts(rows: DataFrame, label: str, bits: int = BITS) -> list[str]:
     """The first labels of up to 2**bits - 1 classes that hold nearly equal numbers of rows."""
     counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
@@ -116,7 +141,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     ignored.
     """
     rows = document_rows(docs)
-    labels = [quantised_text(F.col(c), label_cuts(rows, c)) for c in ("lang", "source")]
+    named = ("lang", "source")
+    labels = [quantised_text(F.col(c), cuts) for c, cuts in zip(named, cuts_of_labels(rows, *named))]
     axes = [*labels, quantised_size(F.col("size"))]
     ranked = with_curve_order(rows, axes, "doc_id", "size", "text_crc32")
     shard = F.expr(f"(rank * {shards}) div total")

@@ -3,7 +3,8 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from hopwise.llm.hilbert_shards import hilbert_index, label_cuts, op7_hilbert_shards, quantised_text, shard_documents, write_shards
+from hopwise.llm import hilbert_shards
+from hopwise.llm.hilbert_shards import cuts_of_labels, hilbert_index, label_cuts, op7_hilbert_shards, quantised_text, shard_documents, write_shards
 
 
 def test_the_curve_visits_neighbours(spark):
@@ -69,3 +70,12 @@ def test_label_classes_keep_order_and_size(spark):
     assert cuts == sorted(cuts) and len(cuts) <= 7 and cuts[0] == "big"
     got = docs.select("source", quantised_text(F.col("source"), cuts).alias("c")).distinct().orderBy("source").collect()
     assert [r.c for r in got] == sorted(r.c for r in got) and got[0].c == 1
+
+
+def test_cuts_on_the_driver_are_those_of_running_counts(spark, monkeypatch):
+    rows = [(f"é{i % 7}" if i % 11 else None, f"s{i * i % 90}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "lang string, source string")
+    here = cuts_of_labels(docs, "lang", "source", bits=4)
+    monkeypatch.setattr(hilbert_shards, "MOST_LABELS", 3)
+    assert here == cuts_of_labels(docs, "lang", "source", bits=4) == [label_cuts(docs, c, 4) for c in ("lang", "source")]
+    assert cuts_of_labels(docs.limit(0), "lang", "source") == [[], []]
