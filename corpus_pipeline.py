@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hopwise.llm.common import shared_dir
+from hopwise.llm.common import dropped, shared_dir
 from hopwise.llm.decontaminate import keep_clean
 from hopwise.llm.hilbert_shards import shard_documents
 from hopwise.llm.language_id import keep_identified
@@ -56,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what passes between them lies in the shared folder."""
+    """Applies the stages to documents; what passes between them lies in the shared folder, where a
+    stage's rows are deleted once the next stage has written its own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark).rstrip('/')}/corpus-pipeline/{uuid.uuid4()}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+        if before is not None:
+            dropped(before)
+        docs = before = spark.read.parquet(f"{root}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
