@@ -223,11 +223,16 @@ def multikey_order(*words: np.ndarray) -> np.ndarray:
 WORDS = ("first", "second", "run", "check")
 
 
-def _settle_windows(w: dict[str, np.ndarray], length: int):
-    """Of equal windows all but those of the least document go: (row, start, end)."""
+def _ranked_windows(w: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Windows in order, and which of them are not those of the least document that has them."""
     order = multikey_order(w["window"], w["check"], w["first"])
     w = {c: x[order] for c, x in w.items()}
-    gone = w["doc"] > _least(w["doc"], _first_of(w["window"], w["check"], w["first"]))
+    return w, w["doc"] > _least(w["doc"], _first_of(w["window"], w["check"], w["first"]))
+
+
+def _settle_windows(w: dict[str, np.ndarray], length: int):
+    """Of equal windows all but those of the least document go: (row, start, end)."""
+    w, gone = _ranked_windows(w)
     return w["row"][gone], w["start"][gone], w["start"][gone] + length
 
 
@@ -429,7 +434,14 @@ def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 if b >= 0:
                     out["part"].append(int(b)), out["kind"].append("u"), out["payload"].append(_pack(**v)), out["data"].append(zstandard.ZstdCompressor(level=3).compress(raw))
                     continue
-                w = _windows(raw, v["start"], v["size"], v["lead"], length, doc=v["doc"], row=v["row"], first=v["first"])
+                # what goes already by this batch alone goes by its row; of a window that very many
+                # contexts share, a batch sends on one document
+                w, gone = _ranked_windows(_windows(raw, v["start"], v["size"], v["lead"], length, doc=v["doc"], row=v["row"], first=v["first"]))
+                settled = {"row": w["row"][gone], "start": w["start"][gone], "end": w["start"][gone] + length}
+                by_row = settled["row"] % parts
+                for f in np.unique(by_row):
+                    out["part"].append(int(f)), out["kind"].append("d"), out["payload"].append(_pack(**{c: x[by_row == f] for c, x in settled.items()})), out["data"].append(b"")
+                w = {c: x[~gone] for c, x in w.items()}
                 far = (w["window"] >> _U(33)).astype(np.int64) % parts
                 for f in np.unique(far):
                     out["part"].append(int(f)), out["kind"].append("w"), out["payload"].append(_pack(**{c: x[far == f] for c, x in w.items()})), out["data"].append(b"")
@@ -441,8 +453,11 @@ def removed_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         if (u := _gathered([p for k, p in zip(kinds, payloads) if k == "u"])) is not None:
             data = b"".join(zstandard.ZstdDecompressor().decompress(d) for k, d in zip(kinds, packed) if k == "u")
             w.append(_windows(data, u["start"], u["size"], u["lead"], length, doc=u["doc"], row=u["row"], first=u["first"]))
-        w = {c: np.concatenate([x[c] for x in w]) for c in w[0]}
-        done = _rows_merged(*_settle_windows(w, length)).select(["row", "start", "end"])
+        d = [_unpack(p) for k, p in zip(kinds, payloads) if k == "d"]
+        done = [[x[c] for c in ("row", "start", "end")] for x in d]
+        if w:
+            done.append(_settle_windows({c: np.concatenate([x[c] for x in w]) for c in w[0]}, length))
+        done = _rows_merged(*(np.concatenate(x) for x in zip(*done))).select(["row", "start", "end"])
         free_memory()
         return done
 

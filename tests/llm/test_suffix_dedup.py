@@ -111,3 +111,19 @@ def test_pieces_hold_every_window_once(monkeypatch):
     u = m._units(texts, L)
     windows = sorted((i, s + j) for i, s, z in zip(u["text"].tolist(), u["start"].tolist(), u["size"].tolist()) for j in range(z - L + 1))
     assert windows == [(i, s) for i, t in enumerate(texts) for s in range(len(t) - L + 1)]
+
+
+def test_one_passage_in_very_many_contexts(spark, monkeypatch):
+    """The ends of the passage differ everywhere, so all its windows are asked for under one key."""
+    monkeypatch.setattr(m, "BUCKET_BYTES", 4_000)
+    monkeypatch.setattr(m, "BUCKET_REQUESTS", 20)
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    check(spark, [(d % 390, "".join(rng.choice("uvwxyz") for _ in range(12)) + passage + "".join(rng.choice("uvwxyz") for _ in range(12))) for d in range(400)])
+
+
+def test_of_a_hot_window_a_batch_sends_on_one_document():
+    w = {c: np.array(x) for c, x in {"window": [7, 7, 9, 7, 9], "check": [1, 1, 2, 1, 2], "first": [0] * 5, "doc": [3, 5, 5, 3, 4], "row": [1, 2, 2, 1, 3], "start": [0, 4, 9, 60, 2]}.items()}
+    ranked, gone = m._ranked_windows({c: x.astype(np.uint64) if c in ("window", "check", "first") else x for c, x in w.items()})
+    assert sorted(zip(ranked["doc"][~gone].tolist(), ranked["window"][~gone].tolist())) == [(3, 7), (3, 7), (4, 9)]
+    assert sorted(zip(ranked["row"][gone].tolist(), ranked["start"][gone].tolist())) == [(2, 4), (2, 9)]
