@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hopwise.functions import vocabulary as V
 from hopwise.operators import datasets as D
 from hopwise.operators import evaluate as E
-from hopwise.operators import fold, replay, verdict_log
+from hopwise.operators import audit, fold, replay, verdict_log
 from hopwise.operators import records as X
 from hopwise.plans import sql as S
 from hopwise.plans.datasets import SCORED, _counts, _rounded, _summary, scored
@@ -186,3 +186,32 @@ def session_documents(spark, d):
     files = rows.groupBy((F.col("conv_id") % 64).alias("file")).agg(F.to_json(F.collect_list(doc)).alias("value"))
     files.write.partitionBy("file").text(folder)
     return session_errors(read_session_documents(spark, folder, "*.txt")).select("id", "error")
+
+
+_RECORDS = f"""SELECT doc_id AS sample_id, CASE WHEN doc_id % 97 = 3 THEN 'other' ELSE {_MOD} END AS split, doc_id % 3 = 0 AS is_attack,
+  CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 41 = 0 THEN 'unknown' ELSE '{CLASSES[0]}' END WHEN doc_id % 53 = 1 THEN '{CLASSES[1]}' END AS attack_class,
+  lang, source, doc_id % 61 = 5 AS gap, md5(text) AS k0, CASE WHEN length(text) >= 40 THEN left(text, 40) END AS k1 FROM documents"""
+
+
+@query(f"""WITH RECURSIVE r AS ({_RECORDS}), e AS (SELECT DISTINCT a.sample_id AS a, b.sample_id AS b FROM r a JOIN r b ON a.k0 = b.k0 UNION SELECT DISTINCT a.sample_id, b.sample_id FROM r a JOIN r b ON a.k1 = b.k1),
+w AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.b), g AS (SELECT a AS sample_id, min(b) AS grp FROM w GROUP BY a),
+gs AS (SELECT grp FROM (SELECT sample_id, coalesce(grp, sample_id) AS grp, split FROM r LEFT JOIN g USING (sample_id)) GROUP BY grp HAVING count(DISTINCT split) > 1),
+x AS (SELECT 'unique_sample_ids' AS rule, sample_id FROM r WHERE false UNION ALL SELECT 'required_fields', sample_id FROM r WHERE lang IS NULL OR source IS NULL OR split IS NULL
+  UNION ALL SELECT 'message_structure', sample_id FROM r WHERE gap UNION ALL SELECT 'valid_splits', sample_id FROM r WHERE split = 'other'
+  UNION ALL SELECT 'benign_class_null', sample_id FROM r WHERE NOT is_attack AND attack_class IS NOT NULL UNION ALL SELECT 'valid_attack_classes', sample_id FROM r WHERE is_attack AND attack_class = 'unknown'
+  UNION ALL SELECT 'no_group_split_leakage', grp FROM gs),
+n AS (SELECT unnest(['unique_sample_ids', 'required_fields', 'message_structure', 'valid_splits', 'benign_class_null', 'valid_attack_classes', 'no_group_split_leakage']) AS rule)
+SELECT rule, count(sample_id) AS n, min(sample_id) AS example FROM n LEFT JOIN x USING (rule) GROUP BY rule""")
+def integrity_audit(spark, d):
+    """Every rule on documents as records of two messages; equal texts and equal beginnings join
+    records into groups."""
+    id = F.col("doc_id")
+    split = F.when(id % 97 == 3, "other").otherwise(D.mod_split(id))
+    cls = F.when(id % 3 == 0, F.when(id % 41 == 0, "unknown").otherwise(CLASSES[0])).otherwise(F.when(id % 53 == 1, CLASSES[1]))
+    message = lambda hop, role: F.struct(hop.alias("hop"), F.lit(role).alias("role"), F.lit(role).alias("source"), F.lit("agent").alias("target"))
+    messages = F.array(message(F.lit(1), "user"), message(F.when(id % 61 == 5, 3).otherwise(2), "assistant"))
+    rows = read(spark, d, "documents").select(
+        id.alias("sample_id"), split.alias("split"), (id % 3 == 0).alias("is_attack"), cls.alias("attack_class"), messages.alias("messages"), "lang", "source",
+        F.md5("text").alias("k0"), F.when(F.length("text") >= 40, F.substring("text", 1, 40)).alias("k1"),
+    )
+    return audit.integrity(rows, ["k0", "k1"], ["lang", "source", "split"], CLASSES)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from hopwise.operators import fold, provenance, records, replay
+from hopwise.operators import audit, fold, provenance, records, replay
 from hopwise.operators.fold import Session
 from hopwise.plans.composed import dataset_write, label_replay
 from hopwise.sources import datasets as DS
@@ -105,3 +105,18 @@ def test_written_sessions_and_their_mistakes(spark, tmp_path):
 def test_missing_session_files_are_named(spark, tmp_path):
     with pytest.warns(UserWarning, match="none.jsonl does not exist"):
         assert read_sessions(spark, [f"{tmp_path}/none.jsonl"]).count() == 0
+
+
+def test_groups_over_several_keys(spark):
+    rows = [(i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(30)] + [(100, None, None), (101, "x", None), (102, None, "y"), (103, "x", "y"), (50, "a3", "z")]
+    got = {r.id: r.group for r in audit.connected(spark.createDataFrame(rows, "id long, p string, q string"), "id", ["p", "q"]).collect()}
+    assert got == {**{i: 0 for i in [*range(30), 50]}, 100: 100, 101: 101, 102: 101, 103: 101}
+    assert audit.connected(spark.createDataFrame([], "id long, p string"), "id", ["p"]).collect() == []
+
+
+def test_every_rule_that_is_broken_is_told(spark):
+    m = [(1, "user", "u", "a"), (2, "assistant", "a", "b")]
+    rows = [(1, "train", False, None, m, "s", "g1"), (2, "test", True, "c", m, "s", "g1"), (3, "train", True, "odd", m[:1], "s", "g2"), (3, "train", False, "c", [(2, "user", "u", "a")], None, "g2"), (4, None, None, None, None, "s", None), (5, "dev", False, None, [(1, None, "u", "a")], "s", None)]
+    schema = "sample_id int, split string, is_attack boolean, attack_class string, messages array<struct<hop:int,role:string,source:string,target:string>>, source string, k string"
+    got = {r.rule: (r.n, r.example) for r in audit.integrity(spark.createDataFrame(rows, schema), ["k"], ["source"], ("c",)).collect()}
+    assert got == {"unique_sample_ids": (2, 3), "required_fields": (1, 3), "message_structure": (3, 3), "valid_splits": (2, 4), "benign_class_null": (1, 3), "valid_attack_classes": (1, 3), "no_group_split_leakage": (1, 1)}
