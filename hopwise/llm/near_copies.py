@@ -41,9 +41,9 @@ WIDTH, SIMILARITY = 5, 0.8
 BROADCAST_ROWS = 500_000
 #: Nodes that are compared with a hub in one go.
 HUB_NODES = 256
-#: Nodes of a token beyond which it comes last in the order, or two tokens are asked for; and the
-#: most tokens that are ordered by this, the most frequent ones.
-LONG_LIST, MOST_FREQUENT = 64, 1_000_000
+#: Nodes of a token beyond which it comes last in the order; the most tokens that are ordered by
+#: this, the most frequent ones; and nodes of a token beyond which two tokens are asked for.
+OFTEN, MOST_FREQUENT, LONG_LIST = 16, 1_000_000, 64
 
 
 def _hashes(data: bytes, width: int) -> np.ndarray:
@@ -137,7 +137,7 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, width: int, similarity: fl
 def _frequent(texts: DataFrame, width: int, similarity: float) -> np.ndarray:
     """Sorted tokens that lead in many nodes when tokens are ordered by hash."""
     leading = _prefixes(texts, np.zeros(0, np.uint64), width, similarity)
-    counts = leading.groupBy("token").count().where(F.col("count") > LONG_LIST)
+    counts = leading.groupBy("token").count().where(F.col("count") > OFTEN)
     top = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toArrow()
     return np.sort(top.column("token").to_numpy().view(np.uint64))
 
@@ -170,20 +170,28 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, s
     return checkpointed(dealt.mapInArrow(fn, "a long, b long").distinct())
 
 
-def _verified(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``links`` and those of the pairs (a, b, shared) that reach ``similarity``; of the pairs whose
-    ends are connected already none is compared.
+def _verified(pairs: DataFrame, links: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``links`` and those of the pairs (a, b, shared) that reach ``similarity``, but for pairs that
+    links connect already.
 
     Each node's pair with the most tokens in common comes first, then all that is still apart.
     """
-    links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if links is None else links
-    pairs = checkpointed(_apart(pairs, connected_components(links)))
+    pairs = checkpointed(_apart(pairs, _heads(links)))
     first = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
     links = checkpointed(links.unionByName(_compared(first, docs, nodes, width, similarity)))
-    left = _apart(pairs.join(first, ["a", "b"], "left_anti"), connected_components(links))
+    left = _apart(pairs.join(first, ["a", "b"], "left_anti"), _heads(links))
     return checkpointed(links.unionByName(_compared(left.select("a", "b"), docs, nodes, width, similarity)))
 
 
+def _heads(links: DataFrame) -> DataFrame:
+    """(node, component) of linked nodes: the least node within two links, which nodes of other
+    components never share; most that are connected do, and no rounds are needed to tell."""
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+    one = checkpointed(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("head")))
+    two = one.select(F.col("node").alias("head"), F.col("head").alias("component"))
+    return one.join(two, "head").select("node", "component")
+
+
 def _candidates(x, y, similarity: float):
     """Whether sizes, and the places of a shared token, allow the similarity."""
     (n, i), (m, j) = ((F.col(f"{c}.n"), F.col(f"{c}.at")) for c in (x, y))
@@ -206,21 +214,47 @@ def _pairs(met: DataFrame, similarity: float) -> DataFrame:
     return met.where(_candidates("x", "y", similarity)).groupBy(*ends).agg(F.count("*").alias("shared"))
 
 
+def _listed_pairs(lists: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, shared): pairs from lists (key, y, c) of up to ``LONG_LIST`` nodes.  Lists of the same
+    nodes, as the tokens of one passage make them, are gone through once."""
+    member = F.struct(F.col("y.node").alias("node"), F.col("y.n").alias("n"), "c", F.col("y.at").alias("at"))
+    per = lists.groupBy("key").agg(F.array_sort(F.collect_set(member)).alias("own"))
+    field = lambda m, c: F.transform(m, lambda x: x[c])
+    alike = per.groupBy(field(F.col("own"), "node").alias("nodes"), field(F.col("own"), "n").alias("ns"), field(F.col("own"), "c").alias("cs")).agg(
+        F.count("*").alias("shared"), F.collect_list(field(F.col("own"), "at")).alias("ats")
+    )
+    # of every node its first place in any of the lists, which allows whatever one of them allows
+    least = F.aggregate(F.slice("ats", 2, LONG_LIST * 1_000_000), F.get("ats", F.lit(0)), lambda x, y: F.zip_with(x, y, lambda p, q: F.least(p, q)))
+    rows = alike.select("shared", F.arrays_zip("nodes", "ns", "cs", least.alias("at")).alias("m"))
+    rows = rows.select("shared", "m", F.posexplode("m").alias("i", "x"))
+    rows = rows.select("shared", "x", F.explode(F.filter(F.slice("m", F.col("i") + 2, LONG_LIST), lambda y: y["cs"] != F.col("x.cs"))).alias("y"))
+    rows = rows.select("shared", *[F.struct(F.col(f"{s}.nodes").alias("node"), F.col(f"{s}.ns").alias("n"), F.col(f"{s}.at").alias("at")).alias(s) for s in "xy"])
+    rows = rows.where(_candidates("x", "y", similarity))
+    return rows.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.sum("shared").alias("shared"))
+
+
+def _by_size(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lists (key, ...) of up to ``LONG_LIST`` rows, and the longer ones."""
+    sizes = lists.groupBy("key").agg(F.count("*").alias("size"))
+    long = sizes.where(F.col("size") > LONG_LIST).select("key")
+    return lists.join(long, "key", "left_anti"), lists.join(long, "key", "left_semi")
+
+
 def _remaining(lists: DataFrame, docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, width: int, similarity: float) -> DataFrame:
     """(a, b, shared): pairs of nodes that share a token of ``lists`` (token, y, c), c being the
     component of the node y, and are in different components."""
-    sizes = lists.groupBy("token").agg(F.count("*").alias("size"))
-    short = lists.join(sizes.where(F.col("size") <= LONG_LIST).select("token"), "token", "left_semi").withColumn("second", F.lit(None).cast("long"))
-    long = written(lists.join(sizes.where(F.col("size") > LONG_LIST).select("token"), "token", "left_semi"))
+    short, long = _by_size(lists.withColumnRenamed("token", "key"))
+    long = written(long)
     members = checkpointed(long.select(F.col("y.node").alias("node")).distinct().join(nodes, "node").select("node", "doc_id", "h"))
-    texts = _texts_of(docs, members)
-    more = _prefixes(texts, frequent, width, similarity, 2).distinct().select("node", F.col("token").alias("second"), F.col("at").alias("second_at"))
-    twos = long.withColumn("node", F.col("y.node")).join(more, "node").where("second_at > y.at").select("token", "y", "c", "second")
-    keyed = written(short.unionByName(twos))
-    x, y = keyed.toDF("token", "x", "cx", "second").alias("x"), keyed.toDF("token", "y", "cy", "second").alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & F.col("x.second").eqNullSafe(F.col("y.second"))
-    found = checkpointed(_pairs(x.join(y, on).where("cx <> cy and x.x.node < y.y.node").select(F.col("x.x").alias("x"), F.col("y.y").alias("y")), similarity))
-    dropped(long, keyed)
+    more = _prefixes(_texts_of(docs, members), frequent, width, similarity, 2).distinct().select("node", F.col("token").alias("second"), F.col("at").alias("second_at"))
+    twos = long.withColumn("node", F.col("y.node")).join(more, "node").where("second_at > y.at")
+    twos = written(twos.select(F.xxhash64("key", "second").alias("key"), "y", "c"))
+    few, many = _by_size(twos)
+    x, y = many.toDF("key", "x", "cx").alias("x"), many.toDF("key", "y", "cy").alias("y")
+    met = x.join(y, "key").where("cx <> cy and x.x.node < y.y.node").select(F.col("x.x").alias("x"), F.col("y.y").alias("y"))
+    found = _listed_pairs(short, similarity).unionByName(_listed_pairs(few, similarity)).unionByName(_pairs(met, similarity))
+    found = checkpointed(found.groupBy("a", "b").agg(F.sum("shared").alias("shared")))
+    dropped(long, twos)
     return found
 
 
@@ -237,7 +271,7 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     heads = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     same = nodes.select("fp", F.col("node").alias("b")).join(heads, "fp").where("b <> node").select(F.col("node").alias("a"), "b")
     met = same.unionByName(near_links(heads)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(met.withColumn("shared", F.lit(1)), None, docs, nodes, width, similarity)
+    links = _compared(met, docs, nodes, width, similarity)
     # the rest by their leading tokens, dealt by token once
     texts = docs.where("doc_id is not null").select(utf8(F.col("text")).alias("t"))
     frequent = _frequent(texts, width, similarity)
