@@ -158,10 +158,34 @@ def unwrapped(text: Column, opening: str, closing: str) -> Column:
     )
 
 
+def _bound(value: Column, of) -> Column:
+    """``of(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _running(numbers: Column) -> Column:
+    """0 and the running sums of an array; each step copies what there is."""
+    return F.aggregate(numbers, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+
+
+def _running_in_blocks(numbers: Column) -> Column:
+    """The same by blocks of the square root of their number, so that little is copied."""
+    wide = F.ceil(F.sqrt(F.size(numbers))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(numbers) / wide).cast("int") - 1), lambda b: _running(F.slice(numbers, b * wide + 1, wide)))
+
+    def joined(blocks):
+        before = F.slice(_running(F.transform(blocks, lambda x: F.element_at(x, -1))), 1, F.size(blocks))
+        return F.concat(F.array(F.lit(0)), F.flatten(F.zip_with(blocks, before, lambda x, o: F.transform(F.slice(x, 2, F.size(x)), lambda v: v + o))))
+
+    return F.when(F.size(numbers) == 0, F.array(F.lit(0))).otherwise(_bound(blocks, joined))
+
+
 def sentence_starts(text: Column) -> Column:
-    """0 and every place after blanks that follow the end of a sentence."""
-    lengths = F.transform(F.regexp_extract_all(text, F.lit(r"((?s:.*?)[.!?]\s+)"), 1), lambda s: F.length(s))
-    return F.aggregate(lengths, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+    """0 and every place after blanks that follow the end of a sentence.  The text is read twice,
+    from end to end, however many sentences it has and however long the last one is."""
+    end = r"[.!?]\s+"
+    both = F.zip_with(F.split(text, end, -1), F.regexp_extract_all(text, F.lit(end), 0), lambda body, e: F.length(body) + F.length(e))
+    return _bound(F.filter(both, lambda n: n.isNotNull()), _running_in_blocks)
 
 
 def overridden(label: Column, labels: Column, hop: Column) -> Column:
