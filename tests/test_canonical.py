@@ -65,3 +65,15 @@ def test_long_runs_of_an_item_are_linear(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, hop_text string")
     assert provenance.with_items(rows).selectExpr("sum(size(items))").first()[0] == 1
     assert time.time() - began < 60
+
+
+def test_words_are_taken_apart_only_where_an_address_or_account_may_be(monkeypatch):
+    def never(*_):
+        raise AssertionError("taken apart for nothing")
+
+    monkeypatch.setattr(T, "_Words", never)
+    monkeypatch.setattr(T, "_account_tokens", never)
+    monkeypatch.setattr(T, "_ACCOUNT_START", None)
+    plain = "Meet at noon, the slash is at-home. one two three 4 five"
+    assert T.canonical_text(plain) == plain
+    assert T.canonical_text("non‑breaking ﬁle number 5") == "non-breaking file number 5"
