@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hopwise.functions import risk as R
 from hopwise.functions import vocabulary as V
 from hopwise.operators import prefix, provenance
+from hopwise.sources.hops import dealt
 
 
 def replayed(hops: DataFrame, risk: str) -> DataFrame:
@@ -19,8 +20,8 @@ def replayed(hops: DataFrame, risk: str) -> DataFrame:
     a user, or a source that the user named and that was safe, had supplied; ``risky`` tells whether
     a reused key came from a hop at risk.  No hop is judged, so no Python is needed.
     """
-    rows = provenance.with_items(prefix.with_designation(prefix.with_prefix(hops)))
-    rows = rows.select("session_id", "hop", "role", F.col(risk).alias("_risk"), "designated", "canonical", "items", F.concat("source", F.lit("->"), "target").alias("channel"))
+    rows = prefix.with_designation(prefix.with_prefix(dealt(provenance.with_items(hops), hops)))
+    rows = rows.select("session_id", "hop", "role", F.col(risk).alias("_risk"), "designated", "known", "items", F.concat("source", F.lit("->"), "target").alias("channel"))
     # an untrusted hop's keys are as good as a user's if the user named it and it is safe
     kind = F.when(R.trusted(F.col("role")) | (F.col("designated") & (F.col("_risk") < 0.25)), "trusted").when(R.untrusted(F.col("role")), "plain")
     trust, step = 1.0 - F.col("_risk"), (1.0 - F.col("_risk") < V.PASS_AT).cast("int")

@@ -254,7 +254,7 @@ def clean_twins(spark, d):
 
 @query(f"{SIG} SELECT session_id, hop, CASE WHEN role IN ('user', 'system') THEN 'unlabeled' WHEN session_id % 3 > 0 THEN 'safe' WHEN instruction > 0 THEN 'malicious' WHEN mutating AND len(items) > 0 THEN 'malicious' WHEN role = 'tool' THEN 'safe' ELSE 'unlabeled' END AS label, CASE WHEN role IN ('user', 'system') THEN 'trusted_role' WHEN session_id % 3 > 0 THEN 'benign_session' WHEN instruction > 0 THEN 'carrier' WHEN mutating AND len(items) > 0 THEN 'action' WHEN role = 'tool' THEN 'clean_data' ELSE 'unknown' END AS label_source FROM sig")
 def label_policy(spark, d):
-    rows = signalled(spark, d)
+    rows = signalled(spark, d, items=True)
     s = D.label_event(F.col("role"), F.col("session_id") % 3 == 0, F.col("instruction") > 0, F.col("mutating") & (F.size("items") > 0))
     return rows.select("session_id", "hop", s["label"].alias("label"), s["source"].alias("label_source"))
 
