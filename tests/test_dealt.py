@@ -34,3 +34,7 @@ def test_hops_are_gone_through_once_for_paths(spark):
 def test_sessions_are_judged_once_for_the_log_and_once_for_releases(spark):
     assert "MapIn" not in _plan(catalog.queries()["quarantine_review"](spark, DATA))
     assert _plan(catalog.queries()["controlled_verdicts"](spark, DATA)).count("MapIn") == 1
+
+
+def test_sessions_are_judged_once_for_traces(spark):
+    assert _plan(catalog.queries()["verdict_trace"](spark, DATA)).count("MapIn") == 1
