@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopwise.llm.common import arrow_batches, arrow_map, checkpointed, dropped, unused, utf8, written
+from hopwise.llm.common import arrow_batches, arrow_map, checkpointed, dropped, shuffles_released, unused, utf8, written
 from hopwise.llm.components import connected_components
 from hopwise.llm.simhash_dedup import near_links
 
@@ -48,10 +48,20 @@ OFTEN, MOST_FREQUENT, LONG_LIST = 16, 1_000_000, 64
 
 def _hashes(data: bytes, width: int) -> np.ndarray:
     """Sorted hashes of the shingles of ``width`` words (fewer words: all of them), repeats
-    included; A-Z lower-cased, words being runs of non-blank bytes."""
+    included; A-Z lower-cased, words being runs of non-blank bytes.
+
+    Every word is hashed once, and all shingles of the text take in their next word together.
+    """
     words = data.lower().split()
     n = max(1, len(words) - width + 1) if words else 0
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    width = min(width, len(words))
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
+        out ^= own[i : i + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.sort(out)
 
 
 def _tokens(hashes: np.ndarray) -> np.ndarray:
@@ -247,7 +257,7 @@ def _remaining(lists: DataFrame, docs: DataFrame, nodes: DataFrame, frequent: np
     long = written(long)
     members = checkpointed(long.select(F.col("y.node").alias("node")).distinct().join(nodes, "node").select("node", "doc_id", "h"))
     more = _prefixes(_texts_of(docs, members), frequent, width, similarity, 2).distinct().select("node", F.col("token").alias("second"), F.col("at").alias("second_at"))
-    twos = long.withColumn("node", F.col("y.node")).join(more, "node").where("second_at > y.at")
+    twos = long.withColumn("node", F.col("y.node")).join(more, "node").where("second_at > y.at and second <> key")
     twos = written(twos.select(F.xxhash64("key", "second").alias("key"), "y", "c"))
     few, many = _by_size(twos)
     x, y = many.toDF("key", "x", "cx").alias("x"), many.toDF("key", "y", "cy").alias("y")
@@ -258,12 +268,26 @@ def _remaining(lists: DataFrame, docs: DataFrame, nodes: DataFrame, frequent: np
     return found
 
 
+def _stars(entries: DataFrame) -> DataFrame:
+    """(token, y, x): every node y of a token that has several, once, and the least of them, x."""
+    rows = Window.partitionBy("token").orderBy("node")
+    whole = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    node = F.struct("node", "n", "at")
+    met = entries.select("token", node.alias("y"), F.first(node).over(whole).alias("x"), F.last("node").over(whole).alias("most"), F.lag("node").over(rows).alias("before"))
+    return met.where("x.node < most and (before is null or before < y.node)").select("token", "y", "x")
+
+
 def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, h, component): every row with an id, the hash of its text, and a number that is
     the same exactly for rows joined by steps of at least ``similarity``.
 
     Texts without words are copies of each other.  Rows without a doc_id take no part.
     """
+    with shuffles_released(docs.sparkSession):
+        return _groups(docs, width, similarity)
+
+
+def _groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     rows = checkpointed(_nodes(docs, width))
     least = F.min(F.struct("doc_id", "h")).alias("row")
     nodes = checkpointed(rows.groupBy("node").agg(least, F.first("n").alias("n"), F.first("fp").alias("fp")).select("node", "row.doc_id", "row.h", "n", "fp"))
@@ -276,8 +300,7 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     texts = docs.where("doc_id is not null").select(utf8(F.col("text")).alias("t"))
     frequent = _frequent(texts, width, similarity)
     entries = _prefixes(texts, frequent, width, similarity).repartition("token")
-    star = entries.groupBy("token").agg(F.min(F.struct("node", "n", "at")).alias("x"), F.max("node").alias("most")).where("x.node < most").drop("most")
-    met = written(entries.select("token", F.struct("node", "n", "at").alias("y")).join(star, "token").distinct())
+    met = written(_stars(entries))
     links = _verified(_pairs(met.where("x.node < y.node"), similarity), links, docs, nodes, width, similarity)
     found = connected_components(links)
     # pairs of one token that this has not connected; only tokens whose members are still apart

@@ -1,3 +1,5 @@
+import glob
+import time
 from collections import Counter
 
 import numpy as np
@@ -99,3 +101,38 @@ def test_common_lines_come_last(spark, monkeypatch):
     rows = [(i, line + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(1500)]
     assert len(kept(spark, rows)) == 1500
     assert asked[0].count() == 0
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for d in disk.localDirsString() for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+
+def test_shuffles_go_with_their_step(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    docs = spark.createDataFrame([(i, f"text {i // 2} " + " ".join(f"w{i // 2}x{j}" for j in range(60)) + f" end{i}") for i in range(200)], "doc_id long, text string")
+    before, was = shuffle_files(spark), spark.conf.get(key, None)
+    groups = near_copies.near_copy_groups(docs)
+    for _ in range(50):  # they are deleted in the background
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(key, None) == was
+    assert groups.select("component").distinct().count() == 100
+
+
+def test_shingles_and_hashes_are_one_to_one():
+    seen = {}
+    for text in ("a b c d e f", "b a c d e f a b c d e f", "a b", "B A", "a b a b", "a b c d e", "x" * 40 + " a b c d", "", " A\tb\nC d  e F "):
+        words = text.lower().split()
+        shingles = [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+        one = {s: int(near_copies._hashes(" ".join(s).encode(), 5)[0]) for s in shingles}
+        assert sorted(one[s] for s in shingles) == near_copies._hashes(text.encode(), 5).tolist()
+        seen |= one
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_stars_give_each_node_once(spark):
+    rows = [(1, 5, 9, 0), (1, 5, 9, 0), (2, 7, 9, 1), (2, -3, 8, 2), (2, 7, 9, 1), (2, -3, 8, 2), (2, 9, 9, 0), (3, 1, 5, 0)]
+    met = near_copies._stars(spark.createDataFrame(rows, "token long, node long, n int, at int")).collect()
+    assert sorted((r.token, tuple(r.y), tuple(r.x)) for r in met) == [(2, (-3, 8, 2), (-3, 8, 2)), (2, (7, 9, 1), (-3, 8, 2)), (2, (9, 9, 0), (-3, 8, 2))]
