@@ -6,19 +6,23 @@ differ in at most 4 bits are compared exactly.  At similarity 0.8 two fingerprin
 is found by an exact filter.  The tokens of a text are its shingles, the k-th repeat of one being
 a token of its own, so that the similarity of multisets is that of sets.  If all texts order their
 tokens in the same way, two sets of similarity t share one of the first ``n - ceil(t n) + 1``
-tokens of each, and two of the first ``n - ceil(t n) + 2``.
+tokens of each.
 
 Which order that is does not touch the result.  By hash, a fifth of a text's tokens lead; those
 that lead in many texts are counted and come last instead, so that boilerplate does not bring
 unrelated texts together.  Texts with the same tokens are one
 node from the start.  Nodes that share a token are compared with the least of them first; then
-only those pairs are left that are not connected yet.  Where many nodes that are not connected
-share a token, they are brought together by two tokens instead, so unlike texts with one token in
-common are not paired with each other.
+only those pairs are left that are not connected yet.
+
+Before texts are read, pairs are judged by sketches: the parity of the number of tokens that fall to
+each of about n places.  A token that one set has alone changes one bit, so two sketches never differ
+in more bits than the sets have tokens of their own, and no pair of the similarity is lost.  The lists
+of nodes that share a token carry sketches and give only the pairs that these allow, so neither
+unlike texts with tokens in common nor the many tokens of one pair become rows.
 
 Pairs are verified hub by hub: the text of the smaller node passes once for a few hundred others,
-and of each node the pair with the most tokens in common is verified before the rest, most of which
-is connected by then.
+and of each node the pair with the nearest sketches is verified before the rest, most of which is
+connected by then.
 """
 
 from __future__ import annotations
@@ -42,8 +46,12 @@ BROADCAST_ROWS = 500_000
 #: Nodes that are compared with a hub in one go.
 HUB_NODES = 256
 #: Nodes of a token beyond which it comes last in the order; the most tokens that are ordered by
-#: this, the most frequent ones; and nodes of a token beyond which two tokens are asked for.
-OFTEN, MOST_FREQUENT, LONG_LIST = 16, 1_000_000, 64
+#: this, the most frequent ones; and nodes of a token beyond which it is gone through in blocks.
+OFTEN, MOST_FREQUENT, LONG_LIST = 16, 1_000_000, 4_096
+#: Fewest and most bits of a sketch.
+SKETCH_BITS = 128, 65_536
+#: Pairs that a task remembers so as not to give them again.
+REMEMBERED = 500_000
 
 
 def _hashes(data: bytes, width: int) -> np.ndarray:
@@ -86,24 +94,47 @@ def _node(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes(), 42) - (1 << 63)
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of tokens are i modulo the number of bits, a power of two."""
+    bits = min(max(1 << (len(tokens) - 1).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch in ``size`` bytes, if it has more."""
+    words = np.frombuffer(sketch, np.uint64)
+    while len(words) * 8 > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def _least_shared(n, similarity: float):
     return math.ceil(similarity * n - 1e-9)
 
 
+def _most_apart(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """The most tokens that one of two sets of n and m tokens may have alone."""
+    return n + m - 2 * np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int64)
+
+
 def _nodes(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h, node, n, fp): the text's hash, its tokens' hash and number, its fingerprint."""
+    """(doc_id, h, node, n, fp, sketch): the text's hash, its tokens' hash and number, its
+    fingerprint and sketch."""
 
     def fn(batch: pa.RecordBatch) -> dict:
-        node, n, fp = [], [], []
+        node, n, fp, sketch = [], [], [], []
         for t in batch.column(2).to_pylist():
             hashes = _hashes(t, width)
-            node.append(_node(_tokens(hashes)))
+            tokens = _tokens(hashes)
+            node.append(_node(tokens))
             n.append(len(hashes))
             fp.append(_fingerprint(hashes))
-        return {"doc_id": batch.column(0), "h": batch.column(1), "node": node, "n": n, "fp": fp}
+            sketch.append(_sketch(tokens))
+        return {"doc_id": batch.column(0), "h": batch.column(1), "node": node, "n": n, "fp": fp, "sketch": sketch}
 
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), utf8(F.col("text")).alias("t"))
-    return arrow_map(rows, fn, "doc_id long, h long, node long, n long, fp long")
+    return arrow_map(rows, fn, "doc_id long, h long, node long, n long, fp long, sketch binary")
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -114,9 +145,9 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(named, ["doc_id", "h"])
 
 
-def _prefixes(texts: DataFrame, frequent: np.ndarray, width: int, similarity: float, shared: int = 1) -> DataFrame:
+def _prefixes(texts: DataFrame, frequent: np.ndarray, width: int, similarity: float) -> DataFrame:
     """(token, node, n, at) of texts (t): the leading tokens of every node, of which similar ones
-    have ``shared`` in common, with their place in the order.  A task gives each node once."""
+    have one in common, with their place in the order.  A task gives each node once."""
     order = texts.sparkSession.sparkContext.broadcast(frequent)
     seen: set = set()
 
@@ -133,7 +164,7 @@ def _prefixes(texts: DataFrame, frequent: np.ndarray, width: int, similarity: fl
             if len(last):
                 found = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
                 own = np.concatenate((own[~found], own[found]))
-            own = own[: n - _least_shared(n, similarity) + shared]
+            own = own[: n - _least_shared(n, similarity) + 1]
             token.append(own.view(np.int64))
             at.append(np.arange(len(own), dtype=np.int32))
             node.append(np.full(len(own), who, np.int64))
@@ -181,13 +212,13 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, s
 
 
 def _verified(pairs: DataFrame, links: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``links`` and those of the pairs (a, b, shared) that reach ``similarity``, but for pairs that
+    """``links`` and those of the pairs (a, b, far) that reach ``similarity``, but for pairs that
     links connect already.
 
-    Each node's pair with the most tokens in common comes first, then all that is still apart.
+    Each node's pair with the nearest sketches comes first, then all that is still apart.
     """
     pairs = checkpointed(_apart(pairs, _heads(links)))
-    first = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    first = pairs.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b")
     links = checkpointed(links.unionByName(_compared(first, docs, nodes, width, similarity)))
     left = _apart(pairs.join(first, ["a", "b"], "left_anti"), _heads(links))
     return checkpointed(links.unionByName(_compared(left.select("a", "b"), docs, nodes, width, similarity)))
@@ -218,54 +249,106 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.where("of_a <> of_b").select(*columns)
 
 
-def _pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, shared): the pairs x, y of (key, x, y) that may be similar, with the keys they share."""
-    ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    return met.where(_candidates("x", "y", similarity)).groupBy(*ends).agg(F.count("*").alias("shared"))
+def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, far): those of the distinct pairs (a, b) of nodes whose sketches allow the
+    similarity, with the bits in which these differ."""
 
+    def fn(batch: pa.RecordBatch) -> dict:
+        a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
+        far = []
+        for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            size = min(len(x), len(y))
+            far.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()))
+        far = np.array(far, np.int64)
+        ok = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (far <= _most_apart(n, m, similarity))
+        return {"a": a[ok], "b": b[ok], "far": far[ok]}
+
+    for end, c in (("a", "n"), ("b", "m")):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(c), F.col("sketch").alias(f"of_{c}")), end)
+    return arrow_map(pairs.select("a", "b", "n", "m", "of_n", "of_m"), fn, "a long, b long, far long")
+
+
+def _near_in_lists(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, far) of whole lists, sorted by list and n: pairs of nodes of different components
+    whose sketches allow the similarity.
+
+    All lists are gone through together: each row meets the row d places further on, for every d
+    that stays in its list and among sizes that the similarity allows.
+    """
+    token, p, q, own, node, c, n = (rows.column(k).to_numpy() for k in ("token", "p", "q", "own", "node", "c", "n"))
+    sketches = rows.column("sketch").to_pylist()
+    size = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    new = np.concatenate(([True], (token[1:] != token[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+    starts = np.flatnonzero(new)
+    end = np.append(starts[1:], len(token))[np.cumsum(new) - 1]
+    found = []
+    for bytes_ in np.unique(size).tolist():
+        at = np.flatnonzero(size == bytes_)
+        # rows that may follow these: of this size, or larger and not too large
+        others = np.flatnonzero((size >= bytes_) & (similarity * n <= n[at].max() + 1e-9))
+        place = np.zeros(len(token), np.int64)
+        place[others] = np.arange(len(others))
+        words = np.stack([_folded(sketches[k], bytes_) for k in others.tolist()])
+        d = 0
+        while len(at):
+            d += 1
+            at = at[at + d < end[at]]
+            at = at[n[at] >= similarity * n[at + d] - 1e-9]
+            x = at[(c[at] != c[at + d]) & ((own[at] != own[at + d]) | (p[at] == q[at]))]
+            if len(x):
+                y = x + d
+                far = np.bitwise_count(words[place[x]] ^ words[place[y]]).sum(axis=1, dtype=np.int64)
+                ok = far <= _most_apart(n[x], n[y], similarity)
+                found.append((node[x[ok]], node[y[ok]], far[ok]))
+    x, y, far = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
+    return np.minimum(x, y), np.maximum(x, y), far
 
-def _listed_pairs(lists: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, shared): pairs from lists (key, y, c) of up to ``LONG_LIST`` nodes.  Lists of the same
-    nodes, as the tokens of one passage make them, are gone through once."""
-    member = F.struct(F.col("y.node").alias("node"), F.col("y.n").alias("n"), "c", F.col("y.at").alias("at"))
-    per = lists.groupBy("key").agg(F.array_sort(F.collect_set(member)).alias("own"))
-    field = lambda m, c: F.transform(m, lambda x: x[c])
-    alike = per.groupBy(field(F.col("own"), "node").alias("nodes"), field(F.col("own"), "n").alias("ns"), field(F.col("own"), "c").alias("cs")).agg(
-        F.count("*").alias("shared"), F.collect_list(field(F.col("own"), "at")).alias("ats")
-    )
-    # of every node its first place in any of the lists, which allows whatever one of them allows
-    least = F.aggregate(F.slice("ats", 2, LONG_LIST * 1_000_000), F.get("ats", F.lit(0)), lambda x, y: F.zip_with(x, y, lambda p, q: F.least(p, q)))
-    rows = alike.select("shared", F.arrays_zip("nodes", "ns", "cs", least.alias("at")).alias("m"))
-    rows = rows.select("shared", "m", F.posexplode("m").alias("i", "x"))
-    rows = rows.select("shared", "x", F.explode(F.filter(F.slice("m", F.col("i") + 2, LONG_LIST), lambda y: y["cs"] != F.col("x.cs"))).alias("y"))
-    rows = rows.select("shared", *[F.struct(F.col(f"{s}.nodes").alias("node"), F.col(f"{s}.ns").alias("n"), F.col(f"{s}.at").alias("at")).alias(s) for s in "xy"])
-    rows = rows.where(_candidates("x", "y", similarity))
-    return rows.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.sum("shared").alias("shared"))
 
+def _remaining(lists: DataFrame, docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """(a, b, far): pairs of nodes that share a token of ``lists`` (token, y, c), c being the
+    component of the node y, that are in different components and whose sketches allow the
+    similarity.
 
-def _by_size(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lists (key, ...) of up to ``LONG_LIST`` rows, and the longer ones."""
-    sizes = lists.groupBy("key").agg(F.count("*").alias("size"))
-    long = sizes.where(F.col("size") > LONG_LIST).select("key")
-    return lists.join(long, "key", "left_anti"), lists.join(long, "key", "left_semi")
+    Lists of the same nodes, as the tokens of one passage make them, are gone through once.  Long
+    ones are cut into blocks of ``LONG_LIST``, of which every two meet, so that no task holds more.
+    """
+    if "sketch" not in nodes.columns:
+        nodes = _nodes(docs, width).groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(nodes.select("node"), "node", "left_semi")
 
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, seen = None, set()
+
+        def given(rows: pa.Table) -> pa.RecordBatch:
+            fresh = []
+            for pair in zip(*(v.tolist() for v in _near_in_lists(rows, similarity))):
+                if pair not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(pair)
+                    fresh.append(pair)
+            return pa.RecordBatch.from_pydict({k: pa.array([f[i] for f in fresh], pa.int64()) for i, k in enumerate(("a", "b", "far"))})
 
-def _remaining(lists: DataFrame, docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, width: int, similarity: float) -> DataFrame:
-    """(a, b, shared): pairs of nodes that share a token of ``lists`` (token, y, c), c being the
-    component of the node y, and are in different components."""
-    short, long = _by_size(lists.withColumnRenamed("token", "key"))
-    long = written(long)
-    members = checkpointed(long.select(F.col("y.node").alias("node")).distinct().join(nodes, "node").select("node", "doc_id", "h"))
-    more = _prefixes(_texts_of(docs, members), frequent, width, similarity, 2).distinct().select("node", F.col("token").alias("second"), F.col("at").alias("second_at"))
-    twos = long.withColumn("node", F.col("y.node")).join(more, "node").where("second_at > y.at and second <> key")
-    twos = written(twos.select(F.xxhash64("key", "second").alias("key"), "y", "c"))
-    few, many = _by_size(twos)
-    x, y = many.toDF("key", "x", "cx").alias("x"), many.toDF("key", "y", "cy").alias("y")
-    met = x.join(y, "key").where("cx <> cy and x.x.node < y.y.node").select(F.col("x.x").alias("x"), F.col("y.y").alias("y"))
-    found = _listed_pairs(short, similarity).unionByName(_listed_pairs(few, similarity)).unionByName(_pairs(met, similarity))
-    found = checkpointed(found.groupBy("a", "b").agg(F.sum("shared").alias("shared")))
-    dropped(long, twos)
-    return found
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            keys = [rows.column(k).to_numpy() for k in ("token", "p", "q")]
+            differ = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0)) if rows.num_rows else []
+            whole = int(differ[-1]) + 1 if len(differ) else 0  # the last list may go on in the next batch
+            if whole:
+                yield given(rows.slice(0, whole))
+            rest = rows.slice(whole)
+        if rest is not None and rest.num_rows:
+            yield given(rest)
+
+    rows = lists.select("token", F.col("y.node").alias("node"), "c")
+    per = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
+    once = per.groupBy("size", "x", "y").agg(F.min("token").alias("token"))
+    rows = rows.join(once.select("token", F.ceil(F.col("size") / LONG_LIST).alias("blocks")), "token")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "c")
+    rows = rows.join(nodes.select("node", F.col("n").cast("long").alias("n"), "sketch"), "node")
+    dealt = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "n", "node")
+    found = dealt.mapInArrow(fn, "a long, b long, far long")
+    return checkpointed(found.distinct())
 
 
 def _stars(entries: DataFrame) -> DataFrame:
@@ -290,18 +373,20 @@ def near_copy_groups(docs: DataFrame, width: int = WIDTH, similarity: float = SI
 def _groups(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     rows = checkpointed(_nodes(docs, width))
     least = F.min(F.struct("doc_id", "h")).alias("row")
-    nodes = checkpointed(rows.groupBy("node").agg(least, F.first("n").alias("n"), F.first("fp").alias("fp")).select("node", "row.doc_id", "row.h", "n", "fp"))
+    nodes = rows.groupBy("node").agg(least, *[F.first(c).alias(c) for c in ("n", "fp", "sketch")])
+    nodes = checkpointed(nodes.select("node", "row.doc_id", "row.h", "n", "fp", "sketch"))
     # fingerprints that meet, and nodes of one fingerprint with the least of them
     heads = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     same = nodes.select("fp", F.col("node").alias("b")).join(heads, "fp").where("b <> node").select(F.col("node").alias("a"), "b")
     met = same.unionByName(near_links(heads)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _compared(met, docs, nodes, width, similarity)
+    links = _compared(_likely(met, nodes, similarity).select("a", "b"), docs, nodes, width, similarity)
     # the rest by their leading tokens, dealt by token once
     texts = docs.where("doc_id is not null").select(utf8(F.col("text")).alias("t"))
     frequent = _frequent(texts, width, similarity)
     entries = _prefixes(texts, frequent, width, similarity).repartition("token")
     met = written(_stars(entries))
-    links = _verified(_pairs(met.where("x.node < y.node"), similarity), links, docs, nodes, width, similarity)
+    stars = met.where("x.node < y.node").where(_candidates("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    links = _verified(_likely(stars, nodes, similarity), links, docs, nodes, width, similarity)
     found = connected_components(links)
     # pairs of one token that this has not connected; only tokens whose members are still apart
     of = met.select("token", "y", F.col("y.node").alias("node")).join(found, "node", "left").select("token", "y", F.coalesce("component", "node").alias("c"))

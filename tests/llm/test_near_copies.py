@@ -136,3 +136,38 @@ def test_stars_give_each_node_once(spark):
     rows = [(1, 5, 9, 0), (1, 5, 9, 0), (2, 7, 9, 1), (2, -3, 8, 2), (2, 7, 9, 1), (2, -3, 8, 2), (2, 9, 9, 0), (3, 1, 5, 0)]
     met = near_copies._stars(spark.createDataFrame(rows, "token long, node long, n int, at int")).collect()
     assert sorted((r.token, tuple(r.y), tuple(r.x)) for r in met) == [(2, (-3, 8, 2), (-3, 8, 2)), (2, (7, 9, 1), (-3, 8, 2)), (2, (9, 9, 0), (-3, 8, 2))]
+
+
+def test_sketches_never_part_a_pair():
+    rng = np.random.default_rng(1)
+    for n, m in ((4, 5), (90, 100), (300, 340), (1000, 1100), (70_000, 75_000)):
+        for both in (int(0.95 * n), int(0.5 * n)):
+            own = rng.integers(0, 1 << 64, n + m - both, dtype=np.uint64)
+            x, y = (near_copies._sketch(t) for t in (own[:n], own[n - both :]))
+            size = min(len(x), len(y))
+            far = int(np.bitwise_count(near_copies._folded(x, size) ^ near_copies._folded(y, size)).sum())
+            assert far <= n + m - 2 * both
+
+
+def listed(spark, texts, *lists):
+    """What is asked for of lists of texts, each a component of its own, and the ids of their nodes."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = [text_tokens(t.encode()) for t in texts]
+    ids = {near_copies._node(t): i for i, t in enumerate(own)}
+    nodes = spark.createDataFrame([(n, i) for n, i in ids.items()], "node long, doc_id long").join(docs.selectExpr("doc_id", "xxhash64(text) as h"), "doc_id")
+    rows = [(k, (near_copies._node(own[i]), len(own[i]), 0), near_copies._node(own[i])) for k, at in enumerate(lists) for i in at]
+    found = near_copies._remaining(spark.createDataFrame(rows, "token long, y struct<node:long,n:int,at:int>, c long"), docs, nodes, np.zeros(0, np.uint64), 5, 0.8)
+    return sorted(tuple(sorted((ids[r.a], ids[r.b]))) for r in found.collect())
+
+
+def test_unlike_texts_with_a_common_passage(spark):
+    passage = " ".join(f"c{j}" for j in range(30))
+    texts = [f"{passage} " + " ".join(f"w{i}x{j}" for j in range(40)) for i in range(300)]
+    assert listed(spark, texts, *[range(k, 300) for k in range(20)]) == []
+
+
+def test_lists_in_blocks_give_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "LONG_LIST", 3)
+    texts = [" ".join(f"g{i // 4}w{j}" for j in range(100)) + f" end{i}" for i in range(20)]
+    pairs = [(i, j) for i in range(20) for j in range(i + 1, 20) if i // 4 == j // 4]
+    assert listed(spark, texts, range(20), range(20), range(2, 18)) == pairs
