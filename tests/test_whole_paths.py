@@ -14,12 +14,12 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def long_sessions(tmp_path_factory):
-    """The tables with the events of all users in two sessions of some 500 hops."""
+    """The tables with 500 events of all users in two sessions of some 250 hops."""
     folder = tmp_path_factory.mktemp("long")
     for t in TABLES:
         if t != "events":
             os.symlink(f"{DATA}/{t}.parquet", f"{folder}/{t}.parquet")
-    duckdb.sql(f"COPY (SELECT * REPLACE (user_id % 2 AS user_id) FROM '{DATA}/events.parquet') TO '{folder}/events.parquet'")
+    duckdb.sql(f"COPY (SELECT * REPLACE (user_id % 2 AS user_id) FROM '{DATA}/events.parquet' WHERE event_id < 500) TO '{folder}/events.parquet'")
     return str(folder)
 
 
@@ -37,3 +37,9 @@ def test_propagation_trace_is_whole(spark, long_sessions):
     query = catalog.queries()["propagation_trace"]
     assert not differences(spark, query, catalog.oracle_sql()["propagation_trace"], long_sessions)
     assert query(spark, long_sessions).where("at < hop - 64 and kind = 'origin'").count() > 0
+
+
+def test_verdict_trace_is_whole(spark, long_sessions):
+    query = catalog.queries()["verdict_trace"]
+    assert not differences(spark, query, catalog.oracle_sql()["verdict_trace"], long_sessions)
+    assert query(spark, long_sessions).where("at < hop - 64 and kind = 'origin'").count() > 0
