@@ -18,7 +18,8 @@ Before texts are read, pairs are judged by sketches: the parity of the number of
 each of about n places.  A token that one set has alone changes one bit, so two sketches never differ
 in more bits than the sets have tokens of their own, and no pair of the similarity is lost.  The lists
 of nodes that share a token carry sketches and give only the pairs that these allow, so neither
-unlike texts with tokens in common nor the many tokens of one pair become rows.
+unlike texts with tokens in common nor the many tokens of one pair become rows: a list leaves a pair
+to the list of the least token that the two share.
 
 Pairs are verified hub by hub: the text of the smaller node passes once for a few hundred others,
 and of each node the pair with the nearest sketches is verified before the rest, most of which is
@@ -50,8 +51,8 @@ HUB_NODES = 256
 OFTEN, MOST_FREQUENT, LONG_LIST = 16, 1_000_000, 4_096
 #: Fewest and most bits of a sketch.
 SKETCH_BITS = 128, 65_536
-#: Pairs that a task remembers so as not to give them again.
-REMEMBERED = 500_000
+#: Tokens of a node, just before a list's in their order, that tell whether an earlier list has the pair.
+EARLIER = 64
 
 
 def _hashes(data: bytes, width: int) -> np.ndarray:
@@ -270,11 +271,12 @@ def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
 
 def _near_in_lists(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, far) of whole lists, sorted by list and n: pairs of nodes of different components
-    whose sketches allow the similarity.
+    whose sketches allow the similarity and that have no list of ``earlier`` in common.
 
     All lists are gone through together: each row meets the row d places further on, for every d
     that stays in its list and among sizes that the similarity allows.
     """
+    earlier = list(map(frozenset, rows.column("earlier").to_pylist()))
     token, p, q, own, node, c, n = (rows.column(k).to_numpy() for k in ("token", "p", "q", "own", "node", "c", "n"))
     sketches = rows.column("sketch").to_pylist()
     size = np.fromiter(map(len, sketches), np.int64, len(sketches))
@@ -298,7 +300,8 @@ def _near_in_lists(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.nd
             if len(x):
                 y = x + d
                 far = np.bitwise_count(words[place[x]] ^ words[place[y]]).sum(axis=1, dtype=np.int64)
-                ok = far <= _most_apart(n[x], n[y], similarity)
+                ok = np.flatnonzero(far <= _most_apart(n[x], n[y], similarity))
+                ok = ok[[earlier[i].isdisjoint(earlier[j]) for i, j in zip(x[ok].tolist(), y[ok].tolist())]] if len(ok) else ok
                 found.append((node[x[ok]], node[y[ok]], far[ok]))
     x, y, far = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(3))
     return np.minimum(x, y), np.maximum(x, y), far
@@ -307,26 +310,25 @@ def _near_in_lists(rows: pa.Table, similarity: float) -> tuple[np.ndarray, np.nd
 def _remaining(lists: DataFrame, docs: DataFrame, nodes: DataFrame, frequent: np.ndarray, width: int, similarity: float) -> DataFrame:
     """(a, b, far): pairs of nodes that share a token of ``lists`` (token, y, c), c being the
     component of the node y, that are in different components and whose sketches allow the
-    similarity.
+    similarity."""
+    if "sketch" not in nodes.columns:
+        nodes = _nodes(docs, width).groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(nodes.select("node"), "node", "left_semi")
+    return checkpointed(_in_lists(lists, nodes, similarity).distinct())
+
+
+def _in_lists(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``_remaining``, where a pair stands again only if ``EARLIER`` tokens of one of its nodes lie
+    between two that both have.
 
     Lists of the same nodes, as the tokens of one passage make them, are gone through once.  Long
     ones are cut into blocks of ``LONG_LIST``, of which every two meet, so that no task holds more.
     """
-    if "sketch" not in nodes.columns:
-        nodes = _nodes(docs, width).groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(nodes.select("node"), "node", "left_semi")
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, seen = None, set()
+        rest = None
 
         def given(rows: pa.Table) -> pa.RecordBatch:
-            fresh = []
-            for pair in zip(*(v.tolist() for v in _near_in_lists(rows, similarity))):
-                if pair not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(pair)
-                    fresh.append(pair)
-            return pa.RecordBatch.from_pydict({k: pa.array([f[i] for f in fresh], pa.int64()) for i, k in enumerate(("a", "b", "far"))})
+            return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(("a", "b", "far"), _near_in_lists(rows, similarity))})
 
         for batch in batches:
             rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
@@ -343,12 +345,14 @@ def _remaining(lists: DataFrame, docs: DataFrame, nodes: DataFrame, frequent: np
     per = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"))
     once = per.groupBy("size", "x", "y").agg(F.min("token").alias("token"))
     rows = rows.join(once.select("token", F.ceil(F.col("size") / LONG_LIST).alias("blocks")), "token")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "c")
+    # two nodes with several lists in common are left to the first of these, where neither has a common one earlier
+    own = Window.partitionBy("node").orderBy("token").rowsBetween(-EARLIER, -1)
+    rows = rows.withColumn("earlier", F.collect_list("token").over(own))
     rows = rows.join(nodes.select("node", F.col("n").cast("long").alias("n"), "sketch"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "c", "n", "sketch", "earlier")
     dealt = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "n", "node")
-    found = dealt.mapInArrow(fn, "a long, b long, far long")
-    return checkpointed(found.distinct())
+    return dealt.mapInArrow(fn, "a long, b long, far long")
 
 
 def _stars(entries: DataFrame) -> DataFrame:

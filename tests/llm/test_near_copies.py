@@ -171,3 +171,14 @@ def test_lists_in_blocks_give_each_pair_once(spark, monkeypatch):
     texts = [" ".join(f"g{i // 4}w{j}" for j in range(100)) + f" end{i}" for i in range(20)]
     pairs = [(i, j) for i in range(20) for j in range(i + 1, 20) if i // 4 == j // 4]
     assert listed(spark, texts, range(20), range(20), range(2, 18)) == pairs
+
+
+def test_a_pair_of_many_lists_is_given_once(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"g{j}" if j != i else f"own{i}" for j in range(150)) for i in range(100)]
+    own = [text_tokens(t.encode()) for t in texts]
+    nodes = spark.createDataFrame([(near_copies._node(t), len(t), near_copies._sketch(t)) for t in own], "node long, n long, sketch binary")
+    rows = [(k, (near_copies._node(own[i]), len(own[i]), 0), near_copies._node(own[i])) for k in range(30) for i in rng.permutation(100)[:80].tolist()]
+    lists = spark.createDataFrame(rows, "token long, y struct<node:long,n:int,at:int>, c long")
+    found = near_copies._in_lists(lists, nodes, 0.8)
+    assert found.count() == found.distinct().count() == 100 * 99 // 2
